@@ -244,7 +244,7 @@ def hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = read(spark, sf_dir, "embeddings").select(
         F.col("vec_id").alias("image_id"), average_hash(F.col("embedding")).alias("hash")
     )
-    flips = F.shiftleft(F.lit(1).cast("long"), (F.col("image_id") % 8).cast("int")) - 1
+    flips = F.expr("shiftleft(1L, CAST(image_id % 8 AS INT)) - 1")
     copies = base.select(
         (F.col("image_id") + 1_000_000).alias("image_id"),
         F.col("hash").bitwiseXOR(flips).alias("hash"),
