@@ -25,9 +25,9 @@ def trailing_counts(
     moments = log.groupBy(*keys, F.unix_micros(time).alias("_t")).agg(
         *[F.sum(c).alias(n) for n, c in measures.items()]
     )
-    slot = F.floor(F.col("_t") / span).cast("long")
+    slot = F.col("_t") - F.pmod(F.col("_t"), F.lit(span))
     shared = moments.withColumn("_slot", slot).withColumn(
-        "_in", F.explode(F.array(F.col("_slot"), F.col("_slot") + 1))
+        "_in", F.explode(F.array(F.col("_slot"), F.col("_slot") + span))
     )
     trailing = (
         Window.partitionBy(*keys, "_in").orderBy("_t").rangeBetween(-(span - 1), Window.currentRow)
