@@ -22,8 +22,9 @@ def exact_quantiles(
 ) -> DataFrame:
     """Interpolated quantiles (``name -> fraction``) of ``value`` per key.
 
-    The sketch is off by at most one in ``accuracy`` ranks, so a bracket three
-    times as wide holds both neighbours of every wanted rank.
+    The sketch is off by at most one in ``accuracy`` ranks, so in a group larger
+    than that a bracket three times as wide holds both neighbours of every wanted
+    rank. Smaller groups are ranked whole.
     """
     rows = df.where(F.col(value).isNotNull()).select(*keys, value)
     margin = 3.0 / accuracy
@@ -36,13 +37,14 @@ def exact_quantiles(
         F.min(value).alias("_min"),
         F.max(value).alias("_max"),
     )
+    small = F.col("_n") <= accuracy
     brackets = F.array(
         *[
             F.struct(
                 F.lit(name).alias("name"),
                 (F.lit(float(q)) * (F.col("_n") - 1)).alias("at"),
-                _low(i, q, margin).alias("low"),
-                _high(i, q, margin).alias("high"),
+                F.when(small, F.col("_min")).otherwise(_low(i, q, margin)).alias("low"),
+                F.when(small, F.col("_max")).otherwise(_high(i, q, margin)).alias("high"),
             )
             for i, (name, q) in enumerate(wanted.items())
         ]
@@ -77,7 +79,11 @@ def exact_quantiles(
         .select(
             *keys,
             "_name",
-            F.when(share == 0, F.col("_lo"))
+            F.when(
+                F.col("_lo").isNull() | F.col("_hi").isNull(),
+                F.raise_error(F.lit("quantile outside its bracket")).cast("double"),
+            )
+            .when(share == 0, F.col("_lo"))
             .otherwise(F.col("_lo") + (F.col("_hi") - F.col("_lo")) * share)
             .alias("_q"),
         )

@@ -254,3 +254,37 @@ def hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "pages")
+
+
+def listing_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Listings rendered as marketplace pages, the input of the ingest job."""
+    base = listings(spark, sf_dir)
+    noise = F.coalesce("brand", F.lit("plain"))
+    html = F.concat(
+        F.lit('<html><head><title>Shop</title></head><body>\n<h1 id="it-ttl">\n  '),
+        F.concat_ws(" ", F.initcap("title"), F.lit("&amp;"), noise),
+        F.lit('</h1><div class="box"><span class="amt notranslate">US $'),
+        F.format_number("price", 2),
+        F.lit('</span><div class="u-flL condText"> '),
+        F.initcap("condition"),
+        F.lit('</div></div><span class="mbg-nw">'),
+        "seller_name",
+        F.lit("</span>"),
+        F.array_join(
+            F.transform(
+                F.sequence(F.lit(0), F.col("image_count").cast("int")),
+                lambda i: F.concat(
+                    F.lit('<img class="tdThumb" src="https://img.example.com/'),
+                    i.cast("string"),
+                    F.lit('/s-l64.jpg">'),
+                ),
+            ),
+            "",
+        ),
+        F.lit('<div class="itemAttr"><table><tr><td>Material</td><td>'),
+        "material",
+        F.lit("</td></tr><tr><td>Stone</td><td>"),
+        F.coalesce("main_stone", F.lit("")),
+        F.lit("</td></tr></table></div></body></html>"),
+    )
+    return base.select(F.col("listing_id").alias("page_id"), "url", html.alias("html"))
