@@ -167,8 +167,8 @@ check(
     "listings",
 )
 
-check("listing_by_id", lambda t: Q.listing_by_id(t.listings, "7-1-1071-61").select("listing_id", "title"),
-      "SELECT listing_id, title FROM listings WHERE listing_id = '7-1-1071-61'", "listings")
+check("listing_by_id", lambda t: Q.listing_by_id(t.listings, "7341-3-499-12").select("listing_id", "title"),
+      "SELECT listing_id, title FROM listings WHERE listing_id = '7341-3-499-12'", "listings")
 check("images_of_listing",
       lambda t: Q.images_of(t.images, "7341-3-499-12").select("image_id", "sequence_order"),
       """SELECT image_id, sequence_order FROM images WHERE listing_id = '7341-3-499-12'""", "images")
