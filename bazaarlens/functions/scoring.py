@@ -64,7 +64,7 @@ SCORE_V1 = ScoreRule(
     extra={"main_image_path": 0.2, "end_time": 0.2},
     validate_from=0.7,
 )
-NO_VALUE = ["unknown", "n/a", "null", "none"]
+BLANK = r"(?i)^\s*(?:unknown|n/a|null|none)?\s*$"
 MIN_INGEST_SCORE = 0.3
 
 
@@ -74,8 +74,7 @@ def valuable(df: DataFrame, name: str) -> Column:
         return F.lit(False)
     kind, col = df.schema[name].dataType, F.col(name)
     if isinstance(kind, T.StringType):
-        trimmed = F.lower(F.trim(col))
-        ok = (trimmed != "") & ~trimmed.isin(NO_VALUE)
+        ok = ~col.rlike(BLANK)
     elif isinstance(kind, (T.ArrayType, T.MapType)):
         ok = F.size(col) > 0
     elif isinstance(kind, T.NumericType):
@@ -88,7 +87,17 @@ def valuable(df: DataFrame, name: str) -> Column:
 
 
 def filled(df: DataFrame, names) -> Column:
-    return sum((valuable(df, n).cast("int") for n in names), F.lit(0))
+    """How many of the fields carry information.
+
+    Text fields share one array test, which keeps the generated code small.
+    """
+    kinds = dict(df.dtypes)
+    texts = [F.col(n) for n in names if kinds.get(n) == "string"]
+    others = [n for n in names if n in kinds and kinds[n] != "string"]
+    total = sum((valuable(df, n).cast("int") for n in others), F.lit(0))
+    if texts:
+        total = total + F.size(F.filter(F.array(*texts), lambda x: x.isNotNull() & ~x.rlike(BLANK)))
+    return total
 
 
 def quality_score(df: DataFrame, rule: ScoreRule = SCORE_V2) -> Column:
@@ -155,17 +164,11 @@ def gate_errors(score: str = "quality_score") -> Column:
 
 def basic_gate_errors() -> Column:
     """The shorter check list of the first score version."""
-    return F.filter(
-        gate_errors_without_score(), lambda m: ~m.isin("Category is required", "Material is required")
-    )
-
-
-def gate_errors_without_score() -> Column:
-    names = ["listing_id", "title", "seller_name", "url", "category", "material"]
-    labels = ["ID", "Title", "Seller ID", "Listing URL", "Category", "Material"]
+    labels = {"listing_id": "ID", "title": "Title", "seller_name": "Seller ID",
+              "url": "Listing URL"}
     flags = [
         F.when(F.coalesce(F.col(n), F.lit("")) == "", f"{label} is required")
-        for n, label in zip(names, labels)
+        for n, label in labels.items()
     ]
     price = F.when(~F.coalesce(F.col("price") > 0, F.lit(False)), "Valid price is required")
     return F.array_compact(F.array(*flags[:2], price, *flags[2:]))

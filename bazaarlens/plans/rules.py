@@ -18,10 +18,6 @@ from bazaarlens.functions.text import is_url
 from bazaarlens.operators.joins import HOT_PARTS, fk_violations, salted_join
 from bazaarlens.operators.latest import duplicate_rows
 
-FINDING = (
-    "rule_id string, severity string, category string, `table` string, field string, "
-    "record_id string, message string, current_value string, suggested_value string"
-)
 COLUMNS = [
     "rule_id", "severity", "category", "table", "field", "record_id", "message",
     "current_value", "suggested_value",
@@ -62,212 +58,190 @@ UNUSUAL_PAIRS = {
 
 @dataclass(frozen=True)
 class RowCheck:
-    """A check of one listing row: severity is NULL where the row passes."""
+    """A check of one listing row: severity is NULL where the row passes.
+
+    ``message`` may name row values in braces; ``value`` names the value reported.
+    """
 
     rule_id: str
     category: str
     level: str
     field: str
     severity: Column
-    message: Column
-    value: Column
-    suggested: Column | None = None
-
-
-def _text(value: Column) -> Column:
-    return value.cast("string")
-
-
-def _money(name: str | Column) -> Column:
-    return F.format_string("%.2f", F.col(name) if isinstance(name, str) else name)
+    message: str
+    value: str
+    suggested: str | None = None
 
 
 def _empty(name: str) -> Column:
-    return F.col(name).isNull() | (_text(F.col(name)) == "")
+    return F.col(name).isNull() | (F.col(name).cast("string") == "")
 
 
 def _at(level: str, bad: Column) -> Column:
     return F.when(bad, level)
 
 
-def row_checks(columns: list[str]) -> list[RowCheck]:
-    """Every single-row check the available columns allow."""
-    score, price = F.col("data_completeness_score"), F.col("price")
-    checks = [
-        RowCheck(
-            f"required_listings_{name}", "required_fields", "basic", name,
-            _at("error", _empty(name)), F.lit(message), _text(F.col(name)),
-        )
-        for name, message in REQUIRED.items()
-    ]
-    checks += [
-        RowCheck(
-            "datatype_price_positive", "data_types", "basic", "price",
-            _at("error", price <= 0),
-            F.concat(F.lit("Price must be positive, found: "), _money("price")), _money("price"),
-        ),
-        RowCheck(
-            "datatype_quality_score_range", "data_types", "standard", "data_completeness_score",
-            _at("warning", (score < 0) | (score > 1)),
-            F.concat(F.lit("Quality score should be between 0 and 1, found: "), _money(score)),
-            _money(score), _money(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score))),
-        ),
-        RowCheck(
-            "datatype_image_count_nonnegative", "data_types", "standard", "image_count",
-            _at("warning", F.col("image_count") < 0), F.lit("Image count cannot be negative"),
-            _text(F.col("image_count")), F.lit("0"),
-        ),
-        RowCheck(
-            "format_url_valid", "format_validation", "standard", "url",
-            _at("error", ~_empty("url") & ~is_url(F.col("url"))),
-            F.concat(F.lit("Invalid URL format: "), "url"), F.col("url"),
-        ),
-        RowCheck(
-            "format_currency_iso", "format_validation", "standard", "currency",
-            F.when(_empty("currency"), None)
-            .when(~F.col("currency").rlike(r"^[A-Z]{3}$"), "warning")
-            .when(~F.col("currency").isin(COMMON_CURRENCIES), "info"),
-            F.when(
-                ~F.col("currency").rlike(r"^[A-Z]{3}$"),
-                F.concat(F.lit("Currency should be 3-letter uppercase ISO code, found: "), "currency"),
-            ).otherwise(F.concat(F.lit("Uncommon currency code: "), "currency")),
-            F.col("currency"), F.upper("currency"),
-        ),
-        _reasonable_price(),
-        RowCheck(
-            "business_original_price_logic", "business_rules", "standard", "original_price",
-            _at("warning", F.col("original_price") < price),
-            F.concat(
-                F.lit("Original price ($"), _money("original_price"),
-                F.lit(") is less than current price ($"), _money("price"), F.lit(")"),
-            ),
-            _money("original_price"),
-        ),
-        RowCheck(
-            "business_images_quality_correlation", "business_rules", "strict", "image_count",
-            _at("info", (score > 0.8) & (F.col("image_count") == 0)),
-            F.concat(F.lit("High quality score ("), _money(score), F.lit(") but no images")),
-            _money(score),
-        ),
-        _title_check(),
-        _description_check(),
-        RowCheck(
-            "consistency_category_material", "consistency", "strict", "material",
-            _at("warning", _unusual_pair()),
-            F.concat(
-                F.lit("Unusual material '"), "material", F.lit("' for category '"), "category",
-                F.lit("'"),
-            ),
-            F.col("material"),
-        ),
-        RowCheck(
-            "completeness_images_available", "completeness", "standard", "image_count",
-            _at("info", F.coalesce("image_count", F.lit(0)) == 0),
-            F.lit("Listing has no images"), F.lit("0"),
-        ),
-    ]
-    checks += [
-        RowCheck(
-            "completeness_essential_fields", "completeness", "standard", name,
-            _at("warning", _empty(name)), F.lit(f"Essential field '{name}' is missing"),
-            _text(F.col(name)),
-        )
-        for name in ESSENTIAL
-        if name in columns
-    ]
-    if "seller_email" in columns:
-        checks.append(
-            RowCheck(
-                "format_email_valid", "format_validation", "strict", "seller_email",
-                _at("warning", ~_empty("seller_email") & ~F.col("seller_email").rlike(EMAIL)),
-                F.concat(F.lit("Invalid email format: "), "seller_email"), F.col("seller_email"),
-            )
-        )
-    return checks
+def _decimal(value: Column) -> Column:
+    return F.coalesce(value.try_cast("decimal(20,2)").cast("string"), value.cast("string"))
 
 
-def _reasonable_price() -> RowCheck:
-    price = F.col("price")
-    low = high = None
-    for name, (lo, hi) in PRICE_RANGES.items():
-        same = F.col("category") == name
-        low = F.when(same, lo) if low is None else low.when(same, lo)
-        high = F.when(same, hi) if high is None else high.when(same, hi)
-    outside = (price < low) | (price > high)
-    return RowCheck(
-        "business_price_reasonable", "business_rules", "standard", "price",
-        F.when(outside, F.when(price > high * 2, "warning").otherwise("info")),
-        F.concat(
-            F.lit("Price $"), _money("price"), F.lit(" may be unusual for "), "category",
-            F.lit(" (typical range: $"), _text(low), F.lit("-$"), _text(high), F.lit(")"),
-        ),
-        _money("price"),
-    )
+def _price_bound(which: int) -> Column:
+    """Lower (0) or upper (1) end of the usual price range of the row's category."""
+    pairs = [F.lit(x) for name, ends in PRICE_RANGES.items() for x in (name, ends[which])]
+    return F.element_at(F.create_map(*pairs), F.col("category"))
 
 
-def _title_check() -> RowCheck:
+def _title_issues() -> Column:
     title = F.trim("title")
-    issues = F.array_compact(
+    return F.array_compact(
         F.array(
             F.when(F.length(title) < 10, "too short").when(F.length(title) > 200, "too long"),
             F.when(
                 (F.upper(title) == title) & (F.lower(title) != title) & (F.length(title) > 20),
                 "all caps",
             ),
-            F.when(F.size(F.filter(F.split(title, r"\s+"), lambda w: w != "")) < 3, "too few words"),
+            F.when(~title.rlike(r"\S\s+\S+\s+\S"), "too few words"),
             F.when(F.contains(title, F.lit("!!!")), "excessive exclamation marks"),
         )
     )
-    found = F.when(~_empty("title"), F.size(issues))
-    return RowCheck(
-        "quality_title_descriptive", "data_quality", "standard", "title",
-        F.when(found > 1, "warning").when(found == 1, "info"),
-        F.concat(F.lit("Title quality issues: "), F.array_join(issues, ", ")), title,
-    )
 
 
-def _description_check() -> RowCheck:
-    size = F.length("description")
-    short, long = (size > 0) & (size < 50), size > 5000
-    return RowCheck(
-        "quality_description_completeness", "data_quality", "strict", "description",
-        _at("info", short | long),
-        F.concat(
-            F.when(short, "Description is very short (").otherwise("Description is very long ("),
-            _text(size), F.lit(" characters)"),
-        ),
-        _text(size),
-    )
+def row_values(columns: list[str]) -> dict[str, Column]:
+    """Texts of the row values that findings report or mention."""
+    score = F.col("data_completeness_score")
+    plain = [*REQUIRED, *[c for c in (*ESSENTIAL, "seller_email") if c in columns]]
+    return {c: F.col(c).cast("string") for c in plain if c != "price"} | {
+        "price": _decimal(F.col("price")),
+        "original_price": _decimal(F.col("original_price")),
+        "score": _decimal(score),
+        "clamped": _decimal(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score))),
+        "image_count": F.coalesce("image_count", F.lit(0)).cast("string"),
+        "upper": F.upper("currency"),
+        "issues": F.array_join("_title_issues", ", "),
+        "low": _price_bound(0).cast("string"),
+        "high": _price_bound(1).cast("string"),
+        "length": F.length("description").cast("string"),
+        "zero": F.lit("0"),
+    }
 
 
-def _unusual_pair() -> Column:
-    hits = [
-        (F.col("category") == c) & F.col("material").isin(ms) for c, ms in UNUSUAL_PAIRS.items()
+def row_checks(columns: list[str]) -> list[RowCheck]:
+    """Every single-row check the available columns allow."""
+    score, price, currency = F.col("data_completeness_score"), F.col("price"), F.col("currency")
+    high = _price_bound(1)
+    size, issues = F.length("description"), F.size("_title_issues")
+    pairs = [f"{c}/{m}" for c, materials in UNUSUAL_PAIRS.items() for m in materials]
+    checks = [
+        RowCheck(f"required_listings_{name}", "required_fields", "basic", name,
+                 _at("error", _empty(name)), message, name)
+        for name, message in REQUIRED.items()
+    ]
+    checks += [
+        RowCheck("datatype_price_positive", "data_types", "basic", "price",
+                 _at("error", price <= 0), "Price must be positive, found: {price}", "price"),
+        RowCheck("datatype_quality_score_range", "data_types", "standard",
+                 "data_completeness_score", _at("warning", ~score.between(0, 1)),
+                 "Quality score should be between 0 and 1, found: {score}", "score", "clamped"),
+        RowCheck("datatype_image_count_nonnegative", "data_types", "standard", "image_count",
+                 _at("warning", F.col("image_count") < 0), "Image count cannot be negative",
+                 "image_count", "zero"),
+        RowCheck("format_url_valid", "format_validation", "standard", "url",
+                 _at("error", ~_empty("url") & ~is_url(F.col("url"))),
+                 "Invalid URL format: {url}", "url"),
+        RowCheck("format_currency_iso", "format_validation", "standard", "currency",
+                 _at("warning", (currency != "") & ~currency.rlike("^[A-Z]{3}$")),
+                 "Currency should be 3-letter uppercase ISO code, found: {currency}",
+                 "currency", "upper"),
+        RowCheck("format_currency_iso", "format_validation", "standard", "currency",
+                 _at("info", currency.rlike("^[A-Z]{3}$") & ~currency.isin(COMMON_CURRENCIES)),
+                 "Uncommon currency code: {currency}", "currency"),
+        RowCheck("business_price_reasonable", "business_rules", "standard", "price",
+                 F.when(price > high * 2, "warning").when(
+                     (price < _price_bound(0)) | (price > high), "info"),
+                 "Price ${price} may be unusual for {category} (typical range: ${low}-${high})",
+                 "price"),
+        RowCheck("business_original_price_logic", "business_rules", "standard", "original_price",
+                 _at("warning", F.col("original_price") < price),
+                 "Original price (${original_price}) is less than current price (${price})",
+                 "original_price"),
+        RowCheck("business_images_quality_correlation", "business_rules", "strict", "image_count",
+                 _at("info", (score > 0.8) & (F.col("image_count") == 0)),
+                 "High quality score ({score}) but no images", "score"),
+        RowCheck("quality_title_descriptive", "data_quality", "standard", "title",
+                 F.when(_empty("title"), None).when(issues > 1, "warning").when(issues == 1, "info"),
+                 "Title quality issues: {issues}", "title"),
+        RowCheck("quality_description_completeness", "data_quality", "strict", "description",
+                 _at("info", (size > 0) & (size < 50)),
+                 "Description is very short ({length} characters)", "length"),
+        RowCheck("quality_description_completeness", "data_quality", "strict", "description",
+                 _at("info", size > 5000), "Description is very long ({length} characters)",
+                 "length"),
+        RowCheck("consistency_category_material", "consistency", "strict", "material",
+                 _at("warning", F.concat_ws("/", "category", "material").isin(pairs)),
+                 "Unusual material '{material}' for category '{category}'", "material"),
+        RowCheck("completeness_images_available", "completeness", "standard", "image_count",
+                 _at("info", F.coalesce("image_count", F.lit(0)) == 0),
+                 "Listing has no images", "zero"),
     ]
-    return reduce(lambda a, b: a | b, hits)
+    checks += [
+        RowCheck("completeness_essential_fields", "completeness", "standard", name,
+                 _at("warning", _empty(name)), f"Essential field '{name}' is missing", name)
+        for name in ESSENTIAL
+        if name in columns
+    ]
+    if "seller_email" in columns:
+        checks.append(
+            RowCheck("format_email_valid", "format_validation", "strict", "seller_email",
+                     _at("warning", ~_empty("seller_email") & ~F.col("seller_email").rlike(EMAIL)),
+                     "Invalid email format: {seller_email}", "seller_email")
+        )
+    return checks
 
 
 def row_findings(listings: DataFrame, checks: list[RowCheck], table: str = "listings") -> DataFrame:
-    """All findings of single-row checks in one pass."""
-    found = [
-        F.when(
-            c.severity.isNotNull(),
-            F.struct(
-                F.lit(c.rule_id).alias("rule_id"),
-                c.severity.alias("severity"),
-                F.lit(c.category).alias("category"),
-                F.lit(table).alias("table"),
-                F.lit(c.field).alias("field"),
-                F.col("listing_id").alias("record_id"),
-                c.message.alias("message"),
-                c.value.cast("string").alias("current_value"),
-                (F.lit(None).cast("string") if c.suggested is None else c.suggested)
-                .alias("suggested_value"),
-            ),
+    """All findings of single-row checks in one pass.
+
+    Severities of all checks become one array; only the failed ones go on to have
+    their message filled in from templates, which keeps the generated code small.
+    """
+    if not checks:
+        raise ValueError("no checks to run")
+    values = row_values(listings.columns)
+    names = list(values)
+    spoken = [n for n in names if any(f"{{{n}}}" in c.message for c in checks)]
+    used = {c.value for c in checks} | {c.suggested for c in checks} | set(spoken)
+    failed = (
+        listings.withColumn("_title_issues", _title_issues())
+        .select(
+            "*", F.posexplode(F.array(*[c.severity for c in checks])).alias("_check", "_severity")
         )
-        for c in checks
-    ]
-    return listings.select(F.explode(F.array_compact(F.array(*found))).alias("f")).select("f.*")
+        .where("_severity IS NOT NULL")
+    )
+    texts = F.array(*[values[n] if n in used else F.lit(None).cast("string") for n in names])
+    rows = failed.select("listing_id", "_check", "_severity", texts.alias("_texts"))
+
+    def of_check(part: Callable[[RowCheck], object]) -> Column:
+        return F.get(F.array(*[F.lit(part(c)) for c in checks]), F.col("_check"))
+
+    def value_at(part: Callable[[RowCheck], str | None]) -> Column:
+        position = of_check(lambda c: names.index(part(c)) if part(c) else -1)
+        return F.get("_texts", position)
+
+    message = of_check(lambda c: c.message)
+    for name in spoken:
+        filler = F.coalesce(F.get("_texts", F.lit(names.index(name))), F.lit("None"))
+        message = F.replace(message, F.lit(f"{{{name}}}"), filler)
+    return rows.select(
+        of_check(lambda c: c.rule_id).alias("rule_id"),
+        F.col("_severity").alias("severity"),
+        of_check(lambda c: c.category).alias("category"),
+        F.lit(table).alias("table"),
+        of_check(lambda c: c.field).alias("field"),
+        F.col("listing_id").alias("record_id"),
+        message.alias("message"),
+        value_at(lambda c: c.value).alias("current_value"),
+        value_at(lambda c: c.suggested).alias("suggested_value"),
+    )
 
 
 def _finding(rows: DataFrame, rule_id, severity, category, table, field, record, message, value):
@@ -330,10 +304,10 @@ def price_outliers(tables: dict[str, DataFrame]) -> DataFrame:
         rows.where("price > threshold"), "consistency_price_category", "info", "consistency",
         "listings", "price", "listing_id",
         F.concat(
-            F.lit("Price $"), _money("price"), F.lit(" is unusually high for "), "category",
-            F.lit(" category"),
+            F.lit("Price $"), _decimal(F.col("price")), F.lit(" is unusually high for "),
+            "category", F.lit(" category"),
         ),
-        _money("price"),
+        _decimal(F.col("price")),
     )
 
 
@@ -465,7 +439,7 @@ def recommendations(findings: DataFrame, tables: dict[str, DataFrame]) -> DataFr
 
     def number(name: str, before: str, after: str) -> Column:
         return F.when(
-            F.col(name) > 0, F.concat(F.lit(before), _text(F.col(name)), F.lit(after))
+            F.col(name) > 0, F.concat(F.lit(before), F.col(name).cast("string"), F.lit(after))
         )
 
     advice = [

@@ -36,6 +36,24 @@ class Tables:
     def base(self) -> DataFrame:
         return base(self.listings, self.request())
 
+    @cached_property
+    def dirty(self) -> DataFrame:
+        """Listings with every kind of damage the rules look for, by watcher count."""
+        return self.listings.withColumns(
+            {
+                column: F.expr(
+                    "CASE watchers "
+                    + " ".join(f"WHEN {w} THEN {value}" for w, value in damage.items())
+                    + f" ELSE {'NULL' if column == 'seller_email' else column} END"
+                )
+                for column, damage in DAMAGE.items()
+            }
+        )
+
+    @cached_property
+    def dirty_store(self) -> dict[str, DataFrame]:
+        return {**self.store, "listings": self.dirty}
+
     @cached_property
     def images(self) -> DataFrame:
         return derived.images(self.spark, self.dir)
@@ -101,6 +119,26 @@ def tidy(df: DataFrame, digits: int = 4) -> DataFrame:
     return df.select(*cols)
 
 
+# Damaged values per column and watcher count, valid in both SQL dialects.
+DAMAGE = {
+    "title": {
+        1: "NULL", 2: "''", 3: "upper(concat(title, ' ', title, ' extra'))",
+        4: "concat(title, ' big sale!!! now')", 5: "repeat(concat(title, ' '), 25)",
+        33: "concat('  ', title, ' of gold ')",
+    },
+    "price": {6: "CAST(0 AS DOUBLE)", 7: "-price", 8: "price * 40", 9: "NULL"},
+    "currency": {10: "'usd'", 11: "'SEK'", 12: "NULL", 13: "'USDX'"},
+    "condition": {14: "NULL"},
+    "seller_name": {15: "''"},
+    "category": {16: "NULL"},
+    "material": {17: "'plastic'", 18: "'leather'", 19: "NULL"},
+    "url": {20: "'shop.example.com/itm/1'", 21: "NULL", 22: "'https://'"},
+    "data_completeness_score": {23: "CAST(-0.25 AS DOUBLE)", 24: "CAST(1.25 AS DOUBLE)"},
+    "image_count": {25: "CAST(-1 AS BIGINT)", 26: "NULL"},
+    "description": {27: "repeat(description, 500)", 28: "''", 34: "repeat(description, 9)"},
+    "seller_email": {29: "'a@b.co'", 30: "'a@b'", 31: "'bad'", 35: "''"},
+    "listing_id": {32: "''"},
+}
 AS_OF = "TIMESTAMP '2001-11-04 00:00:00'"
 
 _CTES = {
@@ -211,12 +249,25 @@ SELECT image_id, CASE WHEN image_id >= 1000000 THEN
     xor(code, ((1::UBIGINT << (image_id % 1000000 % 8)::INT) - 1)::UBIGINT) ELSE code END AS code
 FROM (SELECT unnest([vec_id, vec_id + 1000000]) AS image_id, code
       FROM (SELECT vec_id, list_reduce(list_transform(embedding,
-              x -> CASE WHEN x::DOUBLE > m THEN 1::UBIGINT ELSE 0::UBIGINT END),
-              (a, b) -> (a << 1) | b) AS code
-            FROM (SELECT *, list_reduce(list_transform(embedding, x -> x::DOUBLE), (a, b) -> a + b)
+              lambda x: CASE WHEN x::DOUBLE > m THEN 1::UBIGINT ELSE 0::UBIGINT END),
+              lambda a, b: (a << 1) | b) AS code
+            FROM (SELECT *, list_reduce(list_transform(embedding, lambda x: x::DOUBLE), lambda a, b: a + b)
                     / 64 AS m FROM embeddings)))""",
 }
+_CTES["dirty"] = (
+    "SELECT * EXCLUDE ("
+    + ", ".join(c for c in DAMAGE if c != "seller_email")
+    + "), "
+    + ", ".join(
+        "CASE watchers "
+        + " ".join(f"WHEN {w} THEN {value}" for w, value in damage.items())
+        + f" ELSE {'NULL' if column == 'seller_email' else column} END AS {column}"
+        for column, damage in DAMAGE.items()
+    )
+    + " FROM listings"
+)
 _NEEDS = {
+    "dirty": ["listings"],
     "listings": [],
     "base": ["listings"],
     "images": ["listings"],
