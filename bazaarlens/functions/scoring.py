@@ -100,8 +100,8 @@ def filled(df: DataFrame, names) -> Column:
     return total
 
 
-def quality_score(df: DataFrame, rule: ScoreRule = SCORE_V2) -> Column:
-    """Completeness score in [0, 1] with three decimals."""
+def quality_score(df: DataFrame, rule: ScoreRule = SCORE_V2, decimals: int = 3) -> Column:
+    """Completeness score in [0, 1], by default with three decimals."""
     total = F.lit(0.0)
     for names, part in rule.groups:
         total = total + filled(df, names) / len(names) * part
@@ -122,7 +122,7 @@ def quality_score(df: DataFrame, rule: ScoreRule = SCORE_V2) -> Column:
     for name, value in rule.extra.items():
         bonus = bonus + F.when(valuable(df, name), value).otherwise(0.0)
     total = total + F.least(bonus, F.lit(1.0)) * rule.bonus_weight
-    return F.round(F.least(total, F.lit(1.0)), 3)
+    return F.round(F.least(total, F.lit(1.0)), decimals)
 
 
 def content_hash(df: DataFrame | None = None) -> Column:

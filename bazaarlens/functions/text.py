@@ -132,10 +132,15 @@ EMBEDDED_IMAGES = [
 ]
 
 
+def non_empty(value: Column) -> Column:
+    """The text, NULL when it is empty; the (costly) value is computed once."""
+    return F.get(F.filter(F.array(value), lambda v: v != ""), F.lit(0))
+
+
 def found(text: Column, pattern: str, group: int = 0, ignore_case: bool = True) -> Column:
     """The first match of a pattern, NULL when there is none."""
     flag = "(?i)" if ignore_case else ""
-    return F.nullif(F.regexp_extract(text, flag + pattern, group), F.lit(""))
+    return non_empty(F.regexp_extract(text, flag + pattern, group))
 
 
 def first_found(text: Column, patterns, group: int = 0, ignore_case: bool = True) -> Column:

@@ -16,7 +16,10 @@ def enrich_listings(df: DataFrame, category_mode: str = "substring") -> DataFram
 
     Existing columns keep their values; only missing fields are filled in.
     """
-    both = F.concat_ws(" ", "title", "description")
+    # The joined text is its own column: many patterns read it, it is built once.
+    names = list(df.columns)
+    df = df.withColumn("_text", F.concat_ws(" ", "title", "description"))
+    both = F.col("_text")
     found = {
         "title": text.clean_title(F.col("title")),
         "category": text.category(F.col("title"), category_mode),
@@ -39,7 +42,8 @@ def enrich_listings(df: DataFrame, category_mode: str = "substring") -> DataFram
     }
     out = df.withColumns(fresh)
     size = text.size_for(both, F.col("category"))
-    return out.withColumn("size", F.coalesce("size", size) if "size" in df.columns else size)
+    out = out.withColumn("size", F.coalesce("size", size) if "size" in names else size)
+    return out.drop("_text")
 
 
 def ingest(pages: DataFrame, rule: ScoreRule = SCORE_V2) -> DataFrame:

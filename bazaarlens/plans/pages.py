@@ -32,13 +32,10 @@ class Element:
 
     def inner(self, html: Column) -> Column:
         """Inner markup of the first such element."""
-        return F.nullif(
-            F.regexp_extract(html, rf"(?is){self.opening()}(.*?)</\1\s*>", 2), F.lit("")
-        )
+        return text.non_empty(F.regexp_extract(html, rf"(?is){self.opening()}(.*?)</\1\s*>", 2))
 
     def text(self, html: Column) -> Column:
-        plain = text.squeeze(unescape(text.strip_tags(self.inner(html))))
-        return F.nullif(plain, F.lit(""))
+        return text.non_empty(text.squeeze(unescape(text.strip_tags(self.inner(html)))))
 
 
 # Page elements of each field, tried in order.
@@ -82,8 +79,13 @@ def first_text(html: Column, elements: list[Element]) -> Column:
 
 def first_price(html: Column, elements: list[Element]) -> Column:
     """Price of the first element whose text holds a number."""
-    prices = [text.plain_price(e.text(html)) for e in elements]
-    return F.coalesce(*[F.when(p > 0, p) for p in prices], F.lit(0.0))
+    prices = [F.filter(F.array(text.plain_price(e.text(html))), lambda p: p > 0) for e in elements]
+    return F.coalesce(*[F.get(p, F.lit(0)) for p in prices], F.lit(0.0))
+
+
+def computed_once(df: DataFrame, keep: list[str], columns: list[Column]) -> DataFrame:
+    """Add columns behind a generator, so that later filters do not recompute them."""
+    return df.select(*keep, F.inline(F.array(F.struct(*columns))))
 
 
 def page_fields(pages: DataFrame) -> DataFrame:
@@ -110,22 +112,30 @@ def extract_listings(pages: DataFrame, keep_incomplete: bool = False) -> DataFra
         F.filter(sources, lambda u: F.startswith(u, F.lit("http"))),
         lambda u: F.regexp_replace(u, "s-l(?:64|140)(?!\\d)", "s-l1600"),
     )
-    read = pages.select(
-        "page_id",
-        "url",
-        first_text(html, TITLE).alias("title"),
-        first_price(html, PRICE).alias("price"),
-        F.coalesce(text.standard_condition(first_text(html, CONDITION)), F.lit("Unknown"))
-        .alias("condition"),
-        F.coalesce(first_text(html, SELLER), F.lit("unknown")).alias("seller_name"),
-        F.array_distinct(large).alias("image_urls"),
-        F.length(html).alias("html_length"),
+    read = computed_once(
+        pages,
+        ["page_id", "url"],
+        [
+            first_text(html, TITLE).alias("title"),
+            first_price(html, PRICE).alias("price"),
+            first_text(html, CONDITION).alias("condition"),
+            F.coalesce(first_text(html, SELLER), F.lit("unknown")).alias("seller_name"),
+            F.array_distinct(large).alias("image_urls"),
+            F.length(html).alias("html_length"),
+        ],
     )
     if not keep_incomplete:
         read = read.where("title IS NOT NULL AND price > 0")
     return read.select(
         text.page_listing_id(F.col("url")).alias("listing_id"),
-        "*",
+        "page_id",
+        "url",
+        "title",
+        "price",
+        F.coalesce(text.standard_condition(F.col("condition")), F.lit("Unknown")).alias("condition"),
+        "seller_name",
+        "image_urls",
+        "html_length",
         F.lit("USD").alias("currency"),
         text.page_category(F.col("title")).alias("category"),
         text.page_material(F.col("title")).alias("material"),
@@ -187,24 +197,32 @@ def result_cards(pages: DataFrame, site: str) -> DataFrame:
         F.col("url").alias("source_page"),
         F.posexplode(F.slice(chunks, 2, 1_000_000)).alias("position", "card"),
     )
-    card = F.col("card")
+    card, keep = F.col("card"), ["page_id", "source_page", "position"]
     href = text.found(card, r"<a\b[^>]*?\bhref\s*=\s*[\"']([^\"']*)[\"']", 1)
     image = text.found(card, r"<img\b[^>]*?\bsrc\s*=\s*[\"']([^\"']*)[\"']", 1)
-    title = first_text(card, CARD_TITLE)
-    return cards.select(
-        "page_id",
-        "source_page",
-        "position",
-        title.alias("title"),
-        first_price(card, CARD_PRICE).alias("price"),
-        F.when(F.startswith(href, F.lit("http")), href)
-        .otherwise(F.concat(F.lit(site), href))
-        .alias("url"),
-        F.coalesce(first_text(card, CARD_CONDITION), F.lit("Unknown")).alias("condition"),
-        image.alias("image_url"),
-        text.category(title).alias("category"),
-        text.page_material(title).alias("material"),
+    read = computed_once(
+        cards,
+        keep,
+        [
+            first_text(card, CARD_TITLE).alias("title"),
+            first_price(card, CARD_PRICE).alias("price"),
+            href.alias("href"),
+            F.coalesce(first_text(card, CARD_CONDITION), F.lit("Unknown")).alias("condition"),
+            image.alias("image_url"),
+        ],
     ).where("title IS NOT NULL")
+    return read.select(
+        *keep,
+        "title",
+        "price",
+        F.when(F.startswith("href", F.lit("http")), F.col("href"))
+        .otherwise(F.concat(F.lit(site), "href"))
+        .alias("url"),
+        "condition",
+        "image_url",
+        text.category(F.col("title")).alias("category"),
+        text.page_material(F.col("title")).alias("material"),
+    )
 
 
 def specification_rows(pages: DataFrame, confidence: float = 0.9) -> DataFrame:

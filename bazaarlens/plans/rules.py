@@ -477,12 +477,13 @@ def integrity_summary(tables: dict[str, DataFrame]) -> DataFrame:
     repeated = (
         listings.where("url IS NOT NULL").groupBy("url").agg(F.count("*").alias("_n")).where("_n > 1")
     )
-    bad = reduce(lambda a, b: a | b, [_empty(c) for c in ("title", "seller_name", "url")])
+    needed = ("title", "price", "seller_name", "category", "material")
+    bad = reduce(lambda a, b: a | b, [_empty(c) for c in needed]) | (F.col("price") <= 0)
     parts = {
         "orphan_images": orphan_images(tables),
         "orphan_specifications": orphan_specifications(tables),
         "duplicate_urls": repeated,
-        "missing_required": listings.where(bad | F.col("price").isNull()),
+        "missing_required": listings.where(bad),
     }
     counts = [
         df.agg(F.count("*").alias("found")).select(F.lit(name).alias("check"), "found")

@@ -66,8 +66,8 @@ def compare(spark, con, sf_dir: str, name: str, check) -> tuple[bool, str]:
     mine, theirs = normal(df.columns, rows), normal(columns, expected)
     if mine == theirs:
         return True, note + " equal"
-    only_mine = [r for r in mine if r not in set(theirs)][:2]
-    only_theirs = [r for r in theirs if r not in set(mine)][:2]
+    only_mine = sorted(set(mine) - set(theirs))[:2]
+    only_theirs = sorted(set(theirs) - set(mine))[:2]
     return False, f"{note} DIFFERS {len(mine)}/{len(theirs)}\n   {only_mine}\n   {only_theirs}"
 
 

@@ -1 +1,236 @@
-"""Pending."""
+"""Request and error log checks, batch and streaming."""
+
+from pyspark.sql import functions as F
+
+from bazaarlens.functions import errors as err
+from bazaarlens.operators import folds
+from bazaarlens.plans import logs as G
+from bazaarlens.session import work_dir
+from bazaarlens.sources.derived import datetime, request_columns
+from bazaarlens.streaming import streams
+from checks.catalog import check
+
+FAILED = "SELECT * FROM errors"
+RANK = "CASE severity WHEN 'low' THEN 1 WHEN 'medium' THEN 2 WHEN 'high' THEN 3 ELSE 4 END"
+NAME = f"['low', 'medium', 'high', 'critical'][max({RANK})]"
+CLOCK = datetime(2024, 1, 27, 11, 0)
+CLOCK_SQL = "TIMESTAMP '2024-01-27 11:00:00'"
+
+check("error_classes",
+      lambda t: t.errors.select("request_id", "category", "severity", "error_id"),
+      """SELECT request_id, category, severity, left(md5(error_type || ':' || error_message), 12)
+    AS error_id FROM errors""", "errors")
+check(
+    "request_error_classes",
+    lambda t: t.errors.select("request_id", "request_category", "request_severity"),
+    """SELECT request_id, split_part(c, '/', 1) AS request_category,
+  split_part(c, '/', 2) AS request_severity FROM (SELECT request_id,
+    CASE WHEN error_message = 'connection reset by peer' OR error_type = 'TimeoutError'
+           THEN 'network/medium'
+         WHEN status_code = 429 THEN 'rate_limiting/high'
+         WHEN status_code IN (403, 406) THEN 'detection/critical'
+         WHEN status_code = 404 THEN 'validation/low' WHEN status_code = 500 THEN 'system/medium'
+         WHEN error_message = 'captcha page shown' THEN 'browser/medium'
+         WHEN error_message = 'malformed json body' OR error_type = 'ValueError'
+           THEN 'parsing/medium'
+         WHEN error_message = 'memory limit reached' OR error_type = 'OSError' THEN 'system/high'
+         ELSE 'unknown/medium' END AS c FROM errors)""",
+    "errors",
+)
+PATTERN = f"""count(*) AS count, round(count(*) / 60.0::DOUBLE, 4) AS frequency, {NAME} AS severity,
+  min(timestamp) AS first_occurrence, max(timestamp) AS last_occurrence"""
+check("recurring_errors_now",
+      lambda t: G.recurring_errors(t.errors, CLOCK, minutes=1440, threshold=5)
+      .drop("frequency"),
+      f"""SELECT error_type, category, count(*) AS count, {NAME} AS severity,
+  min(timestamp) AS first_occurrence, max(timestamp) AS last_occurrence FROM errors
+  WHERE timestamp > {CLOCK_SQL} - INTERVAL 1 DAY AND timestamp <= {CLOCK_SQL}
+  GROUP BY error_type, category HAVING count(*) >= 5""", "errors")
+WINDOWS = f"""SELECT date_trunc('hour', timestamp)::TIMESTAMP AS window_start, error_type, category,
+  {PATTERN} FROM errors GROUP BY ALL HAVING count(*) >= 2"""
+check("recurring_errors_by_hour", lambda t: G.error_windows(t.errors, threshold=2), WINDOWS, "errors")
+check("recurring_errors_sliding",
+      lambda t: G.error_windows(t.errors, 60, 30, threshold=3),
+      f"""SELECT w AS window_start, error_type, category, {PATTERN}
+  FROM (SELECT *, time_bucket(INTERVAL 30 MINUTE, timestamp) - INTERVAL 30 MINUTE * k AS w
+        FROM errors, (VALUES (0), (1)) v(k)) GROUP BY w, error_type, category
+  HAVING count(*) >= 3""", "errors")
+check("affected_targets",
+      lambda t: G.affected(t.errors, threshold=2),
+      """WITH e AS (SELECT *, date_trunc('hour', timestamp)::TIMESTAMP AS window_start FROM errors),
+busy AS (SELECT window_start, error_type, category FROM e GROUP BY ALL HAVING count(*) >= 2)
+SELECT window_start, error_type, category, 'url' AS kind, url AS target, count(*) AS errors
+FROM e JOIN busy USING (window_start, error_type, category) GROUP BY ALL UNION ALL
+SELECT window_start, error_type, category, 'operation', operation, count(*)
+FROM e JOIN busy USING (window_start, error_type, category) GROUP BY ALL""", "errors")
+check("frequent_error_alerts",
+      lambda t: G.frequent_errors(G.error_windows(t.errors, threshold=1), per_minute=0.03),
+      """SELECT date_trunc('hour', timestamp)::TIMESTAMP AS window_start, 'high' AS priority,
+  'High frequency ' || category || ' errors' AS issue,
+  'Investigate ' || error_type || ' in ' || category || ' operations' AS recommendation,
+  round(count(*) / 60.0::DOUBLE, 4) AS frequency FROM errors
+  GROUP BY window_start, category, error_type HAVING count(*) / 60.0 > 0.03""", "errors")
+for size, unit in [("1 minute", "minute"), ("1 hour", "hour")]:
+    check(f"requests_per_{unit}",
+          lambda t, size=size: G.request_windows(t.requests, size, limit=3),
+          f"""SELECT date_trunc('{unit}', timestamp)::TIMESTAMP AS window_start, count(*) AS requests,
+  count(*) >= 3 AS limit_reached FROM requests GROUP BY 1""", "requests")
+check("error_rate_sliding",
+      lambda t: G.error_rate_windows(t.requests),
+      """SELECT w AS window_start, count(*) AS requests, round(avg((NOT success)::INT), 4) AS error_rate
+  FROM (SELECT *, time_bucket(INTERVAL 1 MINUTE, timestamp) - INTERVAL 1 MINUTE * k AS w
+        FROM requests, (SELECT unnest(range(0, 10)) AS k)) GROUP BY w""", "requests")
+
+
+def trailing(seconds: int, what: str = "count(*)", by: str = "") -> str:
+    return f"""{what} OVER ({by} ORDER BY timestamp
+    RANGE BETWEEN INTERVAL {seconds * 1000000 - 1} MICROSECOND PRECEDING AND CURRENT ROW)"""
+
+
+check("trailing_request_counts",
+      lambda t: G.trailing_rates(t.requests),
+      f"""SELECT DISTINCT timestamp, {trailing(60)} AS last_minute, {trailing(3600)} AS last_hour
+  FROM requests""", "requests")
+check("trailing_counts_by_session",
+      lambda t: G.trailing_rates(t.requests, ["session_id"]),
+      f"""SELECT DISTINCT session_id, timestamp,
+  {trailing(60, by='PARTITION BY session_id')} AS last_minute,
+  {trailing(3600, by='PARTITION BY session_id')} AS last_hour FROM requests""", "requests")
+check("trailing_error_rate",
+      lambda t: G.trailing_error_rate(t.requests),
+      f"""SELECT DISTINCT timestamp, {trailing(600)} AS requests,
+  ({trailing(600, 'count(*) FILTER (NOT success)')}) AS errors,
+  round({trailing(600, 'avg((NOT success)::INT)')}, 4) AS error_rate FROM requests""", "requests")
+check("last_hour_errors",
+      lambda t: G.last_hour_errors(t.errors.where(F.col("timestamp") <= F.lit(CLOCK)), CLOCK),
+      f"""WITH e AS (SELECT * FROM errors WHERE timestamp > {CLOCK_SQL} - INTERVAL 1 HOUR
+  AND timestamp <= {CLOCK_SQL})
+SELECT 'category' AS kind, category AS name, count(*) AS errors FROM e GROUP BY ALL UNION ALL
+SELECT 'severity', severity, count(*) FROM e GROUP BY ALL""", "errors")
+HOURLY = """SELECT date_trunc('hour', timestamp)::TIMESTAMP AS window_start, category, severity,
+  count(*) AS errors FROM errors GROUP BY ALL"""
+check("hourly_errors", lambda t: G.hourly_errors(t.errors), HOURLY, "errors")
+check("error_impact",
+      lambda t: G.error_impact(t.errors),
+      """SELECT category, count(*) AS count, round(avg(response_time), 4) AS avg_handling_time,
+  round(sum(response_time), 4) AS total_impact_time,
+  round(count(*) / (SELECT count(*) FROM errors)::DOUBLE, 4) AS error_share
+  FROM errors GROUP BY category""", "errors")
+check("recovery_rates",
+      lambda t: G.recovery_rates(t.errors.select(F.concat(F.lit("retry_"), "severity").alias("strategy"))),
+      """SELECT strategy, count(*) AS count, round(count(*) / (SELECT count(*) FROM errors)::DOUBLE, 4)
+    AS success_rate,
+  CASE WHEN count(*) * 2 < (SELECT count(*) FROM errors) THEN
+    'Review and improve ' || strategy || ' recovery strategy' END AS recommendation
+  FROM (SELECT 'retry_' || severity AS strategy FROM errors) GROUP BY strategy""", "errors")
+SESSIONS = """count(*) AS requests, count(*) FILTER (success) AS succeeded"""
+check("session_summary",
+      lambda t: G.session_summary(t.requests),
+      f"""SELECT session_id, {SESSIONS}, round(avg(success::INT), 4) AS success_rate,
+  round(avg(response_time), 4) AS avg_response_time, min(timestamp) AS started_at,
+  max(timestamp) AS ended_at, round(date_diff('microsecond', min(timestamp), max(timestamp)) / 1e6, 4)
+    AS runtime_seconds,
+  round(count(*) FILTER (success) * 60.0::DOUBLE
+    / nullif(date_diff('microsecond', min(timestamp), max(timestamp)) / 1e6, 0), 4) AS per_minute
+  FROM requests GROUP BY session_id""", "requests")
+check("throughput",
+      lambda t: G.throughput(t.requests),
+      f"""SELECT {SESSIONS},
+  round(date_diff('microsecond', min(timestamp), max(timestamp)) / 1e6, 4) AS runtime_seconds,
+  round(count(*) FILTER (success) * 60.0::DOUBLE
+    / (date_diff('microsecond', min(timestamp), max(timestamp)) / 1e6), 4) AS per_minute
+  FROM requests""", "requests")
+GAPS = f"""SELECT session_id, min(timestamp) AS started_at, max(timestamp) AS ended_at, {SESSIONS}
+  FROM (SELECT *, sum(fresh) OVER (PARTITION BY session_id ORDER BY timestamp, request_id) AS s
+    FROM (SELECT *, coalesce(timestamp - lag(timestamp) OVER (PARTITION BY session_id
+            ORDER BY timestamp, request_id) >= INTERVAL 12 HOUR, true)::INT AS fresh FROM requests))
+  GROUP BY session_id, s"""
+check("gap_sessions", lambda t: G.gap_sessions(t.requests, "session_id", 720), GAPS, "requests")
+RISK_ORDER = "list(risk ORDER BY timestamp, request_id)"
+WEIGHTED = f"""SELECT session_id, count(*) AS steps,
+  round(list_reduce(list_prepend(0.0::DOUBLE, {RISK_ORDER}), lambda s, x: s * 0.8 + x * 0.2), 4)
+    AS risk FROM risky GROUP BY session_id"""
+DECAY = """SELECT session_id, count(*) AS steps,
+  round(list_reduce(list_prepend(0.0::DOUBLE, list(CASE WHEN success THEN -1.0::DOUBLE ELSE risk END
+      ORDER BY timestamp, request_id)),
+    lambda s, x: CASE WHEN x < 0 THEN s * 0.95 ELSE least(1.0::DOUBLE, s + x) END), 4) AS risk
+  FROM risky GROUP BY session_id"""
+check("weighted_risk", lambda t: folds.weighted_risk(t.risky, F.col("risk")), WEIGHTED, "risky")
+check("weighted_risk_overall",
+      lambda t: folds.weighted_risk(t.risky.withColumn("session_id", F.lit("all")), F.col("risk")),
+      WEIGHTED.replace("SELECT session_id", "SELECT 'all' AS session_id")
+      .replace("GROUP BY session_id", ""), "risky")
+check("decaying_risk",
+      lambda t: folds.decaying_risk(t.risky, F.col("success"), F.col("risk")), DECAY, "risky")
+
+
+def _fetched(t):
+    """Pages with a status and response time taken from their id."""
+    status = F.element_at(F.array(*map(F.lit, [200, 403, 429, 503, 200])),
+                          (F.col("page_id") % 5 + 1).cast("int"))
+    return t.pages.withColumns(
+        {"status_code": status, "response_time": (F.col("page_id") % 13).cast("double"),
+         "timestamp": F.timestamp_seconds(F.col("page_id") * 60)})
+
+
+LEVEL = """SELECT page_id, CASE WHEN s = 403 OR contains(l, 'captcha') OR contains(l, 'challenge')
+    OR contains(l, 'verify') OR contains(l, 'robot') OR contains(l, 'security check')
+    OR contains(l, 'unusual activity') OR contains(l, 'automated requests')
+    OR contains(l, 'bot detected') OR contains(l, 'suspicious activity')
+    OR contains(l, 'access denied') OR contains(l, 'forbidden') OR contains(l, 'blocked') THEN 'high'
+  WHEN s IN (429, 503) OR contains(l, 'rate limit') OR contains(l, 'too many requests')
+    OR contains(l, 'slow down') OR contains(l, '429') OR contains(l, 'throttled') THEN 'medium'
+  WHEN page_id % 13 > 10 OR length(l) < 1000 THEN 'low' ELSE 'none' END AS level
+  FROM (SELECT page_id, lower(html) AS l, [200, 403, 429, 503, 200][page_id % 5 + 1] AS s FROM pages)"""
+check("page_health", lambda t: G.page_health(_fetched(t)).select("page_id", "level"), LEVEL)
+check("recent_page_levels",
+      lambda t: G.recent_levels(G.page_health(_fetched(t))),
+      f"""SELECT level, count(*) AS pages FROM (SELECT * FROM ({LEVEL}) ORDER BY page_id DESC LIMIT 50)
+  GROUP BY level""")
+check("page_risk",
+      lambda t: _fetched(t).select(
+          "page_id", err.page_risk(F.col("response_time"), F.col("html"), F.col("status_code"))
+          .alias("risk")),
+      """SELECT page_id, CASE WHEN page_id % 13 < 0.5 THEN 0.2 ELSE 0 END
+  + CASE WHEN regexp_matches(lower(html), 'blocked|captcha|robot|automation|suspicious') THEN 0.4
+    ELSE 0 END + CASE s WHEN 429 THEN 0.6 WHEN 403 THEN 0.3 WHEN 503 THEN 0.3 ELSE 0 END AS risk
+  FROM (SELECT *, [200, 403, 429, 503, 200][page_id % 5 + 1] AS s FROM pages)""")
+
+
+# Streams read the event file as a file stream and must agree with the batch result.
+
+def _stream(t):
+    schema = t.spark.read.parquet(f"{t.dir}/events.parquet").schema
+    events = streams.read_stream(t.spark, t.dir, schema, files="events.parquet")
+    return events.select(*request_columns())
+
+
+def _run(t, stream, name, keys):
+    return streams.run_updates(t.spark, stream, work_dir(t.spark, name), keys)
+
+
+check("stream_requests_per_minute",
+      lambda t: _run(t, streams.request_counts(_stream(t)), "minute", ["window_start"]),
+      """SELECT date_trunc('minute', timestamp)::TIMESTAMP AS window_start, count(*) AS requests
+  FROM requests GROUP BY 1""", "requests")
+check("stream_hourly_errors",
+      lambda t: _run(t, streams.hourly_errors(_stream(t)), "hourly",
+                     ["window_start", "category", "severity"]),
+      HOURLY, "errors")
+check("stream_recurring_errors",
+      lambda t: _run(t, streams.recurring_errors(_stream(t), 60, 60, 2), "patterns",
+                     ["window_start", "error_type", "category"]),
+      WINDOWS, "errors")
+check("stream_error_rates",
+      lambda t: _run(t, streams.error_rates(_stream(t)), "rates", ["window_start"]),
+      """SELECT w AS window_start, count(*) AS requests, round(avg((NOT success)::INT), 4) AS error_rate
+  FROM (SELECT *, time_bucket(INTERVAL 1 MINUTE, timestamp) - INTERVAL 1 MINUTE * k AS w
+        FROM requests, (SELECT unnest(range(0, 10)) AS k)) GROUP BY w""", "requests")
+check("stream_weighted_risk",
+      lambda t: _run(t, streams.weighted_risk(streams.with_request_risk(_stream(t))), "weighted",
+                     ["session_id"]).select("session_id", "steps", "risk"),
+      WEIGHTED, "risky")
+check("stream_decaying_risk",
+      lambda t: _run(t, streams.decaying_risk(streams.with_request_risk(_stream(t))), "decaying",
+                     ["session_id"]).select("session_id", "steps", "risk"),
+      DECAY, "risky")

@@ -178,7 +178,8 @@ check("integrity_summary",
   SELECT 'duplicate_urls', count(*) FROM (SELECT url FROM dirty WHERE url IS NOT NULL GROUP BY url
     HAVING count(*) > 1)
   UNION ALL SELECT 'missing_required', count(*) FROM dirty WHERE coalesce(title, '') = ''
-    OR coalesce(seller_name, '') = '' OR coalesce(url, '') = '' OR price IS NULL""",
+    OR coalesce(seller_name, '') = '' OR coalesce(category, '') = ''
+    OR coalesce(material, '') = '' OR coalesce(price, 0) <= 0""",
       "dirty", "images", "specifications")
 check("missing_essentials_first10",
       lambda t: U.first_per_field(

@@ -98,11 +98,12 @@ check(
 
 # Listing texts built from several columns, so that the patterns have something to find.
 _DETAIL = ("concat(title, ' size ', watchers, ' ', image_count, '.5 ct ', views, ' cm ', "
-           "watchers, ' grams ', main_stone, ' round cut VS', bids, ' gold')")
+           "watchers, ' grams ', coalesce(main_stone, ''), "
+           "' round cut VS', coalesce(bids, 0), ' gold')")
 check(
     "sizes_by_category",
-    lambda t: t.listings.select(
-        "listing_id", T.size_for(F.expr(_DETAIL), F.col("category")).alias("found")),
+    lambda t: t.listings.select("listing_id", "category", F.expr(_DETAIL).alias("detail")).select(
+        "listing_id", T.size_for(F.col("detail"), F.col("category")).alias("found")),
     f"""SELECT listing_id, CASE WHEN category = 'rings' THEN {dq(T.RING_SIZES, 1, 'd')}
     WHEN category IN ('necklaces', 'bracelets', 'chains') THEN {dq(T.LENGTH_SIZES, 1, 'd')} END
     AS found FROM (SELECT *, {_DETAIL} AS d FROM listings)""",
@@ -249,23 +250,23 @@ _REST = " + ".join(
               "data_completeness_score > 0", "is_validated", "scraped_at IS NOT NULL"])
 check(
     "quality_score_current",
-    lambda t: t.listings.select("listing_id", S.quality_score(t.listings).alias("score")),
+    lambda t: t.listings.select("listing_id", S.quality_score(t.listings, decimals=10).alias("score")),
     f"""SELECT listing_id, round(({_CORE})::DOUBLE / 9 * 0.30
   + ({_MORE} + coalesce((seller_rating > 0)::INT, 0))::DOUBLE / 8 * 0.25
   + ({_TALK})::DOUBLE / 4 * 0.10
   + (CASE WHEN image_count > 0 THEN least(image_count / 15, 0.4) ELSE 0 END
      + CASE WHEN length(description) > 50 THEN least(length(description) / 2000, 0.3) ELSE 0 END
-     + least(({_CORE} + {_MORE} + {_TALK} + {_REST})::DOUBLE / 50, 0.3)) * 0.15, 3) AS score
+     + least(({_CORE} + {_MORE} + {_TALK} + {_REST})::DOUBLE / 50, 0.3)) * 0.15, 10) AS score
   FROM listings""",
-    "listings",
+    "listings", digits=10,
 )
 check(
     "quality_score_first",
-    lambda t: t.listings.select("listing_id", S.quality_score(t.listings, S.SCORE_V1).alias("score")),
+    lambda t: t.listings.select("listing_id", S.quality_score(t.listings, S.SCORE_V1, 10).alias("score")),
     f"""SELECT listing_id, round(({_CORE})::DOUBLE / 9 * 0.40 + ({_MORE})::DOUBLE / 7 * 0.35
-  + CASE WHEN image_count > 0 THEN least(image_count / 10, 0.3) ELSE 0 END * 0.1, 3) AS score
+  + CASE WHEN image_count > 0 THEN least(image_count / 10, 0.3) ELSE 0 END * 0.1, 10) AS score
   FROM listings""",
-    "listings",
+    "listings", digits=10,
 )
 check(
     "gate_errors",
@@ -312,17 +313,18 @@ check(
         img.overall_score().alias("overall"), img.simple_score().alias("simple"),
         img.mean_of_positive(F.col("quality_score"), img.contrast_score()).alias("mean_positive"),
     ),
-    """SELECT image_id, round(r, 4) AS resolution, round(c, 4) AS contrast, round(b, 4) AS brightness,
-  k AS composition, round(r * 0.25 + 0.125 + c * 0.15 + b * 0.15 + 0.05 + k * 0.1, 4) AS overall,
+    """SELECT image_id, round(r, 10) AS resolution, round(c, 10) AS contrast,
+  round(b, 10) AS brightness, k AS composition,
+  round(r * 0.25 + 0.125 + c * 0.15 + b * 0.15 + 0.05 + k * 0.1, 10) AS overall,
   round(greatest(0, least(1, r * 0.6 + greatest(0, least(1, 1 - abs(width / height - 1) * 0.3)) * 0.4
-    - CASE WHEN width < 200 OR height < 200 THEN 0.3 ELSE 0 END)), 4) AS simple,
+    - CASE WHEN width < 200 OR height < 200 THEN 0.3 ELSE 0 END)), 10) AS simple,
   round(coalesce(((quality_score > 0)::INT * quality_score + (c > 0)::INT * c)
-    / nullif((quality_score > 0)::INT + (c > 0)::INT, 0), 0), 4) AS mean_positive
+    / nullif((quality_score > 0)::INT + (c > 0)::INT, 0), 0), 10) AS mean_positive
   FROM (SELECT *, least(1.0::DOUBLE, width * height / 1000000) AS r,
     least(1.0::DOUBLE, gray_stddev / 64) AS c, 1.0::DOUBLE - abs(gray_mean / 255 - 0.5) * 2 AS b,
     (CASE WHEN width / height BETWEEN 0.8 AND 1.2 THEN 1.0
           WHEN width / height BETWEEN 0.6 AND 1.6 THEN 0.8 ELSE 0.6 END)::DOUBLE AS k FROM images)""",
-    "images",
+    "images", digits=10,
 )
 check(
     "image_row_errors",
