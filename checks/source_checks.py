@@ -1 +1,269 @@
-"""Pending."""
+"""Source, sink, retention, copy and cache checks; files go to the shared work folder."""
+
+from datetime import timedelta
+
+from pyspark.sql import functions as F
+
+from bazaarlens.operators.filters import ListingFilter, apply_filter
+from bazaarlens.plans import reports as R
+from bazaarlens.plans.cache import ReportCache
+from bazaarlens.plans.ingest import ingest, merge, split_gate
+from bazaarlens.session import work_dir
+from bazaarlens.sources import export as X
+from bazaarlens.sources import schemas
+from bazaarlens.sources import store as S
+from bazaarlens.sources.derived import AS_OF as NOW
+from bazaarlens.sources.derived import datetime, request_columns
+from bazaarlens.streaming import streams
+from checks.catalog import check
+from checks.tables import AS_OF
+
+COLUMNS = ["listing_id", "title", "price", "bids", "is_validated", "scraped_at"]
+SAME = "SELECT listing_id, title, price, bids, is_validated, scraped_at FROM base"
+
+
+def _round_trip(t, fmt, **options):
+    """Export validated listings, then read them back with the declared types."""
+    path = work_dir(t.spark, f"export-{fmt}")
+    chosen = X.ExportOptions(format=fmt, include=COLUMNS, **options)
+    result = X.export_listings(t.listings, ListingFilter(is_validated=True), path, chosen)
+    assert result["success"], result
+    schema = t.listings.select(*COLUMNS).schema
+    reader = t.spark.read.schema(schema)
+    if fmt == "csv":
+        return reader.options(sep=options.get("delimiter", ","), header=True, escape='"').csv(path)
+    if fmt == "xml":
+        return reader.option("rowTag", "listing").xml(path)
+    return reader.format("json" if fmt == "jsonl" else fmt).load(path)
+
+
+for fmt, options in [("csv", {"delimiter": ";", "quote_all": True}), ("json", {}), ("jsonl", {}),
+                     ("xml", {}), ("parquet", {"compression": "zstd"})]:
+    check(f"export_{fmt}", lambda t, fmt=fmt, o=options: _round_trip(t, fmt, **o), SAME, "base")
+check("export_csv_gzip", lambda t: _round_trip(t, "csv", compression="gzip"), SAME, "base")
+check("export_high_quality", lambda t: X.high_quality_rows(t.listings).select("listing_id", "price"),
+      "SELECT listing_id, price FROM base WHERE data_completeness_score >= 0.8 AND image_count > 0",
+      "base")
+check("export_category_summary", lambda t: X.category_rows(t.listings, "rings"),
+      """SELECT listing_id, title, price, currency, condition, seller_name, brand, main_stone,
+  image_count, watchers, views, round(data_completeness_score, 4) AS data_completeness_score,
+  scraped_at, url FROM base WHERE category = 'rings'""", "base")
+_TAGGED = """CASE watchers % 5 WHEN 0 THEN concat('["', category, '","', material, '"]')
+  WHEN 1 THEN '[]' WHEN 2 THEN 'not json' WHEN 3 THEN '{"a":1}' END"""
+check(
+    "export_flatten_rename",
+    lambda t: X.prepared(
+        t.listings.withColumns({"tags": F.expr(_TAGGED), "metadata": F.lit("m"),
+                                "raw_data": F.lit("r")}),
+        X.ExportOptions(
+            exclude=None, rename={"tags": "labels", "price": "amount"},
+            transform=lambda df: df.withColumn("amount", F.col("amount") * 2),
+        ),
+    ).select("listing_id", "labels", "amount"),
+    """SELECT listing_id, CASE watchers % 5 WHEN 0 THEN category || ', ' || material WHEN 1 THEN ''
+    WHEN 2 THEN 'not json' WHEN 3 THEN '{"a":1}' END AS labels, price * 2 AS amount FROM listings""",
+    "listings",
+)
+check("export_fields",
+      lambda t: t.spark.createDataFrame(
+          [(c,) for c in X.choose_fields(
+              t.listings.withColumns({"metadata": F.lit(1), "raw_data": F.lit(1)}),
+              X.ExportOptions()).columns], "column string"),
+      """SELECT unnest(['listing_id', 'url', 'title', 'description', 'price', 'original_price',
+  'currency', 'condition', 'seller_name', 'seller_rating', 'category', 'material', 'brand',
+  'main_stone', 'watchers', 'views', 'bids', 'image_count', 'data_completeness_score',
+  'is_validated', 'scraped_at']) AS "column" """)
+
+
+def _history(t):
+    log = work_dir(t.spark, "history")
+    for day, limit in enumerate([5, 50, 500]):
+        rows = t.base.orderBy("listing_id").limit(limit)
+        result = X.export(rows, work_dir(t.spark, "export"), X.ExportOptions(format="json"))
+        X.log_export(t.spark, log, result, "json", NOW + timedelta(days=day))
+    return X.export_history(t.spark, log, 2).select("format", "record_count", "status")
+
+
+check("export_history", _history,
+      """SELECT 'json' AS format, least(n, (SELECT count(*) FROM base)) AS record_count,
+  'completed' AS status FROM (VALUES (50), (500)) v(n)""", "base")
+
+
+def _scan(t):
+    path = work_dir(t.spark, "scan")
+    t.listings.write.parquet(path)
+    return S.scan(t.spark, "listings", path).groupBy("category").agg(
+        F.count("*").alias("listings"), F.count("brand").alias("brands"),
+        F.count("designer").alias("designers"))
+
+
+check("scan_declared_schema", _scan,
+      """SELECT category, count(*) AS listings, count(brand) AS brands, 0 AS designers FROM listings
+  GROUP BY category""", "listings")
+
+
+def _error_log(t):
+    path = work_dir(t.spark, "errors")
+    errors = t.errors.select("error_id", "timestamp", "error_type", "error_message", "severity",
+                             "category", "operation", "url")
+    S.append_errors(errors.where("severity = 'low'"), path)
+    S.append_errors(errors.where("severity <> 'low'"), path)
+    return S.read_errors(t.spark, path).select("error_type", "category", "severity", "timestamp")
+
+
+check("error_log_append_read", _error_log,
+      "SELECT error_type, category, severity, timestamp FROM errors", "errors")
+
+
+def _nested(t):
+    rows = t.listings.select(
+        "listing_id", F.array("category", "material").alias("tags"),
+        F.create_map(F.lit("brand"), "brand").alias("metadata"))
+    text = S.serialise_nested(rows)
+    back = S.parse_nested(text, schemas.LISTINGS)
+    return back.select("listing_id", F.element_at("tags", 2).alias("second"),
+                       F.element_at("metadata", "brand").alias("brand"),
+                       F.size("tags").alias("tags"))
+
+
+check("nested_round_trip", _nested,
+      "SELECT listing_id, material AS second, brand, 2::INT AS tags FROM listings", "listings")
+check("retention_preview",
+      lambda t: S.retention_preview(t.full, derived_images(t), NOW, 200),
+      f"""SELECT count(*) AS listings_to_delete, (SELECT count(*) FROM images
+    WHERE created_at < {AS_OF} - INTERVAL 200 DAY AND listing_id IN (SELECT listing_id FROM listings
+      WHERE NOT is_validated AND scraped_at < {AS_OF} - INTERVAL 200 DAY)) AS images_to_delete
+  FROM listings WHERE NOT is_validated AND scraped_at < {AS_OF} - INTERVAL 200 DAY""",
+      "listings", "images")
+
+
+def derived_images(t):
+    from bazaarlens.sources import derived
+
+    return derived.images(t.spark, t.dir, with_orders=True)
+
+
+check("retained_listings", lambda t: S.retained(t.listings, NOW, 200).select("listing_id"),
+      f"""SELECT listing_id FROM listings WHERE is_validated
+  OR scraped_at >= {AS_OF} - INTERVAL 200 DAY""", "listings")
+check("retained_images",
+      lambda t: S.retained_images(t.images, S.retained(t.listings, NOW, 200)).select("image_id"),
+      f"""SELECT image_id FROM images WHERE listing_id IN (SELECT listing_id FROM listings
+  WHERE is_validated OR scraped_at >= {AS_OF} - INTERVAL 200 DAY)""", "listings", "images")
+
+
+def _table(t):
+    """Load, upsert, then age out one category of a current-version table."""
+    table = S.CurrentTable(t.spark, work_dir(t.spark, "table"))
+    columns = ["listing_id", "url", "category", "price", "scraped_at"]
+    table.upsert(t.listings.where("bids <= 3").select(*columns), NOW)
+    changed = t.listings.where("bids >= 3").select(*columns)
+    table.upsert(changed.withColumn("price", F.col("price") + 1), NOW)
+    table.delete(S.older_than(NOW, 600, "rings"), NOW)
+    return table.read()
+
+
+check("current_table", _table,
+      f"""WITH rows AS (SELECT listing_id, url, category, price, scraped_at, 0 AS fresh FROM listings
+    WHERE bids <= 3 UNION ALL
+  SELECT listing_id, url, category, price + 1, scraped_at, 1 FROM listings WHERE bids >= 3),
+by_id AS (SELECT * FROM rows QUALIFY row_number() OVER (PARTITION BY listing_id
+    ORDER BY scraped_at DESC, fresh DESC) = 1),
+by_url AS (SELECT * FROM by_id QUALIFY row_number() OVER (PARTITION BY url
+    ORDER BY scraped_at DESC, fresh DESC, listing_id DESC) = 1)
+SELECT listing_id, url, category, price, scraped_at FROM by_url
+WHERE NOT (category = 'rings' AND scraped_at < {AS_OF} - INTERVAL 600 DAY)""",
+      "listings", digits=2)
+DAYS = [datetime(1998, 1, 1), datetime(2000, 1, 1), datetime(2001, 1, 1), datetime(2002, 1, 1)]
+
+
+def _copies(t):
+    """Full copy, incremental, differential and again incremental of a growing table."""
+    copies = S.TableCopies(t.spark, work_dir(t.spark, "copies"))
+    steps = zip(["full", "incremental", "differential", "incremental"], DAYS)
+    for strategy, day in steps:
+        rows = t.listings.where(F.col("scraped_at") < F.lit(day)).select("listing_id", "scraped_at")
+        copies.copy("listings", rows, "scraped_at", strategy, day)
+    return S.list_copies(copies.history(), status="completed").select(
+        "strategy", "row_count", "created_at")
+
+
+check("table_copies", _copies,
+      """WITH d AS (SELECT scraped_at AS s FROM listings)
+SELECT 'full' AS strategy, count(*) AS row_count, TIMESTAMP '1998-01-01' AS created_at FROM d
+  WHERE s < '1998-01-01' UNION ALL
+SELECT 'incremental', count(*), TIMESTAMP '2000-01-01' FROM d
+  WHERE s >= '1998-01-01' AND s < '2000-01-01' UNION ALL
+SELECT 'differential', count(*), TIMESTAMP '2001-01-01' FROM d
+  WHERE s >= '1998-01-01' AND s < '2001-01-01' UNION ALL
+SELECT 'incremental', count(*), TIMESTAMP '2002-01-01' FROM d WHERE s >= '2001-01-01'""",
+      "listings")
+
+
+def _copy_stats(t):
+    copies = S.TableCopies(t.spark, work_dir(t.spark, "copies"))
+    copies.copy_all({"listings": t.base.select("listing_id", "scraped_at"),
+                     "sessions": t.sessions.select("session_id", "started_at")},
+                    {"listings": "scraped_at", "sessions": "started_at"}, NOW, "json")
+    return S.copy_stats(copies.history())
+
+
+check("copy_stats", _copy_stats,
+      f"""SELECT 2 AS total_copies, 2 AS completed_copies, 0 AS failed_copies, 0.0 AS total_size_mb,
+  {AS_OF} AS latest_copy, 100.0 AS success_rate""")
+
+
+def _cached(t):
+    """A report read twice from the cache, then after it has expired."""
+    cache = ReportCache(t.spark, work_dir(t.spark, "cache"))
+    request = t.request(time_range="year")
+    for hours in (0, 1, 30):
+        out = cache.get("price_by_material", request, NOW + timedelta(hours=hours),
+                        lambda: R.price_by_material(R.base(t.listings, request)))
+    stats = cache.stats().select("entries", "hits")
+    entries, hits = stats.select("entries").scalar(), stats.select("hits").scalar()
+    return out.select("material", "count", entries.alias("entries"), hits.alias("hits"))
+
+
+check("report_cache", _cached,
+      f"""SELECT material, count(*) AS count, 1 AS entries, 1 AS hits FROM base
+  WHERE scraped_at >= {AS_OF} - INTERVAL 365 DAY GROUP BY material HAVING count(*) >= 5""", "base")
+
+
+def _stream_ingest(t):
+    """Landed pages as a stream: extract, gate, first sighting, upsert."""
+    landing = work_dir(t.spark, "landing")
+    t.listing_pages.repartition(3).write.parquet(landing)
+    schema = t.spark.read.parquet(landing).schema
+    pages = streams.read_stream(t.spark, landing, schema, per_trigger=1)
+    table = S.CurrentTable(t.spark, work_dir(t.spark, "current"))
+    streams.start_upsert(streams.ingest_stream(pages), table, lambda: NOW,
+                         work_dir(t.spark, "checkpoint")).awaitTermination()
+    return table.read().select("listing_id", "url")
+
+
+check("stream_ingest", _stream_ingest,
+      """SELECT DISTINCT replace(url, 'https://shop.example.com/itm/', '') AS listing_id, url
+  FROM listings""", "listings")
+check("batch_ingest_merge",
+      lambda t: merge(
+          split_gate(ingest(t.listing_pages))[0].limit(0).withColumn(
+              "scraped_at", F.lit(NOW).cast("timestamp")),
+          split_gate(ingest(t.listing_pages))[0].withColumn(
+              "scraped_at", F.lit(NOW).cast("timestamp")),
+      ).select("listing_id", "url"),
+      """SELECT DISTINCT replace(url, 'https://shop.example.com/itm/', '') AS listing_id, url
+  FROM listings""", "listings")
+check("stream_unseen",
+      lambda t: streams.run_updates(
+          t.spark,
+          streams.unseen(
+              streams.read_stream(
+                  t.spark, t.dir, t.spark.read.parquet(f"{t.dir}/events.parquet").schema,
+                  files="events.parquet").select(*request_columns()), "url", None).select("url"),
+          work_dir(t.spark, "unseen"), ["url"]),
+      "SELECT DISTINCT url FROM requests", "requests")
+check("filter_then_export_count",
+      lambda t: apply_filter(t.listings, ListingFilter(category="rings")).agg(
+          F.count("*").alias("records")),
+      "SELECT count(*) AS records FROM listings WHERE category = 'rings'", "listings")
