@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from bazaarlens.operators.filters import ListingFilter, apply_filter
-from bazaarlens.sources.store import append_history, read_history
+from bazaarlens.sources.store import MICROS, append_history, read_history, serialise_nested
 
 FORMATS = ("csv", "json", "jsonl", "xml", "parquet", "jdbc")
 HISTORY = (
@@ -93,13 +93,6 @@ def flatten_lists(df: DataFrame, names: list[str] = LIST_FIELDS) -> DataFrame:
     return df.withColumns(flat) if flat else df
 
 
-def text_columns(df: DataFrame) -> DataFrame:
-    """Nested columns as JSON text for formats that only hold flat values."""
-    from bazaarlens.sources.store import serialise_nested
-
-    return serialise_nested(df)
-
-
 def prepared(df: DataFrame, options: ExportOptions) -> DataFrame:
     """Field choice, renaming, row hook and flattening in export order."""
     out = df if options.max_records is None else df.limit(options.max_records)
@@ -121,8 +114,10 @@ def export(df: DataFrame, path: str, options: ExportOptions | None = None) -> di
     rows = prepared(df, options).observe(seen, F.count(F.lit(1)).alias("rows"))
     fmt = "json" if options.format == "jsonl" else options.format
     if fmt in ("csv", "xml", "jdbc"):
-        rows = text_columns(rows)
+        rows = serialise_nested(rows)  # these formats only hold flat values
     writer = rows.write.mode("overwrite").format(fmt)
+    if fmt in ("csv", "json", "xml"):
+        writer = writer.option("timestampFormat", MICROS)
     if options.compression and fmt != "jdbc":
         writer = writer.option("compression", options.compression)
     if fmt == "csv":

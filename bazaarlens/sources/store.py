@@ -17,6 +17,8 @@ COPY_LOG = (
     "copy_id string, strategy string, `table` string, status string, path string, "
     "row_count long, created_at timestamp, watermark timestamp"
 )
+# Text formats keep microseconds; Spark's default pattern would cut them to milliseconds.
+MICROS = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
 VERSIONS = "version long, path string, row_count long, written_at timestamp"
 
 
@@ -26,7 +28,7 @@ def scan(spark: SparkSession, name: str, path: str, format: str = "parquet") ->
 
 
 def append_errors(errors: DataFrame, path: str) -> None:
-    errors.write.mode("append").json(path)
+    errors.write.mode("append").option("timestampFormat", MICROS).json(path)
 
 
 def read_errors(spark: SparkSession, path: str) -> DataFrame:

@@ -113,7 +113,9 @@ def _fold(step: Callable[[float, object], float]):
         last = rows["timestamp"].iloc[-1].to_pydatetime()
         upto = last if upto is None else max(upto, last)
         state.update((steps, risk, upto))
-        state.setTimeoutDuration(24 * 3600 * 1000)
+        # Idle sessions leave the state a day after their last request, in event time.
+        seen = max(int(upto.timestamp() * 1000), state.getCurrentWatermarkMs())
+        state.setTimeoutTimestamp(seen + 24 * 3600 * 1000)
         yield pd.DataFrame(
             {"session_id": [key[0]], "steps": [steps], "risk": [risk], "upto": [upto]}
         )
@@ -136,9 +138,9 @@ def decaying_risk(log: DataFrame) -> DataFrame:
 
 
 def _stateful(log: DataFrame, update) -> DataFrame:
-    rows = log.select("session_id", "request_id", "timestamp", "success", "risk")
+    rows = timed(log).select("session_id", "request_id", "timestamp", "success", "risk")
     return rows.groupBy("session_id").applyInPandasWithState(
-        update, RISK, RISK_STATE, "update", GroupStateTimeout.ProcessingTimeTimeout
+        update, RISK, RISK_STATE, "update", GroupStateTimeout.EventTimeTimeout
     )
 
 
