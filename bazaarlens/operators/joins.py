@@ -85,9 +85,9 @@ def join_children(
     return matched.unionByName(alone, allowMissingColumns=True)
 
 
-def missing_from(rows: DataFrame, parents: DataFrame, key: str) -> DataFrame:
-    """Rows whose key has no parent; parent keys are reduced first."""
-    return rows.join(parents.select(key).distinct(), key, "left_anti")
+def missing_from(rows: DataFrame, parents: DataFrame, *keys: str) -> DataFrame:
+    """Rows whose keys have no parent; parent keys are reduced first."""
+    return rows.join(parents.select(*keys).distinct(), list(keys), "left_anti")
 
 
 def present_in(rows: DataFrame, parents: DataFrame, key: str) -> DataFrame:
@@ -129,7 +129,7 @@ def session_join(
     out = joined
     if how in ("left", "full"):
         out = out.unionByName(
-            missing_from(listings, joined, "listing_id"), allowMissingColumns=True
+            missing_from(listings, joined, "listing_id", time), allowMissingColumns=True
         )
     if how in ("right", "full"):
         out = out.unionByName(
