@@ -99,7 +99,7 @@ def test_listing_words(spark):
     assert values(spark, T.listing_status, ["has ended", "Available", "?"]) == [
         "sold", "active", "unknown"
     ]
-    assert values(spark, T.item_number, ["eBay item number: 42", "#123456789012", "#12"]) == [
+    assert values(spark, T.item_number, ["Marketplace item number: 42", "#123456789012", "#12"]) == [
         "42", "123456789012", None
     ]
 
