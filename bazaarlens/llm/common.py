@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 from bazaarlens.session import work_dir
 
@@ -52,7 +53,7 @@ def map_texts(
     ``work`` gets an Arrow batch and gives the columns of ``schema``. Only the named
     columns reach Python, so other columns of ``docs`` never matter.
     """
-    names = [part.split()[0] for part in schema.split(",")]
+    names = StructType.fromDDL(schema).names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

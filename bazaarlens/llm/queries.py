@@ -5,12 +5,28 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from bazaarlens.llm import bpe, simhash, wumanber
+from bazaarlens.llm import bpe, ppm, secrets, simhash, wumanber
 from bazaarlens.llm.common import table
 
 
+def _fold(parts: int) -> Column:
+    """crc32 of the id as text, modulo ``parts``; a null id is in fold -1."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % parts, F.lit(-1))
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = ppm.train(docs.where(_fold(4) != 2))
+    return ppm.identify(docs, model).withColumn("held_out", _fold(4) == 2)
+
+
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secrets(table(spark, sf_dir, "documents"))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoder = bpe.Bpe(
         public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
@@ -29,6 +45,8 @@ def op10_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_language_id": op2_language_id,
+    "op4_secrets": op4_secrets,
     "op5_bpe": op5_bpe,
     "op8_simhash": op8_simhash,
     "op10_wu_manber": op10_wu_manber,
