@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bazaarlens.llm import bpe, ppm, secrets, simhash, wumanber
+from bazaarlens.llm import bpe, ppm, quality, secrets, simhash, wumanber
 from bazaarlens.llm.common import table
 
 
@@ -38,6 +38,14 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    learn = _fold(3) != 1
+    labels = table(spark, sf_dir, "labels").where(learn)
+    model = quality.train(docs.where(learn), labels)
+    return quality.score(docs, model).withColumn("held_out", _fold(3) == 1)
+
+
 def op10_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wumanber.decontaminate(
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
@@ -49,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_secrets": op4_secrets,
     "op5_bpe": op5_bpe,
     "op8_simhash": op8_simhash,
+    "op9_quality": op9_quality,
     "op10_wu_manber": op10_wu_manber,
 }
 
