@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bazaarlens.llm import bpe, ppm, quality, secrets, simhash, warc, wumanber
+from bazaarlens.llm import bpe, multiset, ppm, quality, secrets, simhash, warc, wumanber
 from bazaarlens.llm.common import table
 
 
@@ -38,6 +38,10 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), encoder)
 
 
+def op6_multiset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multiset.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -61,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_warc": op3_warc,
     "op4_secrets": op4_secrets,
     "op5_bpe": op5_bpe,
+    "op6_multiset": op6_multiset,
     "op8_simhash": op8_simhash,
     "op9_quality": op9_quality,
     "op10_wu_manber": op10_wu_manber,
