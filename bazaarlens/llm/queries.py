@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bazaarlens.llm import bpe, multiset, ppm, quality, secrets, simhash, warc, wumanber
+from bazaarlens.llm import bpe, licences, multiset, ppm, quality, secrets, simhash, warc, wumanber
 from bazaarlens.llm.common import table
 
 
@@ -42,6 +42,11 @@ def op6_multiset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multiset.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op7_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return licences.scan(docs, licences.train(docs))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -66,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_secrets": op4_secrets,
     "op5_bpe": op5_bpe,
     "op6_multiset": op6_multiset,
+    "op7_licences": op7_licences,
     "op8_simhash": op8_simhash,
     "op9_quality": op9_quality,
     "op10_wu_manber": op10_wu_manber,
