@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bazaarlens.llm import bpe, licences, multiset, ppm, quality, secrets, simhash, warc, wumanber
-from bazaarlens.llm.common import table
+from bazaarlens.llm import bpe, licences, multiset, ppm, quality, rollup, secrets, simhash, warc, wumanber
+from bazaarlens.llm.common import staged, table
+from bazaarlens.session import work_dir
 
 
 def _fold(parts: int) -> Column:
@@ -17,6 +18,56 @@ def _fold(parts: int) -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % parts, F.lit(-1))
 
 
+#: What the revision of op1 replaces by a space: runs of symbols from table and markup debris.
+DEBRIS = r"[#*%&$!|]+"
+
+
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four batches over all documents: load, removal of exact copies, revised counts of cleaned
+    texts, and a second tokenizer version; two of them are committed twice."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    clean = F.regexp_replace(text, DEBRIS, " ")
+    counted = staged(
+        table(spark, sf_dir, "documents").select(
+            "doc_id", "source", "lang", F.sha2(text, 256).alias("digest"),
+            *[
+                rollup.word_count(own, version).alias(f"{name}_{version[-1]}")
+                for name, own in (("raw", text), ("clean", clean)) for version in rollup.WORDS
+            ],
+            F.char_length(text).cast("bigint").alias("raw_chars"),
+            F.char_length(clean).cast("bigint").alias("clean_chars"),
+            (text != clean).alias("changed"),
+        ),
+        "token-counts",
+    )
+    first = counted.groupBy("digest").agg(F.min("doc_id").alias("first"))
+    marked = counted.join(first, "digest").withColumn(
+        "copy", ~F.col("doc_id").eqNullSafe(F.col("first"))
+    )
+
+    def rows(name: str, version: str, condition: str = "true") -> DataFrame:
+        return marked.where(condition).select(
+            "source", "lang", F.lit(version).alias("tokenizer"),
+            F.col(f"{name}_{version[-1]}").alias("n_tokens"),
+            F.col(f"{name}_chars").alias("n_chars"),
+        )
+
+    kept, edited = "NOT copy", "NOT copy AND changed"
+    batches = {
+        "load": rollup.signed(rows("raw", "words@1"), 1),
+        "copies": rollup.signed(rows("raw", "words@1", "copy"), -1),
+        "clean": rollup.revised(rows("raw", "words@1", edited), rows("clean", "words@1", edited)),
+        "second-version": rollup.signed(rows("clean", "words@2", kept), 1),
+    }
+    totals = rollup.TokenRollup(spark, work_dir(spark, "rollup"))
+    for name in ("load", "copies", "copies"):
+        totals.commit(name, batches[name])
+    totals.compact()
+    for name in ("copies", "clean", "second-version", "clean"):
+        totals.commit(name, batches[name])
+    return totals.totals()
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = ppm.train(docs.where(_fold(4) != 2))
@@ -66,6 +117,7 @@ def op10_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_counts": op1_token_counts,
     "op2_language_id": op2_language_id,
     "op3_warc": op3_warc,
     "op4_secrets": op4_secrets,
@@ -92,4 +144,19 @@ SELECT page_id, strlen(html) AS payload_bytes, {_BASE32} AS payload_digest,
 FROM d
 """
 
-ORACLES: dict[str, str] = {"op3_warc": _OP3}
+_OP1 = r"""
+WITH d AS (
+  SELECT *, regexp_replace(coalesce(text, ''), '[#*%&$!|]+', ' ', 'g') AS clean,
+    min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first
+  FROM documents),
+k AS (SELECT * FROM d WHERE doc_id = first)
+SELECT source, lang, v AS tokenizer, count(*) AS n_docs,
+  sum(CASE v WHEN 'words@1' THEN len(regexp_extract_all(clean, '[^\x20\x09-\x0D]+'))
+    ELSE len(regexp_extract_all(clean, '[0-9A-Za-z\x{80}-\x{10FFFF}]+|[!-/:-@\[-`{-~]')) END
+  )::BIGINT AS n_tokens,
+  sum(length(clean))::BIGINT AS n_chars
+FROM k, (VALUES ('words@1'), ('words@2')) AS versions(v)
+GROUP BY source, lang, v
+"""
+
+ORACLES: dict[str, str] = {"op1_token_counts": _OP1, "op3_warc": _OP3}
