@@ -53,8 +53,9 @@ def _features(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
     pairs = F.arrays_zip(
         F.col("_w").alias("a"), F.slice("_w", 2, F.greatest(F.size("_w"), F.lit(1))).alias("b")
     )
+    pair = F.when(F.col("_at").isNotNull(), F.xxhash64("_p.a", "_p.b"))
     return split.select(*keys, "_digest", F.posexplode_outer(pairs).alias("_at", "_p")).select(
-        *keys, "_digest", "_at", F.xxhash64("_p.a", "_p.b").alias("_pair")
+        *keys, "_digest", "_at", pair.alias("_pair")
     )
 
 
