@@ -40,7 +40,7 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
         ),
         "token-counts",
     )
-    first = counted.groupBy("digest").agg(F.min("doc_id").alias("first"))
+    first = staged(counted.groupBy("digest").agg(F.min("doc_id").alias("first")), "first-copies")
     marked = counted.join(first, "digest").withColumn(
         "copy", ~F.col("doc_id").eqNullSafe(F.col("first"))
     )

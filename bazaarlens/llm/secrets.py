@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bazaarlens.llm.common import map_texts, slices, staged
+from bazaarlens.llm.common import map_texts, slices, spare, staged
 
 KINDS = ["assign", "access", "hex", "owned"]
 WIDE_OWNERS = 3
@@ -125,7 +125,8 @@ def ownership(found: DataFrame, owner: str, repo: str) -> DataFrame:
 def classified(found: DataFrame, owner: str, repo: str, key: str) -> DataFrame:
     """``key, spans`` (kind, start, end, use) of the rows of ``found`` that have any; candidates
     that are not live are left out."""
-    uses = ownership(found, owner, repo).select("value_hash", "use")
+    # from a table, so that Spark can split the join rows of a value that is everywhere
+    uses = staged(ownership(found, owner, repo).select("value_hash", "use"), "ownership")
     spans = found.select(key, F.inline("spans")).join(uses, "value_hash")
     rank = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
     return (
@@ -195,22 +196,23 @@ def masked_documents(
 
     ``length_col`` (if present) is set to the new length where a text changed.
     """
-    keyed = docs.withColumn("_row", F.xxhash64(*[F.col(c) for c in docs.columns]))
+    row, own_id, own_row, marked = spare(docs, "_row", "_own_id", "_own_row", "_spans")
+    keyed = docs.select("*", F.xxhash64(*[F.col(c) for c in docs.columns]).alias(row))
     narrow = keyed.select(
         F.col(id_col).alias("_id"), F.col(owner_col).alias("_owner"),
-        F.col(repo_col).alias("_repo"), "_row", F.col(text_col).alias("_text"),
+        F.col(repo_col).alias("_repo"), F.col(row).alias("_row"), F.col(text_col).alias("_text"),
     )
     found = scan(narrow, ["_id", "_owner", "_repo", "_row"], "_text").where(F.size("spans") > 0)
     # equal rows have equal spans: one of them is enough
     found = staged(found, "spans").dropDuplicates(["_id", "_row"])
     found = found.withColumn("_key", F.struct("_id", "_row"))
     marks = classified(found, "_owner", "_repo", "_key").select(
-        F.col("_key._id").alias("_id"), F.col("_key._row").alias("_own"),
-        F.filter("spans", lambda s: s["use"] != "copied").alias("_spans"),
-    ).where(F.size("_spans") > 0)
-    same = keyed[id_col].eqNullSafe(F.col("_id")) & (keyed["_row"] == F.col("_own"))
-    joined = keyed.join(marks, same, "left").select(*docs.columns, "_spans")
-    text, spans = docs.columns.index(text_col), len(docs.columns)
+        F.col("_key._id").alias(own_id), F.col("_key._row").alias(own_row),
+        F.filter("spans", lambda s: s["use"] != "copied").alias(marked),
+    ).where(F.size(marked) > 0)
+    same = F.col(id_col).eqNullSafe(F.col(own_id)) & (F.col(row) == F.col(own_row))
+    joined = keyed.join(marks, same, "left").select(*docs.columns, marked)
+    names, text, spans = docs.columns, docs.columns.index(text_col), len(docs.columns)
     length = docs.columns.index(length_col) if length_col in docs.columns else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,6 +231,6 @@ def masked_documents(
                         for i in hit:
                             sizes[i] = len(texts[i])
                         columns[length] = pa.array(sizes, piece.schema.field(length).type)
-                yield pa.RecordBatch.from_arrays(columns[:spans], names=docs.columns)
+                yield pa.RecordBatch.from_arrays(columns[:spans], names=names)
 
     return joined.mapInArrow(run, docs.schema)

@@ -38,6 +38,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bazaarlens.llm.common import staged
 from bazaarlens.session import work_dir
 
 DATA, INDEX = "archive/data.warc", "indexes/index.cdxj"
@@ -205,6 +206,9 @@ def with_revisits(
         .agg(F.min("id").alias("_first"), F.count("*").alias("_n")).where("_n > 1")
         .select("_sha", "_first")
     )
+    # read back from a table, both sides of the join are shuffled for it and Spark can split the
+    # rows of a payload that fills a large part of them
+    shared = staged(shared, "shared-payloads")
     revisit: Column = F.col("_first").isNotNull() & ~F.col("id").eqNullSafe(F.col("_first"))
     return rows.join(shared, "_sha", "left").select(
         "id", "url", "payload", F.when(revisit, F.col("_first")).alias("refers_to"),
