@@ -17,6 +17,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spare(docs: DataFrame, *names: str) -> list[str]:
+    """``names`` made unlike every column of ``docs``, which may use them itself."""
+    taken = {c.lower() for c in docs.columns}
+    mark = ""
+    while any(f"{mark}{n}".lower() in taken for n in names):
+        mark += "_"
+    return [mark + n for n in names]
+
+
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all rows and the ``rows + 1`` offsets into them; null is empty."""
     column = column.cast(pa.large_string())

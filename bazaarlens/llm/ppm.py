@@ -26,10 +26,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bazaarlens.llm.common import map_texts, slices, text_buffer
+from bazaarlens.llm.common import map_texts, slices, spare, text_buffer
 
 ORDER = 4
 SAMPLE_ROWS = 1_000
@@ -231,8 +231,8 @@ def train(
     return Model.build(languages, depths)
 
 
-def _with_letters(docs: DataFrame, text_col: str) -> DataFrame:
-    return docs.withColumn("_letters", F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)))
+def _has_letter(text_col: str) -> Column:
+    return F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
 
 
 def identify(
@@ -247,8 +247,10 @@ def identify(
         return [batch.column(0), pa.array(names, pa.string()), pa.array(share), pa.array(bits)]
 
     kind = dict(docs.dtypes)[id_col]
+    (letter,) = spare(docs, "_letters")
     return map_texts(
-        _with_letters(docs, text_col), [id_col, "_letters", text_col],
+        docs.select(id_col, _has_letter(text_col).alias(letter), text_col),
+        [id_col, letter, text_col],
         f"{id_col} {kind}, lang_pred string, score double, bits_per_byte double", work,
     )
 
@@ -257,15 +259,15 @@ def in_known_language(docs: DataFrame, model: Model, text_col: str = "text") ->
     """Rows of ``docs`` in some learned language: not ``und``, and coded in fewer than the 8 bits
     per byte that no model at all needs."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    flagged = _with_letters(docs, text_col)
-    text, letters = flagged.columns.index(text_col), len(docs.columns)
+    flagged = docs.select("*", _has_letter(text_col).alias(spare(docs, "_letters")[0]))
+    columns, text = docs.columns, docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in slices(batch, text):
-                flags = piece.column(letters).to_numpy(zero_copy_only=False)
+                flags = piece.column(len(columns)).to_numpy(zero_copy_only=False)
                 names, _, bits = shared.value.predict(piece.column(text), flags)
                 keep = (names != UNKNOWN) & (bits < 8)
-                yield piece.filter(pa.array(keep.astype(bool))).select(docs.columns)
+                yield piece.select(columns).filter(pa.array(keep.astype(bool)))
 
     return flagged.mapInArrow(run, docs.schema)

@@ -242,9 +242,10 @@ def train(
     share = min(1_000_000, -(-sample_rows * 1_000_000 // max(total, 1)))
     # ids are distinct here, so a hash cut leaves about ``sample_rows`` of them: small enough to send
     chosen = F.broadcast(marks.where(F.pmod(F.xxhash64("_id"), F.lit(1_000_000)) < share))
-    sample = docs.join(chosen, F.col(id_col) == F.col("_id")).select(
-        F.coalesce(F.col(text_col), F.lit("")).alias("text"), "y"
-    ).persist()
+    texts = docs.select(
+        F.col(id_col).alias("_own"), F.coalesce(F.col(text_col), F.lit("")).alias("text")
+    )
+    sample = texts.join(chosen, F.col("_own") == F.col("_id")).select("text", "y").persist()
     spark = docs.sparkSession
     top = (
         sample.select("text").mapInArrow(_count_words, "word string, n bigint")

@@ -32,14 +32,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bazaarlens.llm.common import map_texts, staged, text_buffer
+from bazaarlens.llm.common import map_texts, spare, staged, text_buffer
 from bazaarlens.llm.components import connected_components
 
 SHINGLE = 3
 THRESHOLD = 3
 BANDS = 6
 CROWDED = 16_384
-SHORT_RUN = 48
+SHORT_RUN = 8
 SEED = 42
 _PIECE = 1 << 20
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -310,21 +310,23 @@ def one_per_group(
 ) -> DataFrame:
     """The rows of ``docs``, one of each near-duplicate component: that with the smallest id
     (of rows with one id, that with the smallest row hash; of equal rows, one)."""
-    row_hash = F.xxhash64(*[F.col(c) for c in docs.columns])
-    keyed = docs.withColumn("_row", row_hash)
-    prints = staged(fingerprints(keyed, [id_col, "_row"], text_col), "fingerprints")
-    rank = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), "_row")
-    groups = prints.groupBy("fp").agg(F.min(rank).alias("_rank"), F.min(id_col).alias("_id"))
-    groups = staged(groups, "groups")
+    own, kept_id, kept_row = spare(docs, "_row", "_kept", "_kept_row")
+    keyed = docs.select("*", F.xxhash64(*[F.col(c) for c in docs.columns]).alias(own))
+    narrow = keyed.select(
+        F.col(id_col).alias("id"), F.col(own).alias("row"), F.col(text_col).alias("text")
+    )
+    prints = staged(fingerprints(narrow, ["id", "row"]), "fingerprints")
+    rank = F.struct(F.col("id").isNull().alias("none"), "id", "row")
+    groups = staged(prints.groupBy("fp").agg(F.min(rank).alias("best")), "groups")
     roots = staged(connected_components(near_links(groups, threshold)), "roots")
     best = (
         groups.join(roots, groups["fp"] == roots["node"], "left")
-        .groupBy(F.coalesce("root", "fp")).agg(F.min("_rank").alias("_rank"))
+        .groupBy(F.coalesce("root", "fp")).agg(F.min("best").alias("best"))
     )
-    kept = best.select(F.col("_rank.id").alias("_kept"), F.col("_rank._row").alias("_kept_row"))
-    same = keyed[id_col].eqNullSafe(F.col("_kept")) & (keyed["_row"] == F.col("_kept_row"))
+    kept = best.select(F.col("best.id").alias(kept_id), F.col("best.row").alias(kept_row))
+    same = F.col(id_col).eqNullSafe(F.col(kept_id)) & (F.col(own) == F.col(kept_row))
     chosen = keyed.join(kept, same, "left_semi")
-    repeated = prints.groupBy(id_col, "_row").agg(F.count("*").alias("n")).where("n > 1")
+    repeated = prints.groupBy("id", "row").agg(F.count("*").alias("n")).where("n > 1")
     if not repeated.isEmpty():
-        chosen = chosen.dropDuplicates([id_col, "_row"])
+        chosen = chosen.dropDuplicates([id_col, own])
     return chosen.select(*docs.columns)
