@@ -1,6 +1,6 @@
 """Licence scans: a trained paragraph classifier in DataFrame functions only.
 
-Paragraphs (lines) become counts of word bigrams and trigrams. A multinomial logistic regression,
+Paragraphs (lines) become sets of word bigrams and trigrams. A multinomial logistic regression,
 trained here on stretches of the notices below and on paragraphs of the corpus that use no licence
 wording, gives the odds of each licence family and of ``unknown``. Only n-grams of the training
 stretches have weights, so scoring is a join with a small weight table; a paragraph without any
@@ -157,7 +157,7 @@ def train(
     # the vocabulary is that of the notices; whatever else the corpus says has no weight
     known = examples.where(F.col("label") < len(families) - 1)
     counter = CountVectorizer(
-        inputCol="grams", outputCol="features", vocabSize=max_grams
+        inputCol="grams", outputCol="features", vocabSize=max_grams, binary=True
     ).fit(known)
     vectors = counter.transform(examples)
     model = LogisticRegression(family="multinomial", regParam=0.001, maxIter=60).fit(
@@ -225,17 +225,17 @@ def paragraphs(
         F.slice("_w", 3, after).alias("c"),
     )
     places = rows.where(F.size("_w") > 1).select(
-        "_id", "_text_hash", "line", n_grams.alias("_total"), F.posexplode(near).alias("_at", "_p")
+        "_id", "_text_hash", "line", n_grams.alias("_total"), F.explode(near).alias("_p")
     )
     two = F.concat("_p.a", F.lit(" "), "_p.b")
     three = F.concat("_p.a", F.lit(" "), "_p.b", F.lit(" "), "_p.c")
     keys = ["_id", "_text_hash", "line", "_total"]
     found = (
-        places.select(*keys, "_at", F.explode(F.array(two, three)).alias("gram"))
+        places.select(*keys, F.explode(F.array(two, three)).alias("gram"))
         .where("gram IS NOT NULL")
         # at most MAX_GRAMS rows of bounded width
         .join(F.broadcast(table.select("gram")), "gram")
-        .distinct()  # repeated rows count once
+        .distinct()  # a gram counts once in a paragraph, and so do repeated rows
     )
     parts = found.join(F.broadcast(table), "gram")
     sums = [F.sum(F.element_at("weights", i + 1)).alias(f"_k{i}") for i in range(len(families))]

@@ -1,0 +1,201 @@
+"""Language identification, quality and licence models: exactness, held-out accuracy, odd rows."""
+
+import math
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from cases import ODD_ROWS, SF, rows
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from bazaarlens.llm import licences, ppm, quality, queries
+
+MEDIUM = "/root/testdata/sf0.01"
+
+
+# ------------------------------------------------------------------- language ID
+
+def trees(texts):
+    """Per context of up to four bytes, how often each byte follows."""
+    out = {}
+    for text in texts:
+        for i in range(len(text)):
+            for k in range(min(ppm.ORDER, i) + 1):
+                out.setdefault(text[i - k : i], Counter())[text[i]] += 1
+    return out
+
+
+def plain_bits(tree, text):
+    bits = 0.0
+    for i in range(len(text)):
+        for k in range(min(ppm.ORDER, i), -1, -1):
+            follow = tree.get(text[i - k : i])
+            if follow is None:
+                continue
+            n, d = sum(follow.values()), len(follow)
+            if text[i] in follow:
+                bits -= math.log2(follow[text[i]] / (n + d))
+                break
+            bits -= math.log2(d / (n + d))
+        else:
+            bits += 8
+    return bits
+
+
+@pytest.fixture(scope="module")
+def tiny_model(spark):
+    texts = {"x": ["abab abc ab", "cab é"], "y": ["bbca bcb", "", "zz"]}
+    data = [(i, t, lang) for lang, own in texts.items() for i, t in enumerate(own)]
+    df = spark.createDataFrame(data, "doc_id bigint, text string, lang string")
+    return ppm.train(df), {k: trees([t.encode() for t in v]) for k, v in texts.items()}
+
+
+@settings(max_examples=80, deadline=None)
+@given(texts=st.lists(st.text(alphabet="abcz é", max_size=30), min_size=1, max_size=5))
+def test_exact_code_lengths(tiny_model, texts):
+    model, plain = tiny_model
+    data, ends = ppm.text_buffer(pa.array(texts))
+    want = [[plain_bits(plain[k], t.encode()) for k in model.languages] for t in texts]
+    assert np.allclose(model.code_lengths(data, ends), want, rtol=1e-5)
+
+
+def test_texts_longer_than_a_piece(tiny_model, monkeypatch):
+    model, plain = tiny_model
+    monkeypatch.setattr(ppm, "_PIECE", 16)
+    texts = ["ab" * 40 + "cz" * 30, "", "b", "abc" * 21]
+    data, ends = ppm.text_buffer(pa.array(texts))
+    want = [[plain_bits(plain[k], t.encode()) for k in model.languages] for t in texts]
+    assert np.allclose(model.code_lengths(data, ends), want, rtol=1e-5)
+
+
+def test_held_out_accuracy(spark):
+    out = queries.op2_language_id(spark, MEDIUM).where("held_out")
+    lang = spark.read.parquet(f"{MEDIUM}/documents.parquet").select("doc_id", "lang")
+    right, n = out.join(lang, "doc_id").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int")), F.count("*")).first()
+    assert n > 200 and right > 0.98
+
+
+def test_odd_documents_and_nothing_to_learn(odd, clashing, none, spark):
+    model = ppm.train(odd)
+    out = {r[0]: r for r in ppm.identify(odd.where("doc_id IS NOT NULL"), model).collect()}
+    assert all(out[i].lang_pred == "und" and out[i].score == 0 for i in (1, 2, 3, 4))
+    assert all(0 < out[i].score <= 1 and out[i].lang_pred != "und" for i in (5, 6, 8, 9))
+    assert rows(ppm.identify(clashing, model)) == rows(ppm.identify(odd, model))
+    kept = ppm.in_known_language(clashing, model)
+    assert kept.columns == clashing.columns
+    assert {r.doc_id for r in kept.collect()}.isdisjoint({1, 2, 3, 4})
+    assert kept.count() == len(ODD_ROWS) - 5
+    assert rows(ppm.identify(none, model)) == []
+    blank = ppm.train(none)
+    assert {r.lang_pred for r in ppm.identify(odd, blank).collect()} == {"und"}
+    assert ppm.in_known_language(odd, blank).count() == 0
+    noise = spark.createDataFrame([(1, "テキスト処理" * 9)], "doc_id bigint, text string")
+    english = ppm.train(spark.createDataFrame([(1, "the an of " * 50, "en")], "doc_id bigint, text string, lang string"))
+    assert ppm.in_known_language(noise, english).count() == 0  # worse than no model at all
+
+
+# ----------------------------------------------------------------------- quality
+
+def test_quality_held_out(spark):
+    out = queries.op9_quality(spark, MEDIUM)
+    labels = spark.read.parquet(f"{MEDIUM}/labels.parquet")
+    held = out.where("held_out").join(labels, "doc_id").toPandas()
+    assert (held.predicted == held.quality).mean() > 0.95
+    assert ((held.score - held.quality) ** 2).mean() < 0.04
+    assert out.where("score < 0 OR score > 1 OR predicted <> CAST(score >= 0.5 AS INT)").count() == 0
+
+
+def test_quality_of_odd_documents(odd, clashing, none, spark):
+    labels = spark.createDataFrame(
+        [(6, 1, 0), (7, 1, 0), (7, 0, 0), (4, 0, 0), (3, 0, None), (8, None, 0), (None, 1, 1)],
+        "doc_id bigint, quality int, toxic int",
+    )
+    model = quality.train(odd, labels)
+    out = quality.score(odd, model)
+    assert out.count() == len(ODD_ROWS) and out.where("score IS NULL").count() == 0
+    assert rows(quality.score(clashing, quality.train(clashing, labels))) == rows(out)
+    assert rows(quality.score(none, model)) == []
+    for learned in (labels.limit(0), labels.where("quality = 1")):
+        fixed = {r.score for r in quality.score(odd, quality.train(odd, learned)).collect()}
+        assert len(fixed) == 1 and 0 < fixed.pop() < 1
+
+
+def test_pieces_and_index_vectors():
+    text = "word " * 200_000
+    assert "".join(quality.pieces(text)) == text and len(list(quality.pieces(text))) > 2
+    assert "".join(quality.pieces("x" * 600_000)) == "x" * 600_000
+    seeds = np.arange(500, dtype=np.uint64)
+    vectors = quality.index_vectors(seeds)
+    assert (quality.index_vectors(seeds[::-1]) == vectors[::-1]).all()
+    assert np.abs(np.corrcoef(vectors) - np.eye(500)).mean() < 0.2
+
+
+def test_temperature_calibrates():
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(3000, 5))
+    y = (rng.random(3000) < 1 / (1 + np.exp(-2 * x[:, 0]))).astype(float)
+    net = quality.Network.fit(x, y)
+    fresh = rng.normal(size=(3000, 5))
+    truth, scores = 1 / (1 + np.exp(-2 * fresh[:, 0])), net.scores(fresh)
+    bins = np.digitize(scores, np.linspace(0, 1, 11)[1:-1])
+    gaps = [abs(scores[bins == b].mean() - truth[bins == b].mean()) * (bins == b).mean()
+            for b in set(bins)]
+    assert net.temperature > 1 and sum(gaps) < 0.05
+
+
+# ---------------------------------------------------------------------- licences
+
+@pytest.fixture(scope="module")
+def licence_model(spark):
+    return licences.train(spark.read.parquet(f"{SF}/documents.parquet"))
+
+
+def test_array_and_row_grams_agree(spark):
+    df = spark.createDataFrame([("one two three",), ("one",), ("",), ("a b",)], "t string")
+    out = df.select(licences.grams(licences.words(F.col("t"))).alias("g")).collect()
+    assert [r.g for r in out] == [["one two", "two three", "one two three"], [], [], ["a b"]]
+
+
+def test_licences_are_found_and_others_left_alone(spark, licence_model):
+    texts = [
+        ("The start.\nReleased under the MIT License.\nThe end.", "mit"),
+        ("Licensed under CC BY-NC 4.0.", "cc-by-nc"),
+        ("x\nLicensed under the Apache License, Version 2.0.", "apache-2.0"),
+        ("This work is licensed under the GNU General Public License, version 3.\n"
+         "Released under the MIT License.", "gpl-3.0,mit"),
+        ("PERMISSION IS HEREBY GRANTED, free of charge, to any person obtaining a copy of this"
+         " software and associated files, to deal in the software without restriction", "mit"),
+        ("The driver had to renew the licence before the year ended.", ""),
+        ("All rights reserved.", ""), ("anes in erth to the hahe", ""), ("", ""), (None, ""),
+    ]
+    docs = spark.createDataFrame(
+        [(i, t) for i, (t, _) in enumerate(texts)] + [(0, texts[0][0])], "doc_id bigint, text string"
+    )
+    out = rows(licences.scan(docs, licence_model).select("doc_id", "families", "n_confirmed"))
+    want = [(i, f, f.count(",") + bool(f)) for i, (_, f) in enumerate(texts)] + [(0, "mit", 1)]
+    assert out == sorted(want, key=repr)
+
+
+def test_every_planted_line_is_found(spark):
+    planted = {
+        "Released under the MIT License.": "mit", "Licensed under CC BY-NC 4.0.": "cc-by-nc",
+        "Licensed under the Apache License, Version 2.0.": "apache-2.0",
+        "This work is licensed under the GNU General Public License, version 3.": "gpl-3.0",
+    }
+    docs = spark.read.parquet(f"{MEDIUM}/documents.parquet").select("doc_id", "text").collect()
+    out = {r.doc_id: r.families for r in queries.op7_licences(spark, MEDIUM).collect()}
+    assert out == {
+        d: ",".join(sorted({f for line, f in planted.items() if line in t})) for d, t in docs
+    }
+
+
+def test_licences_of_odd_documents(odd, clashing, none, licence_model):
+    out = rows(licences.scan(odd, licence_model))
+    assert len(out) == len(ODD_ROWS) and {r[1] for r in out} == {0}
+    assert rows(licences.scan(clashing, licence_model)) == out
+    assert rows(licences.scan(none, licences.train(none))) == []
+    plan = licences.scan(odd, licence_model)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
