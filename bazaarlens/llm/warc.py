@@ -43,6 +43,7 @@ from bazaarlens.session import work_dir
 
 DATA, INDEX = "archive/data.warc", "indexes/index.cdxj"
 REACH = 1 << 22
+STRETCH = 1 << 24
 _DATE = "2024-01-01T00:00:00Z"
 _REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _LONG = 0xFFFFFFFF
@@ -311,13 +312,19 @@ def _locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     )
 
 
-def index_of(spark: SparkSession, path: str) -> DataFrame:
-    """``archive, start, length``: where every record of the archives below ``path`` lies."""
-    files = (
+def archives(spark: SparkSession, path: str) -> DataFrame:
+    """``path, length`` of the archives below ``path``; their contents are not read."""
+    return (
         spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
         .select("path", "length").where("length > 0")
     )
-    return files.mapInArrow(_locate, "archive string, start bigint, length bigint")
+
+
+def index_of(spark: SparkSession, path: str) -> DataFrame:
+    """``archive, start, length``: where every record of the archives below ``path`` lies."""
+    return archives(spark, path).mapInArrow(
+        _locate, "archive string, start bigint, length bigint"
+    )
 
 
 def _ranges(batch: pa.RecordBatch) -> Iterator[tuple[str, list[tuple[int, int]]]]:
@@ -365,11 +372,16 @@ def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 file.close()
 
 
-def read_records(index: DataFrame) -> DataFrame:
+def read_records(index: DataFrame, tasks: int | None = None) -> DataFrame:
     """Records of ``index`` rows (any subset of ``index_of``), read by range; digests are
-    checked on the way. Records are dealt out by stretches of 64 MB of their archive."""
-    stretch = F.floor(F.col("start") / (1 << 26))
-    dealt = index.repartition("archive", stretch).sortWithinPartitions("archive", "start")
+    checked on the way. Records are dealt out by stretches of their archive.
+
+    Index rows are far smaller than what they stand for, so Spark's own choice of partitions is
+    too coarse for whole archives: ``tasks`` sets their number.
+    """
+    by = ["archive", F.floor(F.col("start") / STRETCH)]
+    dealt = index.repartition(tasks, *by) if tasks else index.repartition(*by)
+    dealt = dealt.sortWithinPartitions("archive", "start")
     return dealt.mapInArrow(
         _fetch,
         "record_id bigint, url string, kind string, refers_to bigint, digest string, "
@@ -383,7 +395,8 @@ def round_trip(pages: DataFrame, least: int = 0) -> DataFrame:
     spark = pages.sparkSession
     path = work_dir(spark, "warc")
     write_archives(pages, path, least=least)
-    return read_records(index_of(spark, path)).select(
+    size = archives(spark, path).agg(F.sum("length")).first()[0] or 0
+    return read_records(index_of(spark, path), 1 + size // STRETCH).select(
         F.col("record_id").alias("page_id"), F.col("size").alias("payload_bytes"),
         F.col("digest").alias("payload_digest"), F.col("kind").alias("record_type"), "refers_to",
     )
