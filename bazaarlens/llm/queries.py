@@ -1,4 +1,4 @@
-"""Registered queries of the text operators and the SQL that states them where SQL can."""
+"""Registered queries of the text operators."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from bazaarlens.llm import bpe, licences, multiset, ppm, quality, rollup, secrets, simhash, warc, wumanber
 from bazaarlens.llm.common import staged, table
+from bazaarlens.llm.oracles import ORACLES  # noqa: F401  (registered with the queries)
 from bazaarlens.session import work_dir
 
 
@@ -128,35 +129,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality": op9_quality,
     "op10_wu_manber": op10_wu_manber,
 }
-
-# bare upper-case base32 of the SHA-1: four letters from every five hexadecimal digits
-_BASE32 = """array_to_string(list_transform(range(32), lambda i: substr(
-    'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
-    ((('0x' || substr(h, 5 * (i // 4) + 1, 5))::BIGINT >> (15 - 5 * (i % 4))::BIGINT) & 31)::BIGINT + 1,
-    1)), '')"""
-
-_OP3 = f"""
-WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
-d AS (SELECT *, sha1(html) AS h, min(page_id) OVER (PARTITION BY html) AS first FROM p)
-SELECT page_id, strlen(html) AS payload_bytes, {_BASE32} AS payload_digest,
-  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
-  CASE WHEN page_id <> first THEN first END AS refers_to
-FROM d
-"""
-
-_OP1 = r"""
-WITH d AS (
-  SELECT *, regexp_replace(coalesce(text, ''), '[#*%&$!|]+', ' ', 'g') AS clean,
-    min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first
-  FROM documents),
-k AS (SELECT * FROM d WHERE doc_id = first)
-SELECT source, lang, v AS tokenizer, count(*) AS n_docs,
-  sum(CASE v WHEN 'words@1' THEN len(regexp_extract_all(clean, '[^\x20\x09-\x0D]+'))
-    ELSE len(regexp_extract_all(clean, '[0-9A-Za-z\x{80}-\x{10FFFF}]+|[!-/:-@\[-`{-~]')) END
-  )::BIGINT AS n_tokens,
-  sum(length(clean))::BIGINT AS n_chars
-FROM k, (VALUES ('words@1'), ('words@2')) AS versions(v)
-GROUP BY source, lang, v
-"""
-
-ORACLES: dict[str, str] = {"op1_token_counts": _OP1, "op3_warc": _OP3}
