@@ -124,6 +124,8 @@ STATUS_WORDS = [
     ("active", ["active", "available", "buy it now"]),
 ]
 IMAGE_SUFFIXES = [".jpg", ".jpeg", ".png", ".webp", ".gif"]
+# Fixed value: what field texts of a page may carry besides their content.
+BOILERPLATE = [r"\bSee original listing\b"]
 EMBEDDED_IMAGES = [
     r'"originalImg":"([^"]+)"',
     r'"imageUrls":\[([^\]]+)\]',
@@ -176,10 +178,14 @@ def clean_title(text: Column) -> Column:
     ).otherwise(cleaned)
 
 
-def clean_text(text: Column) -> Column:
-    """Squeeze blanks and drop the boilerplate marketplaces append to fields."""
-    out = F.regexp_replace(squeeze(text), r"(?i)\bSee original listing\b", "")
-    out = F.regexp_replace(out, r"(?i)\b\w+ item number.*$", "")
+def clean_text(text: Column, boilerplate: list[str] | None = None) -> Column:
+    """Squeeze blanks and drop the words a marketplace adds to its fields.
+
+    ``boilerplate`` holds regular expressions of a site's own additions; nothing else is removed.
+    """
+    out = squeeze(text)
+    for pattern in BOILERPLATE if boilerplate is None else boilerplate:
+        out = F.regexp_replace(out, f"(?i){pattern}", "")
     return F.trim(out)
 
 
@@ -369,20 +375,16 @@ def embedded_image_urls(html: Column, site: str, host: str = "") -> Column:
     )
 
 
-def features(html: Column, description: Column) -> Column:
-    """Bullet texts longer than 10 characters, distinct; the first 20 are reported.
-
-    List items of the page come first (the first ten), then description bullets.
-    """
-    items = F.slice(F.regexp_extract_all(html, F.lit(r"(?is)<li\b[^>]*>(.*?)</li>"), F.lit(1)), 1, 10)
-    items = F.transform(items, lambda t: clean_text(strip_tags(t)))
+def features(blocks: Column, description: Column) -> Column:
+    """Texts longer than 10 characters, each once: page blocks first, then description bullets."""
     bullets = F.transform(
         F.regexp_extract_all(description, F.lit(r"[•*-]\s*([^•*\-\n]+)"), F.lit(1)),
         lambda t: F.trim(t),
     )
     empty = F.array().cast("array<string>")
-    both = F.concat(F.coalesce(items, empty), F.coalesce(bullets, empty))
-    return F.slice(F.array_distinct(F.filter(both, lambda t: F.length(t) > 10)), 1, 20)
+    cleaned = F.transform(F.coalesce(blocks, empty), lambda t: clean_text(t))
+    both = F.concat(cleaned, F.coalesce(bullets, empty))
+    return F.array_distinct(F.filter(both, lambda t: F.length(t) > 10))
 
 
 def strip_tags(html: Column) -> Column:

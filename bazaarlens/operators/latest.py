@@ -1,12 +1,13 @@
-"""Latest-row and duplicate-group operators without per-key windows.
+"""Latest-row and duplicate-group operators.
 
-A window over a key puts all its rows into one task. These operators reduce
-each key with partial aggregation instead, so a key of any size is safe.
+The latest row of a key is the first of a ranked window. Spark cuts such a window down to one row
+per key and task before the shuffle, so a key of any size is safe and a wide row moves at most once.
+Duplicate groups are reduced by partial aggregation.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bazaarlens.operators.joins import HOT_PARTS, salted_join
@@ -14,13 +15,12 @@ from bazaarlens.operators.joins import HOT_PARTS, salted_join
 
 def latest_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The row with the greatest ``order`` values of each key; NULL orders lowest."""
-    rest = [c for c in df.columns if c not in keys]
-    best = F.max_by(F.struct(*rest), F.struct(*order)).alias("_row")
-    return df.groupBy(*keys).agg(best).select(*keys, "_row.*").select(*df.columns)
+    newest = Window.partitionBy(*keys).orderBy(*[F.desc_nulls_last(c) for c in order])
+    return df.withColumn("_rank", F.row_number().over(newest)).where("_rank = 1").drop("_rank")
 
 
 def upsert(
-    existing: DataFrame, incoming: DataFrame, order: list[str] = ["scraped_at", "listing_id"]
+    existing: DataFrame, incoming: DataFrame, order: tuple[str, ...] = ("scraped_at", "listing_id")
 ) -> DataFrame:
     """Insert-or-replace on both unique keys: latest per id, then latest per url.
 

@@ -46,9 +46,14 @@ def enrich_listings(df: DataFrame, category_mode: str = "substring") -> DataFram
     return out.drop("_text")
 
 
-def ingest(pages: DataFrame, rule: ScoreRule = SCORE_V2) -> DataFrame:
-    """Scored listings of a page table with the gate's verdict in ``accepted``."""
-    listings = extract_listings(pages)
+def ingest(
+    pages: DataFrame, rule: ScoreRule = SCORE_V2, keep_incomplete: bool = False
+) -> DataFrame:
+    """Scored listings of a page table with the gate's verdict in ``accepted``.
+
+    ``keep_incomplete`` sends pages without title or price through the gate, too.
+    """
+    listings = extract_listings(pages, keep_incomplete)
     if "description" not in listings.columns:
         listings = listings.withColumn("description", F.lit(None).cast("string"))
     return scored(listings, rule)

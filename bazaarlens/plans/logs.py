@@ -164,7 +164,7 @@ def last_hour_errors(errors: DataFrame, as_of: datetime) -> DataFrame:
         F.struct(F.lit("severity").alias("kind"), F.col("severity").alias("name")),
     )
     return (
-        errors.where(F.col("timestamp") > start)
+        errors.where((F.col("timestamp") > start) & (F.col("timestamp") <= F.lit(as_of)))
         .select(F.explode(pairs).alias("p"))
         .groupBy("p.kind", "p.name")
         .agg(F.count("*").alias("errors"))

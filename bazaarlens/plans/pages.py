@@ -1,86 +1,54 @@
-"""Listing fields, links, cards and specification rows out of landed pages.
+"""Listing fields, images, links, cards and specification rows out of landed pages.
 
-Pages are read with JVM regular expressions over the whole text; fallback rules
-are tried in order until one yields a value.
+Each page is cut into tags and text once (``functions.html``); fallback rules are tried in order
+until one yields a value.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from bazaarlens.functions import html as H
 from bazaarlens.functions import text
-
-
-@dataclass(frozen=True)
-class Element:
-    """An element by tag and by one token of its id or class."""
-
-    tag: str = r"\w+"
-    attr: str | None = None
-    token: str = ""
-
-    def opening(self) -> str:
-        if self.attr is None:
-            return rf"<({self.tag})\b[^>]*>"
-        return (
-            rf"<({self.tag})\b[^>]*\b{self.attr}\s*=\s*[\"'](?:[^\"']*\s)?{self.token}"
-            rf"(?:\s[^\"']*)?[\"'][^>]*>"
-        )
-
-    def inner(self, html: Column) -> Column:
-        """Inner markup of the first such element."""
-        return text.non_empty(F.regexp_extract(html, rf"(?is){self.opening()}(.*?)</\1\s*>", 2))
-
-    def text(self, html: Column) -> Column:
-        return text.non_empty(text.squeeze(unescape(text.strip_tags(self.inner(html)))))
-
+from bazaarlens.functions.html import Element, unescape
 
 # Page elements of each field, tried in order.
 TITLE = [
-    Element("h1", "id", "it-ttl"),
-    Element("h1", "class", "x-item-title-label"),
-    Element(r"\w+", "class", "x-item-title-label"),
-    Element("h1", "class", "notranslate"),
+    Element(("h1",), "id", "it-ttl"),
+    Element(("h1",), "class", "x-item-title-label"),
+    Element((), "class", "x-item-title-label"),
+    Element(("h1",), "class", "notranslate"),
 ]
 PRICE = [
-    Element(r"\w+", "class", "notranslate"),
-    Element(r"\w+", "id", "mm-saleDscPrc"),
-    Element(r"\w+", "class", "cc-ts-BOLD"),
+    Element((), "class", "notranslate"),
+    Element((), "id", "mm-saleDscPrc"),
+    Element((), "class", "cc-ts-BOLD"),
 ]
-CONDITION = [Element(r"\w+", "class", "condText")]
-SELLER = [Element(r"\w+", "class", "mbg-nw"), Element(r"\w+", "class", "seller-name")]
-CARD = Element("div|li", "class", "s-item")
-CARD_TITLE = [Element(r"\w+", "class", "s-item__title"), Element(r"\w+", "class", "it-ttl")]
-CARD_PRICE = [Element(r"\w+", "class", "s-item__price"), Element(r"\w+", "class", "notranslate")]
+CONDITION = [Element((), "class", "condText")]
+SELLER = [Element((), "class", "mbg-nw"), Element((), "class", "seller-name")]
+CARD = Element(("div", "li"), "class", "s-item")
+CARD_TITLE = [Element((), "class", "s-item__title"), Element((), "class", "it-ttl")]
+CARD_PRICE = [Element((), "class", "s-item__price"), Element((), "class", "notranslate")]
 CARD_CONDITION = [
-    Element(r"\w+", "class", "SECONDARY_INFO"),
-    Element(r"\w+", "class", "s-item__condition"),
-    Element(r"\w+", "class", "s-item__subtitle"),
+    Element((), "class", "SECONDARY_INFO"),
+    Element((), "class", "s-item__condition"),
+    Element((), "class", "s-item__subtitle"),
 ]
-THUMBNAIL = r"(?is)<img\b[^>]*\bclass\s*=\s*[\"'](?:[^\"']*\s)?tdThumb(?:\s[^\"']*)?[\"'][^>]*>"
-SPECIFICS = Element(r"\w+", "class", "itemAttr")
-HREF = r"(?is)<a\b[^>]*?\bhref\s*=\s*[\"']([^\"']*)[\"']"
-SRC = r"(?i)\bsrc\s*=\s*[\"']([^\"']*)[\"']"
-ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&nbsp;": " ", "&amp;": "&"}
-
-
-def unescape(value: Column) -> Column:
-    for name, sign in ENTITIES.items():
-        value = F.replace(value, F.lit(name), F.lit(sign))
-    return value
-
+THUMBNAIL = Element(("img",), "class", "tdThumb")
+MAIN_IMAGE = [Element(("img",), "id", "icImg"), Element(("img",), "class", "zoom_trigger")]
+SPECIFICS = Element((), "class", "itemAttr")
+LIST_ITEM, FEATURE = Element(("li",)), Element(("div",), "class", "feature")
+HREF = r"(?is)<a\b[^>]*?(?<![\w-])href\s*=\s*[\"']([^\"']*)[\"']"
 
-def first_text(html: Column, elements: list[Element]) -> Column:
-    return F.coalesce(*[e.text(html) for e in elements])
 
-
-def first_price(html: Column, elements: list[Element]) -> Column:
+def first_price(own: Column, elements: list[Element]) -> Column:
     """Price of the first element whose text holds a number."""
-    prices = [F.filter(F.array(text.plain_price(e.text(html))), lambda p: p > 0) for e in elements]
-    return F.coalesce(*[F.get(p, F.lit(0)) for p in prices], F.lit(0.0))
+    def price(element: Element) -> Column:
+        read = text.plain_price(H.first_text(own, [element]))
+        return F.get(F.filter(F.array(read), lambda p: p > 0), F.lit(0))
+
+    return F.coalesce(*map(price, elements), F.lit(0.0))
 
 
 def computed_once(df: DataFrame, keep: list[str], columns: list[Column]) -> DataFrame:
@@ -88,40 +56,81 @@ def computed_once(df: DataFrame, keep: list[str], columns: list[Column]) -> Data
     return df.select(*keep, F.inline(F.array(F.struct(*columns))))
 
 
+def parsed(pages: DataFrame, keep: list[str]) -> DataFrame:
+    """``keep`` and the tokens ``own`` of every page."""
+    return computed_once(pages, keep, [H.tokens(F.col("html")).alias("own")])
+
+
 def page_fields(pages: DataFrame) -> DataFrame:
     """Language, titles, heading, text length and link count of any page."""
-    html = F.col("html")
-    return pages.select(
+    own, raw = F.col("own"), F.col("html")
+    return parsed(pages, ["page_id", "url", "html"]).select(
         "page_id",
         "url",
-        text.found(html, r"<html\b[^>]*\blang\s*=\s*[\"']([^\"']*)[\"']", 1).alias("lang"),
-        text.squeeze(unescape(Element("title").inner(html))).alias("title"),
-        Element("h1").text(html).alias("heading"),
-        F.length(text.visible_text(html)).alias("text_length"),
-        F.length(html).alias("html_length"),
-        F.regexp_count(html, F.lit(HREF)).alias("links"),
+        H.attribute(F.get(H.all_tags(own, Element(("html",))), F.lit(0)), "lang").alias("lang"),
+        H.first_text(own, [Element(("title",))]).alias("title"),
+        H.first_text(own, [Element(("h1",))]).alias("heading"),
+        F.length(text.visible_text(raw)).alias("text_length"),
+        F.length(raw).alias("html_length"),
+        F.regexp_count(raw, F.lit(HREF)).alias("links"),
+    )
+
+
+def image_address(tag: Column) -> Column:
+    return F.coalesce(H.attribute(tag, "src"), H.attribute(tag, "data-src"))
+
+
+def image_list(own: Column, html: Column, site: str, host: str = "") -> Column:
+    """Main image, then thumbnails, then addresses in embedded page data, each once."""
+    tags = F.concat(
+        *[F.slice(H.all_tags(own, e), 1, 1) for e in MAIN_IMAGE], H.all_tags(own, THUMBNAIL)
     )
+    shown = F.array_compact(F.transform(tags, image_address))
+    large = F.transform(shown, lambda u: text.normal_image_url(u, site, host))
+    return F.array_distinct(F.concat(large, text.embedded_image_urls(html, site, host)))
 
 
-def extract_listings(pages: DataFrame, keep_incomplete: bool = False) -> DataFrame:
-    """One listing per page; pages without title or price are dropped."""
-    html = F.col("html")
-    tags = F.regexp_extract_all(html, F.lit(THUMBNAIL), F.lit(0))
-    sources = F.transform(tags, lambda t: F.regexp_extract(t, SRC, 1))
-    large = F.transform(
-        F.filter(sources, lambda u: F.startswith(u, F.lit("http"))),
-        lambda u: F.regexp_replace(u, "s-l(?:64|140)(?!\\d)", "s-l1600"),
+def page_images(pages: DataFrame, site: str, host: str = "") -> DataFrame:
+    """One row per image of a listing page, in order."""
+    images = image_list(F.col("own"), F.col("html"), site, host)
+    return parsed(pages, ["page_id", "url", "html"]).select(
+        "page_id", F.posexplode(images).alias("position", "image_url")
     )
+
+
+def page_features(pages: DataFrame) -> DataFrame:
+    """One row per feature of a page: list items, feature blocks and bullets of its text, each
+    text of more than 10 characters once, in this order."""
+    own = F.col("own")
+    blocks = F.concat(H.all_texts(own, LIST_ITEM), H.all_texts(own, FEATURE))
+    found = text.features(blocks, text.visible_text(F.col("html")))
+    return parsed(pages, ["page_id", "html"]).select(
+        "page_id", F.posexplode(found).alias("position", "feature")
+    )
+
+
+def extract_listings(
+    pages: DataFrame, keep_incomplete: bool = False, site: str = "", host: str = ""
+) -> DataFrame:
+    """One listing per page; pages without title or price are dropped unless kept.
+
+    The time ``seen_at`` of a page, where it has one, goes with its listing.
+    """
+    own = F.col("own")
+    seen = [c for c in pages.columns if c == "seen_at"]
     read = computed_once(
-        pages,
-        ["page_id", "url"],
+        parsed(pages, ["page_id", "url", *seen, "html"]),
+        ["page_id", "url", *seen],
         [
-            first_text(html, TITLE).alias("title"),
-            first_price(html, PRICE).alias("price"),
-            first_text(html, CONDITION).alias("condition"),
-            F.coalesce(first_text(html, SELLER), F.lit("unknown")).alias("seller_name"),
-            F.array_distinct(large).alias("image_urls"),
-            F.length(html).alias("html_length"),
+            H.first_text(own, TITLE).alias("title"),
+            first_price(own, PRICE).alias("price"),
+            H.first_text(own, CONDITION).alias("condition"),
+            F.coalesce(H.first_text(own, SELLER), F.lit("unknown")).alias("seller_name"),
+            F.filter(
+                image_list(own, F.col("html"), site, host),
+                lambda u: F.startswith(u, F.lit("http")),
+            ).alias("image_urls"),
+            F.length("html").alias("html_length"),
         ],
     )
     if not keep_incomplete:
@@ -137,20 +146,21 @@ def extract_listings(pages: DataFrame, keep_incomplete: bool = False) -> DataFra
         "image_urls",
         "html_length",
         F.lit("USD").alias("currency"),
-        text.page_category(F.col("title")).alias("category"),
-        text.page_material(F.col("title")).alias("material"),
+        F.coalesce(text.page_category(F.col("title")), F.lit("other")).alias("category"),
+        F.coalesce(text.page_material(F.col("title")), F.lit("unknown")).alias("material"),
         F.size("image_urls").cast("long").alias("image_count"),
         F.get("image_urls", F.lit(0)).alias("main_image_path"),
+        *seen,
     )
 
 
 def page_links(
-    pages: DataFrame, site: str, marker: str = "itm", item: str = r"/itm/([^/?]+)", first: int = 50
+    pages: DataFrame, site: str, marker: str = "itm", item: str = r"/itm/([^/?]+)"
 ) -> DataFrame:
     """Absolute item links of each result page, first sighting per item, in order.
 
     Work stays inside the page row: links are sorted by item to find repeats,
-    then put back in page order; the first ``first`` are reported.
+    then put back in page order.
     """
     hrefs = F.regexp_extract_all("html", F.lit(HREF), F.lit(1))
     absolute = F.transform(
@@ -182,33 +192,34 @@ def page_links(
     ordered = F.array_sort(
         F.transform("_firsts", lambda s: F.struct(s["pos"].alias("pos"), s["item_id"], s["link"]))
     )
-    return firsts.select(
-        "page_id", F.posexplode(F.slice(ordered, 1, first)).alias("position", "_l")
-    ).select(
+    return firsts.select("page_id", F.posexplode(ordered).alias("position", "_l")).select(
         "page_id", "position", F.col("_l.item_id").alias("item_id"), F.col("_l.link").alias("link")
     )
 
 
 def result_cards(pages: DataFrame, site: str) -> DataFrame:
     """One listing per card of a result page; cards without a title are dropped."""
-    chunks = F.split("html", "(?is)" + CARD.opening())
-    cards = pages.select(
+    own = F.col("own")
+    cards = parsed(pages, ["page_id", "url"]).select(
         "page_id",
         F.col("url").alias("source_page"),
-        F.posexplode(F.slice(chunks, 2, 1_000_000)).alias("position", "card"),
+        F.posexplode(H.places(own, CARD)).alias("position", "_at"),
+        "own",
     )
-    card, keep = F.col("card"), ["page_id", "source_page", "position"]
-    href = text.found(card, r"<a\b[^>]*?\bhref\s*=\s*[\"']([^\"']*)[\"']", 1)
-    image = text.found(card, r"<img\b[^>]*?\bsrc\s*=\s*[\"']([^\"']*)[\"']", 1)
+    keep = ["page_id", "source_page", "position"]
+    cards = computed_once(cards, keep, [H.content(own, F.col("_at")).alias("card")])
+    card = F.col("card")
+    link = F.get(H.all_tags(card, Element(("a",))), F.lit(0))
+    image = F.get(H.all_tags(card, Element(("img",))), F.lit(0))
     read = computed_once(
         cards,
         keep,
         [
-            first_text(card, CARD_TITLE).alias("title"),
+            H.first_text(card, CARD_TITLE).alias("title"),
             first_price(card, CARD_PRICE).alias("price"),
-            href.alias("href"),
-            F.coalesce(first_text(card, CARD_CONDITION), F.lit("Unknown")).alias("condition"),
-            image.alias("image_url"),
+            H.attribute(link, "href").alias("href"),
+            F.coalesce(H.first_text(card, CARD_CONDITION), F.lit("Unknown")).alias("condition"),
+            image_address(image).alias("image_url"),
         ],
     ).where("title IS NOT NULL")
     return read.select(
@@ -227,13 +238,14 @@ def result_cards(pages: DataFrame, site: str) -> DataFrame:
 
 def specification_rows(pages: DataFrame, confidence: float = 0.9) -> DataFrame:
     """Name and value of every two-cell row in the specifics section."""
-    section = F.regexp_extract("html", rf"(?is){SPECIFICS.opening()}(.*)", 2)
+    inside = H.first_content(F.col("own"), SPECIFICS)
+    section = F.array_join(F.transform(inside, lambda t: t["raw"]), "")
     pattern = F.lit(
         r"(?is)<tr\b[^>]*>\s*<t[dh]\b[^>]*>(.*?)</t[dh]>\s*<t[dh]\b[^>]*>(.*?)</t[dh]>"
     )
     names = F.regexp_extract_all(section, pattern, F.lit(1))
     values = F.regexp_extract_all(section, pattern, F.lit(2))
-    rows = pages.select(
+    rows = parsed(pages, ["url"]).select(
         text.page_listing_id(F.col("url")).alias("listing_id"),
         F.posexplode(F.arrays_zip(names.alias("n"), values.alias("v"))).alias("position", "_r"),
     )

@@ -256,9 +256,9 @@ def register(spark: SparkSession, tables: dict[str, DataFrame], as_of: datetime)
 
 
 def run_sql(
-    spark: SparkSession, text: str, args: dict | None = None, limit: int | None = 1000, offset: int = 0
+    spark: SparkSession, text: str, args: dict | None = None, limit: int | None = None, offset: int = 0
 ) -> DataFrame:
-    """Parametrised free SQL over the registered views, paged by default."""
+    """Parametrised free SQL over the registered views; ``limit`` and ``offset`` give one page."""
     out = spark.sql(text, args=args or {})
     if offset:
         out = out.offset(offset)

@@ -257,26 +257,43 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def listing_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Listings rendered as marketplace pages, the input of the ingest job."""
+    """Listings rendered as marketplace pages, the input of the ingest job.
+
+    Fields hold nested elements and character references. Pages of 7 watchers have no price,
+    those of 13 no title, those of 9 no seller.
+    """
     base = listings(spark, sf_dir)
     noise = F.coalesce("brand", F.lit("plain"))
+    title = F.concat(
+        F.lit('<h1 id="it-ttl">\n  '), F.initcap("title"), F.lit(" <b>&amp;</b> "), noise,
+        F.lit(" <i>&eacute;&#36;&#x42;</i></h1>"),
+    )
+    price = F.concat(
+        F.lit('<span class="amt notranslate"><span class="cur">US</span> <b>$'),
+        F.format_number("price", 2), F.lit("</b></span>"),
+    )
     html = F.concat(
-        F.lit('<html><head><title>Shop</title></head><body>\n<h1 id="it-ttl">\n  '),
-        F.concat_ws(" ", F.initcap("title"), F.lit("&amp;"), noise),
-        F.lit('</h1><div class="box"><span class="amt notranslate">US $'),
-        F.format_number("price", 2),
-        F.lit('</span><div class="u-flL condText"> '),
+        F.lit('<html><head><title>Shop</title><script>if (a < b) { x = {"originalImg":'
+              '"https:\\/\\/img.example.com\\/big\\/s-l64.jpg"}; }</script></head><body>\n'),
+        F.when(F.col("watchers") == 13, "").otherwise(title),
+        F.lit('<div class="box">'),
+        F.when(F.col("watchers") == 7, '<span class="amt notranslate">see cart</span>')
+        .otherwise(price),
+        F.lit('<div data-class="condText"></div><div class="u-flL condText"><div> '),
         F.initcap("condition"),
-        F.lit('</div></div><span class="mbg-nw">'),
-        "seller_name",
-        F.lit("</span>"),
+        F.lit("</div>\n</div></div>"),
+        F.when(F.col("watchers") == 9, "").otherwise(
+            F.concat(F.lit('<span class="mbg-nw"><span>'), "seller_name", F.lit("</span></span>"))
+        ),
+        F.lit('<img id="icImg" data-src="/no" src="https://img.example.com/main/s-l500.jpg">'),
         F.array_join(
             F.transform(
                 F.sequence(F.lit(0), F.col("image_count").cast("int")),
                 lambda i: F.concat(
-                    F.lit('<img class="tdThumb" src="https://img.example.com/'),
+                    F.when(i % 2 == 0, '<img class="tdThumb" src="https://img.example.com/')
+                    .otherwise('<img data-src="https://img.example.com/'),
                     i.cast("string"),
-                    F.lit('/s-l64.jpg">'),
+                    F.when(i % 2 == 0, '/s-l64.jpg">').otherwise('/s-l64.jpg" class="x tdThumb">'),
                 ),
             ),
             "",
@@ -288,3 +305,24 @@ def listing_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("</td></tr></table></div></body></html>"),
     )
     return base.select(F.col("listing_id").alias("page_id"), "url", html.alias("html"))
+
+
+def result_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A result page per listing with three cards: priced, without a price, without a title."""
+    card = '<li class="s-item s-item--big"><div class="s-item__wrap"><div>'
+    html = F.concat(
+        F.lit(f'<ul><li class="nav">x</li>{card}<img data-src="https://img.example.com/c.jpg"></div>'
+              '<h3 class="s-item__title"><a href="/itm/'),
+        "listing_id",
+        F.lit('?a=1"><span>New</span> '), "title",
+        F.lit('</a></h3><span class="s-item__price"><span>$</span>'),
+        F.format_number("price", 2),
+        F.lit('</span><div class="s-item__subtitle"><div>Pre-<b>Owned</b></div> lot</div></div></li>'
+              f'{card}</div><a href="https://other.example.com/'),
+        F.col("watchers").cast("string"),
+        F.lit('"><div class="s-item__title">'), "material",
+        F.lit(f' &lt;set&gt;</div></a></div></li>{card}<a href="/itm/none">no title</a></div></div></li></ul>'),
+    )
+    return listings(spark, sf_dir).select(
+        F.col("listing_id").alias("page_id"), "url", html.alias("html")
+    )

@@ -133,6 +133,8 @@ def export(df: DataFrame, path: str, options: ExportOptions | None = None) -> di
         writer.mode("append").options(**options.jdbc).save()
     else:
         if options.partition_by:
+            # an export is replaced as a whole, whatever the session says about partitions
+            writer = writer.option("partitionOverwriteMode", "static")
             writer = writer.partitionBy(*options.partition_by)
         writer.save(path)
     count = seen.get["rows"]

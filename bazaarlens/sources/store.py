@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,11 +16,11 @@ from bazaarlens.sources import schemas
 
 COPY_LOG = (
     "copy_id string, strategy string, `table` string, status string, path string, "
-    "row_count long, created_at timestamp, watermark timestamp"
+    "row_count long, size_bytes long, created_at timestamp, watermark timestamp"
 )
 # Text formats keep microseconds; Spark's default pattern would cut them to milliseconds.
 MICROS = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
-VERSIONS = "version long, path string, row_count long, written_at timestamp"
+BUCKETS = 256
 
 
 def scan(spark: SparkSession, name: str, path: str, format: str = "parquet") -> DataFrame:
@@ -51,14 +52,6 @@ def read_history(spark: SparkSession, path: str, schema: str) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
-def has_rows(df: DataFrame) -> bool:
-    return not df.isEmpty()
-
-
-def latest_entries(history: DataFrame, time: str, rows: int) -> DataFrame:
-    return history.orderBy(F.desc(time)).limit(rows)
-
-
 # Nested fields as text ------------------------------------------------------------
 
 def serialise_nested(df: DataFrame) -> DataFrame:
@@ -87,48 +80,72 @@ def parse_nested(df: DataFrame, schema: T.StructType) -> DataFrame:
 # Current-version tables -----------------------------------------------------------
 
 class CurrentTable:
-    """A keyed table kept as full versions; readers never see a half-written one.
+    """A keyed table in folders of URL hash buckets; a change rewrites the buckets it touches.
 
-    Each change writes a new folder and then notes it in the version log, so a
-    failed job leaves the previous version in place.
+    The new content of the touched buckets is written beside the table first and then put in
+    their place by Spark's partition overwrite, so a job that fails before loses nothing and can
+    be repeated. One writer at a time; readers that need a fixed state take a copy.
     """
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-        self.log_path = f"{self.path}/_versions"
+    def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS):
+        self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
+        self.data = f"{self.path}/data"
 
-    def versions(self) -> DataFrame:
-        return read_history(self.spark, self.log_path, VERSIONS)
-
-    def _newest(self):
-        rows = self.versions().orderBy(F.desc("version")).limit(1).collect()
-        return rows[0] if rows else None
+    def _stored(self) -> DataFrame | None:
+        try:
+            return self.spark.read.parquet(self.data)
+        except AnalysisException as missing:
+            if not any(c in str(missing) for c in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")):
+                raise
+            return None
 
     def read(self) -> DataFrame | None:
-        newest = self._newest()
-        return None if newest is None else self.spark.read.parquet(newest["path"])
-
-    def replace(self, df: DataFrame, now: datetime, partition_by: str | None = None) -> int:
-        newest = self._newest()
-        version = 1 if newest is None else newest["version"] + 1
-        target = f"{self.path}/data/v{version:08d}"
-        writer = df.write.mode("overwrite")
-        if partition_by:
-            writer = writer.partitionBy(partition_by)
-        writer.parquet(target)
-        count = self.spark.read.parquet(target).count()
-        append_history(self.spark, self.log_path, VERSIONS, [(version, target, count, now)])
-        return version
-
-    def upsert(self, incoming: DataFrame, now: datetime) -> int:
+        stored = self._stored()
+        return None if stored is None else stored.drop("_bucket")
+
+    def _bucketed(self, df: DataFrame) -> DataFrame:
+        """Rows by hash of their URL; rows without one by hash of their id."""
+        key = F.xxhash64(F.coalesce("url", "listing_id"))
+        return df.withColumn("_bucket", F.pmod(key, F.lit(self.buckets)).cast("int"))
+
+    def _put(self, rows: DataFrame, touched: list[int] | None) -> None:
+        """Replace the content of ``touched`` buckets (None: of all) by ``rows``."""
+        aside = f"{self.path}/aside-{uuid.uuid4().hex[:12]}"
+        rows.write.partitionBy("_bucket").parquet(aside)
+        fresh = self.spark.read.schema(rows.schema).parquet(aside)
+        mode = "static" if touched is None else "dynamic"
+        fresh.write.mode("overwrite").option("partitionOverwriteMode", mode).partitionBy(
+            "_bucket"
+        ).parquet(self.data)
+        if touched:  # the overwrite leaves a bucket alone that has no row now
+            held = {r[0] for r in fresh.select("_bucket").distinct().collect()}
+            blank = self.spark.createDataFrame([], rows.drop("_bucket").schema)
+            for bucket in sorted(set(touched) - held):
+                blank.write.mode("overwrite").parquet(f"{self.data}/_bucket={bucket}")
+
+    def upsert(self, incoming: DataFrame) -> None:
         """Insert or replace on listing id and url, the latest row winning."""
-        existing = self.read()
-        merged = upsert(incoming.limit(0) if existing is None else existing, incoming)
-        return self.replace(merged, now)
-
-    def delete(self, condition, now: datetime) -> int:
+        new, stored = self._bucketed(incoming), self._stored()
+        if stored is None:
+            self._put(self._bucketed(upsert(incoming.limit(0), incoming)), None)
+            return
+        # buckets of the incoming urls, and those where an incoming id lies under another url
+        moved = stored.join(new.select("listing_id").distinct(), "listing_id", "left_semi")
+        rows = new.select("_bucket").unionByName(moved.select("_bucket")).distinct().collect()
+        touched = sorted(r["_bucket"] for r in rows)  # at most ``buckets`` numbers
+        if not touched:
+            return
+        part = stored.where(F.col("_bucket").isin(touched)).drop("_bucket")
+        self._put(self._bucketed(upsert(part, incoming)), touched)
+
+    def delete(self, condition) -> None:
         """Drop the rows the condition is true for; NULL keeps the row."""
-        return self.replace(self.read().where(~F.coalesce(condition, F.lit(False))), now)
+        stored = self._stored()
+        doomed = F.coalesce(condition, F.lit(False))
+        touched = sorted(r[0] for r in stored.where(doomed).select("_bucket").distinct().collect())
+        if touched:
+            part = stored.where(F.col("_bucket").isin(touched))
+            self._put(part.where(~doomed), touched)
 
 
 # Retention --------------------------------------------------------------------------
@@ -163,8 +180,12 @@ def retained(listings: DataFrame, as_of: datetime, days: int = 30) -> DataFrame:
     return listings.where(~F.coalesce(expired_unvalidated(as_of, days), F.lit(False)))
 
 
-def retained_images(images: DataFrame, kept: DataFrame) -> DataFrame:
-    return present_in(images, kept, "listing_id")
+def retained_images(
+    images: DataFrame, listings: DataFrame, as_of: datetime, days: int = 30
+) -> DataFrame:
+    """Images without those of deleted listings; images that had no listing stay."""
+    deleted = listings.where(expired_unvalidated(as_of, days)).select("listing_id").distinct()
+    return images.join(deleted, "listing_id", "left_anti")
 
 
 # Copies -----------------------------------------------------------------------------
@@ -185,14 +206,25 @@ class TableCopies:
             done = done.where(F.col("strategy") == "full")
         return done.agg(F.max("watermark")).collect()[0][0]
 
+    def _since(self, table: str, full_only: bool) -> list[str]:
+        """Paths of the completed copies that a partial copy builds on, from the last full one."""
+        done = self.history().where((F.col("table") == table) & (F.col("status") == "completed"))
+        last = done.where(F.col("strategy") == "full").agg(F.max("created_at")).first()[0]
+        kept = done.where(F.col("created_at") >= F.lit(last)) if last is not None else done
+        if full_only:
+            kept = kept.where(F.col("strategy") == "full")
+        return [r["path"] for r in kept.select("path").toLocalIterator()]
+
     def copy(
         self, name: str, df: DataFrame, time: str, strategy: str, now: datetime,
-        format: str = "parquet",
+        format: str = "parquet", keys: list[str] | None = None,
     ) -> str:
         """Copy the rows the strategy asks for and note the new watermark.
 
         Incremental starts after the last completed copy, differential after the
-        last full copy; both fall back to everything on the first run.
+        last full copy; both fall back to everything on the first run. With ``keys``, rows at or
+        below the watermark or without a time are copied too unless an earlier copy has their
+        keys; without, the source must only grow in time order.
         """
         if strategy not in ("full", "incremental", "differential"):
             raise ValueError(f"unknown copy strategy: {strategy}")
@@ -200,15 +232,21 @@ class TableCopies:
         if strategy != "full":
             since = self._watermark(name, full_only=strategy == "differential")
         rows = newer_than(df, time, since)
+        if since is not None and keys:
+            paths = self._since(name, full_only=strategy == "differential")
+            held = self.spark.read.schema(df.select(*keys).schema).format(format).load(paths)
+            late = df.where(~F.coalesce(F.col(time) > F.lit(since).cast("timestamp"), F.lit(False)))
+            rows = rows.unionByName(late.join(held.distinct(), keys, "left_anti"))
         copy_id = f"{name}-{strategy}-{now:%Y%m%dT%H%M%S%f}"
         path = f"{self.root}/{copy_id}"
         try:
             rows.write.mode("overwrite").format(format).save(path)
             written = self.spark.read.schema(rows.schema).format(format).load(path)
-            count, upto = written.agg(F.count("*"), F.max(F.col(time).cast("timestamp"))).collect()[0]
-            entry = (copy_id, strategy, name, "completed", path, count, now, upto or since)
+            count, upto = written.agg(F.count("*"), F.max(F.col(time).cast("timestamp"))).first()
+            size = stored_bytes(self.spark, path)
+            entry = (copy_id, strategy, name, "completed", path, count, size, now, upto or since)
         except Exception:
-            entry = (copy_id, strategy, name, "failed", path, None, now, None)
+            entry = (copy_id, strategy, name, "failed", path, None, None, now, None)
             append_history(self.spark, self.log_path, COPY_LOG, [entry])
             raise
         append_history(self.spark, self.log_path, COPY_LOG, [entry])
@@ -219,6 +257,12 @@ class TableCopies:
         return [self.copy(n, df, times[n], "full", now, format) for n, df in tables.items()]
 
 
+def stored_bytes(spark: SparkSession, path: str) -> int:
+    """Bytes of the data files below ``path``; their contents are not read."""
+    files = spark.read.format("binaryFile").load(path).select("length")
+    return files.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+
+
 def newer_than(df: DataFrame, time: str, watermark: datetime | None) -> DataFrame:
     """Rows after the watermark; all rows without one."""
     if watermark is None:
@@ -228,12 +272,12 @@ def newer_than(df: DataFrame, time: str, watermark: datetime | None) -> DataFram
 
 def copy_stats(history: DataFrame) -> DataFrame:
     done = F.col("status") == "completed"
-    size = F.col("size_bytes") if "size_bytes" in history.columns else F.lit(None).cast("long")
     return history.agg(
         F.count("*").alias("total_copies"),
         F.count_if(done).alias("completed_copies"),
         F.count_if(F.col("status") == "failed").alias("failed_copies"),
-        (F.coalesce(F.sum(F.when(done, size)), F.lit(0)) / (1024 * 1024)).alias("total_size_mb"),
+        F.count_if(F.col("status") == "running").alias("active_copies"),
+        (F.coalesce(F.sum(F.when(done, F.col("size_bytes"))), F.lit(0)) / (1024 * 1024)).alias("total_size_mb"),
         F.max(F.when(done, F.col("created_at"))).alias("latest_copy"),
         F.coalesce(
             F.try_divide(F.count_if(done) * F.lit(100.0), F.count("*")), F.lit(0.0)

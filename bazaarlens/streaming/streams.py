@@ -1,6 +1,7 @@
 """Structured Streaming jobs over request, error and page streams.
 
-Late rows are dropped by the watermark. Windowed results go out in update mode:
+Rows later than the watermark cannot change closed windows; ``late_rows`` says how many a query
+has left out. Windowed results go out in update mode:
 every trigger appends its changed rows with the batch number, and readers take
 the newest row per key, so a replayed batch changes nothing.
 """
@@ -154,16 +155,26 @@ def with_request_risk(log: DataFrame) -> DataFrame:
 # Ingest ------------------------------------------------------------------------------------
 
 def ingest_stream(pages: DataFrame, min_score: float = MIN_INGEST_SCORE) -> DataFrame:
-    """Accepted listings of a page stream, first sighting of each address."""
-    rows = ingest(pages).where(F.col("accepted") & (F.col("quality_score") >= min_score))
-    return rows.dropDuplicates(["listing_id"])
+    """Accepted listings of a page stream, every sighting; ``seen_at`` of a page is kept."""
+    return ingest(pages).where(F.col("accepted") & (F.col("quality_score") >= min_score))
 
 
 def start_upsert(stream: DataFrame, table, now, checkpoint: str) -> StreamingQuery:
-    """Merge every micro-batch into a current-version table."""
+    """Merge every micro-batch into a current-version table.
+
+    The newest sighting of a listing wins, in a batch and against the table: by the page's
+    ``seen_at`` where it has one, else by ``now()``. Repeating a batch changes nothing.
+    """
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        table.upsert(batch.withColumn("scraped_at", F.lit(now()).cast("timestamp")), now())
+        seen = F.lit(now()).cast("timestamp")
+        if "seen_at" in batch.columns:
+            seen = F.coalesce(F.col("seen_at").cast("timestamp"), seen)
+        rows = batch.withColumn("scraped_at", seen).drop("seen_at").persist()
+        try:  # the upsert reads the batch several times; its pages are parsed once
+            table.upsert(rows)
+        finally:
+            rows.unpersist()
 
     return (
         stream.writeStream.foreachBatch(merge)
@@ -192,6 +203,14 @@ def start_updates(stream: DataFrame, path: str, checkpoint: str) -> StreamingQue
     )
 
 
+def late_rows(query: StreamingQuery) -> int:
+    """Rows (after partial aggregation) that came too late for their window, over all triggers."""
+    return sum(
+        state["numRowsDroppedByWatermark"]
+        for progress in query.recentProgress for state in progress["stateOperators"]
+    )
+
+
 def latest_updates(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
     """The newest row per key of an update log."""
     log = spark.read.parquet(path).drop("batch")

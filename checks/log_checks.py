@@ -102,7 +102,7 @@ check("trailing_error_rate",
   ({trailing(600, 'count(*) FILTER (NOT success)')}) AS errors,
   round({trailing(600, 'avg((NOT success)::INT)')}, 4) AS error_rate FROM requests""", "requests")
 check("last_hour_errors",
-      lambda t: G.last_hour_errors(t.errors.where(F.col("timestamp") <= F.lit(CLOCK)), CLOCK),
+      lambda t: G.last_hour_errors(t.errors, CLOCK),
       f"""WITH e AS (SELECT * FROM errors WHERE timestamp > {CLOCK_SQL} - INTERVAL 1 HOUR
   AND timestamp <= {CLOCK_SQL})
 SELECT 'category' AS kind, category AS name, count(*) AS errors FROM e GROUP BY ALL UNION ALL

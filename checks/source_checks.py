@@ -64,29 +64,38 @@ check(
     WHEN 2 THEN 'not json' WHEN 3 THEN '{"a":1}' END AS labels, price * 2 AS amount FROM listings""",
     "listings",
 )
+def _filled(rows):
+    """How many values each exported column has."""
+    counts = rows.agg(*[F.count(c).alias(c) for c in rows.columns])
+    return counts.unpivot([], counts.columns, "column", "filled")
+
+
 check("export_fields",
-      lambda t: t.spark.createDataFrame(
-          [(c,) for c in X.choose_fields(
-              t.listings.withColumns({"metadata": F.lit(1), "raw_data": F.lit(1)}),
-              X.ExportOptions()).columns], "column string"),
-      """SELECT unnest(['listing_id', 'url', 'title', 'description', 'price', 'original_price',
-  'currency', 'condition', 'seller_name', 'seller_rating', 'category', 'material', 'brand',
-  'main_stone', 'watchers', 'views', 'bids', 'image_count', 'data_completeness_score',
-  'is_validated', 'scraped_at']) AS "column" """)
+      lambda t: _filled(X.choose_fields(
+          t.listings.withColumns({"metadata": F.lit(1), "raw_data": F.lit(1)}), X.ExportOptions())),
+      " UNION ALL ".join(
+          f"""SELECT '{c}' AS "column", count({c}) AS filled FROM listings""" for c in [
+              "listing_id", "url", "title", "description", "price",
+              "original_price", "currency", "condition", "seller_name", "seller_rating",
+              "category", "material", "brand", "main_stone", "watchers",
+              "views", "bids", "image_count", "data_completeness_score", "is_validated",
+              "scraped_at",
+          ]),
+      "listings")
 
 
 def _history(t):
     log = work_dir(t.spark, "history")
-    for day, limit in enumerate([5, 50, 500]):
-        rows = t.base.orderBy("listing_id").limit(limit)
+    for day, category in enumerate(["rings", "watches", "pendants"]):
+        rows = t.base.where(F.col("category") == category)
         result = X.export(rows, work_dir(t.spark, "export"), X.ExportOptions(format="json"))
         X.log_export(t.spark, log, result, "json", NOW + timedelta(days=day))
     return X.export_history(t.spark, log, 2).select("format", "record_count", "status")
 
 
 check("export_history", _history,
-      """SELECT 'json' AS format, least(n, (SELECT count(*) FROM base)) AS record_count,
-  'completed' AS status FROM (VALUES (50), (500)) v(n)""", "base")
+      """SELECT 'json' AS format, count(*) AS record_count, 'completed' AS status FROM base
+  WHERE category IN ('watches', 'pendants') GROUP BY category""", "base")
 
 
 def _scan(t):
@@ -147,26 +156,28 @@ check("retained_listings", lambda t: S.retained(t.listings, NOW, 200).select("li
       f"""SELECT listing_id FROM listings WHERE is_validated
   OR scraped_at >= {AS_OF} - INTERVAL 200 DAY""", "listings")
 check("retained_images",
-      lambda t: S.retained_images(t.images, S.retained(t.listings, NOW, 200)).select("image_id"),
-      f"""SELECT image_id FROM images WHERE listing_id IN (SELECT listing_id FROM listings
-  WHERE is_validated OR scraped_at >= {AS_OF} - INTERVAL 200 DAY)""", "listings", "images")
+      lambda t: S.retained_images(t.images, t.listings, NOW, 200).select("image_id"),
+      f"""SELECT image_id FROM images WHERE NOT EXISTS (FROM listings l
+  WHERE l.listing_id = images.listing_id AND NOT is_validated
+    AND scraped_at < {AS_OF} - INTERVAL 200 DAY)""", "listings", "images")
 
 
 def _table(t):
     """Load, upsert, then age out one category of a current-version table."""
-    table = S.CurrentTable(t.spark, work_dir(t.spark, "table"))
+    table = S.CurrentTable(t.spark, work_dir(t.spark, "table"), buckets=8)
     columns = ["listing_id", "url", "category", "price", "scraped_at"]
-    table.upsert(t.listings.where("bids <= 3").select(*columns), NOW)
-    changed = t.listings.where("bids >= 3").select(*columns)
-    table.upsert(changed.withColumn("price", F.col("price") + 1), NOW)
-    table.delete(S.older_than(NOW, 600, "rings"), NOW)
+    table.upsert(t.listings.where("bids <= 3 OR bids IS NULL").select(*columns))
+    changed = t.listings.where("bids >= 3 OR bids IS NULL").select(*columns)
+    table.upsert(changed.withColumn("price", F.col("price") + 1))
+    table.delete(S.older_than(NOW, 600, "rings"))
     return table.read()
 
 
 check("current_table", _table,
       f"""WITH rows AS (SELECT listing_id, url, category, price, scraped_at, 0 AS fresh FROM listings
-    WHERE bids <= 3 UNION ALL
-  SELECT listing_id, url, category, price + 1, scraped_at, 1 FROM listings WHERE bids >= 3),
+    WHERE bids <= 3 OR bids IS NULL UNION ALL
+  SELECT listing_id, url, category, price + 1, scraped_at, 1 FROM listings
+    WHERE bids >= 3 OR bids IS NULL),
 by_id AS (SELECT * FROM rows QUALIFY row_number() OVER (PARTITION BY listing_id
     ORDER BY scraped_at DESC, fresh DESC) = 1),
 by_url AS (SELECT * FROM by_id QUALIFY row_number() OVER (PARTITION BY url
@@ -178,25 +189,36 @@ DAYS = [datetime(1998, 1, 1), datetime(2000, 1, 1), datetime(2001, 1, 1), dateti
 
 
 def _copies(t):
-    """Full copy, incremental, differential and again incremental of a growing table."""
+    """Full copy, incremental, differential and again incremental of a growing table.
+
+    From the second step on, rows of 11 watchers appear whose time lies before the watermark, and
+    rows of 12 watchers without a time.
+    """
     copies = S.TableCopies(t.spark, work_dir(t.spark, "copies"))
+    when = F.when(F.col("watchers") != 12, F.col("scraped_at"))
+    rows = t.listings.where("bids IS NOT NULL").select(
+        "listing_id", "url", "watchers", when.alias("scraped_at"))
     steps = zip(["full", "incremental", "differential", "incremental"], DAYS)
     for strategy, day in steps:
-        rows = t.listings.where(F.col("scraped_at") < F.lit(day)).select("listing_id", "scraped_at")
-        copies.copy("listings", rows, "scraped_at", strategy, day)
+        there = F.coalesce(F.col("scraped_at") < F.lit(day), F.lit(True))
+        if strategy == "full":
+            there = there & ~F.col("watchers").isin(11, 12)
+        copies.copy("listings", rows.where(there), "scraped_at", strategy, day,
+                    keys=["listing_id", "url"])
     return S.list_copies(copies.history(), status="completed").select(
-        "strategy", "row_count", "created_at")
+        "strategy", "row_count", "created_at", (F.col("size_bytes") > 0).alias("has_bytes"))
 
 
 check("table_copies", _copies,
-      """WITH d AS (SELECT scraped_at AS s FROM listings)
-SELECT 'full' AS strategy, count(*) AS row_count, TIMESTAMP '1998-01-01' AS created_at FROM d
-  WHERE s < '1998-01-01' UNION ALL
-SELECT 'incremental', count(*), TIMESTAMP '2000-01-01' FROM d
-  WHERE s >= '1998-01-01' AND s < '2000-01-01' UNION ALL
-SELECT 'differential', count(*), TIMESTAMP '2001-01-01' FROM d
-  WHERE s >= '1998-01-01' AND s < '2001-01-01' UNION ALL
-SELECT 'incremental', count(*), TIMESTAMP '2002-01-01' FROM d WHERE s >= '2001-01-01'""",
+      """WITH d AS (SELECT watchers, CASE WHEN watchers <> 12 THEN scraped_at END AS s FROM listings
+    WHERE bids IS NOT NULL)
+SELECT 'full' AS strategy, count(*) AS row_count, TIMESTAMP '1998-01-01' AS created_at,
+  true AS has_bytes FROM d WHERE s < '1998-01-01' AND watchers <> 11 UNION ALL
+SELECT 'incremental', count(*), TIMESTAMP '2000-01-01', true FROM d
+  WHERE s IS NULL OR s < '2000-01-01' AND (s >= '1998-01-01' OR watchers = 11) UNION ALL
+SELECT 'differential', count(*), TIMESTAMP '2001-01-01', true FROM d
+  WHERE s IS NULL OR s < '2001-01-01' AND (s >= '1998-01-01' OR watchers = 11) UNION ALL
+SELECT 'incremental', count(*), TIMESTAMP '2002-01-01', true FROM d WHERE s >= '2001-01-01'""",
       "listings")
 
 
@@ -208,9 +230,12 @@ def _copy_stats(t):
     return S.copy_stats(copies.history())
 
 
-check("copy_stats", _copy_stats,
-      f"""SELECT 2 AS total_copies, 2 AS completed_copies, 0 AS failed_copies, 0.0 AS total_size_mb,
-  {AS_OF} AS latest_copy, 100.0 AS success_rate""")
+check("copy_stats",
+      lambda t: _copy_stats(t).withColumn("total_size_mb", F.col("total_size_mb") > 0),
+      f"""SELECT n AS total_copies, n AS completed_copies, 0 AS failed_copies, 0 AS active_copies,
+  (SELECT count(*) FROM base) > 0 AS total_size_mb, {AS_OF} AS latest_copy, 100.0 AS success_rate
+  FROM (SELECT ((SELECT count(*) FROM base) > 0)::INT + (count(*) > 0)::INT AS n FROM sessions)""",
+      "base", "sessions")
 
 
 def _cached(t):
@@ -231,29 +256,42 @@ check("report_cache", _cached,
 
 
 def _stream_ingest(t):
-    """Landed pages as a stream: extract, gate, first sighting, upsert."""
+    """Landed pages as a stream in four triggers: every listing is seen twice, the second time
+    with another price, and the newest files may arrive first."""
     landing = work_dir(t.spark, "landing")
-    t.listing_pages.repartition(3).write.parquet(landing)
-    schema = t.spark.read.parquet(landing).schema
-    pages = streams.read_stream(t.spark, landing, schema, per_trigger=1)
-    table = S.CurrentTable(t.spark, work_dir(t.spark, "current"))
-    streams.start_upsert(streams.ingest_stream(pages), table, lambda: NOW,
+    pages = t.listing_pages.withColumn("seen_at", F.lit(NOW - timedelta(days=2)))
+    again = pages.withColumns({
+        "seen_at": F.lit(NOW),
+        "html": F.regexp_replace("html", r"<b>\$[0-9,]+", r"<b>\$9")})
+    again.repartition(8).write.parquet(landing)
+    pages.repartition(8).write.mode("append").parquet(landing)
+    stream = streams.read_stream(t.spark, landing, pages.schema, per_trigger=4)
+    table = S.CurrentTable(t.spark, work_dir(t.spark, "current"), buckets=8)
+    streams.start_upsert(streams.ingest_stream(stream), table, lambda: NOW,
                          work_dir(t.spark, "checkpoint")).awaitTermination()
-    return table.read().select("listing_id", "url")
+    return table.read().select("listing_id", "url", F.floor("price").alias("whole_price"))
 
 
 check("stream_ingest", _stream_ingest,
-      """SELECT DISTINCT replace(url, 'https://shop.example.com/itm/', '') AS listing_id, url
-  FROM listings""", "listings")
-check("batch_ingest_merge",
-      lambda t: merge(
-          split_gate(ingest(t.listing_pages))[0].limit(0).withColumn(
-              "scraped_at", F.lit(NOW).cast("timestamp")),
-          split_gate(ingest(t.listing_pages))[0].withColumn(
-              "scraped_at", F.lit(NOW).cast("timestamp")),
-      ).select("listing_id", "url"),
-      """SELECT DISTINCT replace(url, 'https://shop.example.com/itm/', '') AS listing_id, url
-  FROM listings""", "listings")
+      """SELECT DISTINCT replace(url, 'https://shop.example.com/itm/', '') AS listing_id, url,
+  9 AS whole_price FROM listings WHERE watchers NOT IN (7, 13)""", "listings")
+
+
+def _merged(t):
+    """Stored listings of an earlier sighting, part of which the incoming pages replace."""
+    accepted = split_gate(ingest(t.listing_pages))[0]
+    first = F.lit(NOW - timedelta(days=1)).cast("timestamp")
+    stored = accepted.withColumns({"scraped_at": first, "title": F.lit("stored")})
+    fresh = accepted.where("image_count % 2 = 0").withColumn(
+        "scraped_at", F.lit(NOW).cast("timestamp"))
+    return merge(stored, fresh).select(
+        "listing_id", "url", (F.col("title") == "stored").alias("is_stored"))
+
+
+check("batch_ingest_merge", _merged,
+      """SELECT replace(url, 'https://shop.example.com/itm/', '') AS listing_id, url,
+  bool_and(image_count % 2 = 0) AS is_stored FROM listings WHERE watchers NOT IN (7, 13)
+  GROUP BY url""", "listings")
 check("stream_unseen",
       lambda t: streams.run_updates(
           t.spark,

@@ -93,6 +93,10 @@ class Tables:
     def listing_pages(self) -> DataFrame:
         return derived.listing_pages(self.spark, self.dir)
 
+    @cached_property
+    def result_pages(self) -> DataFrame:
+        return derived.result_pages(self.spark, self.dir)
+
     @cached_property
     def store(self) -> dict[str, DataFrame]:
         return {

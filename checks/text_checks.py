@@ -153,8 +153,10 @@ VISIBLE = r"""trim(regexp_replace(regexp_replace(regexp_replace(html,
 
 
 def _unescape(expression: str) -> str:
-    for name, sign in P.ENTITIES.items():
-        expression = f"replace({expression}, '{name}', '{sign.replace(chr(39), chr(39) * 2)}')"
+    # the references that the pages hold; the ampersand comes last, so none is decoded twice
+    for name, sign in [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"),
+                       ("&nbsp;", "\u00a0"), ("&amp;", "&")]:
+        expression = f"replace({expression}, '{name}', '{sign}')"
     return expression
 
 
@@ -187,18 +189,18 @@ check(
               CASE WHEN starts_with(unnest(h), 'http') THEN unnest(h)
                    WHEN starts_with(unnest(h), '/') THEN '{SITE_SQL}' || unnest(h) END AS link
             FROM (SELECT page_id, {HREFS} AS h FROM pages)))
-    WHERE item_id IS NOT NULL AND contains(link, '/') GROUP BY page_id, item_id)
-  QUALIFY position < 50""",
+    WHERE item_id IS NOT NULL AND contains(link, '/') GROUP BY page_id, item_id)""",
 )
 check(
     "page_features",
-    lambda t: t.pages.select(
-        "page_id",
-        F.explode(T.features(F.col("html"), T.visible_text(F.col("html")))).alias("feature"),
-    ).groupBy("page_id").agg(F.count("*").alias("features")),
+    lambda t: P.page_features(t.pages).select("page_id", "feature"),
+    rf"""SELECT DISTINCT page_id, feature FROM (
+    SELECT page_id, trim(regexp_replace({_plain('item')}, '(?i)\bSee original listing\b', '', 'g'))
+      AS feature FROM (SELECT page_id,
+      unnest(regexp_extract_all(html, '(?is)<li\b[^>]*>(.*?)</li\s*>', 1)) AS item FROM pages)
+    UNION ALL SELECT page_id, trim(unnest(regexp_extract_all({VISIBLE}, '[•*-]\s*([^•*\-\n]+)', 1)))
+      FROM pages) WHERE length(feature) > 10""",
 )
-_PAGE = """SELECT listing_id, url, title, brand, price, condition, seller_name, image_count,
-  material, main_stone FROM listings"""
 check(
     "listings_from_pages",
     lambda t: P.extract_listings(t.listing_pages).select(
@@ -206,13 +208,37 @@ check(
         "category", "material", "currency", "main_image_path"),
     """SELECT listing_id AS page_id, regexp_extract(url, '/itm/(.+)$', 1) AS listing_id,
   array_to_string(list_transform(string_split(title, ' '), lambda w: upper(w[1]) || w[2:]), ' ')
-    || ' & ' || coalesce(brand, 'plain') AS title, price,
+    || ' & ' || coalesce(brand, 'plain') || ' é$B' AS title, price,
   CASE condition WHEN 'new' THEN 'New' WHEN 'used' THEN 'Used' ELSE 'Seller refurbished' END
-    AS condition, seller_name, image_count + 1 AS image_count,
+    AS condition, CASE WHEN watchers = 9 THEN 'unknown' ELSE seller_name END AS seller_name,
+  image_count + 3 AS image_count,
   CASE WHEN contains(title, 'ring') THEN 'rings' ELSE 'other' END AS category,
   'unknown' AS material, 'USD' AS currency,
-  'https://img.example.com/0/s-l1600.jpg' AS main_image_path
-  FROM listings""",
+  'https://img.example.com/main/s-l1600.jpg' AS main_image_path
+  FROM listings WHERE watchers NOT IN (7, 13)""",
+    "listings",
+)
+check(
+    "images_from_pages",
+    lambda t: P.page_images(t.listing_pages, SITE, "img.example.com"),
+    """SELECT listing_id AS page_id, (generate_subscripts(urls, 1) - 1)::INT AS position,
+  unnest(urls) AS image_url FROM (SELECT listing_id,
+    ['https://img.example.com/main/s-l1600.jpg']
+    || list_transform(range(image_count + 1),
+         lambda i: 'https://img.example.com/' || i || '/s-l1600.jpg')
+    || ['https://img.example.com/big/s-l1600.jpg'] AS urls FROM listings)""",
+    "listings",
+)
+check(
+    "cards_from_result_pages",
+    lambda t: P.result_cards(t.result_pages, SITE),
+    f"""SELECT listing_id AS page_id, url AS source_page, 0 AS position, 'New ' || title AS title,
+  price, '{SITE_SQL}/itm/' || listing_id || '?a=1' AS url, 'Pre-Owned lot' AS condition,
+  'https://img.example.com/c.jpg' AS image_url,
+  CASE WHEN contains(title, 'ring') THEN 'rings' ELSE 'other' END AS category,
+  'unknown' AS material FROM listings
+UNION ALL SELECT listing_id, url, 1, material || ' <set>', 0.0,
+  'https://other.example.com/' || watchers, 'Unknown', NULL, 'other', 'unknown' FROM listings""",
     "listings",
 )
 check(
@@ -227,12 +253,13 @@ check(
 )
 check(
     "ingest_gate",
-    lambda t: I.ingest(t.listing_pages).groupBy("accepted", "quality_class", "gate_score").count(),
-    """SELECT true AS accepted, CASE WHEN s >= 0.5 THEN 'fair' WHEN s >= 0.3 THEN 'poor'
-    ELSE 'invalid' END AS quality_class, 1.0 AS gate_score, count(*) AS count
-  FROM (SELECT round(8.0::DOUBLE / 9 * 0.30 + 1.0::DOUBLE / 8 * 0.25
-    + (least((image_count + 1) / 15, 0.4) + least(14.0::DOUBLE / 50, 0.3)) * 0.15, 3)
-    AS s FROM listings) GROUP BY ALL""",
+    lambda t: I.ingest(t.listing_pages, keep_incomplete=True).groupBy(
+        "accepted", "quality_class", "gate_score").count(),
+    """SELECT gone = 0 AS accepted, CASE WHEN s >= 0.5 THEN 'fair' WHEN s >= 0.3 THEN 'poor'
+    ELSE 'invalid' END AS quality_class, 1.0::DOUBLE - gone / 10 AS gate_score, count(*) AS count
+  FROM (SELECT gone, round((8.0::DOUBLE - gone) / 9 * 0.30 + 1.0::DOUBLE / 8 * 0.25
+    + (least((image_count + 3) / 15, 0.4) + least((14.0::DOUBLE - gone) / 50, 0.3)) * 0.15, 3)
+    AS s FROM (SELECT *, (watchers IN (7, 13))::INT AS gone FROM listings)) GROUP BY ALL""",
     "listings",
 )
 _FILL = "(({0})::INT)"

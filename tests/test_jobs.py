@@ -4,6 +4,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
+from bazaarlens.operators.latest import upsert
 from bazaarlens.plans import logs, pages, rules
 from bazaarlens.plans.cache import ReportCache
 from bazaarlens.plans.ingest import ingest, split_gate
@@ -39,6 +40,41 @@ def test_listing_page(spark):
     assert good.count() == 1 and bad.count() == 0
 
 
+NESTED = """<h1 id=it data-id="it-ttl">no</h1><h1 id="it-ttl">A &eacute; <b>&#36;&#x42;</b>
+ &amp;lt; &nosuch; ring</h1><span class="notranslate"><div>US</div> $12.50</span>
+<div class="condText"><div>New</div> <div>boxed</div></div><span class="mbg-nw">x<br>y
+<img data-src="https://i/late.jpg" class="tdThumb"><img class="tdThumb" src="https://i/s-l64.jpg"
+ data-src="https://i/no.jpg"><img id="icImg" src="//i/main.jpg"><script>"originalImg":"https://i/s-l64.jpg"
+</script>"""
+
+
+def test_nested_elements_and_references(spark):
+    df = page_table(spark, (1, "https://a/itm/1", NESTED), (2, "u", None), (3, "u", ""))
+    row, = pages.extract_listings(df, site="https://a").collect()
+    assert row["title"] == "A é $B &lt; &nosuch; ring" and row["price"] == 12.5
+    assert row["condition"] == "New boxed" and row["seller_name"] == "xy"
+    assert row["image_urls"] == ["https://i/main.jpg", "https://i/late.jpg", "https://i/s-l1600.jpg"]
+    assert pages.extract_listings(df, keep_incomplete=True).count() == 3
+
+
+def test_text_functions_keep_ordinary_text(spark):
+    from bazaarlens.functions import text
+
+    df = spark.createDataFrame(
+        [("Signed ring. Manufacturer item number 55, made of 18k gold, boxed See original listing",)],
+        "t string")
+    out = df.select(text.clean_text(F.col("t")).alias("a"), text.clean_text(
+        F.col("t"), [r"\bManufacturer item number.*$"]).alias("b")).first()
+    assert out["a"] == "Signed ring. Manufacturer item number 55, made of 18k gold, boxed"
+    assert out["b"] == "Signed ring."
+    long = "<ul>" + "".join(f"<li>feature number {i} <b>bold</b></li>" for i in range(30)) + "</ul>"
+    page = page_table(spark, (1, "u", long + '<div class="a feature">a feature <p>block</p></div>'))
+    found = [r["feature"] for r in pages.page_features(page).orderBy("position").collect()]
+    assert len(found) == 31 and found[29:] == ["feature number 29 bold", "a feature block"]
+    many = "".join(f'<a href="/itm/{i}">x</a>' for i in range(80))
+    assert pages.page_links(page_table(spark, (1, "u", many)), "https://a").count() == 80
+
+
 def test_result_page(spark):
     df = page_table(spark, (1, "https://a/s", RESULTS))
     links = pages.page_links(df, "https://a").orderBy("position").collect()
@@ -84,14 +120,88 @@ def test_export_without_rows_fails(spark, tmp_path):
     assert result["record_count"] == 1
 
 
-def test_table_versions(spark, tmp_path):
-    table = store.CurrentTable(spark, str(tmp_path))
-    schema = "listing_id string, url string, price double, scraped_at timestamp"
+TABLE = "listing_id string, url string, price double, scraped_at timestamp"
+
+
+def test_current_table_keeps_the_newest_row_per_key(spark, tmp_path):
+    table = store.CurrentTable(spark, str(tmp_path), buckets=4)
     assert table.read() is None
-    table.upsert(spark.createDataFrame([("1", "u", 1.0, NOW)], schema), NOW)
-    table.upsert(spark.createDataFrame([("1", "u", 2.0, NOW + timedelta(1))], schema), NOW)
-    assert [r["price"] for r in table.read().collect()] == [2.0]
-    assert table.versions().count() == 2
+
+    def put(*rows):
+        table.upsert(spark.createDataFrame(list(rows), TABLE))
+
+    def prices():
+        return sorted((r["listing_id"], r["url"], r["price"]) for r in table.read().collect())
+
+    put(*[(str(i), f"u{i}", 1.0, NOW) for i in range(20)], ("x", None, 5.0, NOW))
+    put(("1", "u1", 2.0, NOW + timedelta(1)), ("2", "u2", 3.0, NOW - timedelta(1)))
+    assert ("1", "u1", 2.0) in prices() and ("2", "u2", 1.0) in prices() and len(prices()) == 21
+    put(("3", "moved", 4.0, NOW + timedelta(1)))  # an id under a new address
+    assert ("3", "moved", 4.0) in prices() and len(prices()) == 21
+    put(("new", "u4", 6.0, NOW + timedelta(1)))  # an address under a new id
+    assert ("new", "u4", 6.0) in prices() and len(prices()) == 21
+    table.delete(F.col("price") < 5)
+    assert {p for _, _, p in prices()} == {5.0, 6.0}
+    table.delete(F.lit(True))
+    assert prices() == []
+
+
+def test_untouched_buckets_stay_as_they_are(spark, tmp_path):
+    table = store.CurrentTable(spark, str(tmp_path), buckets=16)
+    table.upsert(spark.createDataFrame([(str(i), f"u{i}", 1.0, NOW) for i in range(64)], TABLE))
+    before = {f: f.stat().st_mtime_ns for f in (tmp_path / "data").rglob("*.parquet")}
+    table.upsert(spark.createDataFrame([("1", "u1", 2.0, NOW + timedelta(1))], TABLE))
+    kept = [f for f, t in before.items() if f.exists() and f.stat().st_mtime_ns == t]
+    assert 0 < len(before) - len(kept) < len(before) / 4
+    plan = upsert(table.read(), table.read())._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "WindowGroupLimit" in plan
+
+
+def test_retention_keeps_images_without_a_deleted_listing(spark):
+    listings = spark.createDataFrame(
+        [("old", False, NOW - timedelta(90)), ("kept", True, NOW - timedelta(90)),
+         ("new", False, NOW)], "listing_id string, is_validated boolean, scraped_at timestamp")
+    images = spark.createDataFrame(
+        [("a", "old"), ("b", "kept"), ("c", "orphan"), ("d", None)], "image_id string, listing_id string")
+    left = store.retained_images(images, listings, NOW)
+    assert sorted(r["image_id"] for r in left.collect()) == ["b", "c", "d"]
+
+
+def test_second_partitioned_export_replaces_the_first(spark, tmp_path):
+    rows = spark.createDataFrame([("a", "x"), ("b", "y")], "listing_id string, category string")
+    options = export.ExportOptions("parquet", partition_by=["category"])
+    for mode in ("dynamic", "static"):
+        spark.conf.set("spark.sql.sources.partitionOverwriteMode", mode)
+        export.export(rows, str(tmp_path / mode), options)
+        export.export(rows.where("category = 'x'"), str(tmp_path / mode), options)
+        assert spark.read.parquet(str(tmp_path / mode)).count() == 1
+    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+
+
+def test_copies_hold_late_and_timeless_rows_and_their_bytes(spark, tmp_path):
+    copies = store.TableCopies(spark, str(tmp_path))
+    rows = [("a", NOW), ("b", NOW - timedelta(1)), ("c", None), ("d", NOW + timedelta(1))]
+    schema = "id string, at timestamp"
+    copies.copy("t", spark.createDataFrame(rows[:1], schema), "at", "full", NOW, keys=["id"])
+    path = copies.copy("t", spark.createDataFrame(rows, schema), "at", "incremental",
+                       NOW + timedelta(1), keys=["id"])
+    assert sorted(r["id"] for r in spark.read.parquet(path).collect()) == ["b", "c", "d"]
+    path = copies.copy("t", spark.createDataFrame(rows, schema), "at", "incremental",
+                       NOW + timedelta(2), keys=["id"])
+    assert spark.read.schema(schema).parquet(path).count() == 0
+    import os
+
+    for r in copies.history().collect():
+        files = [e for e in os.scandir(r["path"]) if not e.name.startswith(("_", "."))]
+        assert r["size_bytes"] == sum(e.stat().st_size for e in files)
+
+
+def test_last_hour_ends_at_the_clock(spark):
+    errors = spark.createDataFrame(
+        [(NOW + timedelta(minutes=m), "network", "low") for m in (-61, -60, -30, 0, 1)],
+        "timestamp timestamp, category string, severity string")
+    out = logs.last_hour_errors(errors, NOW).where("kind = 'category'").collect()
+    assert [r["errors"] for r in out] == [2]
 
 
 def test_cache_expires_and_clears(spark, tmp_path):
@@ -146,6 +256,40 @@ def test_streams_match_batch(spark, tmp_path):
     assert got.agg(F.sum("steps")).collect()[0][0] == 300
 
 
+def test_late_rows_are_counted(spark, tmp_path):
+    log = request_log(spark)
+    ahead = log.withColumn("timestamp", F.col("timestamp") + F.expr("interval 5 days"))
+    for part in (log.limit(100), ahead.limit(100), log.limit(100)):
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = streams.read_stream(spark, str(tmp_path / "in"), log.schema, per_trigger=1)
+        query = streams.start_updates(streams.request_counts(stream, "1 hour"),
+                                      str(tmp_path / "out"), str(tmp_path / "checkpoint"))
+        query.awaitTermination()
+    assert streams.late_rows(query) > 0
+
+
+def test_session_windows_and_bounded_deduplication_in_a_stream(spark, tmp_path):
+    log = request_log(spark)
+    for part in range(3):
+        log.where(F.floor(F.col("request_id") / 100) == part).coalesce(1).write.mode(
+            "append").parquet(str(tmp_path / "in"))
+
+    def stream():
+        return streams.read_stream(spark, str(tmp_path / "in"), log.schema, per_trigger=1)
+
+    got = streams.gap_sessions(stream(), "session_id", "1 minute")
+    query = (got.writeStream.format("memory").queryName("gaps").outputMode("append")
+             .option("checkpointLocation", str(tmp_path / "g")).trigger(availableNow=True).start())
+    query.awaitTermination()
+    closed = spark.table("gaps")
+    assert closed.count() > 0 and closed.where("ends_at - started_at < interval 1 minute").count() == 0
+    first = streams.unseen(stream(), "session_id")
+    query = (first.writeStream.format("memory").queryName("seen").outputMode("append")
+             .option("checkpointLocation", str(tmp_path / "s")).trigger(availableNow=True).start())
+    query.awaitTermination()
+    assert spark.table("seen").select("session_id").distinct().count() == 4
+
+
 def test_cluster_needs_shared_folder(spark):
     from bazaarlens.session import work_dir
 
