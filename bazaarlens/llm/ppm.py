@@ -169,6 +169,12 @@ class Model:
             left = left[at == 0]
         return bits
 
+    def known_share(self, column: pa.Array) -> np.ndarray:
+        """Share of each row's bytes that any language has seen."""
+        data, ends = text_buffer(column)
+        sums = np.concatenate(([0], np.cumsum(self.symbol[data] > 0)))
+        return (sums[ends[1:]] - sums[ends[:-1]]) / np.maximum(np.diff(ends), 1)
+
     def predict(self, column: pa.Array, letters: np.ndarray):
         """Per row: language, its posterior and the code length in bits per byte."""
         data, ends = text_buffer(column)
@@ -256,8 +262,9 @@ def identify(
 
 
 def in_known_language(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """Rows of ``docs`` in some learned language: not ``und``, and coded in fewer than the 8 bits
-    per byte that no model at all needs."""
+    """Rows of ``docs`` in some learned language: not ``und``, and at least half of their bytes
+    occur in the training sample of any language (a text in another script fails that, a short
+    text around a key or a number does not)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     flagged = docs.select("*", _has_letter(text_col).alias(spare(docs, "_letters")[0]))
     columns, text = docs.columns, docs.columns.index(text_col)
@@ -266,8 +273,8 @@ def in_known_language(docs: DataFrame, model: Model, text_col: str = "text") ->
         for batch in batches:
             for piece in slices(batch, text):
                 flags = piece.column(len(columns)).to_numpy(zero_copy_only=False)
-                names, _, bits = shared.value.predict(piece.column(text), flags)
-                keep = (names != UNKNOWN) & (bits < 8)
+                names, _, _ = shared.value.predict(piece.column(text), flags)
+                keep = (names != UNKNOWN) & (shared.value.known_share(piece.column(text)) >= 0.5)
                 yield piece.select(columns).filter(pa.array(keep.astype(bool)))
 
     return flagged.mapInArrow(run, docs.schema)
