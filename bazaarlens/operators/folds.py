@@ -1,8 +1,8 @@
 """Ordered per-key folds of the form ``s <- min(cap, a*s + b)``.
 
 Such steps compose: two of them are again one ``(cap, a, b)`` step. The rows are
-range-partitioned by key and time, each partition composes its own stretch per
-key, and only one small row per partition and key is combined at the end. A key
+range-partitioned by key and time, each Arrow batch composes its own stretch per
+key, and only one small row per batch and key is combined at the end. A key
 with any share of the rows is therefore spread over many tasks.
 """
 
@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,30 +19,40 @@ _STRETCH = "_key string, _first struct<t:bigint,i:bigint>, _n bigint, _cap doubl
 
 
 def _compose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Compose consecutive steps of equal key within a sorted partition."""
-    key, open_row, done = object(), None, []
-    for batch in batches:
-        for k, t, i, cap, a, b in batch.itertuples(index=False, name=None):
-            if open_row is not None and k == key:
-                open_row[2] += 1
-                open_row[3] = min(cap, a * open_row[3] + b)
-                open_row[4] *= a
-                open_row[5] = a * open_row[5] + b
-                continue
-            if open_row is not None:
-                done.append(open_row)
-            key, open_row = k, [k, {"t": t, "i": i}, 1, cap, a, b]
-        if len(done) >= 10_000:
-            yield _frame(done)
-            done = []
-    if open_row is not None:
-        done.append(open_row)
-    if done:
-        yield _frame(done)
-
+    """Compose consecutive steps of equal key: one row per key and batch.
 
-def _frame(rows: list[list]) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=["_key", "_first", "_n", "_cap", "_a", "_b"])
+    Neighbouring steps are composed pairwise in rounds, whole columns at a time, so a batch of n
+    rows takes log2(n) rounds whatever its keys are.
+    """
+    for batch in batches:
+        if batch.empty:
+            continue
+        code = (batch["_key"] != batch["_key"].shift()).cumsum().to_numpy()
+        cap, a, b = (batch[c].to_numpy(float) for c in ("_cap", "_a", "_b"))
+        starts = np.flatnonzero(np.diff(code, prepend=0))
+        sizes = np.diff(np.append(starts, len(code)))
+        while len(code) > len(starts):
+            # within a key, the first of each pair takes in the second
+            rank = np.arange(len(code)) - np.repeat(np.flatnonzero(np.diff(code, prepend=0)),
+                                                    np.unique(code, return_counts=True)[1])
+            first = np.flatnonzero(rank % 2 == 0)
+            paired = first[(first + 1 < len(code))]
+            paired = paired[code[paired + 1] == code[paired]]
+            then = paired + 1
+            with np.errstate(invalid="ignore"):
+                moved = a[then] * cap[paired] + b[then]
+            # a step without a cap has none to carry on
+            moved = np.where(np.isinf(cap[paired]), np.inf, moved)
+            cap[paired] = np.minimum(cap[then], moved)
+            b[paired] = a[then] * b[paired] + b[then]
+            a[paired] = a[then] * a[paired]
+            code, cap, a, b = code[first], cap[first], a[first], b[first]
+        heads = batch.iloc[starts]
+        yield pd.DataFrame({
+            "_key": heads["_key"].to_numpy(),
+            "_first": heads[["_t", "_i"]].rename(columns={"_t": "t", "_i": "i"}).to_dict("records"),
+            "_n": sizes, "_cap": cap, "_a": a, "_b": b,
+        })
 
 
 def fold_steps(
@@ -69,7 +80,7 @@ def fold_steps(
     stretches = (
         steps.repartitionByRange(*order).sortWithinPartitions(*order).mapInPandas(_compose, _STRETCH)
     )
-    # At most one stretch per key and input partition reaches a group here.
+    # At most one stretch per key and Arrow batch of the sorted rows reaches a group here.
     parts = stretches.groupBy("_key").agg(
         F.sum("_n").alias("steps"),
         F.sort_array(F.collect_list(F.struct("_first", "_cap", "_a", "_b"))).alias("_parts"),

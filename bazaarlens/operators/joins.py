@@ -65,18 +65,22 @@ def join_children(
     children: DataFrame,
     how: str = "inner",
     key: str = "listing_id",
-    spread_by: str | None = None,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """Listings joined with their child rows (images, specifications).
 
     ``how`` is inner, left (keep all listings), right (keep all children) or
-    full. Listings without children are found against the distinct child keys.
+    full. Listings without children are found against the distinct child keys. The children are
+    the left side, whose busy keys Spark splits while it runs; ``hot`` names keys to salt instead.
     """
-    spread_by = spread_by or next(c for c in children.columns if c != key)
     order = [key, *[c for c in listings.columns if c != key],
              *[c for c in children.columns if c != key]]
     child_side = "left" if how in ("right", "full") else "inner"
-    matched = salted_join(children, listings, [key], [spread_by], child_side).select(*order)
+    if hot is None:
+        matched = children.join(listings, key, child_side).select(*order)
+    else:
+        spread_by = [c for c in children.columns if c != key][:1]
+        matched = salted_join(children, listings, [key], spread_by, child_side, hot).select(*order)
     if how in ("inner", "right"):
         return matched
     if how not in ("left", "full"):
@@ -105,38 +109,26 @@ def session_join(
     """Listings joined with the sessions running at their collection time.
 
     Open sessions end at ``as_of``. Sessions are spread over the days they cover
-    so the range condition becomes an equality on the day plus a filter, and busy
-    days are salted.
+    so the range condition becomes an equality on the day plus a comparison inside the join, which
+    keeps unmatched listings itself. Rows of a busy day are split by Spark while it runs.
     """
+    if how not in ("inner", "left", "right", "full"):
+        raise ValueError(f"unknown join type: {how}")
     end = F.coalesce("completed_at", F.lit(as_of).cast("timestamp"))
     columns = session_columns or sessions.columns
     spans = sessions.withColumn("_end", end).where("_end >= started_at")
+    every_day = F.sequence(F.to_date("started_at"), F.to_date("_end"), F.expr("interval 1 day"))
     days = spans.select(
-        *columns,
-        F.col("started_at").alias("_from"),
-        "_end",
-        F.explode(
-            F.sequence(F.to_date("started_at"), F.to_date("_end"), F.expr("interval 1 day"))
-        ).alias("_day"),
+        *columns, F.col("started_at").alias("_from"), "_end", F.explode(every_day).alias("_day")
     )
-    rows = listings.withColumn("_day", F.to_date(time))
-    joined = salted_join(rows, days, ["_day"], ["listing_id"]).where(
-        F.col(time).between(F.col("_from"), F.col("_end"))
-    )
-    joined = joined.drop("_day", "_from", "_end")
-    if how == "inner":
-        return joined
-    out = joined
-    if how in ("left", "full"):
-        out = out.unionByName(
-            missing_from(listings, joined, "listing_id", time), allowMissingColumns=True
-        )
+    rows = listings.withColumn("_on", F.to_date(time))
+    same = (F.col("_on") == F.col("_day")) & F.col(time).between(F.col("_from"), F.col("_end"))
+    left = "left" if how in ("left", "full") else "inner"
+    out = rows.join(days, same, left).drop("_on", "_day", "_from", "_end")
     if how in ("right", "full"):
-        out = out.unionByName(
-            missing_from(sessions.select(*columns), joined, "session_id"), allowMissingColumns=True
-        )
-    if how not in ("left", "right", "full"):
-        raise ValueError(f"unknown join type: {how}")
+        met = out.where("session_id IS NOT NULL") if left == "left" else out
+        alone = missing_from(sessions.select(*columns), met, "session_id")
+        out = out.unionByName(alone, allowMissingColumns=True)
     return out
 
 

@@ -3,23 +3,30 @@
 Split into ``b`` blocks, two hashes that differ in at most ``t`` bits agree on
 at least ``b - t`` whole blocks. Every choice of ``b - t`` blocks gives one
 signature; equal signatures are the only candidates, so the similarity join is
-an equality join. Exact copies are reduced to one row per distinct hash first,
-and buckets that are still crowded are split again by signatures over another
-division of the bits, which keeps the join exact.
+a grouping by signature. Exact copies are reduced to one row per distinct hash first.
+
+A task compares the hashes of one bucket in id order and sends on one row per hash at most: its
+smallest earlier neighbour. Once found, a hash leaves the comparison, so dense buckets are quick
+and no pairs are listed. A bucket of more than ``crowded`` hashes is dealt out again by signatures
+over another division of the bits.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bazaarlens.functions.images import hamming
 from bazaarlens.operators.joins import HOT_PARTS, salted_join
+from bazaarlens.session import work_dir
 
 BITS = 64
-CROWDED = 2_000
+CROWDED = 50_000
 
 
 def _masks(threshold: int, keep: int, interleaved: bool) -> list[int]:
@@ -37,6 +44,67 @@ def _signatures(code: Column, masks: list[int]) -> Column:
     return F.posexplode(F.array(*[code.bitwiseAND(F.lit(m).cast("long")) for m in masks]))
 
 
+def earlier_neighbours(hashes: np.ndarray, threshold: int) -> np.ndarray:
+    """For rows in id order, the position of the first earlier row within the threshold, or -1."""
+    out = np.full(len(hashes), -1)
+    left = np.arange(1, len(hashes))
+    for j in range(len(hashes) - 1):
+        if not len(left):
+            break
+        left = left[left > j]
+        near = np.bitwise_count(hashes[left] ^ hashes[j]) <= threshold
+        out[left[near]] = j
+        left = left[~near]
+    return out
+
+
+def _search(threshold: int, crowded: int | None):
+    """Task over rows sorted by bucket and id: (hash, near_id) found, or rows of a crowded bucket
+    with a NULL ``near_id``."""
+
+    def rows(bucket, hashes, ids, near) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array(x) if isinstance(x, np.ndarray) else x for x in (bucket, hashes, ids, near)],
+            names=["bucket", "hash", "first_id", "near_id"],
+        )
+
+    def closed(bucket, hashes, ids) -> Iterator[pa.RecordBatch]:
+        if not len(bucket):
+            return
+        starts = np.flatnonzero(np.diff(bucket, prepend=~bucket[:1]))
+        for a, b in zip(starts, [*starts[1:], len(bucket)], strict=True):
+            if b - a == 1:
+                continue
+            found = earlier_neighbours(hashes[a:b].view(np.uint64), threshold)
+            hit = np.flatnonzero(found >= 0) + a
+            if len(hit):
+                yield rows(bucket[hit], hashes[hit], ids[hit], ids[a + found[hit - a]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros(0, np.int64)] * 3
+        over = None
+        for batch in batches:
+            held = [np.concatenate([h, c.to_numpy()]) for h, c in zip(held, batch.columns, strict=True)]
+            if over is not None:
+                n = int(np.searchsorted(held[0], over, "right"))
+                if n:
+                    yield rows(*[h[:n] for h in held], pa.nulls(n, pa.int64()))
+                    held = [h[n:] for h in held]
+                if not len(held[0]):
+                    continue
+                over = None
+            last = int(np.searchsorted(held[0], held[0][-1]))
+            yield from closed(*[h[:last] for h in held])
+            held = [h[last:] for h in held]
+            if crowded is not None and len(held[0]) > crowded:
+                over = held[0][0]
+                yield rows(*held, pa.nulls(len(held[0]), pa.int64()))
+                held = [h[:0] for h in held]
+        yield from closed(*held)
+
+    return run
+
+
 def closest_earlier(
     distinct: DataFrame, threshold: int, keep: int, crowded: int = CROWDED
 ) -> DataFrame:
@@ -44,28 +112,30 @@ def closest_earlier(
 
     ``distinct`` has one row per hash with its smallest image id ``first_id``.
     """
-    coarse = distinct.select(
-        "hash", "first_id", _signatures(F.col("hash"), _masks(threshold, keep, False))
-    ).withColumnsRenamed({"pos": "s1", "col": "v1"})
-    sizes = coarse.groupBy("s1", "v1").agg(F.count("*").alias("_n"))
-    full = sizes.where(F.col("_n") > crowded).select("s1", "v1")
-    bucket = ["s1", "v1", "s2", "v2"]
-    plain = coarse.join(full, ["s1", "v1"], "left_anti").select(
-        "hash", "first_id", "s1", "v1", F.lit(-1).alias("s2"), F.lit(0).cast("long").alias("v2")
-    )
-    fine = coarse.join(full, ["s1", "v1"], "left_semi").select(
-        "hash", "first_id", "s1", "v1",
-        _signatures(F.col("hash"), _masks(threshold, keep, True)),
-    ).withColumnsRenamed({"pos": "s2", "col": "v2"})
-    rows = plain.unionByName(fine)
-    a = rows
-    b = rows.select(*bucket, F.col("hash").alias("b_hash"), F.col("first_id").alias("b_id"))
-    near = a.join(b, bucket).where(
-        (F.col("b_id") < F.col("first_id")) & (hamming(F.col("hash"), F.col("b_hash")) <= threshold)
-    )
-    best = F.min(F.struct("b_id", hamming(F.col("hash"), F.col("b_hash")).alias("d")))
-    return near.groupBy("hash").agg(best.alias("_near")).select(
-        "hash", F.col("_near.b_id").alias("near_id"), F.col("_near.d").alias("near_distance")
+    rows, found = distinct.select("hash", F.col("first_id").cast("bigint").alias("first_id")), None
+    for level in (0, 1):
+        signatures = _signatures(F.col("hash"), _masks(threshold, keep, bool(level)))
+        inside = [c for c in rows.columns if c == "bucket"]
+        buckets = rows.select(*inside, "hash", "first_id", signatures.alias("_s", "_v")).select(
+            F.xxhash64(*inside, "_s", "_v").alias("bucket"), "hash", "first_id"
+        )
+        out = buckets.repartition("bucket").sortWithinPartitions("bucket", "first_id").mapInArrow(
+            _search(threshold, None if level else crowded),
+            "bucket bigint, hash bigint, first_id bigint, near_id bigint",
+        )
+        spark = distinct.sparkSession
+        path = work_dir(spark, "neighbours")
+        out.write.parquet(path)
+        out = spark.read.schema(out.schema).parquet(path)
+        own = out.where("near_id IS NOT NULL").select("hash", "near_id")
+        found = own if found is None else found.unionByName(own)
+        rows = out.where("near_id IS NULL").select("bucket", "hash", "first_id")
+        if level or rows.isEmpty():
+            break
+    least = found.groupBy("hash").agg(F.min("near_id").alias("near_id"))
+    other = distinct.select(F.col("hash").alias("_other"), F.col("first_id").alias("near_id"))
+    return least.join(other, "near_id").select(
+        "hash", "near_id", hamming(F.col("hash"), F.col("_other")).alias("near_distance")
     )
 
 

@@ -1,7 +1,8 @@
 """Exact grouped quantiles that never sort or buffer a whole group.
 
-A mergeable sketch brackets each wanted rank; rows below a bracket are only
-counted, and just the thin slice inside it is ranked exactly.
+A mergeable sketch cuts the values of each key into slices of about equal weight. Slices are
+counted, and only those that hold a wanted rank are ranked. The sketch decides how even the slices
+are, never the result, and the slices of a hot key lie in different tasks.
 """
 
 from __future__ import annotations
@@ -10,99 +11,67 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-ACCURACY = 10_000
+SLICES = 64
+SALTS = 16
+ACCURACY = 1_000
 
 
 def exact_quantiles(
-    df: DataFrame,
-    keys: list[str],
-    value: str,
-    wanted: dict[str, float],
-    accuracy: int = ACCURACY,
+    df: DataFrame, keys: list[str], value: str, wanted: dict[str, float], slices: int = SLICES
 ) -> DataFrame:
-    """Interpolated quantiles (``name -> fraction``) of ``value`` per key.
-
-    The sketch is off by at most one in ``accuracy`` ranks, so in a group larger
-    than that a bracket three times as wide holds both neighbours of every wanted
-    rank. Smaller groups are ranked whole.
-    """
-    rows = df.where(F.col(value).isNotNull()).select(*keys, value)
-    margin = 3.0 / accuracy
-    marks = []
-    for q in wanted.values():
-        marks += [max(0.0, q - margin), min(1.0, q + margin)]
-    sketch = rows.groupBy(*keys).agg(
-        F.count("*").alias("_n"),
-        F.percentile_approx(value, marks, accuracy).alias("_marks"),
-        F.min(value).alias("_min"),
-        F.max(value).alias("_max"),
+    """Interpolated quantiles (``name -> fraction``) of ``value`` per key; NULL values do not
+    count, a NULL key is a key."""
+    rows = df.where(F.col(value).isNotNull()).select(
+        F.struct(*keys).alias("_k"), F.col(value).alias("_v")
+    )
+    marks = [i / slices for i in range(1, slices)]
+    sketch = rows.groupBy("_k").agg(
+        F.count("*").alias("_n"), F.percentile_approx("_v", marks, ACCURACY).alias("_marks")
     )
-    small = F.col("_n") <= accuracy
-    brackets = F.array(
-        *[
-            F.struct(
-                F.lit(name).alias("name"),
-                (F.lit(float(q)) * (F.col("_n") - 1)).alias("at"),
-                F.when(small, F.col("_min")).otherwise(_low(i, q, margin)).alias("low"),
-                F.when(small, F.col("_max")).otherwise(_high(i, q, margin)).alias("high"),
-            )
-            for i, (name, q) in enumerate(wanted.items())
-        ]
+    # Equal values of a key are one row; a key's rows meet its sketch in many tasks.
+    salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt")
+    counted = rows.groupBy("_k", "_v").agg(F.count("*").alias("_c")).withColumn(
+        "_salt", F.pmod(F.xxhash64("_v"), F.lit(SALTS)).cast("int")
     )
-    wide = sketch.select(*keys, brackets.alias("_b"))
-    # One row per key and distinct value: equal values of a hot group are one row.
-    counted = rows.groupBy(*keys, value).agg(F.count("*").alias("_c"))
-    placed = counted.join(wide, _null_safe(counted, wide, keys)).select(
-        *[counted[k] for k in keys], value, "_c", F.explode("_b").alias("_b")
+    placed = counted.join(sketch.select("_k", "_marks", salt), ["_k", "_salt"]).select(
+        "_k", "_v", "_c", F.size(F.filter("_marks", lambda m: m < F.col("_v"))).alias("_slice")
+    )
+    # At most ``slices`` rows per key from here on.
+    before = Window.partitionBy("_k").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = placed.groupBy("_k", "_slice").agg(F.sum("_c").alias("_c")).withColumn(
+        "_before", F.coalesce(F.sum("_c").over(before), F.lit(0))
+    )
+    ranks = F.explode(
+        F.array(
+            *[
+                F.struct(F.lit(name).alias("name"), (F.lit(float(q)) * (F.col("_n") - 1)).alias("at"))
+                for name, q in wanted.items()
+            ]
+        )
+    ).alias("_w")
+    asked = sketch.select("_k", ranks).select(
+        "_k", F.col("_w.name").alias("_name"), F.col("_w.at").alias("_at")
+    )
+    near = (F.ceil("_at") >= F.col("_before")) & (F.floor("_at") < F.col("_before") + F.col("_c"))
+    held = sizes.join(asked, "_k").where(near).select("_k", "_slice", "_before", "_name", "_at")
+    needed = held.select("_k", "_slice", "_before").distinct()
+    upto = Window.partitionBy("_k", "_slice").orderBy("_v")
+    ranked = placed.join(needed, ["_k", "_slice"]).select(
+        "_k", "_slice", "_v", "_c", (F.sum("_c").over(upto) + F.col("_before")).alias("_end")
     )
-    placed = placed.where(F.col(value) <= F.col("_b.high"))
-    below = F.col(value) < F.col("_b.low")
-    # Counts below the bracket collapse into one row; the slice inside keeps its values.
-    slots = placed.groupBy(
-        *keys,
-        F.col("_b.name").alias("_name"),
-        F.col("_b.at").alias("_at"),
-        F.when(~below, F.col(value)).alias("_v"),
-    ).agg(F.sum("_c").alias("_c"))
-    upto = Window.partitionBy(*keys, "_name").orderBy(F.col("_v").asc_nulls_first())
-    ranked = slots.withColumn("_end", F.sum("_c").over(upto))
     start, end = F.col("_end") - F.col("_c"), F.col("_end")
-    lower, upper = F.floor("_at"), F.ceil("_at")
 
     def at(rank):
         return F.max(F.when((start <= rank) & (rank < end), F.col("_v")))
 
     share = F.col("_at") - F.floor("_at")
+    low, high = F.col("_lo"), F.col("_hi")
     picked = (
-        ranked.groupBy(*keys, "_name", "_at")
-        .agg(at(lower).alias("_lo"), at(upper).alias("_hi"))
-        .select(
-            *keys,
-            "_name",
-            F.when(
-                F.col("_lo").isNull() | F.col("_hi").isNull(),
-                F.raise_error(F.lit("quantile outside its bracket")).cast("double"),
-            )
-            .when(share == 0, F.col("_lo"))
-            .otherwise(F.col("_lo") + (F.col("_hi") - F.col("_lo")) * share)
-            .alias("_q"),
-        )
+        ranked.join(held.drop("_before"), ["_k", "_slice"])
+        .groupBy("_k", "_name", "_at")
+        .agg(at(F.floor("_at")).alias("_lo"), at(F.ceil("_at")).alias("_hi"))
+        .select("_k", "_name", F.when(share == 0, low).otherwise(low + (high - low) * share).alias("_q"))
     )
-    return picked.groupBy(*keys).agg(
+    return picked.groupBy("_k").agg(
         *[F.max(F.when(F.col("_name") == name, F.col("_q"))).alias(name) for name in wanted]
-    )
-
-
-def _low(i: int, q: float, margin: float):
-    return F.col("_min") if q - margin <= 0 else F.element_at("_marks", 2 * i + 1)
-
-
-def _high(i: int, q: float, margin: float):
-    return F.col("_max") if q + margin >= 1 else F.element_at("_marks", 2 * i + 2)
-
-
-def _null_safe(a: DataFrame, b: DataFrame, keys: list[str]):
-    out = F.lit(True)
-    for key in keys:
-        out = out & a[key].eqNullSafe(b[key])
-    return out
+    ).select(*[F.col("_k")[k].alias(k) for k in keys], *wanted)

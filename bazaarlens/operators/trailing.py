@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+SLOTS = 64
+
 
 def trailing_counts(
     log: DataFrame,
@@ -16,27 +18,53 @@ def trailing_counts(
 ) -> DataFrame:
     """Sums of ``measures`` over ``(t - seconds, t]`` at every logged moment.
 
-    Rows of the same key and moment are summed first. Each moment then belongs to
-    one time slot and is repeated as context in the next, so a window partition
-    covers a key's two slots instead of its whole history.
+    The span is cut into 64 slots. With the running sum inside a slot, the trailing sum at t is
+    that at t, plus the 64 slots before, less that at ``t - seconds`` (which lies exactly 64 slots
+    earlier, so each moment also asks there). A task holds slots, never an hour of the whole log.
     """
-    keys = keys or []
+    keys, names = keys or [], list(measures)
     span = seconds * 1_000_000
+    width = span // SLOTS
     moments = log.groupBy(*keys, F.unix_micros(time).alias("_t")).agg(
         *[F.sum(c).alias(n) for n, c in measures.items()]
     )
-    slot = F.col("_t") - F.pmod(F.col("_t"), F.lit(span))
-    shared = moments.withColumn("_slot", slot).withColumn(
-        "_in", F.explode(F.array(F.col("_slot"), F.col("_slot") + span))
+    zero = F.lit(0)
+    asked = F.inline(
+        F.array(
+            F.struct(F.lit(0).alias("_ago"), F.col("_t").alias("_at"), *names),
+            F.struct(
+                F.lit(1).alias("_ago"), (F.col("_t") - span).alias("_at"),
+                *[zero.cast(moments.schema[n].dataType).alias(n) for n in names],
+            ),
+        )
     )
-    trailing = (
-        Window.partitionBy(*keys, "_in").orderBy("_t").rangeBetween(-(span - 1), Window.currentRow)
+    slot = F.floor(F.col("_at") / width).alias("_slot")
+    points = moments.select(*keys, "_t", asked).select("*", slot)
+    inside = Window.partitionBy(*keys, "_slot").orderBy("_at").rangeBetween(
+        Window.unboundedPreceding, Window.currentRow
     )
-    summed = shared.select(
-        *keys, "_t", "_slot", "_in", *[F.sum(n).over(trailing).alias(n) for n in measures]
+    running = points.select(*keys, "_t", "_ago", *[F.sum(n).over(inside).alias(n) for n in names])
+    sides = running.groupBy(*keys, "_t").agg(
+        *[F.sum(F.when(F.col("_ago") == 0, F.col(n)).otherwise(-F.col(n))).alias(n) for n in names]
+    ).withColumn("_slot", F.floor(F.col("_t") / width))
+    # One row per slot; each also serves as context of the next stretch of slots.
+    totals = moments.groupBy(*keys, F.floor(F.col("_t") / width).alias("_slot")).agg(
+        *[F.sum(n).alias(n) for n in names]
     )
-    return summed.where("_in = _slot").select(
-        *keys, F.timestamp_micros("_t").alias(time), *measures
+    stretch = F.floor(F.col("_slot") / SLOTS)
+    spread = totals.withColumn("_in", F.explode(F.array(stretch, stretch + 1)))
+    before = Window.partitionBy(*keys, "_in").orderBy("_slot").rangeBetween(-SLOTS, -1)
+    earlier = spread.select(
+        *keys, "_slot", "_in", *[F.sum(n).over(before).alias(f"_{n}") for n in names]
+    ).where(F.col("_in") == stretch).drop("_in")
+    same = F.lit(True)
+    earlier = earlier.withColumnsRenamed({k: f"_k_{k}" for k in keys} | {"_slot": "_s"})
+    for key in keys:
+        same = same & F.col(key).eqNullSafe(F.col(f"_k_{key}"))
+    joined = sides.join(earlier, same & (F.col("_slot") == F.col("_s")), "left")
+    return joined.select(
+        *keys, F.timestamp_micros("_t").alias(time),
+        *[(F.col(n) + F.coalesce(F.col(f"_{n}"), zero)).alias(n) for n in names],
     )
 
 

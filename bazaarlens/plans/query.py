@@ -138,11 +138,11 @@ class ListingQuery:
 
     # joins
     def join_images(self, images: DataFrame, how: str = "left") -> ListingQuery:
-        return self._with(rows=joins.join_children(self.rows, images, how, spread_by="image_id"))
+        return self._with(rows=joins.join_children(self.rows, images, how))
 
     def join_specifications(self, specifications: DataFrame, how: str = "left") -> ListingQuery:
         return self._with(
-            rows=joins.join_children(self.rows, specifications, how, spread_by="spec_id")
+            rows=joins.join_children(self.rows, specifications, how)
         )
 
     def join_sessions(self, sessions: DataFrame, how: str = "inner") -> ListingQuery:

@@ -144,6 +144,67 @@ check("listing_ids_from_urls",
       "SELECT DISTINCT url, replace(url, 'https://shop.example.com/itm/', '') AS item FROM listings",
       "listings")
 
+# Listing phrases with what each extractor must find in them, written by hand. ----------------
+
+PHRASES = [
+    "Buy it now: white gold ring with 1.5 ct round diamond VS1, 3.5 grams, $1,200.50",
+    "Auction lot, sterling silver .925 pendant 10 x 20 mm, 2 oz, EUR 30, item number: 123456",
+    "Platinum band £450 size 7, 5 dwt, eye clean emerald, best offer, no longer available",
+    "Stainless steel watch, CAD 99.90, 15% off, sold",
+    "Titanium bracelet AUD 75, 6.5 L x 2 W, pink opal, 2.25 carats, heart, flawless",
+    "Plain text without any of it",
+    "#123456789012 active auction, 18k gold and platinum, cz, yellow, 0.5 ct, 2.5% fee, 12 x 8 x 3 cm",
+    "Princess cut ruby, VVS2, colorless, 20 lbs of bin items ended",
+]
+EXPECTED = {
+    "gemstone": (T.primary_gemstone, ["diamond", None, "emerald", None, "opal", None, "cz", "ruby"]),
+    "weight": (T.weight, ["3.5 grams", "2 oz", "5 dwt", None, None, None, None, "20 lbs"]),
+    "dimensions": (T.dimensions, [None, "10 x 20 mm", None, None, "6.5 L x 2 W", None,
+                                  "12 x 8 x 3 cm", None]),
+    "item_number": (T.item_number, [None, "123456", None, None, None, None, "123456789012", None]),
+    "type": (T.listing_type, ["Buy It Now", "Auction", "Best Offer", "Unknown", "Unknown",
+                              "Unknown", "Auction", "Buy It Now"]),
+    "status": (T.listing_status, ["active", "unknown", "sold", "sold", "unknown", "unknown",
+                                  "active", "sold"]),
+    "currency": (T.currency, ["USD", "EUR", "GBP", "CAD", "AUD", "USD", "USD", "USD"]),
+    "material": (T.primary_material, ["gold", "silver", "platinum", "stainless_steel", "titanium",
+                                      "unknown", "gold", "unknown"]),
+    "materials": (lambda c: F.array_join(T.all_materials(c), ","),
+                  ["gold", "silver", "platinum", "stainless_steel", "titanium", "",
+                   "gold,platinum", ""]),
+    "color": (T.stone_color, ["white", None, None, None, "pink", None, "yellow", "colorless"]),
+    "clarity": (T.stone_clarity, ["VS1", None, "EYE CLEAN", None, "FLAWLESS", None, None, "VVS2"]),
+    "cut": (T.stone_cut, ["round", None, "emerald", None, "heart", None, None, "princess"]),
+    "carat": (T.stone_carat, ["1.5", None, None, None, "2.25", None, "0.5", None]),
+    "percentage": (lambda c: T.percentage(c).cast("string"),
+                   [None, None, None, "15.0", None, None, "2.5", None]),
+}
+
+
+def _phrase():
+    """A listing's phrase, chosen by its watchers."""
+    place = (F.col("watchers") % len(PHRASES) + 1).cast("int")
+    return F.concat_ws(" ", F.element_at(F.array(*map(F.lit, PHRASES)), place), F.lit("|"))
+
+
+for _name, (_read, _values) in EXPECTED.items():
+    _list = ", ".join("NULL" if v is None else f"'{v}'" for v in _values)
+    check(
+        f"phrase_{_name}",
+        lambda t, read=_read: t.listings.select("listing_id", read(_phrase()).alias("found")),
+        f"SELECT listing_id, ([{_list}])[watchers % {len(PHRASES)} + 1] AS found FROM listings",
+        "listings",
+    )
+check(
+    "auto_validated",
+    lambda t: t.listings.select(
+        "listing_id", S.auto_validated(F.col("data_completeness_score")).alias("now"),
+        S.auto_validated(F.col("data_completeness_score"), S.SCORE_V1).alias("before")),
+    f"""SELECT listing_id, data_completeness_score >= {S.SCORE_V2.validate_from} AS now,
+  data_completeness_score >= {S.SCORE_V1.validate_from} AS before FROM listings""",
+    "listings",
+)
+
 # Pages -----------------------------------------------------------------------------------
 
 HREFS = "regexp_extract_all(html, '(?is)<a\\b[^>]*?\\bhref\\s*=\\s*[\"'']([^\"'']*)[\"'']', 1)"

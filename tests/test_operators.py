@@ -99,7 +99,7 @@ def test_quantiles_of_large_group(spark):
     rows += [("same", float(x)) for x in same] + [(None, 3.0)]
     df = spark.createDataFrame(rows, "g string, v double")
     wanted = {"q0": 0.0, "q1": 0.25, "q2": 0.5, "q9": 0.999, "q10": 1.0}
-    got = {r["g"]: r for r in exact_quantiles(df, ["g"], "v", wanted, accuracy=1000).collect()}
+    got = {r["g"]: r for r in exact_quantiles(df, ["g"], "v", wanted).collect()}
     for name, data in {"hot": hot, "small": small, "same": same, None: np.array([3.0])}.items():
         for label, q in wanted.items():
             assert got[name][label] == pytest.approx(float(np.quantile(data, q)), rel=1e-12)
@@ -114,6 +114,31 @@ def test_trailing_counts_are_strict(spark):
     assert [r["n"] for r in got] == want
 
 
+@pytest.mark.parametrize("keys", [["k"], []])
+def test_trailing_counts_of_random_moments(spark, keys):
+    rng = random.Random(4)
+    rows = [(rng.choice(["a", "a", None]), START + timedelta(microseconds=rng.randrange(3 * 10**8)))
+            for _ in range(600)]
+    rows += [("a", START), ("a", START + timedelta(seconds=7)), ("a", START + timedelta(seconds=14))]
+    log = spark.createDataFrame(rows, "k string, timestamp timestamp").repartition(5)
+    got = {tuple(r)[:-1]: r["n"] for r in trailing_counts(log, 7, {"n": F.lit(1)}, keys).collect()}
+    want = {}
+    for k, t in rows:
+        own = [u for j, u in rows if (j == k or not keys) and t - timedelta(seconds=7) < u <= t]
+        want[(k, t) if keys else (t,)] = len(own)
+    assert got == want
+
+
+def test_a_dense_cluster_of_hashes_lists_no_pairs(spark):
+    codes = {0}
+    rng = random.Random(2)
+    while len(codes) < 20_000:
+        codes.add(sum(1 << b for b in rng.sample(range(40), rng.randint(1, 4))))
+    df = spark.createDataFrame(list(enumerate(sorted(codes))), "image_id long, hash long")
+    out = neighbours.near_duplicates(df, 5)
+    assert out.count() == 20_000 and out.where("duplicate_of IS NULL").count() == 1
+
+
 def test_previous_values_cross_months(spark):
     rows = [("k", START + timedelta(days=13 * i), f"{i:03d}", float(i)) for i in range(20)]
     df = spark.createDataFrame(rows, "url string, scraped_at timestamp, listing_id string, price double")
