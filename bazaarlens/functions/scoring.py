@@ -11,8 +11,13 @@ from pyspark.sql import types as T
 from bazaarlens.functions import text
 
 # Field groups and weights of the two score versions.
-_REQUIRED = "listing_id title price currency condition seller_name url category material".split()
-_IMPORTANT = "brand main_stone size weight description image_urls shipping_cost".split()
+_REQUIRED = [
+    "listing_id", "title", "price", "currency", "condition", "seller_name", "url", "category",
+    "material",
+]
+_IMPORTANT = [
+    "brand", "main_stone", "size", "weight", "description", "image_urls", "shipping_cost",
+]
 
 
 @dataclass(frozen=True)
@@ -37,12 +42,16 @@ SCORE_V2 = ScoreRule(
         (tuple(_IMPORTANT + ["seller_rating"]), 0.25),
         (
             tuple(
-                "stone_color stone_clarity stone_cut features specifications materials "
-                "metal_purity".split()
+                [
+                    "stone_color", "stone_clarity", "stone_cut", "features", "specifications",
+                    "materials", "metal_purity",
+                ]
             ),
             0.20,
         ),
-        (tuple("watchers views bids seller_feedback_count".split()), 0.10),
+        (tuple([
+            "watchers", "views", "bids", "seller_feedback_count",
+        ]), 0.10),
     ),
     bonus_weight=0.15,
     image_divisor=15,
@@ -55,7 +64,9 @@ SCORE_V1 = ScoreRule(
     groups=(
         (tuple(_REQUIRED), 0.40),
         (tuple(_IMPORTANT), 0.35),
-        (tuple("stone_color stone_clarity stone_cut features dimensions".split()), 0.15),
+        (tuple([
+            "stone_color", "stone_clarity", "stone_cut", "features", "dimensions",
+        ]), 0.15),
     ),
     bonus_weight=0.10,
     image_divisor=10,

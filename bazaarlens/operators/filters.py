@@ -183,10 +183,11 @@ _EQUAL = {
     "gemstone": "main_stone",
 } | {
     n: n
-    for n in (
-        "category material brand condition listing_status currency seller_level stone_color "
-        "stone_clarity stone_cut size era designer collection ships_from"
-    ).split()
+    for n in [
+        "category", "material", "brand", "condition", "listing_status", "currency",
+        "seller_level", "stone_color", "stone_clarity", "stone_cut", "size", "era", "designer",
+        "collection", "ships_from",
+    ]
 }
 _AT_LEAST = {
     "min_price": "price",

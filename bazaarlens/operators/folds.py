@@ -18,40 +18,48 @@ from pyspark.sql import functions as F
 _STRETCH = "_key string, _first struct<t:bigint,i:bigint>, _n bigint, _cap double, _a double, _b double"
 
 
-def _compose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Compose consecutive steps of equal key: one row per key and batch.
+def composed(
+    code: np.ndarray, cap: np.ndarray, a: np.ndarray, b: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One step per run of equal ``code``: the steps of the run one after the other.
 
-    Neighbouring steps are composed pairwise in rounds, whole columns at a time, so a batch of n
-    rows takes log2(n) rounds whatever its keys are.
+    Neighbouring steps are composed pairwise in rounds, whole columns at a time, so n rows take
+    log2(n) rounds whatever the runs are.
     """
+    cap, a, b = cap.astype(float), a.astype(float), b.astype(float)
+    while True:
+        starts = np.flatnonzero(np.diff(code, prepend=code[:1] - 1))
+        if len(starts) == len(code):
+            return cap, a, b
+        # within a run, the first of each pair takes in the second
+        rank = np.arange(len(code)) - np.repeat(starts, np.diff(np.append(starts, len(code))))
+        first = np.flatnonzero(rank % 2 == 0)
+        paired = first[first + 1 < len(code)]
+        paired = paired[code[paired + 1] == code[paired]]
+        then = paired + 1
+        with np.errstate(invalid="ignore"):
+            moved = a[then] * cap[paired] + b[then]
+        # a step without a cap has none to carry on
+        moved = np.where(np.isinf(cap[paired]), np.inf, moved)
+        cap[paired] = np.minimum(cap[then], moved)
+        b[paired] = a[then] * b[paired] + b[then]
+        a[paired] = a[then] * a[paired]
+        code, cap, a, b = code[first], cap[first], a[first], b[first]
+
+
+def _compose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Compose consecutive steps of equal key: one row per key and batch."""
     for batch in batches:
         if batch.empty:
             continue
         code = (batch["_key"] != batch["_key"].shift()).cumsum().to_numpy()
-        cap, a, b = (batch[c].to_numpy(float) for c in ("_cap", "_a", "_b"))
         starts = np.flatnonzero(np.diff(code, prepend=0))
-        sizes = np.diff(np.append(starts, len(code)))
-        while len(code) > len(starts):
-            # within a key, the first of each pair takes in the second
-            rank = np.arange(len(code)) - np.repeat(np.flatnonzero(np.diff(code, prepend=0)),
-                                                    np.unique(code, return_counts=True)[1])
-            first = np.flatnonzero(rank % 2 == 0)
-            paired = first[(first + 1 < len(code))]
-            paired = paired[code[paired + 1] == code[paired]]
-            then = paired + 1
-            with np.errstate(invalid="ignore"):
-                moved = a[then] * cap[paired] + b[then]
-            # a step without a cap has none to carry on
-            moved = np.where(np.isinf(cap[paired]), np.inf, moved)
-            cap[paired] = np.minimum(cap[then], moved)
-            b[paired] = a[then] * b[paired] + b[then]
-            a[paired] = a[then] * a[paired]
-            code, cap, a, b = code[first], cap[first], a[first], b[first]
+        cap, a, b = composed(code, *(batch[c].to_numpy(float) for c in ("_cap", "_a", "_b")))
         heads = batch.iloc[starts]
         yield pd.DataFrame({
             "_key": heads["_key"].to_numpy(),
             "_first": heads[["_t", "_i"]].rename(columns={"_t": "t", "_i": "i"}).to_dict("records"),
-            "_n": sizes, "_cap": cap, "_a": a, "_b": b,
+            "_n": np.diff(np.append(starts, len(code))), "_cap": cap, "_a": a, "_b": b,
         })
 
 

@@ -106,6 +106,7 @@ def affected(errors: DataFrame, minutes: int = 60, threshold: int = 5) -> DataFr
 
 def frequent_errors(patterns: DataFrame, per_minute: float = 2.0) -> DataFrame:
     """High-priority alerts of error windows above the rate."""
+    # Alert sentences.
     return patterns.where(F.col("frequency") > per_minute).select(
         *[c for c in ("window_start",) if c in patterns.columns],
         F.lit("high").alias("priority"),
@@ -196,6 +197,7 @@ def recovery_rates(attempts: DataFrame) -> DataFrame:
     counts = attempts.groupBy("strategy").agg(F.count("*").alias("count"))
     total = counts.agg(F.sum("count").alias("t")).scalar()
     rate = F.col("count") / total
+    # Advice sentence.
     return counts.select(
         "strategy",
         "count",

@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 from bazaarlens.operators import filters as flt
 from bazaarlens.operators import joins
 
-SUMMARY = (
-    "listing_id title price currency category material brand seller_name condition "
-    "data_completeness_score image_count watchers views scraped_at url"
-).split()
+SUMMARY = [
+    "listing_id", "title", "price", "currency", "category", "material", "brand", "seller_name",
+    "condition", "data_completeness_score", "image_count", "watchers", "views", "scraped_at",
+    "url",
+]
 
 
 @dataclass

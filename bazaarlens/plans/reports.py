@@ -158,6 +158,7 @@ def executive_summary(b: DataFrame) -> DataFrame:
         distinct("seller_name", "total_sellers"),
     )
     q = F.col("_quality")
+    # Insight sentences.
     insights = F.array_compact(
         F.array(
             F.when(F.col("total_listings") > 1000, "Large dataset with over 1,000 listings"),
@@ -235,9 +236,10 @@ def price_by_material(b: DataFrame, at_least: int = 5) -> DataFrame:
 
 
 def most_expensive(b: DataFrame, rows: int = 20) -> DataFrame:
-    columns = (
-        "listing_id title price currency category material brand seller_name watchers views"
-    ).split()
+    columns = [
+        "listing_id", "title", "price", "currency", "category", "material", "brand",
+        "seller_name", "watchers", "views",
+    ]
     return b.select(*columns).orderBy(F.desc_nulls_last("price"), "listing_id").limit(rows)
 
 

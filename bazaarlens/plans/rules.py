@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from bazaarlens.functions.text import is_url
-from bazaarlens.operators.joins import HOT_PARTS, fk_violations, salted_join
+from bazaarlens.operators.joins import SALTS, fk_violations
 from bazaarlens.operators.latest import duplicate_rows
 
 COLUMNS = [
@@ -296,10 +296,11 @@ def price_outliers(tables: dict[str, DataFrame]) -> DataFrame:
         F.count("*").alias("_n"),
         (F.avg("price") + 3 * F.stddev_pop("price")).alias("threshold"),
     )
-    total = stats.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("t")).scalar()
-    hot = stats.where(F.col("category").isNotNull() & (F.col("_n") * HOT_PARTS > total))
-    limits = stats.where("_n >= 10").select("category", "threshold")
-    rows = salted_join(priced, limits, ["category"], ["listing_id"], hot=hot)
+    # The few limits are repeated per salt, so a category of any size is spread over tasks.
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt")
+    limits = stats.where("_n >= 10").select("category", "threshold", salts)
+    salt = F.pmod(F.xxhash64("listing_id"), F.lit(SALTS)).cast("int")
+    rows = priced.withColumn("_salt", salt).join(limits, ["category", "_salt"])
     return _finding(
         rows.where("price > threshold"), "consistency_price_category", "info", "consistency",
         "listings", "price", "listing_id",

@@ -13,10 +13,11 @@ from bazaarlens.plans.reports import distinct, high_quality_count, mean, n, pric
 
 
 def high_quality_listings(listings: DataFrame) -> DataFrame:
-    columns = (
-        "listing_id title price currency category material brand seller_name seller_rating "
-        "data_completeness_score image_count watchers views scraped_at url"
-    ).split()
+    columns = [
+        "listing_id", "title", "price", "currency", "category", "material", "brand",
+        "seller_name", "seller_rating", "data_completeness_score", "image_count", "watchers",
+        "views", "scraped_at", "url",
+    ]
     return listings.where(
         "data_completeness_score >= 0.7 AND is_validated AND image_count > 0"
     ).select(*columns)
@@ -30,11 +31,11 @@ def listing_summaries(
         images.where("quality_score IS NOT NULL").groupBy("listing_id").agg(mean("quality_score", "_q"))
     )
     spec_stats = specifications.groupBy("listing_id").agg(n("_s"))
-    columns = (
-        "listing_id title price original_price currency category material brand seller_name "
-        "seller_rating condition data_completeness_score image_count watchers views bids "
-        "scraped_at is_validated url"
-    ).split()
+    columns = [
+        "listing_id", "title", "price", "original_price", "currency", "category", "material",
+        "brand", "seller_name", "seller_rating", "condition", "data_completeness_score",
+        "image_count", "watchers", "views", "bids", "scraped_at", "is_validated", "url",
+    ]
     return (
         listings.where("is_validated")
         .select(*columns)

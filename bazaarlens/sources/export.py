@@ -22,10 +22,11 @@ HISTORY = (
 LIST_FIELDS = ["materials", "features", "tags", "accent_stones", "keywords", "custom_categories"]
 METADATA_FIELDS = ["metadata", "extraction_metadata", "processing_flags"]
 RAW_FIELDS = ["raw_data"]
-SUMMARY_FIELDS = (
-    "listing_id title price currency brand seller_name condition main_stone size image_count "
-    "watchers views data_completeness_score scraped_at url"
-).split()
+SUMMARY_FIELDS = [
+    "listing_id", "title", "price", "currency", "brand", "seller_name", "condition",
+    "main_stone", "size", "image_count", "watchers", "views", "data_completeness_score",
+    "scraped_at", "url",
+]
 
 
 @dataclass

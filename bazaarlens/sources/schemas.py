@@ -2,183 +2,323 @@
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
-
-_TYPES = {
-    "text": T.StringType(),
-    "number": T.DoubleType(),
-    "count": T.LongType(),
-    "flag": T.BooleanType(),
-    "time": T.TimestampType(),
-    "list": T.ArrayType(T.StringType()),
-    "map": T.MapType(T.StringType(), T.StringType()),
-}
-
-
-def _schema(**columns: str) -> T.StructType:
-    """Build a schema from ``kind="name name ..."`` groups."""
-    return T.StructType(
-        [
-            T.StructField(name, _TYPES[kind.rstrip("_0123456789")], True)
-            for kind, names in columns.items()
-            for name in names.split()
-        ]
-    )
+from pyspark.sql.types import (
+    ArrayType, BooleanType, DoubleType, LongType, MapType, StringType, StructField, StructType,
+    TimestampType,
+)
 
+TEXT, NUMBER, COUNT = StringType(), DoubleType(), LongType()
+FLAG, TIME = BooleanType(), TimestampType()
+TEXTS, PAIRS = ArrayType(TEXT), MapType(TEXT, TEXT)
 
-LISTINGS = _schema(
-    text_1="listing_id url marketplace_item_id title",
-    number_1="price original_price buy_it_now_price starting_bid reserve_price",
-    text_2="currency condition availability",
-    count_1="quantity_available quantity_sold",
-    text_3="seller_name",
-    number_2="seller_rating",
-    count_2="seller_feedback_count",
-    number_3="seller_feedback_percentage",
-    text_4="seller_location seller_store_name seller_level category subcategory marketplace_category",
-    list_1="custom_categories",
-    text_5="brand manufacturer designer collection style era country_origin material",
-    list_2="materials",
-    text_6="metal_purity metal_stamp plating finish size ring_size length width thickness weight",
-    number_4="carat_weight",
-    text_7="dimensions main_stone",
-    map_1="main_stone_details",
-    text_8="stone_color stone_clarity stone_cut stone_shape stone_carat stone_certification",
-    list_3="accent_stones",
-    text_9="description description_html",
-    list_4="features",
-    map_2="specifications",
-    list_5="tags keywords",
-    text_10="item_number listing_type listing_format listing_status listing_duration",
-    count_3="watchers views page_views bids bid_count",
-    number_5="max_bid",
-    flag_1="reserve_met",
-    text_11="time_left",
-    flag_2="best_offer",
-    number_6="price_drop discount_percentage shipping_cost",
-    text_12="ships_from ships_to",
-    list_6="shipping_methods",
-    flag_3="expedited_shipping international_shipping",
-    text_13="handling_time return_policy return_period",
-    count_4="image_count",
-    flag_4="has_video",
-    list_7="video_urls",
-    text_14="main_image_url main_image_path",
-    count_5="description_length",
-    number_7="title_quality_score description_quality_score image_quality_score "
-    "data_completeness_score completeness_score",
-    time_1="created_at updated_at scraped_at listing_date start_time end_time last_seen",
-    flag_5="is_validated",
-    list_8="validation_errors",
-    number_8="validation_score",
-    text_15="data_source scraper_version content_hash listing_hash",
-    map_3="metadata raw_data extraction_metadata processing_flags",
+# The columns of each table in their order.
+LISTINGS = StructType(
+    [
+        StructField("listing_id", TEXT),
+        StructField("url", TEXT),
+        StructField("marketplace_item_id", TEXT),
+        StructField("title", TEXT),
+        StructField("price", NUMBER),
+        StructField("original_price", NUMBER),
+        StructField("buy_it_now_price", NUMBER),
+        StructField("starting_bid", NUMBER),
+        StructField("reserve_price", NUMBER),
+        StructField("currency", TEXT),
+        StructField("condition", TEXT),
+        StructField("availability", TEXT),
+        StructField("quantity_available", COUNT),
+        StructField("quantity_sold", COUNT),
+        StructField("seller_name", TEXT),
+        StructField("seller_rating", NUMBER),
+        StructField("seller_feedback_count", COUNT),
+        StructField("seller_feedback_percentage", NUMBER),
+        StructField("seller_location", TEXT),
+        StructField("seller_store_name", TEXT),
+        StructField("seller_level", TEXT),
+        StructField("category", TEXT),
+        StructField("subcategory", TEXT),
+        StructField("marketplace_category", TEXT),
+        StructField("custom_categories", TEXTS),
+        StructField("brand", TEXT),
+        StructField("manufacturer", TEXT),
+        StructField("designer", TEXT),
+        StructField("collection", TEXT),
+        StructField("style", TEXT),
+        StructField("era", TEXT),
+        StructField("country_origin", TEXT),
+        StructField("material", TEXT),
+        StructField("materials", TEXTS),
+        StructField("metal_purity", TEXT),
+        StructField("metal_stamp", TEXT),
+        StructField("plating", TEXT),
+        StructField("finish", TEXT),
+        StructField("size", TEXT),
+        StructField("ring_size", TEXT),
+        StructField("length", TEXT),
+        StructField("width", TEXT),
+        StructField("thickness", TEXT),
+        StructField("weight", TEXT),
+        StructField("carat_weight", NUMBER),
+        StructField("dimensions", TEXT),
+        StructField("main_stone", TEXT),
+        StructField("main_stone_details", PAIRS),
+        StructField("stone_color", TEXT),
+        StructField("stone_clarity", TEXT),
+        StructField("stone_cut", TEXT),
+        StructField("stone_shape", TEXT),
+        StructField("stone_carat", TEXT),
+        StructField("stone_certification", TEXT),
+        StructField("accent_stones", TEXTS),
+        StructField("description", TEXT),
+        StructField("description_html", TEXT),
+        StructField("features", TEXTS),
+        StructField("specifications", PAIRS),
+        StructField("tags", TEXTS),
+        StructField("keywords", TEXTS),
+        StructField("item_number", TEXT),
+        StructField("listing_type", TEXT),
+        StructField("listing_format", TEXT),
+        StructField("listing_status", TEXT),
+        StructField("listing_duration", TEXT),
+        StructField("watchers", COUNT),
+        StructField("views", COUNT),
+        StructField("page_views", COUNT),
+        StructField("bids", COUNT),
+        StructField("bid_count", COUNT),
+        StructField("max_bid", NUMBER),
+        StructField("reserve_met", FLAG),
+        StructField("time_left", TEXT),
+        StructField("best_offer", FLAG),
+        StructField("price_drop", NUMBER),
+        StructField("discount_percentage", NUMBER),
+        StructField("shipping_cost", NUMBER),
+        StructField("ships_from", TEXT),
+        StructField("ships_to", TEXT),
+        StructField("shipping_methods", TEXTS),
+        StructField("expedited_shipping", FLAG),
+        StructField("international_shipping", FLAG),
+        StructField("handling_time", TEXT),
+        StructField("return_policy", TEXT),
+        StructField("return_period", TEXT),
+        StructField("image_count", COUNT),
+        StructField("has_video", FLAG),
+        StructField("video_urls", TEXTS),
+        StructField("main_image_url", TEXT),
+        StructField("main_image_path", TEXT),
+        StructField("description_length", COUNT),
+        StructField("title_quality_score", NUMBER),
+        StructField("description_quality_score", NUMBER),
+        StructField("image_quality_score", NUMBER),
+        StructField("data_completeness_score", NUMBER),
+        StructField("completeness_score", NUMBER),
+        StructField("created_at", TIME),
+        StructField("updated_at", TIME),
+        StructField("scraped_at", TIME),
+        StructField("listing_date", TIME),
+        StructField("start_time", TIME),
+        StructField("end_time", TIME),
+        StructField("last_seen", TIME),
+        StructField("is_validated", FLAG),
+        StructField("validation_errors", TEXTS),
+        StructField("validation_score", NUMBER),
+        StructField("data_source", TEXT),
+        StructField("scraper_version", TEXT),
+        StructField("content_hash", TEXT),
+        StructField("listing_hash", TEXT),
+        StructField("metadata", PAIRS),
+        StructField("raw_data", PAIRS),
+        StructField("extraction_metadata", PAIRS),
+        StructField("processing_flags", PAIRS),
+    ]
 )
-
-IMAGES = _schema(
-    text_1="image_id listing_id original_url local_path filename image_type",
-    count_1="sequence_order",
-    flag_1="is_primary",
-    count_2="file_size width height",
-    text_2="format color_mode",
-    count_3="bit_depth",
-    flag_2="is_processed is_optimized is_resized",
-    number_1="quality_score resolution_score sharpness_score brightness_score",
-    flag_3="contains_text contains_watermark contains_logo is_duplicate",
-    text_3="similarity_hash color_histogram",
-    list_1="dominant_colors ai_tags",
-    number_2="ai_confidence",
-    list_2="object_detection",
-    text_4="alt_text generated_description manual_description",
-    list_3="processing_history",
-    map_1="optimization_settings",
-    time_1="created_at downloaded_at processed_at last_verified",
-    count_4="download_attempts",
-    list_4="download_errors processing_errors",
-    map_2="metadata exif_data",
+IMAGES = StructType(
+    [
+        StructField("image_id", TEXT),
+        StructField("listing_id", TEXT),
+        StructField("original_url", TEXT),
+        StructField("local_path", TEXT),
+        StructField("filename", TEXT),
+        StructField("image_type", TEXT),
+        StructField("sequence_order", COUNT),
+        StructField("is_primary", FLAG),
+        StructField("file_size", COUNT),
+        StructField("width", COUNT),
+        StructField("height", COUNT),
+        StructField("format", TEXT),
+        StructField("color_mode", TEXT),
+        StructField("bit_depth", COUNT),
+        StructField("is_processed", FLAG),
+        StructField("is_optimized", FLAG),
+        StructField("is_resized", FLAG),
+        StructField("quality_score", NUMBER),
+        StructField("resolution_score", NUMBER),
+        StructField("sharpness_score", NUMBER),
+        StructField("brightness_score", NUMBER),
+        StructField("contains_text", FLAG),
+        StructField("contains_watermark", FLAG),
+        StructField("contains_logo", FLAG),
+        StructField("is_duplicate", FLAG),
+        StructField("similarity_hash", TEXT),
+        StructField("color_histogram", TEXT),
+        StructField("dominant_colors", TEXTS),
+        StructField("ai_tags", TEXTS),
+        StructField("ai_confidence", NUMBER),
+        StructField("object_detection", TEXTS),
+        StructField("alt_text", TEXT),
+        StructField("generated_description", TEXT),
+        StructField("manual_description", TEXT),
+        StructField("processing_history", TEXTS),
+        StructField("optimization_settings", PAIRS),
+        StructField("created_at", TIME),
+        StructField("downloaded_at", TIME),
+        StructField("processed_at", TIME),
+        StructField("last_verified", TIME),
+        StructField("download_attempts", COUNT),
+        StructField("download_errors", TEXTS),
+        StructField("processing_errors", TEXTS),
+        StructField("metadata", PAIRS),
+        StructField("exif_data", PAIRS),
+    ]
 )
-
-SPECIFICATIONS = _schema(
-    text_1="spec_id listing_id attribute_name attribute_value attribute_category attribute_type "
-    "source_section extraction_method",
-    number_1="confidence_score",
-    text_2="standardized_name standardized_value standardized_category unit unit_standardized",
-    number_2="numeric_value",
-    flag_1="boolean_value",
-    time_1="date_value",
-    flag_2="is_verified is_standardized",
-    text_3="validation_status",
-    number_3="quality_score",
-    list_1="related_specs conflicts_with",
-    time_2="created_at updated_at verified_at",
-    map_1="metadata",
+SPECIFICATIONS = StructType(
+    [
+        StructField("spec_id", TEXT),
+        StructField("listing_id", TEXT),
+        StructField("attribute_name", TEXT),
+        StructField("attribute_value", TEXT),
+        StructField("attribute_category", TEXT),
+        StructField("attribute_type", TEXT),
+        StructField("source_section", TEXT),
+        StructField("extraction_method", TEXT),
+        StructField("confidence_score", NUMBER),
+        StructField("standardized_name", TEXT),
+        StructField("standardized_value", TEXT),
+        StructField("standardized_category", TEXT),
+        StructField("unit", TEXT),
+        StructField("unit_standardized", TEXT),
+        StructField("numeric_value", NUMBER),
+        StructField("boolean_value", FLAG),
+        StructField("date_value", TIME),
+        StructField("is_verified", FLAG),
+        StructField("is_standardized", FLAG),
+        StructField("validation_status", TEXT),
+        StructField("quality_score", NUMBER),
+        StructField("related_specs", TEXTS),
+        StructField("conflicts_with", TEXTS),
+        StructField("created_at", TIME),
+        StructField("updated_at", TIME),
+        StructField("verified_at", TIME),
+        StructField("metadata", PAIRS),
+    ]
 )
-
-SESSIONS = _schema(
-    text_1="session_id session_name parent_session_id search_query",
-    map_1="search_filters",
-    list_1="search_categories",
-    count_1="max_pages max_listings",
-    number_1="target_quality_score",
-    text_2="status",
-    number_2="progress_percentage",
-    text_3="current_phase",
-    count_2="listings_found listings_scraped listings_failed listings_skipped listings_duplicate "
-    "images_found images_downloaded images_failed images_skipped "
-    "pages_processed requests_made requests_successful requests_failed",
-    number_3="data_volume_mb average_quality_score",
-    count_3="high_quality_count low_quality_count",
-    time_1="started_at completed_at paused_at resumed_at last_activity estimated_completion",
-    count_4="error_count warning_count critical_error_count",
-    text_4="last_error",
-    map_2="error_categories",
-    count_5="retry_count",
-    map_3="performance_metrics resource_usage metadata",
-    list_2="tags",
-    text_5="notes",
+SESSIONS = StructType(
+    [
+        StructField("session_id", TEXT),
+        StructField("session_name", TEXT),
+        StructField("parent_session_id", TEXT),
+        StructField("search_query", TEXT),
+        StructField("search_filters", PAIRS),
+        StructField("search_categories", TEXTS),
+        StructField("max_pages", COUNT),
+        StructField("max_listings", COUNT),
+        StructField("target_quality_score", NUMBER),
+        StructField("status", TEXT),
+        StructField("progress_percentage", NUMBER),
+        StructField("current_phase", TEXT),
+        StructField("listings_found", COUNT),
+        StructField("listings_scraped", COUNT),
+        StructField("listings_failed", COUNT),
+        StructField("listings_skipped", COUNT),
+        StructField("listings_duplicate", COUNT),
+        StructField("images_found", COUNT),
+        StructField("images_downloaded", COUNT),
+        StructField("images_failed", COUNT),
+        StructField("images_skipped", COUNT),
+        StructField("pages_processed", COUNT),
+        StructField("requests_made", COUNT),
+        StructField("requests_successful", COUNT),
+        StructField("requests_failed", COUNT),
+        StructField("data_volume_mb", NUMBER),
+        StructField("average_quality_score", NUMBER),
+        StructField("high_quality_count", COUNT),
+        StructField("low_quality_count", COUNT),
+        StructField("started_at", TIME),
+        StructField("completed_at", TIME),
+        StructField("paused_at", TIME),
+        StructField("resumed_at", TIME),
+        StructField("last_activity", TIME),
+        StructField("estimated_completion", TIME),
+        StructField("error_count", COUNT),
+        StructField("warning_count", COUNT),
+        StructField("critical_error_count", COUNT),
+        StructField("last_error", TEXT),
+        StructField("error_categories", PAIRS),
+        StructField("retry_count", COUNT),
+        StructField("performance_metrics", PAIRS),
+        StructField("resource_usage", PAIRS),
+        StructField("metadata", PAIRS),
+        StructField("tags", TEXTS),
+        StructField("notes", TEXT),
+    ]
 )
-
-QUALITY_LOG = _schema(
-    text_1="listing_id check_type",
-    number_1="score_before score_after score_change",
-    time_1="logged_at",
+QUALITY_LOG = StructType(
+    [
+        StructField("listing_id", TEXT),
+        StructField("check_type", TEXT),
+        StructField("score_before", NUMBER),
+        StructField("score_after", NUMBER),
+        StructField("score_change", NUMBER),
+        StructField("logged_at", TIME),
+    ]
 )
-
-EXPORT_HISTORY = _schema(
-    text_1="export_id format path",
-    count_1="record_count",
-    text_2="filters status error",
-    time_1="exported_at",
+EXPORT_HISTORY = StructType(
+    [
+        StructField("export_id", TEXT),
+        StructField("format", TEXT),
+        StructField("path", TEXT),
+        StructField("record_count", COUNT),
+        StructField("filters", TEXT),
+        StructField("status", TEXT),
+        StructField("error", TEXT),
+        StructField("exported_at", TIME),
+    ]
 )
-
-COPY_HISTORY = _schema(
-    text_1="copy_id strategy status path",
-    count_1="row_count size_bytes",
-    time_1="created_at watermark",
+ERRORS = StructType(
+    [
+        StructField("error_id", TEXT),
+        StructField("timestamp", TIME),
+        StructField("error_type", TEXT),
+        StructField("error_message", TEXT),
+        StructField("severity", TEXT),
+        StructField("category", TEXT),
+        StructField("operation", TEXT),
+        StructField("url", TEXT),
+        StructField("context", PAIRS),
+        StructField("retry_count", COUNT),
+        StructField("resolved", FLAG),
+    ]
 )
-
-ERRORS = _schema(
-    text_1="error_id",
-    time_1="timestamp",
-    text_2="error_type error_message severity category operation url",
-    map_1="context",
-    count_1="retry_count",
-    flag_1="resolved",
+REQUESTS = StructType(
+    [
+        StructField("session_id", TEXT),
+        StructField("operation", TEXT),
+        StructField("timestamp", TIME),
+        StructField("response_time", NUMBER),
+        StructField("status_code", COUNT),
+        StructField("success", FLAG),
+        StructField("error_type", TEXT),
+        StructField("detection_risk", NUMBER),
+        StructField("retry_count", COUNT),
+    ]
 )
-
-REQUESTS = _schema(
-    text_1="session_id operation",
-    time_1="timestamp",
-    number_1="response_time",
-    count_1="status_code",
-    flag_1="success",
-    text_2="error_type",
-    number_2="detection_risk",
-    count_2="retry_count",
+PAGES = StructType(
+    [
+        StructField("page_id", COUNT),
+        StructField("url", TEXT),
+        StructField("html", TEXT),
+    ]
 )
 
-PAGES = _schema(count_1="page_id", text_1="url html")
-
 TABLES = {
     "listings": LISTINGS,
     "images": IMAGES,
@@ -190,26 +330,3 @@ TABLES = {
     "requests": REQUESTS,
     "pages": PAGES,
 }
-
-# Fixed vocabularies of the record tables.
-CATEGORIES = (
-    "rings necklaces earrings bracelets watches brooches anklets pendants chains sets charms "
-    "cufflinks pins tiaras body_jewelry vintage antique luxury custom other"
-).split()
-MATERIALS = (
-    "gold_24k gold_18k gold_14k gold_10k gold_9k white_gold rose_gold yellow_gold sterling_silver "
-    "silver_925 silver_950 silver_plated platinum palladium rhodium titanium stainless_steel "
-    "surgical_steel copper brass bronze aluminum leather fabric rubber plastic resin ceramic glass "
-    "wood bone shell mixed_metals gold_filled vermeil unknown other"
-).split()
-LISTING_STATUSES = (
-    "active sold ended inactive completed cancelled relisted draft scheduled unknown"
-).split()
-SESSION_STATUSES = (
-    "initialized running completed failed paused cancelled timeout rate_limited blocked retrying"
-).split()
-IMAGE_TYPES = (
-    "main gallery detail certificate appraisal packaging comparison lifestyle scale macro "
-    "angle_view back_view side_view clasp hallmark defect repair"
-).split()
-QUALITY_CLASSES = ["excellent", "good", "fair", "poor", "invalid"]

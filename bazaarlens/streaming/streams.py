@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +20,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from bazaarlens.functions import errors as err
 from bazaarlens.functions.scoring import MIN_INGEST_SCORE
+from bazaarlens.operators.folds import composed
 from bazaarlens.operators.latest import latest_per_key
 from bazaarlens.plans import logs
 from bazaarlens.plans.ingest import ingest
@@ -96,8 +98,12 @@ RISK_STATE = T.StructType(
 )
 
 
-def _fold(step: Callable[[float, object], float]):
-    """State function folding the rows of one session in time order."""
+def _fold(steps_of: Callable[[pd.DataFrame], tuple[np.ndarray, np.ndarray, np.ndarray]]):
+    """State function folding the rows of one session in time order.
+
+    ``steps_of`` gives the columns (cap, a, b) of the steps ``s <- min(cap, a*s + b)``, which are
+    composed whole columns at a time.
+    """
 
     def update(
         key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
@@ -108,9 +114,9 @@ def _fold(step: Callable[[float, object], float]):
         steps, risk, upto = state.get if state.exists else (0, 0.0, None)
         # Arrow batches of a key arrive unsorted, so the trigger's rows are ordered here.
         rows = pd.concat(list(batches)).sort_values(["timestamp", "request_id"])
-        for row in rows.itertuples(index=False):
-            risk = step(risk, row)
-            steps += 1
+        cap, a, b = composed(np.zeros(len(rows), int), *steps_of(rows))
+        risk = min(float(cap[0]), float(a[0]) * risk + float(b[0]))
+        steps += len(rows)
         last = rows["timestamp"].iloc[-1].to_pydatetime()
         upto = last if upto is None else max(upto, last)
         state.update((steps, risk, upto))
@@ -126,16 +132,23 @@ def _fold(step: Callable[[float, object], float]):
 
 def weighted_risk(log: DataFrame) -> DataFrame:
     """Running ``s <- 0.8 s + 0.2 x`` per session; input has a ``risk`` column."""
-    return _stateful(log, _fold(lambda s, row: s * 0.8 + row.risk * 0.2))
+
+    def steps(rows: pd.DataFrame):
+        n = len(rows)
+        return np.full(n, np.inf), np.full(n, 0.8), rows["risk"].to_numpy(float) * 0.2
+
+    return _stateful(log, _fold(steps))
 
 
 def decaying_risk(log: DataFrame) -> DataFrame:
     """Running risk: times 0.95 per success, plus the failure's risk up to 1."""
 
-    def step(s: float, row) -> float:
-        return s * 0.95 if row.success else min(1.0, s + row.risk)
+    def steps(rows: pd.DataFrame):
+        ok = rows["success"].to_numpy(bool)
+        risk = rows["risk"].to_numpy(float)
+        return np.where(ok, np.inf, 1.0), np.where(ok, 0.95, 1.0), np.where(ok, 0.0, risk)
 
-    return _stateful(log, _fold(step))
+    return _stateful(log, _fold(steps))
 
 
 def _stateful(log: DataFrame, update) -> DataFrame:

@@ -1,5 +1,6 @@
 """Projection, predicate, sort, paging and fluent-query checks."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from bazaarlens.functions import scoring
@@ -192,7 +193,13 @@ check("quality_classes", lambda t: t.listings.groupBy(quality_class().alias("qua
     WHEN data_completeness_score >= 0.3 THEN 'poor' ELSE 'invalid' END AS quality_class,
   count(*) AS count FROM listings GROUP BY 1""", "listings")
 
-# Sort and paging: a total order makes every page exact.
+# Sort and paging: a total order makes every place and page exact.
+def placed(df):
+    """Every row with its place in the order the query gives."""
+    rows = df.withColumn("_at", F.monotonically_increasing_id())
+    return rows.withColumn("place", F.row_number().over(Window.orderBy("_at"))).drop("_at")
+
+
 for name, choice, order in [
     ("price_asc", SortChoice(price_asc=True), "price"),
     ("price_desc", SortChoice(price_desc=True), "price DESC"),
@@ -204,15 +211,24 @@ for name, choice, order in [
     choice.then = (("listing_id", True),)
     check(
         f"sort_{name}",
-        lambda t, choice=choice: q(t).select("listing_id", "title").sort(choice).limit(40).build(),
-        f"SELECT listing_id, title FROM listings ORDER BY {order}, listing_id LIMIT 40",
+        lambda t, choice=choice: placed(q(t).select("listing_id", "title").sort(choice).build()),
+        f"""SELECT listing_id, title, row_number() OVER (ORDER BY {order}, listing_id) AS place
+  FROM listings""",
         "listings",
     )
 check("sort_multi_key",
-      lambda t: q(t).select("listing_id").order_by("category").order_by("price", False)
-      .order_by("listing_id").limit(60).build(),
-      "SELECT listing_id FROM listings ORDER BY category, price DESC, listing_id LIMIT 60",
-      "listings")
+      lambda t: placed(q(t).select("listing_id").order_by("category").order_by("price", False)
+                       .order_by("listing_id").build()),
+      """SELECT listing_id, row_number() OVER (ORDER BY category, price DESC, listing_id) AS place
+  FROM listings""", "listings")
+check("sort_ending_soon",
+      lambda t: placed(Q.ListingQuery(
+          t.listings.withColumn("end_time", F.when(F.col("bids") > 2, F.col("scraped_at"))), NOW)
+          .select("listing_id").sort(SortChoice(ending_soon=True, then=(("listing_id", True),)))
+          .build()),
+      """SELECT listing_id, row_number() OVER (
+    ORDER BY CASE WHEN bids > 2 THEN scraped_at END NULLS FIRST, listing_id) AS place
+  FROM listings""", "listings")
 check("page_three",
       lambda t: q(t).select("listing_id").order_by_price().order_by("listing_id").page(3, 25).build(),
       "SELECT listing_id FROM listings ORDER BY price, listing_id LIMIT 25 OFFSET 50", "listings")
@@ -228,9 +244,9 @@ check("high_quality_query", lambda t: Q.high_quality_query(t.listings).build(),
 check("recent_query", lambda t: Q.recent_query(t.listings, NOW, 7).build(),
       f"SELECT {SUMMARY} FROM listings WHERE scraped_at >= {AS_OF} - INTERVAL 7 DAY", "listings")
 check("popular_query",
-      lambda t: Q.popular_query(t.listings).order_by("listing_id").limit(50).build(),
-      f"""SELECT {SUMMARY} FROM listings WHERE watchers > 0
-  ORDER BY l_pop DESC, listing_id LIMIT 50""".replace("l_pop", "watchers + views"), "listings")
+      lambda t: placed(Q.popular_query(t.listings).order_by("listing_id").build()),
+      f"""SELECT {SUMMARY}, row_number() OVER (ORDER BY watchers + views DESC, listing_id) AS place
+  FROM listings WHERE watchers > 0""", "listings")
 check("category_query", lambda t: Q.category_query(t.listings, "rings").build(),
       """SELECT category, count(*) AS listing_count, round(avg(price), 4) AS avg_price,
   min(price) AS min_price, max(price) AS max_price,

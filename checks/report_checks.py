@@ -5,7 +5,7 @@ from bazaarlens.plans import stats as S
 from bazaarlens.plans import views as V
 from bazaarlens.plans.reports import base
 from bazaarlens.sources import derived
-from checks.catalog import check
+from checks.catalog import CHECKS, check
 from checks.tables import AS_OF
 
 PRICES = "round(avg(price), 4) AS avg_price, min(price) AS min_price, max(price) AS max_price"
@@ -356,6 +356,32 @@ def _bundle(t, kinds):
     return reduce(DataFrame.unionByName, parts)
 
 
+def _part_sizes(t, kinds):
+    """Rows of every part of a bundle."""
+    from functools import reduce
+
+    from pyspark.sql import DataFrame
+    from pyspark.sql import functions as F
+
+    reports, _ = R.bundle(kinds, t.listings, t.request())
+    sizes = [
+        df.agg(F.count("*").alias("rows")).select(F.lit(f"{kind}.{name}").alias("part"), "rows")
+        for kind, made in reports.items() for name, df in made.items()
+    ]
+    return reduce(DataFrame.unionByName, sizes)
+
+
+for _name, _kinds in (("dashboard_parts", R.DASHBOARD), ("market_parts", R.MARKET)):
+    check(
+        _name,
+        lambda t, kinds=_kinds: _part_sizes(t, kinds),
+        " UNION ALL ".join(
+            f"SELECT '{kind}.{part}' AS part, count(*) AS rows FROM ({CHECKS[part].sql})"
+            for kind in _kinds for part in R.REPORTS[kind]
+        ),
+    )
+
+
 # Views ---------------------------------------------------------------------------------
 
 check(
@@ -532,15 +558,18 @@ check(
   FROM events""",
     "specifications",
 )
+# All columns whose values both engines write as the same text.
+PROFILED = [
+    "listing_id", "url", "title", "description", "currency", "condition", "seller_name", "category",
+    "material", "brand", "main_stone", "watchers", "views", "bids", "image_count", "is_validated",
+]
 check(
     "column_profile",
-    lambda t: S.column_profile(
-        t.listings.select("listing_id", "brand", "main_stone", "watchers", "bids")
-    ),
+    lambda t: S.column_profile(t.listings.select(*PROFILED)),
     " UNION ALL ".join(
         f"""SELECT '{c}' AS "column", count({c}) AS filled, min({c})::VARCHAR AS smallest,
   max({c})::VARCHAR AS largest FROM listings"""
-        for c in ["listing_id", "brand", "main_stone", "watchers", "bids"]
+        for c in PROFILED
     ),
     "listings",
 )

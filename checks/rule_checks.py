@@ -146,13 +146,12 @@ check("quality_score_overall",
     ((SELECT sum(rows)::BIGINT FROM sizes) * 0.1::DOUBLE)), 3) AS score FROM found""", *ALL_TABLES)
 check("quality_score_images_only",
       lambda t: U.overall_score(
-          U.orphan_images(t.dirty_store).where("record_id LIKE '%#1'"),
+          U.orphan_images(t.dirty_store),
           {"images": t.images, "listings": t.dirty}),
       f"""SELECT (SELECT count(*) FROM images) + (SELECT count(*) FROM dirty) AS records,
   count(*) AS issues, round(greatest(0, 1 - count(*) * 0.8::DOUBLE / (((SELECT count(*) FROM images)
     + (SELECT count(*) FROM dirty)) * 0.1::DOUBLE)), 3) AS score
-  FROM images WHERE listing_id NOT IN (SELECT listing_id FROM dirty)
-    AND image_id LIKE '%#1'""", "dirty", "images")
+  FROM images WHERE listing_id NOT IN (SELECT listing_id FROM dirty)""", "dirty", "images")
 check("recommendations",
       lambda t: U.recommendations(U.validate(t.dirty_store, "strict"), t.dirty_store),
       FINDINGS + """facts AS (SELECT count(*) FILTER (severity = 'error') AS e,

@@ -375,6 +375,18 @@ check(
     'Current price seems unusually high compared to original price' END) AS errors FROM dirty""",
     "dirty",
 )
+check(
+    "gate_errors_first",
+    lambda t: t.dirty.select("listing_id", "watchers", F.array_join(S.basic_gate_errors(), "; ")
+                             .alias("errors")),
+    """SELECT listing_id, watchers, concat_ws('; ',
+  CASE WHEN coalesce(listing_id, '') = '' THEN 'ID is required' END,
+  CASE WHEN coalesce(title, '') = '' THEN 'Title is required' END,
+  CASE WHEN NOT coalesce(price > 0, false) THEN 'Valid price is required' END,
+  CASE WHEN coalesce(seller_name, '') = '' THEN 'Seller ID is required' END,
+  CASE WHEN coalesce(url, '') = '' THEN 'Listing URL is required' END) AS errors FROM dirty""",
+    "dirty",
+)
 check("content_hash",
       lambda t: t.listings.select("listing_id", S.content_hash().alias("content_hash")),
       """SELECT listing_id, md5(title || '|' || format('{:.2f}', price) || '|' || seller_name || '|'
