@@ -19,31 +19,49 @@ VOID = [
     "wbr",
 ]
 TOKEN = (
-    r"(?is)<!--.*?-->|<(?:script|style)\b.*?</(?:script|style)\s*>|</?[a-z][^>]*>|<![^>]*>|[^<]+|<"
+    r"(?is)<!--.*?-->|<(?:script|style)\b.*?</(?:script|style)\s*>|</?([a-z][\w-]*)[^>]*>"
+    r"|<![^>]*>|[^<]+|<"
 )
 
 
 def tokens(html: Column) -> Column:
     """The page as an array of (raw, name, step, id, class): step 1 opens, -1 closes, 0 is neither;
     text has an empty name, and a comment, script or style is one token named ``!``. Ids and class
-    lists stand between blanks, so that a token of them is found as text."""
-    def listed(raw: Column, tag: Column, name: str) -> Column:
+    lists stand between blanks, so that a token of them is found as text.
+
+    Names come from a second pass of the same pattern, not from a match per token.
+    """
+    def listed(raw: Column, name: str) -> Column:
         value = F.regexp_replace(attribute(raw, name), r"\s+", " ")
-        held = (tag != "") & F.contains(raw, F.lit(name))
-        return F.when(held, F.concat(F.lit(" "), value, F.lit(" "))).alias(name)
-
-    def parsed(raw: Column) -> Column:
-        tag = F.lower(F.regexp_extract(raw, r"^</?([A-Za-z][\w-]*)", 1))
-        block = raw.rlike(r"(?i)^<(?:!|script\b|style\b)")
-        alone = tag.isin(VOID) | F.endswith(raw, F.lit("/>"))
-        step = F.when(block | (tag == ""), 0).when(F.startswith(raw, F.lit("</")), -1)
-        return F.struct(
-            raw.alias("raw"), F.when(block, "!").otherwise(tag).alias("name"),
-            step.when(alone, 0).otherwise(1).alias("step"),
-            listed(raw, tag, "id"), listed(raw, tag, "class"),
+        return F.when(
+            F.contains(raw, F.lit(name)), F.concat(F.lit(" "), value, F.lit(" "))
+        ).alias(name)
+
+    def parsed(raw: Column, found: Column) -> Column:
+        blank = F.lit(None).cast("string")
+        other = F.when(F.startswith(raw, F.lit("<")) & (raw != "<"), "!").otherwise("")
+        plain = F.struct(
+            raw.alias("raw"), other.alias("name"), F.lit(0).alias("step"), blank.alias("id"),
+            blank.alias("class"),
+        )
+        closing = F.struct(
+            raw.alias("raw"), F.lower(found).alias("name"), F.lit(-1).alias("step"),
+            blank.alias("id"), blank.alias("class"),
+        )
+        alone = F.lower(found).isin(VOID) | F.endswith(raw, F.lit("/>"))
+        opening = F.struct(
+            raw.alias("raw"), F.lower(found).alias("name"),
+            F.when(alone, 0).otherwise(1).alias("step"), listed(raw, "id"), listed(raw, "class"),
+        )
+        return F.when(found == "", plain).when(F.startswith(raw, F.lit("</")), closing).otherwise(
+            opening
         )
 
-    return F.transform(F.regexp_extract_all(html, F.lit(TOKEN), F.lit(0)), parsed)
+    return F.zip_with(
+        F.regexp_extract_all(html, F.lit(TOKEN), F.lit(0)),
+        F.regexp_extract_all(html, F.lit(TOKEN), F.lit(1)),
+        parsed,
+    )
 
 
 def attribute(raw: Column, name: str) -> Column:
@@ -104,7 +122,7 @@ def token_text(own: Column) -> Column:
     parts = F.transform(F.filter(own, lambda t: t["name"] == ""), lambda t: t["raw"])
 
     def tidy(whole: Column) -> Column:
-        squeezed = F.trim(F.regexp_replace(unescape(whole), r"(?U)\s+", " "))
+        squeezed = F.trim(F.regexp_replace(unescape(whole), r"[\s\p{Z}\x{85}]+", " "))
         return _let(squeezed, lambda t: F.nullif(t, F.lit("")))
 
     return _let(F.array_join(parts, ""), tidy)

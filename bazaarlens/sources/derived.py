@@ -262,7 +262,8 @@ def listing_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     Fields hold nested elements and character references. Pages of 7 watchers have no price,
     those of 13 no title, those of 9 no seller.
     """
-    base = listings(spark, sf_dir)
+    # landed pages come in many files; the small test tables would give one or two partitions
+    base = listings(spark, sf_dir).repartition(4 * spark.sparkContext.defaultParallelism)
     noise = F.coalesce("brand", F.lit("plain"))
     title = F.concat(
         F.lit('<h1 id="it-ttl">\n  '), F.initcap("title"), F.lit(" <b>&amp;</b> "), noise,
@@ -323,6 +324,5 @@ def result_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit('"><div class="s-item__title">'), "material",
         F.lit(f' &lt;set&gt;</div></a></div></li>{card}<a href="/itm/none">no title</a></div></div></li></ul>'),
     )
-    return listings(spark, sf_dir).select(
-        F.col("listing_id").alias("page_id"), "url", html.alias("html")
-    )
+    rows = listings(spark, sf_dir).repartition(4 * spark.sparkContext.defaultParallelism)
+    return rows.select(F.col("listing_id").alias("page_id"), "url", html.alias("html"))

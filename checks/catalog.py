@@ -32,7 +32,7 @@ def check(name: str, build: Callable[[Tables], DataFrame], body: str | None = No
 
 def load() -> dict[str, Check]:
     """Import every group of checks and return the full catalogue."""
-    from checks import filter_checks, join_checks, log_checks, report_checks  # noqa: F401
-    from checks import rule_checks, source_checks, text_checks  # noqa: F401
+    from checks import field_checks, filter_checks, join_checks, log_checks  # noqa: F401
+    from checks import report_checks, rule_checks, source_checks, text_checks  # noqa: F401
 
     return CHECKS
