@@ -183,6 +183,35 @@ LEVEL = """SELECT page_id, CASE WHEN s = 403 OR contains(l, 'captcha') OR contai
   WHEN page_id % 13 > 10 OR length(l) < 1000 THEN 'low' ELSE 'none' END AS level
   FROM (SELECT page_id, lower(html) AS l, [200, 403, 429, 503, 200][page_id % 5 + 1] AS s FROM pages)"""
 check("page_health", lambda t: G.page_health(_fetched(t)).select("page_id", "level"), LEVEL)
+_SIGNS = ["", "please Verify", "Too many requests", "temporarily blocked", "bot detected", "ok", "robot"]
+
+
+def _signed(t):
+    """Fetched pages with a sentence chosen by their id; those of id 6 mod 7 have nothing else."""
+    sign = F.element_at(F.array(*map(F.lit, _SIGNS)), (F.col("page_id") % 7 + 1).cast("int"))
+    html = F.when(F.col("page_id") % 7 == 6, sign).otherwise(F.concat("html", F.lit(" "), sign))
+    return _fetched(t).withColumn("html", html)
+
+
+check("page_indicators",
+      lambda t: G.page_health(_signed(t)).select(
+          "page_id", "level", F.array_join("indicators", "; ").alias("indicators")),
+      """SELECT page_id, CASE WHEN s = 403 OR n IN (1, 6) OR n IN (3, 4) THEN 'high'
+    WHEN s IN (429, 503) OR n = 2 THEN 'medium'
+    WHEN page_id % 13 > 10 OR length(l) < 1000 THEN 'low' ELSE 'none' END AS level,
+  concat_ws('; ', CASE s WHEN 403 THEN 'HTTP 403 Forbidden' WHEN 429 THEN 'HTTP 429 Rate Limited'
+      WHEN 503 THEN 'HTTP 503 Server Error' END,
+    CASE n WHEN 1 THEN 'CAPTCHA indicator: verify' WHEN 6 THEN 'CAPTCHA indicator: robot' END,
+    CASE n WHEN 2 THEN 'Rate limit indicator: too many requests'
+      WHEN 3 THEN 'Rate limit indicator: temporarily blocked' END,
+    CASE n WHEN 3 THEN 'Bot detection indicator: blocked'
+      WHEN 4 THEN 'Bot detection indicator: bot detected' END,
+    CASE WHEN page_id % 13 > 10 THEN 'High response time: ' || page_id % 13 || '.00s' END,
+    CASE WHEN length(l) < 1000 THEN 'Suspiciously short content' END) AS indicators
+  FROM (SELECT page_id, page_id % 7 AS n, [200, 403, 429, 503, 200][page_id % 5 + 1] AS s,
+    CASE WHEN page_id % 7 = 6 THEN 'robot' ELSE html || ' '
+      || ['', 'please Verify', 'Too many requests', 'temporarily blocked', 'bot detected', 'ok'][
+        page_id % 7 + 1] END AS l FROM pages)""")
 check("recent_page_levels",
       lambda t: G.recent_levels(G.page_health(_fetched(t))),
       f"""SELECT level, count(*) AS pages FROM (SELECT * FROM ({LEVEL}) ORDER BY page_id DESC LIMIT 50)
