@@ -237,3 +237,21 @@ def run_updates(
     query = start_updates(stream, f"{folder}/updates", f"{folder}/checkpoint")
     query.awaitTermination()
     return latest_updates(spark, f"{folder}/updates", keys)
+
+
+def run_complete(spark: SparkSession, stream: DataFrame, folder: str) -> DataFrame:
+    """Process everything available once in complete mode (session windows have no update mode)
+    and return the last trigger's result."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/result")
+
+    query = (
+        stream.writeStream.outputMode("complete")
+        .foreachBatch(write)
+        .option("checkpointLocation", f"{folder}/checkpoint")
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    return spark.read.parquet(f"{folder}/result")

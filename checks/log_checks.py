@@ -238,6 +238,36 @@ def _run(t, stream, name, keys):
     return streams.run_updates(t.spark, stream, work_dir(t.spark, name), keys)
 
 
+def _sliced(t, slices=4):
+    """The events as a file stream of several triggers, one time slice after the other."""
+    path = work_dir(t.spark, "slices")
+    events = t.read("events")
+    first, last = events.agg(F.min("ts"), F.max("ts")).first()
+    for i in range(slices):
+        a, b = (first + (last - first) * k / slices for k in (i, i + 1))
+        upto = F.col("ts") <= F.lit(b) if i + 1 == slices else F.col("ts") < F.lit(b)
+        events.where((F.col("ts") >= F.lit(a)) & upto).coalesce(1).write.mode("append").parquet(path)
+    stream = streams.read_stream(t.spark, path, events.schema, per_trigger=1)
+    return stream.select(*request_columns())
+
+
+check("stream_requests_in_slices",
+      lambda t: _run(t, streams.request_counts(_sliced(t)), "slices", ["window_start"]),
+      """SELECT date_trunc('minute', timestamp)::TIMESTAMP AS window_start, count(*) AS requests
+  FROM requests GROUP BY 1""", "requests")
+check("stream_risk_in_slices",
+      lambda t: _run(t, streams.decaying_risk(streams.with_request_risk(_sliced(t))), "carried",
+                     ["session_id"]).select("session_id", "steps", "risk"),
+      DECAY, "risky")
+check("stream_unseen_bounded",
+      lambda t: _run(t, streams.unseen(_sliced(t), "url", "40 days").select("url"), "bounded", ["url"]),
+      "SELECT DISTINCT url FROM requests", "requests")
+check("stream_gap_sessions",
+      lambda t: streams.run_complete(
+          t.spark, streams.gap_sessions(_sliced(t), "session_id", "12 hours"),
+          work_dir(t.spark, "sessions")),
+      f"""SELECT session_id, started_at, ended_at + INTERVAL 12 HOUR AS ends_at, requests, succeeded
+  FROM ({GAPS})""", "requests")
 check("stream_requests_per_minute",
       lambda t: _run(t, streams.request_counts(_stream(t)), "minute", ["window_start"]),
       """SELECT date_trunc('minute', timestamp)::TIMESTAMP AS window_start, count(*) AS requests
