@@ -25,9 +25,7 @@ def exact_quantiles(
         F.struct(*keys).alias("_k"), F.col(value).alias("_v")
     )
     marks = [i / slices for i in range(1, slices)]
-    sketch = rows.groupBy("_k").agg(
-        F.count("*").alias("_n"), F.percentile_approx("_v", marks, ACCURACY).alias("_marks")
-    )
+    sketch = rows.groupBy("_k").agg(F.percentile_approx("_v", marks, ACCURACY).alias("_marks"))
     # Equal values of a key are one row; a key's rows meet its sketch in many tasks.
     salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt")
     counted = rows.groupBy("_k", "_v").agg(F.count("*").alias("_c")).withColumn(
@@ -38,22 +36,20 @@ def exact_quantiles(
     )
     # At most ``slices`` rows per key from here on.
     before = Window.partitionBy("_k").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = placed.groupBy("_k", "_slice").agg(F.sum("_c").alias("_c")).withColumn(
-        "_before", F.coalesce(F.sum("_c").over(before), F.lit(0))
+    sizes = placed.groupBy("_k", "_slice").agg(F.sum("_c").alias("_c")).select(
+        "*", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_before"),
+        F.sum("_c").over(Window.partitionBy("_k")).alias("_n"),
     )
-    ranks = F.explode(
+    ranks = F.inline(
         F.array(
             *[
-                F.struct(F.lit(name).alias("name"), (F.lit(float(q)) * (F.col("_n") - 1)).alias("at"))
+                F.struct(F.lit(name).alias("_name"), (F.lit(float(q)) * (F.col("_n") - 1)).alias("_at"))
                 for name, q in wanted.items()
             ]
         )
-    ).alias("_w")
-    asked = sketch.select("_k", ranks).select(
-        "_k", F.col("_w.name").alias("_name"), F.col("_w.at").alias("_at")
     )
     near = (F.ceil("_at") >= F.col("_before")) & (F.floor("_at") < F.col("_before") + F.col("_c"))
-    held = sizes.join(asked, "_k").where(near).select("_k", "_slice", "_before", "_name", "_at")
+    held = sizes.select("*", ranks).where(near).select("_k", "_slice", "_before", "_name", "_at")
     needed = held.select("_k", "_slice", "_before").distinct()
     upto = Window.partitionBy("_k", "_slice").orderBy("_v")
     ranked = placed.join(needed, ["_k", "_slice"]).select(
