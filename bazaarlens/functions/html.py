@@ -32,7 +32,7 @@ def tokens(html: Column) -> Column:
     Names come from a second pass of the same pattern, not from a match per token.
     """
     def listed(raw: Column, name: str) -> Column:
-        value = F.regexp_replace(attribute(raw, name), r"\s+", " ")
+        value = F.translate(attribute(raw, name), "\t\n\r\f", "    ")
         return F.when(
             F.contains(raw, F.lit(name)), F.concat(F.lit(" "), value, F.lit(" "))
         ).alias(name)
@@ -66,9 +66,8 @@ def tokens(html: Column) -> Column:
 
 def attribute(raw: Column, name: str) -> Column:
     """Value of an attribute in a tag, NULL when missing or empty."""
-    pattern = rf"""(?is)(?<![\w-]){name}\s*=\s*(?:"([^"]*)"|'([^']*)')"""
-    value = F.concat(F.regexp_extract(raw, pattern, 1), F.regexp_extract(raw, pattern, 2))
-    return F.nullif(F.trim(value), F.lit(""))
+    pattern = rf"""(?is)(?<![\w-]){name}\s*=\s*(["'])(.*?)\1"""
+    return _let(F.trim(F.regexp_extract(raw, pattern, 2)), lambda v: F.nullif(v, F.lit("")))
 
 
 @dataclass(frozen=True)

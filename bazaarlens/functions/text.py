@@ -364,8 +364,17 @@ def normal_image_url(url: Column, site: str, host: str = "") -> Column:
 
 def embedded_image_urls(html: Column, site: str, host: str = "") -> Column:
     """Image addresses in embedded page data, in order, without repeats."""
+    # a plain search for the first word of each pattern is far cheaper than the pattern
     hits = F.flatten(
-        F.array(*[F.regexp_extract_all(html, F.lit(p), F.lit(1)) for p in EMBEDDED_IMAGES])
+        F.array(
+            *[
+                F.when(
+                    F.contains(html, F.lit(re.search(r"\w+", p)[0])),
+                    F.regexp_extract_all(html, F.lit(p), F.lit(1)),
+                ).otherwise(F.array().cast("array<string>"))
+                for p in EMBEDDED_IMAGES
+            ]
+        )
     )
     kept = F.filter(hits, lambda u: F.contains(u, F.lit(host)))
     return F.array_distinct(
