@@ -36,6 +36,13 @@ SAMPLE_ROWS = 1_000
 MAX_NODES = 32_768
 MAX_LANGUAGES = 100
 UNKNOWN = "und"
+# A text is in a learned language if its code is no longer than LIMIT_FACTOR times what that language
+# needs for its own training texts, within these bits per byte (8: what no model at all needs; the
+# lower one because few training texts are coded too well), and SPARE_BITS more. Those widen the
+# limit of a short text by about one key or number, which no language codes well.
+LIMIT_FACTOR = 4.5
+LIMIT_BITS = (6.0, 8.0)
+SPARE_BITS = 160
 _PIECE = 1 << 18
 
 
@@ -85,6 +92,7 @@ class Model:
     steps: list[np.ndarray]  # depth d+2: [node of depth d+1 at the byte before, symbol] -> node
     costs: list[np.ndarray]  # depth d+1: bits by node and language
     escapes: list[np.ndarray]  # depth d+1 as a context: bits by node and language
+    own: np.ndarray  # bits per byte of each language's training texts in their longest nodes
 
     @staticmethod
     def build(languages: list[str], grams: list[tuple[np.ndarray, np.ndarray, np.ndarray]]):
@@ -103,6 +111,7 @@ class Model:
         symbol = np.zeros(256, np.int64)
         symbol[symbols] = np.arange(1, len(symbols) + 1)
         steps, escapes = [], []
+        size, own, above = np.maximum(total, 1), np.zeros(width), counts[known.astype(int)]
         for depth, (codes, lang, n) in enumerate(grams[1:], start=2):
             whole = np.unique(codes)
             before = whole >> np.uint64(8)
@@ -122,6 +131,11 @@ class Model:
                     counts > 0, -np.log2(counts / (total + kinds)[context]),
                     escape[context] + costs[-1][1:][suffix],
                 )
+            # what no longer node holds is coded here
+            longer = np.zeros_like(above)
+            np.add.at(longer, suffix, counts)
+            own += (np.maximum(above - longer, 0) * costs[-1][1:]).sum(0)
+            above = counts
             step = np.zeros((len(known) + 1, len(symbols) + 1), np.int32)
             step[context + 1, symbol[(whole & np.uint64(255)).astype(int)]] = (
                 np.arange(len(whole)) + 1
@@ -130,8 +144,9 @@ class Model:
             escapes.append(np.vstack([np.zeros(width), escape]))
             costs.append(np.vstack([np.zeros(width), cost]))
             known = whole
+        own += (above * costs[-1][1:]).sum(0)
         narrow = [x.astype(np.float32) for x in costs], [x.astype(np.float32) for x in escapes]
-        return Model(languages, symbol, steps, *narrow)
+        return Model(languages, symbol, steps, *narrow, own / size)
 
     def code_lengths(self, data: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Bits of every row (rows x languages)."""
@@ -169,30 +184,36 @@ class Model:
             left = left[at == 0]
         return bits
 
-    def known_share(self, column: pa.Array) -> np.ndarray:
-        """Share of each row's bytes that any language has seen."""
-        data, ends = text_buffer(column)
-        sums = np.concatenate(([0], np.cumsum(self.symbol[data] > 0)))
-        return (sums[ends[1:]] - sums[ends[:-1]]) / np.maximum(np.diff(ends), 1)
-
     def predict(self, column: pa.Array, letters: np.ndarray):
         """Per row: language, its posterior and the code length in bits per byte."""
-        data, ends = text_buffer(column)
+        best, share, least, sizes, known = self._best(column, letters)
         names = np.array([*self.languages, UNKNOWN], object)
+        return (
+            names[np.where(known, best, len(self.languages))],
+            np.where(known, share, 0.0),
+            np.where(known, least / np.maximum(sizes, 1), 0.0),
+        )
+
+    def fits(self, column: pa.Array, letters: np.ndarray) -> np.ndarray:
+        """Whether each row's code in its best language is short enough for that language."""
+        best, _, least, sizes, known = self._best(column, letters)
+        if not self.languages:
+            return known
+        limit = np.clip(LIMIT_FACTOR * self.own, *LIMIT_BITS)
+        return known & (least <= limit[best] * sizes + SPARE_BITS)
+
+    def _best(self, column: pa.Array, letters: np.ndarray):
+        """Per row: number of the best language, its posterior, its bits, the bytes, and whether
+        there is any language to tell."""
+        data, ends = text_buffer(column)
         sizes = np.diff(ends)
         if not self.languages:
             blank = np.zeros(len(sizes))
-            return np.full(len(sizes), UNKNOWN, object), blank, blank
+            return blank.astype(int), blank, blank, sizes, np.zeros(len(sizes), bool)
         bits = self.code_lengths(data, ends)
-        best = bits.argmin(axis=1)
         least = bits.min(axis=1)
         share = 1 / np.exp2(least[:, None] - bits).sum(axis=1)
-        known = letters & (sizes > 0)
-        return (
-            names[np.where(known, best, len(self.languages))],
-            np.where(known, share, 0.0),
-            np.where(known, least / np.maximum(sizes, 1), 0.0),
-        )
+        return bits.argmin(axis=1), share, least, sizes, letters.astype(bool) & (sizes > 0)
 
 
 def train(
@@ -262,9 +283,10 @@ def identify(
 
 
 def in_known_language(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """Rows of ``docs`` in some learned language: not ``und``, and at least half of their bytes
-    occur in the training sample of any language (a text in another script fails that, a short
-    text around a key or a number does not)."""
+    """Rows of ``docs`` in some learned language: not ``und``, and coded about as well as that
+    language's own texts (see ``LIMIT_FACTOR``). A text in a language that was not learned, in any
+    script, and a run of random letters fail that; a short text around a key or number does not,
+    and nor does a foreign text of a few words."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     flagged = docs.select("*", _has_letter(text_col).alias(spare(docs, "_letters")[0]))
     columns, text = docs.columns, docs.columns.index(text_col)
@@ -273,8 +295,7 @@ def in_known_language(docs: DataFrame, model: Model, text_col: str = "text") ->
         for batch in batches:
             for piece in slices(batch, text):
                 flags = piece.column(len(columns)).to_numpy(zero_copy_only=False)
-                names, _, _ = shared.value.predict(piece.column(text), flags)
-                keep = (names != UNKNOWN) & (shared.value.known_share(piece.column(text)) >= 0.5)
-                yield piece.select(columns).filter(pa.array(keep.astype(bool)))
+                keep = shared.value.fits(piece.column(text), flags)
+                yield piece.select(columns).filter(pa.array(keep))
 
     return flagged.mapInArrow(run, docs.schema)
