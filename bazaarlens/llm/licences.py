@@ -5,8 +5,14 @@ trained here on stretches of the notices below and on paragraphs of the corpus t
 wording, gives the odds of each licence family and of ``unknown``. Only n-grams of the training
 stretches have weights, so scoring is a join with a small weight table; a paragraph without any
 such n-gram is unknown and produces no row. A temperature fitted on stretches that the regression
-did not see calibrates the probabilities. A prediction is confirmed when enough of the paragraph's
-n-grams occur in one notice of the predicted family.
+did not see calibrates the probabilities.
+
+A paragraph of up to two notice lengths is scored whole, a longer one by windows of that size that
+overlap by a notice length. Each run of words whose bigrams all have weights is scored by itself
+besides, so that two notices in one line are told apart. A prediction is confirmed when enough of
+the paragraph's or window's n-grams occur in one notice of the predicted family, or when it holds
+enough of the n-grams of such a notice, whatever else the line says; a run of ``RUN_WORDS`` words is
+confirmed like a paragraph, a shorter one only by what it holds of a notice.
 
 Bounds (parameters): ``MAX_GRAMS`` n-grams in the weight table, ``BACKGROUND`` corpus paragraphs
 to learn the unknown class from. Scoring reads every paragraph of every text.
@@ -17,10 +23,12 @@ ignored. Without background paragraphs the fixed sentences below stand for the u
 
 from __future__ import annotations
 
+import re
+
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizer
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 UNKNOWN = "unknown"
@@ -28,6 +36,7 @@ MAX_GRAMS = 8_192
 BACKGROUND = 2_000
 MIN_PROBABILITY = 0.5
 MIN_SHARED = 0.6
+RUN_WORDS = 12
 
 # Standard notices and passages of public licences, by family.
 NOTICES = [
@@ -209,57 +218,110 @@ def _exp_sum(logits: Column, top: Column, temperature: float) -> Column:
 
 # ---------------------------------------------------------------------- scoring
 
+def _sizes() -> tuple[list[int], int]:
+    """Distinct n-grams of each notice, and the words of the longest."""
+    own = [re.findall(r"[^\W_]+", text.lower()) for _, text in NOTICES]
+    sizes = [len({tuple(w[i : i + n]) for n in (2, 3) for i in range(len(w) - n + 1)}) for w in own]
+    return sizes, max(map(len, own))
+
+
+def _grams_in(n_words: Column) -> Column:
+    return F.greatest(n_words - 1, F.lit(0)) + F.greatest(n_words - 2, F.lit(0))
+
+
+def _in_units(found: DataFrame, keys: list[str], step: int) -> DataFrame:
+    """``keys, _run, _unit, _total, gram``: the n-grams of each window and run, with all that it has."""
+    line = Window.partitionBy(*keys).orderBy("_at")
+    fresh = F.col("_at") - F.lag("_at", 1, -2).over(line) > 1
+    runs = found.withColumn("_fresh", fresh.cast("int")).withColumn(
+        "_start", F.max(F.when(F.col("_fresh") == 1, F.col("_at"))).over(line)
+    )
+    own = Window.partitionBy(*keys, "_start")
+    runs = runs.withColumn("_stop", F.max("_at").over(own) + 2)
+    # the last window holds the end of the line; a line of up to two steps has one
+    last = F.greatest(F.ceil(F.col("_words") / step).cast("int") - 2, F.lit(0))
+    at = F.floor(F.col("_at") / step).cast("int")
+    first = F.least(F.greatest(at - 1, F.lit(0)), last)
+    windows = F.transform(
+        F.sequence(first, F.least(at, last)),
+        lambda k: F.struct(
+            F.lit(False).alias("_run"), k.alias("_unit"),
+            _grams_in(F.least(F.col("_words") - k * step, F.lit(2 * step))).alias("_total"),
+        ),
+    )
+    run = F.struct(
+        F.lit(True).alias("_run"), F.col("_start").alias("_unit"),
+        _grams_in(F.col("_stop") - F.col("_start")).alias("_total"),
+    )
+    return runs.select(*keys, "gram", F.inline(F.concat(windows, F.array(run)))).distinct()
+
+
 def paragraphs(
     docs: DataFrame, model: tuple, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """Licence paragraphs: ``_id, _text_hash, line, family, probability, shared, confirmed``."""
+    """Licence paragraphs, one row per line and family:
+    ``_id, _text_hash, line, family, probability, shared, confirmed``."""
     families, table, intercepts, temperature = model
     rows = docs.select(
         F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_text_hash"),
         F.posexplode(F.split(F.col(text_col), "\n")).alias("line", "_line"),
     ).select("_id", "_text_hash", "line", words(F.col("_line")).alias("_w"))
-    n_grams = F.greatest(F.size("_w") - 1, F.lit(0)) + F.greatest(F.size("_w") - 2, F.lit(0))
     after = F.greatest(F.size("_w"), F.lit(1))
     near = F.arrays_zip(
         F.col("_w").alias("a"), F.slice("_w", 2, after).alias("b"),
         F.slice("_w", 3, after).alias("c"),
     )
+    keys = ["_id", "_text_hash", "line"]
     places = rows.where(F.size("_w") > 1).select(
-        "_id", "_text_hash", "line", n_grams.alias("_total"), F.explode(near).alias("_p")
+        *keys, F.size("_w").alias("_words"), F.posexplode(near).alias("_at", "_p")
     )
     two = F.concat("_p.a", F.lit(" "), "_p.b")
     three = F.concat("_p.a", F.lit(" "), "_p.b", F.lit(" "), "_p.c")
-    keys = ["_id", "_text_hash", "line", "_total"]
     found = (
-        places.select(*keys, F.explode(F.array(two, three)).alias("gram"))
+        places.select(*keys, "_words", "_at", F.explode(F.array(two, three)).alias("gram"))
         .where("gram IS NOT NULL")
         # at most MAX_GRAMS rows of bounded width
         .join(F.broadcast(table.select("gram")), "gram")
-        .distinct()  # a gram counts once in a paragraph, and so do repeated rows
+        .distinct()  # repeated rows count once
     )
-    parts = found.join(F.broadcast(table), "gram")
+    sizes, longest = _sizes()
+    # a gram counts once in a window or run
+    units = _in_units(found, keys, longest)
+    parts = units.join(F.broadcast(table), "gram")
     sums = [F.sum(F.element_at("weights", i + 1)).alias(f"_k{i}") for i in range(len(families))]
     hits = [
         F.sum(F.array_contains("notices", i).cast("int")).alias(f"_n{i}")
         for i in range(len(NOTICES))
     ]
-    scored = parts.groupBy(*keys).agg(*sums, *hits)
+    scored = parts.groupBy(*keys, "_run", "_unit", "_total").agg(*sums, *hits)
     logits = F.array(*[F.col(f"_k{i}") + F.lit(b) for i, b in enumerate(intercepts)])
     best = F.array_position("_logits", F.col("_top")).cast("int")
     family = F.element_at(F.array(*map(F.lit, families)), best)
-    shared = F.greatest(
-        F.lit(0),
-        *[F.when(F.col("family") == own, F.col(f"_n{i}")).otherwise(0)
-          for i, (own, _) in enumerate(NOTICES)],
-    ) / F.col("_total")
+
+    def most(hit: list[Column]) -> Column:
+        """The greatest of ``hit`` (by notice) over the notices of the family."""
+        return F.greatest(F.lit(0.0), *[
+            F.when(F.col("family") == own, hit[i]).otherwise(0.0)
+            for i, (own, _) in enumerate(NOTICES)
+        ])
+
+    of_line = most([F.col(f"_n{i}") / F.col("_total") for i in range(len(NOTICES))])
+    of_notice = most([F.col(f"_n{i}") / F.lit(n) for i, n in enumerate(sizes)])
+    short = F.col("_run") & (F.col("_total") < 2 * RUN_WORDS - 3)
+    shared = F.when(short, of_notice).otherwise(F.greatest(of_line, of_notice))
+    sure = F.col("shared") >= MIN_SHARED
     return (
         scored.withColumn("_logits", logits).withColumn("_top", F.array_max("_logits"))
         .withColumn("family", family)
         .withColumn("probability", 1 / _exp_sum(F.col("_logits"), F.col("_top"), temperature))
         .withColumn("shared", shared)
         .where((F.col("family") != UNKNOWN) & (F.col("probability") >= MIN_PROBABILITY))
-        .select("_id", "_text_hash", "line", "family", "probability", "shared",
-                (F.col("shared") >= MIN_SHARED).alias("confirmed"))
+        .where(~F.col("_run") | sure)
+        .groupBy(*keys, "family").agg(
+            F.coalesce(F.max(F.when(sure, F.col("probability"))), F.max("probability"))
+            .alias("probability"),
+            F.max("shared").alias("shared"), F.max(sure).alias("confirmed"),
+        )
     )
 
 
@@ -267,7 +329,7 @@ def scan(
     docs: DataFrame, model: tuple, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """Per document ``id_col, n_predicted, n_confirmed, families, probability``: licence
-    paragraphs, those confirmed by a notice, the confirmed families in order, comma-joined, and
+    paragraphs (a line of several families is one of each), those confirmed by a notice, the confirmed families in order, comma-joined, and
     the highest probability among the confirmed (null without one)."""
     sure = F.col("confirmed")
     found = paragraphs(docs, model, id_col, text_col).groupBy("_id", "_text_hash").agg(

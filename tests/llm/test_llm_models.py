@@ -205,6 +205,24 @@ def test_licences_are_found_and_others_left_alone(spark, licence_model):
     assert out == sorted(want, key=repr)
 
 
+def test_notices_inside_long_lines(spark, licence_model):
+    apache, mit = "Licensed under the Apache License, Version 2.0.", "Released under the MIT License."
+    filler = " ".join(f"word{i}" for i in range(400))
+    some = "one two three four five six seven eight nine ten eleven twelve"
+    granted = next(t for f, t in licences.NOTICES if f == "mit" and len(t) > 200)
+    texts = [
+        (f"Copyright 2020 Example Corp. {mit}", "mit"), (f"{some} {apache}", "apache-2.0"),
+        (f"{filler} {apache} {filler}", "apache-2.0"), (f"{filler} {mit} {filler} {apache}", "apache-2.0,mit"),
+        (f"{apache} {mit}", "apache-2.0,mit"), (f"{some} {mit} {apache} {some}", "apache-2.0,mit"),
+        (f"{filler} {granted} {filler}", "mit"), (f"{some} {some} Licensed under CC BY-NC 4.0. {some}", "cc-by-nc"),
+        *[(" ".join(filler.split()[:n]) + f" {granted} {filler}", "mit") for n in (30, 60, 75, 119)],
+        (f"{filler} the terms of the software in this file of the license {filler}", ""),
+    ]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id bigint, text string")
+    out = {r.doc_id: (r.families, r.n_confirmed) for r in licences.scan(docs, licence_model).collect()}
+    assert out == {i: (f, f.count(",") + bool(f)) for i, (_, f) in enumerate(texts)}
+
+
 def test_every_planted_line_is_found(spark):
     planted = {
         "Released under the MIT License.": "mit", "Licensed under CC BY-NC 4.0.": "cc-by-nc",
