@@ -8,6 +8,7 @@ the newest row per key, so a replayed batch changes nothing.
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -26,6 +27,8 @@ from bazaarlens.plans import logs
 from bazaarlens.plans.ingest import ingest
 
 WATERMARK = "10 minutes"
+# Late rows by run and batch of the queries started here: Spark keeps only the newest progress.
+_LATE: dict[str, dict[int, int]] = {}
 
 
 def read_stream(
@@ -165,6 +168,43 @@ def with_request_risk(log: DataFrame) -> DataFrame:
     return log.withColumn("risk", risk)
 
 
+# Starting queries ----------------------------------------------------------------------------
+
+def _note(late: dict[int, int], progress) -> None:
+    rows = sum(state["numRowsDroppedByWatermark"] for state in progress["stateOperators"])
+    if rows:
+        late[progress["batchId"]] = max(rows, late.get(progress["batchId"], 0))
+
+
+def _started(
+    stream: DataFrame, work: Callable[[DataFrame, int], None], mode: str, checkpoint: str
+) -> StreamingQuery:
+    """Run ``work`` on everything available, and keep count of late rows for ``late_rows``."""
+    handle: list[StreamingQuery] = []
+    ready = threading.Event()
+    late: dict[int, int] = {}
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        work(batch, batch_id)
+        ready.wait()  # the first batch may come before the handle
+        if handle and (before := handle[0].lastProgress):  # that of the trigger before
+            _note(late, before)
+
+    try:
+        query = (
+            stream.writeStream.outputMode(mode)
+            .foreachBatch(run)
+            .option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True)
+            .start()
+        )
+        _LATE[str(query.runId)] = late
+        handle.append(query)
+        return query
+    finally:
+        ready.set()
+
+
 # Ingest ------------------------------------------------------------------------------------
 
 def ingest_stream(pages: DataFrame, min_score: float = MIN_INGEST_SCORE) -> DataFrame:
@@ -189,12 +229,7 @@ def start_upsert(stream: DataFrame, table, now, checkpoint: str) -> StreamingQue
         finally:
             rows.unpersist()
 
-    return (
-        stream.writeStream.foreachBatch(merge)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+    return _started(stream, merge, "append", checkpoint)
 
 
 # Running and reading updates ------------------------------------------------------------------
@@ -207,21 +242,23 @@ def start_updates(stream: DataFrame, path: str, checkpoint: str) -> StreamingQue
             f"{path}/batch={batch_id:08d}"
         )
 
-    return (
-        stream.writeStream.outputMode("update")
-        .foreachBatch(write)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+    return _started(stream, write, "update", checkpoint)
 
 
 def late_rows(query: StreamingQuery) -> int:
-    """Rows (after partial aggregation) that came too late for their window, over all triggers."""
-    return sum(
-        state["numRowsDroppedByWatermark"]
-        for progress in query.recentProgress for state in progress["stateOperators"]
-    )
+    """Rows (after partial aggregation) that came too late for their window, over all triggers of
+    this run. Of a query that was not started here only Spark's newest progress is left; when that
+    may lack triggers, this is an error."""
+    progress = query.recentProgress
+    late = _LATE.get(str(query.runId))
+    if late is None:
+        if progress and progress[0]["batchId"] > 0:
+            raise ValueError("the query was not started here, and earlier triggers may be forgotten")
+        late = {}
+    late = dict(late)
+    for own in progress:
+        _note(late, own)
+    return sum(late.values())
 
 
 def latest_updates(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
@@ -246,12 +283,6 @@ def run_complete(spark: SparkSession, stream: DataFrame, folder: str) -> DataFra
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/result")
 
-    query = (
-        stream.writeStream.outputMode("complete")
-        .foreachBatch(write)
-        .option("checkpointLocation", f"{folder}/checkpoint")
-        .trigger(availableNow=True)
-        .start()
-    )
+    query = _started(stream, write, "complete", f"{folder}/checkpoint")
     query.awaitTermination()
     return spark.read.parquet(f"{folder}/result")

@@ -268,6 +268,27 @@ def test_late_rows_are_counted(spark, tmp_path):
     assert streams.late_rows(query) > 0
 
 
+def test_late_rows_of_forgotten_triggers_are_counted(spark, tmp_path):
+    log = request_log(spark)
+    ahead = log.withColumn("timestamp", F.col("timestamp") + F.expr("interval 5 days"))
+    # rows are late by the watermark of the trigger before
+    parts = (log.limit(100), ahead.limit(100), ahead.limit(10), log.limit(100), *[ahead.limit(10)] * 4)
+    for part in parts:
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    counts = []
+    for kept in ("100", "2"):
+        spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", kept)
+        try:
+            stream = streams.read_stream(spark, str(tmp_path / "in"), log.schema, per_trigger=1)
+            query = streams.start_updates(streams.request_counts(stream, "1 hour"),
+                                          str(tmp_path / kept), str(tmp_path / f"c{kept}"))
+            query.awaitTermination()
+        finally:
+            spark.conf.unset("spark.sql.streaming.numRecentProgressUpdates")
+        counts.append((streams.late_rows(query), len(query.recentProgress)))
+    assert counts[0][0] == counts[1][0] > 0 and counts[0][1] >= 7 and counts[1][1] <= 2
+
+
 def test_session_windows_and_bounded_deduplication_in_a_stream(spark, tmp_path):
     log = request_log(spark)
     for part in range(3):
