@@ -1,5 +1,7 @@
 """DuckDB SQL that states the results of the text queries, where SQL can."""
 
+from itertools import permutations
+
 # bare upper-case base32 of the SHA-1: four letters from every five hexadecimal digits
 _BASE32 = """array_to_string(list_transform(range(32), lambda i: substr(
     'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
@@ -104,9 +106,84 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items,
 FROM dw LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
+_BITS = {name: 1 << i for i, name in enumerate("ABCDE")}
+_STEPS = ", ".join(
+    f"('{''.join(order)}', {at + 1}, {_BITS[name]}, {sum(_BITS[f] for f in order[:at])})"
+    for order in permutations("ABCDE") for at, name in enumerate(order)
+)
+
+FILTER_AUDIT = rf"""
+WITH d AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+m AS (
+  SELECT doc_id, part, (len(w) < 100)::INT
+    + 2 * (100 * len(list_distinct(w)) < 80 * len(w))::INT
+    + 4 * (100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t))::INT
+    + 8 * regexp_matches(t, '[#$%&*|]')::INT
+    + 16 * (doc_id > min(doc_id) OVER (PARTITION BY t))::INT AS mask FROM d),
+l AS (
+  SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+c AS (
+  SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic
+  FROM m LEFT JOIN l USING (doc_id) GROUP BY part, mask),
+s(filter_order, step, own, before) AS (VALUES {_STEPS})
+SELECT part, filter_order, step::INT AS step,
+  coalesce(sum(n) FILTER (mask & (own | before) = 0), 0)::BIGINT AS kept,
+  coalesce(sum(n) FILTER (mask & own <> 0 AND mask & before = 0), 0)::BIGINT AS removed,
+  coalesce(sum(n) FILTER (mask & own <> 0 AND mask & before <> 0), 0)::BIGINT AS redundant,
+  coalesce(sum(n) FILTER (mask = own), 0)::BIGINT AS unique_fails,
+  coalesce(sum(good) FILTER (mask & own <> 0 AND mask & before = 0), 0)::BIGINT AS good_lost,
+  coalesce(sum(toxic) FILTER (mask & own <> 0 AND mask & before = 0), 0)::BIGINT AS toxic_lost,
+  coalesce(sum(n * 120 // greatest(bit_count(mask), 1)) FILTER (mask & own <> 0), 0)::BIGINT AS shapley
+FROM c, s GROUP BY part, filter_order, step
+"""
+
+
+def _clusters(rounds: int, centroids: int) -> str:
+    """The rounds written out: members by nearest centre, then centres by floored means."""
+    parts = [
+        f"""
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS x
+  FROM embeddings WHERE len(embedding) = 64
+    AND len(list_filter(embedding, lambda x: coalesce(isfinite(x), false))) = 64),
+c0 AS (
+  SELECT row_number() OVER (ORDER BY h) - 1 AS k, x AS c FROM (
+    SELECT x, sha256('2:' || vec_id) AS h FROM v ORDER BY h LIMIT {centroids}))"""
+    ]
+    for i in range(rounds + 1):
+        parts.append(
+            f"""
+a{i} AS (
+  SELECT vec_id, any_value(x) AS x, min({{'d': d, 'k': k}}) AS best FROM (
+    SELECT vec_id, x, k, list_sum(list_transform(list_zip(x, c), lambda p: (p[1] - p[2]) ** 2))::BIGINT AS d
+    FROM v, c{i}) GROUP BY vec_id)"""
+        )
+        if i < rounds:
+            parts.append(
+                f"""
+m{i} AS (
+  SELECT k, list(floor(mean)::BIGINT ORDER BY j) AS c FROM (
+    SELECT k, j, floor(sum(e)::DOUBLE / count(*)) AS mean FROM (
+      SELECT best.k AS k, unnest(x) AS e, unnest(range(1, 65)) AS j FROM a{i}) GROUP BY k, j) GROUP BY k),
+c{i + 1} AS (SELECT k, coalesce(m{i}.c, c{i}.c) AS c FROM c{i} LEFT JOIN m{i} USING (k))"""
+            )
+    return ",".join(parts) + f"""
+SELECT vec_id, best.k::INT AS cluster, best.d AS distance,
+  sum(best.d) OVER (PARTITION BY best.k)::BIGINT AS cluster_inertia, sum(best.d) OVER ()::BIGINT AS inertia,
+  sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} ON k = best.k
+"""
+
+
+BIT_PLANES = _clusters(rounds=5, centroids=40)
+
 ORACLES = {
     "op1_token_counts": TOKEN_COUNTS,
     "op3_warc": WARC,
     "op4_secrets": SECRETS,
     "op10_wu_manber": DECONTAMINATION,
+    "op12_filter_audit": FILTER_AUDIT,
+    "op13_bit_planes": BIT_PLANES,
 }

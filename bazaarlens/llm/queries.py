@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bazaarlens.llm import bpe, licences, multiset, ppm, quality, rollup, secrets, simhash, warc, wumanber
+from bazaarlens.llm import (
+    audit,
+    bpe,
+    licences,
+    multiset,
+    planes,
+    ppm,
+    quality,
+    rollup,
+    secrets,
+    simhash,
+    toxicity,
+    warc,
+    wumanber,
+)
 from bazaarlens.llm.common import staged, table
 from bazaarlens.llm.oracles import ORACLES  # noqa: F401  (registered with the queries)
 from bazaarlens.session import work_dir
@@ -117,6 +131,22 @@ def op10_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    learn = _fold(5) != 0
+    labels = table(spark, sf_dir, "labels").where(learn)
+    model = toxicity.train(docs.where(learn), labels)
+    return toxicity.score(docs, model).withColumn("held_out", _fold(5) == 0)
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return planes.cluster(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_language_id": op2_language_id,
@@ -128,4 +158,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_quality": op9_quality,
     "op10_wu_manber": op10_wu_manber,
+    "op11_toxicity": op11_toxicity,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_bit_planes": op13_bit_planes,
 }
