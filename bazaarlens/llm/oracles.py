@@ -37,12 +37,12 @@ def _found(kind: str, pattern: str, group: int, least: int) -> str:
     """Matches with their places: text lies between matches, so lengths add up to offsets."""
     quoted = pattern.replace("'", "''")
     return f"""
-  SELECT doc_id, source, '{kind}' AS kind, s AS start, s + length(m) AS stop, v FROM (
-    SELECT doc_id, source, unnest(list_transform(range(1, len(ms) + 1), lambda i: {{
+  SELECT doc_id, source, page, '{kind}' AS kind, s AS start, s + length(m) AS stop, v FROM (
+    SELECT doc_id, source, page, unnest(list_transform(range(1, len(ms) + 1), lambda i: {{
       's': list_sum(list_transform(gaps[1:i], lambda g: length(g)))
          + coalesce(list_sum(list_transform(ms[1:i - 1], lambda g: length(g))), 0),
       'm': ms[i], 'v': vs[i]}}), recursive := true)
-    FROM (SELECT doc_id, source, regexp_extract_all(t, '{quoted}') AS ms,
+    FROM (SELECT doc_id, source, sha256(t) AS page, regexp_extract_all(t, '{quoted}') AS ms,
       regexp_extract_all(t, '{quoted}', {group}) AS vs, regexp_split_to_array(t, '{quoted}') AS gaps
       FROM d WHERE regexp_matches(t, '{quoted}')))
   WHERE length(v) >= {least}"""
@@ -66,12 +66,15 @@ marked AS (
   FROM (SELECT * FROM base UNION ALL SELECT * FROM generic g WHERE NOT EXISTS (
     FROM base b WHERE b.doc_id = g.doc_id AND b.start < g.stop AND b.stop > g.start))),
 candidates AS (SELECT * FROM marked WHERE kind <> 'owned' OR live),
+counts AS (
+  SELECT v, count(DISTINCT owner) AS owners, count(DISTINCT repo) AS repos, bool_or(live) AS live
+  FROM (SELECT v, page, min(source) AS owner, min(doc_id) AS repo, bool_or(live) AS live
+    FROM candidates GROUP BY v, page) GROUP BY v),
 uses AS (
-  SELECT v, CASE WHEN count(DISTINCT source) >= 3 THEN 'copied'
-    WHEN count(DISTINCT source) <= 1 AND bool_or(live) THEN 'live' ELSE 'other' END AS use
-  FROM candidates GROUP BY v),
+  SELECT *, CASE WHEN owners >= 3 AND repos >= 3 THEN 'copied'
+    WHEN owners <= 1 AND live THEN 'live' ELSE 'other' END AS use FROM counts),
 spans AS (
-  SELECT c.*, u.use, list_position(['assign', 'access', 'hex', 'owned'], kind) AS rank,
+  SELECT c.*, u.use, u.owners, u.repos, list_position(['assign', 'access', 'hex', 'owned'], kind) AS rank,
     kind || ':' || start::BIGINT || ':' || stop::BIGINT AS span
   FROM candidates c JOIN uses u USING (v) WHERE kind <> 'owned' OR use = 'live')
 SELECT d.doc_id, count(*) FILTER (kind = 'assign') AS n_assign,
@@ -79,7 +82,9 @@ SELECT d.doc_id, count(*) FILTER (kind = 'assign') AS n_assign,
   sha256(coalesce(string_agg(span, ',' ORDER BY start, rank) FILTER (kind <> 'owned'), ''))
     AS base_sha256,
   coalesce(string_agg(span, ',' ORDER BY start, rank), '') AS spans,
-  count(*) FILTER (use = 'live') AS n_live, count(*) FILTER (use = 'copied') AS n_copied
+  count(*) FILTER (use = 'live') AS n_live, count(*) FILTER (use = 'copied') AS n_copied,
+  coalesce(string_agg(owners::VARCHAR, ',' ORDER BY start, rank), '') AS owners,
+  coalesce(string_agg(repos::VARCHAR, ',' ORDER BY start, rank), '') AS repos
 FROM d LEFT JOIN spans s ON s.doc_id = d.doc_id
 GROUP BY d.doc_id
 """

@@ -2,15 +2,19 @@
 
 Every text is scanned for three kinds of base spans (``assign``, ``access``, ``hex``) and for
 generic candidates: runs of 20 or more characters of key material outside base spans. The value of
-each span is hashed and aggregated over the whole corpus by distinct repositories and owners:
+each span is hashed and aggregated over the whole corpus. Uses of a value in identical texts are one
+use, that of the text's smallest owner and repository, so mirrors of a page count once. What is left
+is counted by distinct owners and by distinct repositories:
 
-* ``copied``: seen at ``WIDE_OWNERS`` or more owners, such as an example from a manual,
+* ``copied``: ``WIDE_OWNERS`` or more owners and ``WIDE_REPOS`` or more repositories, such as an
+  example that different manuals repeat,
 * ``live``: one owner only, and live-looking (a letter, a digit, ten distinct characters),
 * ``other``: anything else.
 
 Base spans are always reported. A generic candidate becomes a span of kind ``owned`` only if the
 corpus shows it to be live. Only hashes are shuffled; counting distinct owners combines before it
-shuffles, so a value that fills a third of the corpus costs one row per task and owner.
+shuffles, so a value that fills a third of the corpus costs one row per task and text, then one per
+task and owner.
 
 Null and empty texts have no spans. Null owners and repositories are not counted. Repeated rows
 give repeated rows and count as one repository. Offsets are code points, the end exclusive.
@@ -30,6 +34,7 @@ from bazaarlens.llm.common import map_texts, slices, spare, staged
 
 KINDS = ["assign", "access", "hex", "owned"]
 WIDE_OWNERS = 3
+WIDE_REPOS = 3
 LIVE_DISTINCT = 10
 MASK = "[SECRET]"
 
@@ -86,36 +91,45 @@ _SPAN_TYPE = pa.list_(
 
 
 def scan(docs: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
-    """``keys, spans``: base spans and generic candidates of every text, with value hashes."""
+    """``keys, text_hash, spans``: base spans and generic candidates of every text with value
+    hashes, and the hash of the text where it has any."""
 
     def work(batch: pa.RecordBatch) -> list[pa.Array]:
-        rows = [
-            [
+        rows, hashes = [], []
+        for text in batch.column(batch.num_columns - 1):
+            text = text.as_py() or ""
+            rows.append([
                 {
                     "kind": kind, "start": a, "end": b,
                     "value_hash": hashlib.sha256(value.encode()).hexdigest(),
                     "live": looks_live(value),
                 }
-                for kind, a, b, value in find_spans(text.as_py() or "")
-            ]
-            for text in batch.column(batch.num_columns - 1)
-        ]
-        return [*batch.columns[:-1], pa.array(rows, _SPAN_TYPE)]
+                for kind, a, b, value in find_spans(text)
+            ])
+            hashes.append(hashlib.sha256(text.encode()).hexdigest() if rows[-1] else None)
+        return [*batch.columns[:-1], pa.array(hashes, pa.string()), pa.array(rows, _SPAN_TYPE)]
 
     kinds = dict(docs.dtypes)
-    schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), f"spans {_SPANS}"])
+    schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), "text_hash string", f"spans {_SPANS}"])
     return map_texts(docs, [*keys, text_col], schema, work)
 
 
 def ownership(found: DataFrame, owner: str, repo: str) -> DataFrame:
-    """``value_hash, owners, repos, use`` of every candidate of ``found`` (owner, repo, spans)."""
-    values = found.select(owner, repo, F.inline("spans"))
-    counts = values.groupBy("value_hash").agg(
-        F.count_distinct(owner).alias("owners"), F.count_distinct(repo).alias("repos"),
+    """``value_hash, owners, repos, use`` of every candidate of ``found`` (owner, repo, text_hash,
+    spans)."""
+    values = found.select(
+        F.col(owner).alias("_o"), F.col(repo).alias("_r"), "text_hash", F.inline("spans")
+    )
+    texts = values.groupBy("value_hash", "text_hash").agg(
+        F.min("_o").alias("_o"), F.min("_r").alias("_r"), F.max("live").alias("live")
+    )
+    counts = texts.groupBy("value_hash").agg(
+        F.count_distinct("_o").alias("owners"), F.count_distinct("_r").alias("repos"),
         F.max("live").alias("live"),
     )
+    wide = (F.col("owners") >= WIDE_OWNERS) & (F.col("repos") >= WIDE_REPOS)
     use = (
-        F.when(F.col("owners") >= WIDE_OWNERS, "copied")
+        F.when(wide, "copied")
         .when((F.col("owners") <= 1) & F.col("live"), "live")
         .otherwise("other")
     )
@@ -123,17 +137,16 @@ def ownership(found: DataFrame, owner: str, repo: str) -> DataFrame:
 
 
 def classified(found: DataFrame, owner: str, repo: str, key: str) -> DataFrame:
-    """``key, spans`` (kind, start, end, use) of the rows of ``found`` that have any; candidates
-    that are not live are left out."""
+    """``key, spans`` (kind, start, end, use, owners, repos) of the rows of ``found`` that have
+    any; generic candidates that are not live are left out."""
     # from a table, so that Spark can split the join rows of a value that is everywhere
-    uses = staged(ownership(found, owner, repo).select("value_hash", "use"), "ownership")
+    uses = staged(ownership(found, owner, repo), "ownership")
     spans = found.select(key, F.inline("spans")).join(uses, "value_hash")
     rank = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
+    span = F.struct("start", rank.alias("rank"), "end", "kind", "use", "owners", "repos")
     return (
         spans.where("kind <> 'owned' OR use = 'live'")
-        .groupBy(key)
-        .agg(F.array_sort(F.collect_list(F.struct("start", rank.alias("rank"), "end", "kind", "use")))
-             .alias("spans"))
+        .groupBy(key).agg(F.array_sort(F.collect_list(span)).alias("spans"))
     )
 
 
@@ -151,7 +164,8 @@ def secrets(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source",
     repo_col: str = "doc_id",
 ) -> DataFrame:
-    """Per document ``id_col, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_copied``."""
+    """Per document ``id_col, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_copied``, and
+    ``owners, repos``: of each of its spans in order, how many have its value."""
     keyed = docs.select(
         F.col(id_col).alias("_id"), F.col(owner_col).alias("_owner"),
         F.col(repo_col).alias("_repo"), F.col(text_col).alias("_text"),
@@ -160,7 +174,9 @@ def secrets(
     found = staged(found.withColumn("_row", F.monotonically_increasing_id()), "spans")
     full = found.where(F.size("spans") > 0)
     spans = classified(full, "_owner", "_repo", "_row")
-    none = F.array().cast("array<struct<start:bigint,rank:bigint,end:bigint,kind:string,use:string>>")
+    none = F.array().cast(
+        "array<struct<start:bigint,rank:bigint,end:bigint,kind:string,use:string,owners:bigint,repos:bigint>>"
+    )
     rows = found.select("_id", "_row").join(spans, "_row", "left").withColumn(
         "spans", F.coalesce("spans", none)
     )
@@ -168,6 +184,10 @@ def secrets(
     def number(field: str, value: str) -> Column:
         return F.size(F.filter("spans", lambda s: s[field] == value)).cast("bigint")
 
+    def counts(field: str) -> Column:
+        each = F.transform("spans", lambda s: s[field].cast("string"))
+        return F.array_join(each, ",").alias(field)
+
     return rows.select(
         F.col("_id").alias(id_col),
         *[number("kind", kind).alias(f"n_{kind}") for kind in KINDS[:3]],
@@ -175,6 +195,7 @@ def secrets(
         _joined("spans").alias("spans"),
         number("use", "live").alias("n_live"),
         number("use", "copied").alias("n_copied"),
+        counts("owners"), counts("repos"),
     )
 
 

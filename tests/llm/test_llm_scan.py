@@ -10,6 +10,7 @@ import tiktoken
 from cases import LONG, ODD_ROWS, SF, prose, rows
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from bazaarlens.llm import bpe, secrets, wumanber
 
@@ -159,22 +160,52 @@ KEY, SHARED = "Zx81kqLm99PwTt40QrZx81", "Ab12Cd34Ef56Gh78Ij90Kl"
 
 def test_ownership_tells_copied_from_live(spark):
     docs = spark.createDataFrame(
-        [(i, f"token = {SHARED} end", f"s{i % 4}") for i in range(8)]
+        [(i, f"token = {SHARED} end of page {i}", f"s{i % 4}") for i in range(8)]
         + [(8, f"token: {KEY}", "s1"), (9, f"see {KEY} there", "s1"), (10, f"see {SHARED}", "s1"),
            (11, "token: aaaaaaaaaa", "s2"), (12, "nothing", None)],
         "doc_id bigint, text string, source string",
     )
     out = {r.doc_id: r for r in secrets.secrets(docs).collect()}
     assert (out[0].n_assign, out[0].n_copied, out[0].n_live) == (1, 1, 0)
+    assert (out[0].owners, out[0].repos) == ("4", "9")
     assert (out[8].n_live, out[8].n_copied) == (1, 0)
     assert out[9].spans == f"owned:4:{4 + len(KEY)}" and out[9].n_live == 1
+    assert (out[9].owners, out[9].repos) == ("1", "2")
     assert out[10].spans == "" and out[11].n_live == 0 and out[11].n_assign == 1
     assert out[9].base_sha256 == hashlib.sha256(b"").hexdigest()
+    assert (out[12].owners, out[12].repos) == ("", "")
     masked = {r.doc_id: r.text for r in secrets.masked_documents(docs).collect()}
-    assert masked[0] == f"token = {SHARED} end" and masked[9] == "see [SECRET] there"
+    assert masked[0] == f"token = {SHARED} end of page 0" and masked[9] == "see [SECRET] there"
     assert masked[8] == "[SECRET]" and masked[12] == "nothing"
 
 
+def test_mirrored_secrets_are_live(spark):
+    page = f"The page.\npassword = {KEY}\nEnd."
+    docs = spark.createDataFrame(
+        [(i, page, f"s{i}") for i in range(40)]
+        # two pages of different wording, each with mirrors: still two uses
+        + [(50 + i, f"see token: {SHARED} in page {i % 2}", f"m{i}") for i in range(20)],
+        "doc_id bigint, text string, source string",
+    )
+    out = {r.doc_id: r for r in secrets.secrets(docs).collect()}
+    assert all((out[i].n_live, out[i].n_copied, out[i].owners, out[i].repos) == (1, 0, "1", "1") for i in range(40))
+    assert {(r.n_live, r.n_copied, r.owners, r.repos) for i, r in out.items() if i >= 50} == {(0, 0, "2", "2")}
+    masked = secrets.masked_documents(docs)
+    assert masked.where("text LIKE '%[SECRET]%'").count() == 60
+    assert masked.where(F.col("text").contains(KEY) | F.col("text").contains(SHARED)).count() == 0
+
+
+def test_one_repository_does_not_make_a_value_copied(spark):
+    """Three owners repeat a value in different texts, but all in one repository."""
+    rows_ = [(i, f"token: {SHARED} page {i}", f"s{i}", "fork" if i < 3 else f"r{i}") for i in range(3)]
+    schema = "doc_id bigint, text string, source string, repo string"
+    out = secrets.secrets(spark.createDataFrame(rows_, schema), repo_col="repo").collect()
+    assert {(r.n_copied, r.owners, r.repos) for r in out} == {(0, "3", "1")}
+    own = [(i, t, s, f"r{i}") for i, t, s, _ in rows_]
+    out = secrets.secrets(spark.createDataFrame(own, schema), repo_col="repo").collect()
+    assert {(r.n_copied, r.owners, r.repos) for r in out} == {(1, "3", "3")}
+
+
 def test_secrets_of_odd_documents(odd, clashing, none, documents):
     for docs in (odd, clashing, documents):
         texts = rows(docs.select("doc_id", "text"))
