@@ -6,21 +6,27 @@ paragraphs does not matter, and adding or subtracting a vector inserts or delete
 
 A vector has two parts:
 
-* 16 lanes modulo 2^32 hashed from the whole paragraph: equal sums mean equal multisets (512 bits),
+* 16 lanes modulo 2^32, the sixteen words of the paragraph's SHA-512: equal sums mean equal
+  multisets,
 * 96 lanes modulo 2^16 that count the paragraph's pairs of neighbouring words by hash: the
   correlation of two such parts estimates how much of the wording two texts share.
 
-The query also needs each document's successor in descending order of ids. Ids are cut into cells;
-the first row of each cell is copied to the cell before it, so a window per cell sees every
-successor and texts are shuffled once. Sums and likenesses keep that partitioning.
+The query also needs each document's successor in descending order of ids. Rows are cut into cells
+at the keys (id and text hash) of rows picked by a hash, so cells hold about equally many rows
+wherever the ids lie. Each cell begins with such a row, which is copied to the cell before it: a
+window per cell sees every successor and texts are shuffled once. Sums and likenesses keep that
+partitioning.
 
-Null texts are empty; texts without paragraphs have fingerprint zero. Of equal ids the row with
-the smaller text hash comes first; null ids come last. A single row is its own successor. Repeated
-rows give repeated rows; other columns are ignored.
+Ids are integers or strings; other types are an error. Null texts are empty; texts without
+paragraphs have fingerprint zero. Of equal ids the row with the smaller text hash comes first; null
+ids come last. A single row is its own successor. Repeated rows give repeated rows; other columns
+are ignored.
 """
 
 from __future__ import annotations
 
+import json
+import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -48,7 +54,7 @@ def _features(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
     digest and ``_pair`` the hash of it and its successor; a row of nulls where a text has none."""
     lines = rows.select(*keys, F.explode_outer(paragraphs(F.col(text))).alias("_line"))
     split = lines.select(
-        *keys, F.md5("_line").alias("_digest"), words(F.col("_line")).alias("_w")
+        *keys, F.sha2("_line", 512).alias("_digest"), words(F.col("_line")).alias("_w")
     )
     pairs = F.arrays_zip(
         F.col("_w").alias("a"), F.slice("_w", 2, F.greatest(F.size("_w"), F.lit(1))).alias("b")
@@ -63,13 +69,9 @@ def _sums() -> list[Column]:
     """Lane sums over feature rows; two lanes of 32 bits share a long. The digest of a paragraph
     counts at its first word."""
     out = []
-    for i in range(EQUAL_LANES // 2):
-        wide = F.xxhash64("_digest", F.lit(i))
-        first = F.col("_at") == 0
-        out += [
-            F.sum(F.when(first, wide.bitwiseAND(F.lit(_LOW32)))).alias(f"_e{2 * i}"),
-            F.sum(F.when(first, F.shiftrightunsigned(wide, 32))).alias(f"_e{2 * i + 1}"),
-        ]
+    for i in range(EQUAL_LANES):
+        lane = F.conv(F.substring("_digest", 8 * i + 1, 8), 16, 10).cast("bigint")
+        out.append(F.sum(F.when(F.col("_at") == 0, lane)).alias(f"_e{i}"))
     for i in range(COUNT_LANES // 2):
         step = F.when(F.col("_half") == 0, F.lit(1)).otherwise(F.lit(1 << 32)).cast("long")
         out.append(F.sum(F.when(F.col("_slot") == i, step)).alias(f"_c{i}"))
@@ -138,49 +140,63 @@ def likeness(equal_a: Column, counts_a: Column, equal_b: Column, counts_b: Colum
 
 # -------------------------------------------------------------------- successors
 
+def _key(id_col: str, text_col: str, kind: str) -> Column:
+    """What rows are ordered by. Larger keys come first: ids downwards, nulls (the smallest) last,
+    of equal ids the smaller text hash first."""
+    return F.struct(
+        F.col(id_col).cast(kind).alias("id"),
+        F.bitwise_not(F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))).alias("h"),
+    )
+
+
 def in_cells(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Rows ``_id, _text`` by ``_cell``; with ``_copy`` set, the first row of the next cell.
 
-    Cells are equal stretches of ids. There are at most ``MAX_CELLS``, so the table of their
-    first ids may be sent to every task.
+    The keys that cells begin with are picked by a hash of the key, about ``MAX_CELLS`` of them at
+    most, so their list may be part of the plan.
     """
-    ids = docs.select(F.col(id_col).cast("bigint").alias("_id"))
-    low, high, rows = ids.agg(F.min("_id"), F.max("_id"), F.count("*")).first()
+    own = dict(docs.dtypes)[id_col]
+    if own not in ("tinyint", "smallint", "int", "bigint", "string"):
+        raise TypeError(f"ids must be integers or strings, not {own}")
+    kind = "string" if own == "string" else "bigint"
+    key = _key(id_col, text_col, kind)
+    keys = docs.select(key.alias("_key"))
+    rows = keys.count()
     cells = max(1, min(MAX_CELLS, rows // CELL_ROWS))
-    low, high = (0, 0) if low is None else (low, high)
-    width = (high - low) // cells + 1
-    # Python integers: the span of the ids may exceed a long, a quotient of halves does not
-    place = F.expr(f"cast((cast(_id as decimal(20,0)) - {low}) div {width} as bigint)")
-    cell = F.when(F.col("_id").isNull(), F.lit(-1).cast("long")).otherwise(place)
-    firsts = (
-        ids.withColumn("_cell", cell).groupBy("_cell").agg(F.max("_id").alias("_first"))
-    )
-    around = Window.orderBy(F.desc("_cell"))
-    before = F.coalesce(
-        F.lag("_cell").over(around),
-        F.last("_cell").over(around.rowsBetween(0, Window.unboundedFollowing)),
-    )
-    firsts = F.broadcast(firsts.select("_first", before.alias("_before")))
-    lone = docs.where(F.col(id_col).isNull()).agg(
-        F.min(F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    ).first()[0]
+    share = F.lit(-(-(1 << 32) * cells // max(rows, 1)))
+    picked = F.shiftrightunsigned(F.xxhash64("_key.id", "_key.h"), 32) < share
+    top, cuts = keys.agg(
+        F.to_json(F.max("_key")), F.to_json(F.sort_array(F.collect_set(F.when(picked, F.col("_key")))))
+    ).first()
     texts = docs.select(
-        F.col(id_col).cast("bigint").alias("_id"),
-        F.coalesce(F.col(text_col), F.lit("")).alias("_text"),
-    ).withColumn("_cell", cell)
-    # of rows with a null id only those with the smallest text hash can be first
-    first = F.col("_id").eqNullSafe(F.col("_first"))
-    if lone is not None:
-        first = first & (F.col("_id").isNotNull() | (F.xxhash64("_text") == lone))
-    places = F.when(
-        F.col("_before").isNull(), F.array(F.struct(F.col("_cell"), F.lit(False).alias("_copy")))
-    ).otherwise(
-        F.array(
-            F.struct(F.col("_cell"), F.lit(False).alias("_copy")),
-            F.struct(F.col("_before").alias("_cell"), F.lit(True).alias("_copy")),
-        )
-    )
-    return texts.join(firsts, first, "left").select("_id", "_text", F.inline(places))
+        F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"),
+        key.alias("_key"),
+    )
+    if top is None:
+        return texts.select("_id", "_text", F.lit(0).alias("_cell"), F.lit(False).alias("_copy"))
+    ends = json.loads(cuts)
+    if not ends or ends[-1] != json.loads(top):
+        ends.append(json.loads(top))
+    # a cell ends at its largest key; two steps of a square root each find it
+    side = math.isqrt(len(ends)) + 1
+    blocks = [ends[i : i + side] for i in range(0, len(ends), side)]
+    shape = f"struct<id:{kind},h:bigint>"
+    tops = F.from_json(F.lit(json.dumps([b[-1] for b in blocks])), f"array<{shape}>")
+    inner = F.from_json(F.lit(json.dumps(blocks)), f"array<array<{shape}>>")
+
+    def below(cuts: Column) -> Column:
+        return F.size(F.filter(cuts, lambda c: c < F.col("_key")))
+
+    placed = texts.withColumn("_block", below(tops))
+    placed = placed.withColumn("_cuts", F.element_at(inner, F.col("_block") + 1))
+    placed = placed.withColumn("_place", below(F.col("_cuts")))
+    cell = F.col("_block") * side + F.col("_place")
+    first = F.element_at("_cuts", F.col("_place") + 1) == F.col("_key")
+    before = F.when(cell == len(ends) - 1, F.lit(0)).otherwise(cell + 1)
+    itself = F.struct(cell.alias("_cell"), F.lit(False).alias("_copy"))
+    copied = F.struct(before.alias("_cell"), F.lit(True).alias("_copy"))
+    places = F.when(first, F.array(itself, copied)).otherwise(F.array(itself))
+    return placed.select("_id", "_text", F.inline(places))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

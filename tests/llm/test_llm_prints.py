@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 import xxhash
 from cases import ODD_ROWS, rows
 from hypothesis import given, settings
@@ -157,11 +158,9 @@ def plain_print(text):
         own = WORD.findall(line)
         if not own:
             continue
-        digest = hashlib.md5(line.encode()).hexdigest()
-        for i in range(8):
-            wide = spark_hash(digest, i)
-            equal[2 * i] += wide & 0xFFFFFFFF
-            equal[2 * i + 1] += wide >> 32
+        digest = hashlib.sha512(line.encode()).digest()
+        for i in range(16):
+            equal[i] += int.from_bytes(digest[4 * i : 4 * i + 4], "big")
         for pair in zip(own, [*own[1:], None], strict=True):
             value = spark_hash(*[w for w in pair if w is not None])
             counts[(value - (1 << 64) if value >> 63 else value) % 96] += 1
@@ -187,8 +186,11 @@ def plain_prints(texts):
         return value - (1 << 64) if value >> 63 else value
 
     order = sorted(
-        ((d, t or "") for d, t in texts), key=lambda r: (r[0] is None, -(r[0] or 0), tie(r[1]))
+        ((d, t or "") for d, t in texts), key=lambda r: tie(r[1])
     )
+    order = sorted([r for r in order if r[0] is not None], key=lambda r: r[0], reverse=True) + [
+        r for r in order if r[0] is None
+    ]
     out = []
     for i, (doc_id, text) in enumerate(order):
         after = order[(i + 1) % len(order)][1]
@@ -234,4 +236,25 @@ def test_paragraph_order_does_not_matter_and_edits_are_sums(spark):
 def test_multiset_plan_has_one_text_shuffle_and_no_python(documents):
     plan = multiset.fingerprints(documents)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
-    assert plan.count("hashpartitioning(_cell") <= 2  # the texts, and the narrow table of cells
+    assert plan.count("hashpartitioning(_cell") == 1
+    assert "Join" not in plan
+
+
+def test_cells_follow_the_ids(spark):
+    """One far id, a repeated id and rows without one: no cell holds much more than its share."""
+    ids = [*range(4_000), 10**12, *[-5] * 1_500, *[None] * 1_500]
+    docs = spark.createDataFrame([(i, f"text {n}") for n, i in enumerate(ids)], "doc_id bigint, text string")
+    sizes = [r[0] for r in multiset.in_cells(docs, "doc_id", "text").groupBy("_cell").count().select("count").collect()]
+    assert max(sizes) < 12 * multiset.CELL_ROWS and len(sizes) > len(ids) / multiset.CELL_ROWS / 2
+    texts = [tuple(r) for r in docs.collect()][3_500:4_200]
+    few = spark.createDataFrame(texts, docs.schema)
+    assert rounded(multiset.fingerprints(few)) == plain_prints(texts)
+
+
+def test_text_ids(spark):
+    texts = [(i, t) for i, (_, t, *_) in zip(["b", "a", None, "é", "", "b", "10", "9", None, "Z", "aa", "a", "c"], ODD_ROWS)]
+    texts += [(f"id{i:03}", f"line {i % 5}\nother {i}") for i in range(200)]
+    docs = spark.createDataFrame(texts, "doc_id string, text string")
+    assert rounded(multiset.fingerprints(docs)) == plain_prints(texts)
+    with pytest.raises(TypeError):
+        multiset.fingerprints(docs.selectExpr("CAST(1.5 AS double) AS doc_id", "text"))
