@@ -48,3 +48,26 @@ def work_dir(spark: SparkSession, name: str) -> str:
             raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
         base = tempfile.mkdtemp(prefix="bazaarlens-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def _hadoop(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def present(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, on whatever file system the path names."""
+    where, files = _hadoop(spark, path)
+    return files.exists(where)
+
+
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of what lies in a folder; none if it is absent."""
+    where, files = _hadoop(spark, path)
+    return [e.getPath().getName() for e in files.listStatus(where)] if files.exists(where) else []
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder of the job's own."""
+    where, files = _hadoop(spark, path)
+    files.delete(where, True)

@@ -11,7 +11,8 @@ from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
 from bazaarlens.operators.joins import present_in
-from bazaarlens.operators.latest import upsert
+from bazaarlens.operators.latest import latest_per_key, upsert
+from bazaarlens.session import folders, present, remove
 from bazaarlens.sources import schemas
 
 COPY_LOG = (
@@ -21,6 +22,8 @@ COPY_LOG = (
 # Text formats keep microseconds; Spark's default pattern would cut them to milliseconds.
 MICROS = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
 BUCKETS = 256
+FILES_PER_BUCKET = 4
+TABLE_RECORD = "aside string, batch string, buckets array<int>, id_buckets array<int>"
 
 
 def scan(spark: SparkSession, name: str, path: str, format: str = "parquet") -> DataFrame:
@@ -80,72 +83,212 @@ def parse_nested(df: DataFrame, schema: T.StructType) -> DataFrame:
 # Current-version tables -----------------------------------------------------------
 
 class CurrentTable:
-    """A keyed table in folders of URL hash buckets; a change rewrites the buckets it touches.
+    """A keyed table in folders of URL hash buckets, with an index by id and a log of changes.
 
-    The new content of the touched buckets is written beside the table first and then put in
-    their place by Spark's partition overwrite, so a job that fails before loses nothing and can
-    be repeated. One writer at a time; readers that need a fixed state take a copy.
+    * ``data``: the rows by hash of their URL. ``index``: the bucket of every listing id, by hash of
+      the id. A change reads and rewrites only the folders it touches in both.
+    * ``changes``: per batch what was inserted, updated and deleted, with the row before and after.
+      A batch that is in the log is not applied again.
+
+    The new content is written beside the table, then a record says that it is whole, then Spark's
+    partition overwrite puts it in place and the copy is removed. A job that fails before the record
+    changes nothing; one that fails after it is finished by the next use of the table. One writer at
+    a time; readers that need a fixed state take a copy.
     """
 
     def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS):
         self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
-        self.data = f"{self.path}/data"
+        self.data, self.index = f"{self.path}/data", f"{self.path}/index"
+        self.log, self._record = f"{self.path}/changes", f"{self.path}/record"
 
-    def _stored(self) -> DataFrame | None:
+    def _stored(self, folder: str) -> DataFrame | None:
         try:
-            return self.spark.read.parquet(self.data)
+            return self.spark.read.parquet(folder)
         except AnalysisException as missing:
             if not any(c in str(missing) for c in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")):
                 raise
             return None
 
     def read(self) -> DataFrame | None:
-        stored = self._stored()
+        self._finish()
+        stored = self._stored(self.data)
         return None if stored is None else stored.drop("_bucket")
 
+    def changes(self) -> DataFrame | None:
+        """``batch, seq, change, listing_id, before, after`` of every batch; ``seq`` counts them."""
+        self._finish()
+        return self._stored(self.log)
+
+    # ---- folders
+
+    def _hashed(self, df: DataFrame, name: str, *keys: str) -> DataFrame:
+        number = F.pmod(F.xxhash64(F.coalesce(*keys)), F.lit(self.buckets)).cast("int")
+        return df.withColumn(name, number)
+
     def _bucketed(self, df: DataFrame) -> DataFrame:
         """Rows by hash of their URL; rows without one by hash of their id."""
-        key = F.xxhash64(F.coalesce("url", "listing_id"))
-        return df.withColumn("_bucket", F.pmod(key, F.lit(self.buckets)).cast("int"))
-
-    def _put(self, rows: DataFrame, touched: list[int] | None) -> None:
-        """Replace the content of ``touched`` buckets (None: of all) by ``rows``."""
-        aside = f"{self.path}/aside-{uuid.uuid4().hex[:12]}"
-        rows.write.partitionBy("_bucket").parquet(aside)
-        fresh = self.spark.read.schema(rows.schema).parquet(aside)
-        mode = "static" if touched is None else "dynamic"
-        fresh.write.mode("overwrite").option("partitionOverwriteMode", mode).partitionBy(
-            "_bucket"
-        ).parquet(self.data)
-        if touched:  # the overwrite leaves a bucket alone that has no row now
-            held = {r[0] for r in fresh.select("_bucket").distinct().collect()}
-            blank = self.spark.createDataFrame([], rows.drop("_bucket").schema)
-            for bucket in sorted(set(touched) - held):
-                blank.write.mode("overwrite").parquet(f"{self.data}/_bucket={bucket}")
-
-    def upsert(self, incoming: DataFrame) -> None:
-        """Insert or replace on listing id and url, the latest row winning."""
-        new, stored = self._bucketed(incoming), self._stored()
-        if stored is None:
-            self._put(self._bucketed(upsert(incoming.limit(0), incoming)), None)
+        return self._hashed(df, "_bucket", "url", "listing_id")
+
+    def _numbers(self, df: DataFrame, name: str) -> list[int]:
+        """The folders that ``df`` lies in: at most ``buckets`` numbers."""
+        return sorted(r[0] for r in df.select(name).distinct().collect())
+
+    def _within(self, folder: str, name: str, numbers: list[int]) -> DataFrame | None:
+        """The stored rows of some folders; the others are not read."""
+        stored = self._stored(folder)
+        return None if stored is None else stored.where(F.col(name).isin(numbers))
+
+    # ---- committing
+
+    def _finish(self) -> None:
+        """Put a batch in place whose record is whole; remove what an unfinished one left."""
+        if present(self.spark, f"{self._record}/_SUCCESS"):
+            self._publish(self.spark.read.schema(TABLE_RECORD).json(self._record).first())
+        for name in folders(self.spark, self.path):
+            if name == "record" or name.startswith("aside-"):
+                remove(self.spark, f"{self.path}/{name}")
+
+    def _publish(self, record) -> None:
+        aside = f"{self.path}/{record.aside}"
+        self._replace(f"{aside}/data", self.data, "_bucket", record.buckets)
+        self._replace(f"{aside}/index", self.index, "_id_bucket", record.id_buckets)
+        log = self.spark.read.parquet(f"{aside}/changes")
+        log.write.mode("overwrite").parquet(f"{self.log}/batch={record.batch}")
+        remove(self.spark, self._record)
+        remove(self.spark, aside)
+
+    def _replace(self, source: str, target: str, name: str, numbers: list[int]) -> None:
+        """Put the folders of ``source`` in the place of the folders ``numbers`` of ``target``."""
+        if not numbers:
+            return
+        held = {int(n.partition("=")[2]) for n in folders(self.spark, source) if n.startswith(f"{name}=")}
+        if held:
+            fresh = self.spark.read.parquet(source)
+            fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+                name
+            ).parquet(target)
+        # the overwrite leaves a folder alone that has no row now
+        emptied = sorted(set(numbers) - held)
+        if emptied:
+            blank = self.spark.read.parquet(target).drop(name).limit(0)
+            for number in emptied:
+                blank.write.mode("overwrite").parquet(f"{target}/{name}={number}")
+
+    def _commit(self, batch: str | None, before: DataFrame | None, after: DataFrame) -> None:
+        """Replace the stored rows ``before`` (None: there are none) by ``after``."""
+        aside = f"aside-{uuid.uuid4().hex[:12]}"
+        whole = f"{self.path}/{aside}"
+        self._write(self._bucketed(after), f"{whole}/data", "_bucket")
+        after = self.spark.read.schema(self._bucketed(after).schema).parquet(f"{whole}/data")
+        if before is None:
+            before = after.limit(0)
+        logged = [n for n in folders(self.spark, self.log) if n.startswith("batch=")]
+        changes = changed_rows(before.drop("_bucket"), after.drop("_bucket")).withColumn(
+            "seq", F.lit(len(logged)).cast("long")
+        )
+        changes.write.parquet(f"{whole}/changes")
+        moved = self._moved(before, after)
+        ids = self._numbers(moved, "_id_bucket")
+        entries = moved.where("_bucket IS NOT NULL")
+        if (held := self._within(self.index, "_id_bucket", ids)) is not None:
+            entries = held.join(moved.select("listing_id"), "listing_id", "left_anti").unionByName(entries)
+        self._write(entries, f"{whole}/index", "_id_bucket")
+        buckets = sorted({*self._numbers(before, "_bucket"), *self._numbers(after, "_bucket")})
+        record = (aside, batch or f"own-{len(logged):08d}", buckets, ids)
+        self.spark.createDataFrame([record], TABLE_RECORD).coalesce(1).write.json(self._record)
+        self._finish()
+
+    def _write(self, rows: DataFrame, path: str, name: str) -> None:
+        """A few files per folder."""
+        spread = F.pmod(F.xxhash64("listing_id"), F.lit(FILES_PER_BUCKET))
+        rows.repartition(name, spread).write.partitionBy(name).parquet(path)
+
+    def _moved(self, before: DataFrame, after: DataFrame) -> DataFrame:
+        """``listing_id, _bucket, _id_bucket`` of ids whose bucket changes; null: they are gone."""
+        old = before.select("listing_id", F.col("_bucket").alias("_was")).where("listing_id IS NOT NULL")
+        new = after.select("listing_id", "_bucket").where("listing_id IS NOT NULL")
+        both = old.join(new, "listing_id", "full").where("NOT (_was <=> _bucket)")
+        return self._hashed(both.select("listing_id", "_bucket"), "_id_bucket", "listing_id")
+
+    # ---- changes
+
+    def applied(self, batch: str) -> bool:
+        return present(self.spark, f"{self.log}/batch={batch}/_SUCCESS")
+
+    def upsert(self, incoming: DataFrame, batch: str | None = None) -> None:
+        """Insert or replace on listing id and url, the latest row winning.
+
+        ``batch`` names the change in the log; a name that is already there is left alone.
+        """
+        self._finish()
+        if batch is not None and self.applied(batch):
             return
-        # buckets of the incoming urls, and those where an incoming id lies under another url
-        moved = stored.join(new.select("listing_id").distinct(), "listing_id", "left_semi")
-        rows = new.select("_bucket").unionByName(moved.select("_bucket")).distinct().collect()
-        touched = sorted(r["_bucket"] for r in rows)  # at most ``buckets`` numbers
-        if not touched:
+        if self._stored(self.data) is None:
+            self._commit(batch, None, upsert(incoming.limit(0), incoming))
             return
-        part = stored.where(F.col("_bucket").isin(touched)).drop("_bucket")
-        self._put(self._bucketed(upsert(part, incoming)), touched)
-
-    def delete(self, condition) -> None:
+        touched = self._touched(incoming)
+        part = self._within(self.data, "_bucket", touched)
+        self._commit(batch, part, upsert(part.drop("_bucket"), incoming))
+
+    def _touched(self, incoming: DataFrame) -> list[int]:
+        """Buckets of the incoming urls, and those where an incoming id lies now."""
+        new = self._hashed(self._bucketed(incoming), "_id_bucket", "listing_id")
+        buckets = set(self._numbers(new, "_bucket"))
+        ids = new.where("listing_id IS NOT NULL").select("listing_id", "_id_bucket").distinct()
+        held = self._within(self.index, "_id_bucket", self._numbers(ids, "_id_bucket"))
+        if held is not None:
+            buckets |= set(self._numbers(held.join(ids.select("listing_id"), "listing_id", "left_semi"), "_bucket"))
+        return sorted(buckets)
+
+    def delete(self, condition, batch: str | None = None) -> None:
         """Drop the rows the condition is true for; NULL keeps the row."""
-        stored = self._stored()
+        self._finish()
+        stored = self._stored(self.data)
+        if stored is None or batch is not None and self.applied(batch):
+            return
         doomed = F.coalesce(condition, F.lit(False))
-        touched = sorted(r[0] for r in stored.where(doomed).select("_bucket").distinct().collect())
+        touched = self._numbers(stored.where(doomed), "_bucket")
         if touched:
-            part = stored.where(F.col("_bucket").isin(touched))
-            self._put(part.where(~doomed), touched)
+            part = self._within(self.data, "_bucket", touched)
+            self._commit(batch, part, part.where(~doomed).drop("_bucket"))
+
+
+def changed_rows(before: DataFrame, after: DataFrame) -> DataFrame:
+    """``change, listing_id, before, after`` of the rows that two states do not share."""
+    def state(df: DataFrame, name: str) -> DataFrame:
+        held = [F.col(c) if c in df.columns else F.lit(None).cast(kind).alias(c) for c, kind in after.dtypes]
+        return df.select(F.col("listing_id").alias(f"_{name}"), F.struct(*held).alias(name))
+
+    both = state(before, "before").join(
+        state(after, "after"), F.col("_before").eqNullSafe(F.col("_after")), "full"
+    )
+    change = (
+        F.when(F.col("before").isNull(), "insert").when(F.col("after").isNull(), "delete").otherwise("update")
+    )
+    # as text, since maps do not compare
+    same = F.to_json("before").eqNullSafe(F.to_json("after"))
+    return both.where(~same).select(
+        change.alias("change"), F.coalesce("_after", "_before").alias("listing_id"), "before", "after"
+    )
+
+
+def replayed(changes: DataFrame, upto: int | None = None) -> DataFrame:
+    """The table as its log says it was after batch ``upto`` (None: now)."""
+    seen = changes if upto is None else changes.where(F.col("seq") <= upto)
+    last = latest_per_key(seen, ["listing_id"], ["seq"])
+    return last.where("change <> 'delete'").select("after.*")
+
+
+def price_changes(changes: DataFrame) -> DataFrame:
+    """Every price a listing has had, in the order of the log, with its change and drop."""
+    seen = changes.where("change <> 'delete' AND NOT (before.price <=> after.price)")
+    change = F.col("after.price") - F.col("before.price")
+    return seen.select(
+        "listing_id", "seq", F.col("after.scraped_at").alias("scraped_at"),
+        F.col("after.price").alias("price"), F.col("before.price").alias("prev_price"),
+        change.alias("price_change"),
+        F.when(F.col("before.price") > 0, -change * 100.0 / F.col("before.price")).alias("drop_percentage"),
+    )
 
 
 # Retention --------------------------------------------------------------------------

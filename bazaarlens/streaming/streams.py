@@ -8,6 +8,7 @@ the newest row per key, so a replayed batch changes nothing.
 
 from __future__ import annotations
 
+import hashlib
 import threading
 from collections.abc import Callable, Iterator
 
@@ -216,8 +217,10 @@ def start_upsert(stream: DataFrame, table, now, checkpoint: str) -> StreamingQue
     """Merge every micro-batch into a current-version table.
 
     The newest sighting of a listing wins, in a batch and against the table: by the page's
-    ``seen_at`` where it has one, else by ``now()``. Repeating a batch changes nothing.
+    ``seen_at`` where it has one, else by ``now()``. A batch is named in the table's change log by
+    the checkpoint and its number, so repeating it changes nothing.
     """
+    run = hashlib.md5(checkpoint.encode()).hexdigest()[:12]
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         seen = F.lit(now()).cast("timestamp")
@@ -225,7 +228,7 @@ def start_upsert(stream: DataFrame, table, now, checkpoint: str) -> StreamingQue
             seen = F.coalesce(F.col("seen_at").cast("timestamp"), seen)
         rows = batch.withColumn("scraped_at", seen).drop("seen_at").persist()
         try:  # the upsert reads the batch several times; its pages are parsed once
-            table.upsert(rows)
+            table.upsert(rows, f"{run}-{batch_id:08d}")
         finally:
             rows.unpersist()
 

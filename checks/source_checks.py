@@ -163,28 +163,50 @@ check("retained_images",
 
 
 def _table(t):
-    """Load, upsert, then age out one category of a current-version table."""
+    """Load, upsert twice in the same batch, then age out one category of a current-version table."""
     table = S.CurrentTable(t.spark, work_dir(t.spark, "table"), buckets=8)
     columns = ["listing_id", "url", "category", "price", "scraped_at"]
-    table.upsert(t.listings.where("bids <= 3 OR bids IS NULL").select(*columns))
+    table.upsert(t.listings.where("bids <= 3 OR bids IS NULL").select(*columns), "load")
     changed = t.listings.where("bids >= 3 OR bids IS NULL").select(*columns)
-    table.upsert(changed.withColumn("price", F.col("price") + 1))
-    table.delete(S.older_than(NOW, 600, "rings"))
-    return table.read()
+    for _ in range(2):
+        table.upsert(changed.withColumn("price", F.col("price") + 1), "change")
+    table.delete(S.older_than(NOW, 600, "rings"), "age")
+    return table
 
 
-check("current_table", _table,
-      f"""WITH rows AS (SELECT listing_id, url, category, price, scraped_at, 0 AS fresh FROM listings
-    WHERE bids <= 3 OR bids IS NULL UNION ALL
+STATES = """WITH first AS (SELECT listing_id, url, category, price, scraped_at FROM listings
+  WHERE bids <= 3 OR bids IS NULL QUALIFY row_number() OVER (PARTITION BY url
+    ORDER BY scraped_at DESC, listing_id DESC) = 1),
+rows AS (SELECT *, 0 AS fresh FROM first UNION ALL
   SELECT listing_id, url, category, price + 1, scraped_at, 1 FROM listings
     WHERE bids >= 3 OR bids IS NULL),
 by_id AS (SELECT * FROM rows QUALIFY row_number() OVER (PARTITION BY listing_id
     ORDER BY scraped_at DESC, fresh DESC) = 1),
 by_url AS (SELECT * FROM by_id QUALIFY row_number() OVER (PARTITION BY url
-    ORDER BY scraped_at DESC, fresh DESC, listing_id DESC) = 1)
+    ORDER BY scraped_at DESC, fresh DESC, listing_id DESC) = 1)"""
+KEPT = f"""{STATES}
 SELECT listing_id, url, category, price, scraped_at FROM by_url
-WHERE NOT (category = 'rings' AND scraped_at < {AS_OF} - INTERVAL 600 DAY)""",
+WHERE NOT (category = 'rings' AND scraped_at < {AS_OF} - INTERVAL 600 DAY)"""
+check("current_table", lambda t: _table(t).read(), KEPT, "listings", digits=2)
+check("replayed_table", lambda t: S.replayed(_table(t).changes()), KEPT, "listings", digits=2)
+check("price_change_log", lambda t: S.price_changes(_table(t).changes()).select(
+          "listing_id", "seq", "price", "prev_price", F.round("price_change", 0).alias("price_change")),
+      f"""{STATES}
+SELECT listing_id, 0 AS seq, price, NULL::DOUBLE AS prev_price, NULL::DOUBLE AS price_change FROM first
+UNION ALL
+SELECT listing_id, 1, b.price, a.price, round(b.price - a.price) FROM by_url b LEFT JOIN first a USING (listing_id) WHERE b.price IS DISTINCT FROM a.price""",
       "listings", digits=2)
+check("table_changes",
+      lambda t: _table(t).changes().groupBy("batch", "seq", "change").agg(F.count("*").alias("rows")),
+      f"""{STATES}
+SELECT 'load' AS batch, 0 AS seq, 'insert' AS change, count(*) AS rows FROM first UNION ALL
+SELECT 'change', 1, CASE WHEN a.listing_id IS NULL THEN 'insert' WHEN b.listing_id IS NULL
+  THEN 'delete' ELSE 'update' END AS change, count(*)
+FROM by_url b FULL JOIN first a USING (listing_id)
+WHERE a.listing_id IS NULL OR b.listing_id IS NULL OR a.price IS DISTINCT FROM b.price GROUP BY 3 UNION ALL
+SELECT 'age', 2, 'delete', count(*) FROM by_url
+  WHERE category = 'rings' AND scraped_at < {AS_OF} - INTERVAL 600 DAY HAVING count(*) > 0""",
+      "listings")
 DAYS = [datetime(1998, 1, 1), datetime(2000, 1, 1), datetime(2001, 1, 1), datetime(2002, 1, 1)]
 
 

@@ -2,6 +2,7 @@
 
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from bazaarlens.operators.latest import upsert
@@ -157,6 +158,110 @@ def test_untouched_buckets_stay_as_they_are(spark, tmp_path):
     assert "SortAggregate" not in plan and "WindowGroupLimit" in plan
 
 
+def test_upsert_reads_touched_folders_of_both_tables_only(spark, tmp_path):
+    table = store.CurrentTable(spark, str(tmp_path), buckets=16)
+    table.upsert(spark.createDataFrame([(str(i), f"u{i}", 1.0, NOW) for i in range(200)], TABLE))
+    incoming = spark.createDataFrame([("7", "elsewhere", 2.0, NOW + timedelta(1))], TABLE)
+    touched = table._touched(incoming)
+    assert 1 <= len(touched) <= 2
+    for folder, name, numbers in ((table.data, "_bucket", touched), (table.index, "_id_bucket", [3])):
+        plan = table._within(folder, name, numbers)._jdf.queryExecution().executedPlan().toString()
+        filters = plan.split("PartitionFilters: [")[1].split("]")[0]
+        assert name in filters
+    # files of untouched folders are spoilt: reading any of them would fail
+    ids = table._numbers(table._hashed(incoming, "_id_bucket", "listing_id"), "_id_bucket")
+    spoilt = []
+    for folder, kept in (("data", touched), ("index", ids)):
+        files = sorted((tmp_path / folder).rglob("*.parquet"))
+        for file in files:
+            if int(file.parent.name.split("=")[1]) not in kept and file != files[0]:
+                spoilt.append((file, file.read_bytes()))
+    assert len(spoilt) > 20
+    for file, _ in spoilt:
+        file.with_name(f".{file.name}.crc").unlink(missing_ok=True)
+        file.write_bytes(b"spoilt")
+    table.upsert(incoming)
+    for file, data in spoilt:
+        file.write_bytes(data)
+    got = {r["listing_id"]: r["url"] for r in table.read().collect()}
+    assert len(got) == 200 and got["7"] == "elsewhere"
+    table.upsert(spark.createDataFrame([("7", "u7", 3.0, NOW + timedelta(2))], TABLE))  # and back
+    assert {r["listing_id"]: r["url"] for r in table.read().collect()}["7"] == "u7"
+    entries = spark.read.parquet(table.index)
+    assert entries.count() == 200
+    placed = table._bucketed(table.read()).select("listing_id", "_bucket")
+    assert placed.exceptAll(entries.select("listing_id", "_bucket")).count() == 0
+
+
+def test_no_copy_is_left_and_a_crash_inside_the_swap_is_repaired(spark, tmp_path, monkeypatch):
+    def state():
+        return sorted((r["listing_id"], r["url"], r["price"]) for r in table.read().collect())
+
+    def left():
+        return {p.name for p in tmp_path.iterdir()} - {"data", "index", "changes"}
+
+    table = store.CurrentTable(spark, str(tmp_path), buckets=4)
+    table.upsert(spark.createDataFrame([(str(i), f"u{i}", 1.0, NOW) for i in range(20)], TABLE), "a")
+    assert left() == set()
+    change = spark.createDataFrame([("1", "u1", 2.0, NOW + timedelta(1)), ("z", "u2", 3.0, NOW + timedelta(1))], TABLE)
+
+    class Died(Exception):
+        pass
+
+    def die(*_):
+        raise Died
+
+    before = state()
+    for step in ("_moved", "_publish"):
+        with monkeypatch.context() as patch:
+            patch.setattr(store.CurrentTable, step, die)
+            with pytest.raises(Died):
+                table.upsert(change, "b")
+        if step == "_moved":  # no record yet: nothing has happened
+            assert left() and state() == before and left() == set()
+    # dead with a record, and the touched folders already deleted by the overwrite
+    record = spark.read.schema(store.TABLE_RECORD).json(f"{tmp_path}/record").first()
+    for number in record.buckets:
+        for file in (tmp_path / "data" / f"_bucket={number}").glob("*"):
+            file.unlink()
+    after = state()
+    assert ("1", "u1", 2.0) in after and ("z", "u2", 3.0) in after and len(after) == 20
+    assert left() == set()
+    table.upsert(change, "b")  # repeated
+    assert state() == after
+    log = table.changes()
+    assert log.where("batch = 'b'").groupBy("change").count().sort("change").collect() == [
+        ("delete", 1), ("insert", 1), ("update", 1)]
+
+
+def test_change_log_replays_to_the_table(spark, tmp_path):
+    table = store.CurrentTable(spark, str(tmp_path), buckets=4)
+    states = []
+
+    def step(work):
+        work()
+        states.append(sorted(table.read().collect(), key=str))
+
+    def put(name, *rows):
+        step(lambda: table.upsert(spark.createDataFrame(list(rows), TABLE), name))
+
+    put("0", *[(str(i), f"u{i}", 10.0, NOW) for i in range(12)], (None, "none", 1.0, NOW), ("x", None, 1.0, NOW))
+    put("1", ("1", "u1", 8.0, NOW + timedelta(1)), ("2", "u2", 12.0, NOW - timedelta(1)))
+    put("1", ("1", "u1", 8.0, NOW + timedelta(1)), ("2", "u2", 12.0, NOW - timedelta(1)))
+    put("2", ("1", "u1", 4.0, NOW + timedelta(2)), ("3", "moved", 10.0, NOW + timedelta(2)))
+    step(lambda: table.delete(F.col("listing_id") == "4", "3"))
+    put("4", ("4", "u4", 7.0, NOW + timedelta(3)))
+    put("5", ("4", "u4", 7.0, NOW + timedelta(3)))  # nothing new
+    log = table.changes()
+    assert [r[0] for r in log.groupBy("seq").count().sort("seq").select("seq").collect()] == [0, 1, 2, 3, 4]
+    for seq, want in zip([0, 1, 2, 3, 4, 5], states[:2] + states[3:], strict=True):
+        assert sorted(store.replayed(log, seq).collect(), key=str) == want
+    prices = store.price_changes(log).where("listing_id IN ('1', '4')").sort("listing_id", "seq").collect()
+    assert [(r["listing_id"], r["prev_price"], r["price"], r["price_change"], r["drop_percentage"]) for r in prices] == [
+        ("1", None, 10.0, None, None), ("1", 10.0, 8.0, -2.0, 20.0), ("1", 8.0, 4.0, -4.0, 50.0),
+        ("4", None, 10.0, None, None), ("4", None, 7.0, None, None)]
+
+
 def test_retention_keeps_images_without_a_deleted_listing(spark):
     listings = spark.createDataFrame(
         [("old", False, NOW - timedelta(90)), ("kept", True, NOW - timedelta(90)),
