@@ -20,6 +20,7 @@ labels). Repeated rows give repeated rows.
 
 from __future__ import annotations
 
+import hashlib
 import re
 import zlib
 from collections.abc import Iterator
@@ -34,7 +35,7 @@ from bazaarlens.llm.common import map_texts
 
 BITS = 20
 STEMS = (4, 5, 6, 7)
-SAMPLE_ROWS = 20_000
+SAMPLE_ROWS = 10_000
 LEAST_DOCS = 3
 ROW_VISITS = 60_000
 PASSES = (4, 30)
@@ -212,7 +213,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray) -> Model:
     for places in rows:
         seen[places] += 1
     bias = 1 << BITS  # one more coordinate, present in every row
-    kept = [np.append(places[seen[places] >= LEAST_DOCS], bias) for places in rows]
+    kept = [np.append(places[seen[places] >= LEAST_DOCS], bias).astype(np.int32) for places in rows]
     state, order = Ftrl(bias + 1), np.random.default_rng(7)
     for _ in range(int(np.clip(ROW_VISITS // len(rows), *PASSES))):
         for i in order.permutation(len(rows)):
@@ -253,13 +254,10 @@ def train(
     texts = docs.select(F.col(id_col).alias("_own"), F.col(text_col).alias("text"))
     sample = texts.join(chosen, F.col("_own") == F.col("_id")).select("y", "text")
     read = sample.mapInArrow(_read, "y int, places array<int>").toArrow()
-    found = [
-        (places.values.to_numpy().tobytes(), y)
-        for y, places in zip(read["y"].to_pylist(), read["places"], strict=True)
-    ]
-    found.sort()  # the same order whatever the partitions were
-    rows = [np.frombuffer(data, np.int32) for data, _ in found]
-    return fit(rows, np.array([y for _, y in found], float))
+    found = [(p.values.to_numpy(), y) for y, p in zip(read["y"].to_pylist(), read["places"], strict=True)]
+    # the same order whatever the partitions were
+    found.sort(key=lambda row: (hashlib.sha256(row[0].tobytes()).digest(), row[1]))
+    return fit([places for places, _ in found], np.array([y for _, y in found], float))
 
 
 def score(
