@@ -42,6 +42,7 @@ SYMBOLS = b"#$%&*|"
 RUN_BYTES = 32 << 20  # text (code points) that one run of a task holds in its trie
 RUN_ROWS = 1 << 18  # rows of one run, so of one number
 PART_BYTES = 64 << 20  # text wanted in one partition's trie
+LEAST_CUT = 256 << 10  # a prefix with less text than this is not cut
 FIRST_PREFIX = 8
 LONGER = 8
 _LEAD = 64  # characters of a prefix that decide its range; the rest decides by hash
@@ -193,7 +194,9 @@ def _prefixes(texts: DataFrame) -> tuple[DataFrame, int]:
     level = FIRST_PREFIX
     texts = texts.withColumn("prefix", F.substring("text", 1, level))
     default = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = max(default, (texts.agg(F.sum(size)).first()[0] or 0) // PART_BYTES + 1)
+    total = texts.agg(F.sum(size)).first()[0] or 0
+    parts = max(default, total // PART_BYTES + 1)
+    most = min(PART_BYTES // 4, max(LEAST_CUT, total // (2 * parts)))
     while True:
         # texts that all have one hash are copies: a longer prefix would not part them
         heavy = (
@@ -202,7 +205,7 @@ def _prefixes(texts: DataFrame) -> tuple[DataFrame, int]:
                 F.sum(size).alias("bytes"), F.min(F.xxhash64("text")).alias("low"),
                 F.max(F.xxhash64("text")).alias("high"),
             )
-            .where((F.col("bytes") > PART_BYTES // 4) & (F.col("low") != F.col("high")))
+            .where((F.col("bytes") > most) & (F.col("low") != F.col("high")))
             .select("prefix", F.lit(True).alias("cut"))
         )
         heavy = staged(heavy, "heavy-prefixes")

@@ -230,6 +230,7 @@ def test_audit_with_small_runs_and_long_prefixes(spark, monkeypatch):
     monkeypatch.setattr(audit, "RUN_BYTES", 3_000)
     monkeypatch.setattr(audit, "RUN_ROWS", 40)
     monkeypatch.setattr(audit, "PART_BYTES", 4_000)
+    monkeypatch.setattr(audit, "LEAST_CUT", 500)
     pick = random.Random(8)
     same = "the same beginning " * 30
     texts = [same + str(pick.randint(0, 40)) for _ in range(150)] + [same] * 60 + [""] * 50
