@@ -10,24 +10,22 @@ from __future__ import annotations
 
 import hashlib
 import threading
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.query import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from bazaarlens.functions import errors as err
 from bazaarlens.functions.scoring import MIN_INGEST_SCORE
-from bazaarlens.operators.folds import composed
 from bazaarlens.operators.latest import latest_per_key
 from bazaarlens.plans import logs
 from bazaarlens.plans.ingest import ingest
+from bazaarlens.streaming.ordered import ordered_fold
 
 WATERMARK = "10 minutes"
+SLOT_MS = 60_000  # rows of a session that wait together for the watermark
 # Late rows by run and batch of the queries started here: Spark keeps only the newest progress.
 _LATE: dict[str, dict[int, int]] = {}
 
@@ -85,80 +83,17 @@ def unseen(stream: DataFrame, key: str, watermark: str | None = WATERMARK) -> Da
 
 # Stateful folds --------------------------------------------------------------------------
 
-RISK = T.StructType(
-    [
-        T.StructField("session_id", T.StringType()),
-        T.StructField("steps", T.LongType()),
-        T.StructField("risk", T.DoubleType()),
-        T.StructField("upto", T.TimestampType()),
-    ]
-)
-RISK_STATE = T.StructType(
-    [
-        T.StructField("steps", T.LongType()),
-        T.StructField("risk", T.DoubleType()),
-        T.StructField("upto", T.TimestampType()),
-    ]
-)
-
-
-def _fold(steps_of: Callable[[pd.DataFrame], tuple[np.ndarray, np.ndarray, np.ndarray]]):
-    """State function folding the rows of one session in time order.
-
-    ``steps_of`` gives the columns (cap, a, b) of the steps ``s <- min(cap, a*s + b)``, which are
-    composed whole columns at a time.
-    """
-
-    def update(
-        key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
-    ) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        steps, risk, upto = state.get if state.exists else (0, 0.0, None)
-        # Arrow batches of a key arrive unsorted, so the trigger's rows are ordered here.
-        rows = pd.concat(list(batches)).sort_values(["timestamp", "request_id"])
-        cap, a, b = composed(np.zeros(len(rows), int), *steps_of(rows))
-        risk = min(float(cap[0]), float(a[0]) * risk + float(b[0]))
-        steps += len(rows)
-        last = rows["timestamp"].iloc[-1].to_pydatetime()
-        upto = last if upto is None else max(upto, last)
-        state.update((steps, risk, upto))
-        # Idle sessions leave the state a day after their last request, in event time.
-        seen = max(int(upto.timestamp() * 1000), state.getCurrentWatermarkMs())
-        state.setTimeoutTimestamp(seen + 24 * 3600 * 1000)
-        yield pd.DataFrame(
-            {"session_id": [key[0]], "steps": [steps], "risk": [risk], "upto": [upto]}
-        )
-
-    return update
-
-
-def weighted_risk(log: DataFrame) -> DataFrame:
-    """Running ``s <- 0.8 s + 0.2 x`` per session; input has a ``risk`` column."""
-
-    def steps(rows: pd.DataFrame):
-        n = len(rows)
-        return np.full(n, np.inf), np.full(n, 0.8), rows["risk"].to_numpy(float) * 0.2
-
-    return _stateful(log, _fold(steps))
-
-
-def decaying_risk(log: DataFrame) -> DataFrame:
-    """Running risk: times 0.95 per success, plus the failure's risk up to 1."""
-
-    def steps(rows: pd.DataFrame):
-        ok = rows["success"].to_numpy(bool)
-        risk = rows["risk"].to_numpy(float)
-        return np.where(ok, np.inf, 1.0), np.where(ok, 0.95, 1.0), np.where(ok, 0.0, risk)
-
-    return _stateful(log, _fold(steps))
+def weighted_risk(log: DataFrame, watermark: str = WATERMARK, slot_ms: int = SLOT_MS) -> DataFrame:
+    """Running ``s <- 0.8 s + 0.2 x`` per session in time order; input has a ``risk`` column."""
+    return ordered_fold(timed(log, watermark), F.lit(0.8), F.col("risk") * 0.2, slot_ms=slot_ms)
 
 
-def _stateful(log: DataFrame, update) -> DataFrame:
-    rows = timed(log).select("session_id", "request_id", "timestamp", "success", "risk")
-    return rows.groupBy("session_id").applyInPandasWithState(
-        update, RISK, RISK_STATE, "update", GroupStateTimeout.EventTimeTimeout
+def decaying_risk(log: DataFrame, watermark: str = WATERMARK, slot_ms: int = SLOT_MS) -> DataFrame:
+    """Running risk in time order: times 0.95 per success, plus the failure's risk up to 1."""
+    ok = F.col("success")
+    return ordered_fold(
+        timed(log, watermark), F.when(ok, 0.95).otherwise(1.0), F.when(ok, 0.0).otherwise(F.col("risk")),
+        F.when(ok, float("inf")).otherwise(1.0), slot_ms,
     )
 
 

@@ -251,6 +251,24 @@ def _sliced(t, slices=4):
     return stream.select(*request_columns())
 
 
+def _shuffled(t, files=5):
+    """The events as a file stream of a trigger per file, rows of all times in every file."""
+    path = work_dir(t.spark, "shuffled")
+    events = t.read("events")
+    deal = F.pmod(F.xxhash64("event_id"), F.lit(files))
+    for i in range(files):
+        events.where(deal == i).coalesce(1).write.mode("append").parquet(path)
+    return streams.read_stream(t.spark, path, events.schema, per_trigger=1).select(*request_columns())
+
+
+DAY_MS = 24 * 3600 * 1000
+for fold, answer in (("weighted", "WEIGHTED"), ("decaying", "DECAY")):
+    check(f"stream_{fold}_risk_shuffled",
+          lambda t, fold=fold: _run(
+              t, getattr(streams, f"{fold}_risk")(
+                  streams.with_request_risk(_shuffled(t)), "40 days", DAY_MS), f"{fold}-shuffled",
+              ["session_id"]).select("session_id", "steps", "risk"),
+          globals()[answer], "risky")
 check("stream_requests_in_slices",
       lambda t: _run(t, streams.request_counts(_sliced(t)), "slices", ["window_start"]),
       """SELECT date_trunc('minute', timestamp)::TIMESTAMP AS window_start, count(*) AS requests

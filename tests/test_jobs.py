@@ -5,6 +5,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from bazaarlens.operators import folds
 from bazaarlens.operators.latest import upsert
 from bazaarlens.plans import logs, pages, rules
 from bazaarlens.plans.cache import ReportCache
@@ -361,6 +362,47 @@ def test_streams_match_batch(spark, tmp_path):
     assert got.agg(F.sum("steps")).collect()[0][0] == 300
 
 
+def test_stream_risk_does_not_depend_on_triggers(spark, tmp_path):
+    """Files in any order, one or many a trigger, give what the batch fold gives."""
+    log = streams.with_request_risk(request_log(spark)).persist()
+    spread = log.withColumn("part", F.pmod(F.xxhash64("request_id"), F.lit(6)))
+    for part in range(6):
+        spread.where(F.col("part") == part).drop("part").coalesce(1).write.mode("append").parquet(
+            str(tmp_path / "in"))
+    weighted = folds.weighted_risk(log, F.col("risk"))
+    decaying = folds.decaying_risk(log, F.col("success"), F.col("risk"))
+    for per_trigger in (1, 4):
+        for name, fold, want in (("w", streams.weighted_risk, weighted), ("d", streams.decaying_risk, decaying)):
+            stream = streams.read_stream(spark, str(tmp_path / "in"), log.schema, per_trigger=per_trigger)
+            got = streams.run_updates(
+                spark, fold(stream, "5 hours", 600_000), str(tmp_path / f"{name}{per_trigger}"), ["session_id"])
+            got = {r["session_id"]: (r["steps"], round(r["risk"], 9), r["upto"]) for r in got.collect()}
+            last = {r[0]: r[1] for r in log.groupBy("session_id").agg(F.max("timestamp")).collect()}
+            assert got == {r["session_id"]: (r["steps"], round(r["risk"], 9), last[r["session_id"]])
+                           for r in want.collect()}
+    log.unpersist()
+
+
+def test_closed_slots_leave_the_state(spark, tmp_path):
+    """Two hours in order with a short watermark: what has been folded holds no rows any more."""
+    log = streams.with_request_risk(request_log(spark))
+    for part in range(6):
+        log.where(F.floor(F.col("request_id") / 50) == part).coalesce(1).write.mode("append").parquet(
+            str(tmp_path / "in"))
+    stream = streams.read_stream(spark, str(tmp_path / "in"), log.schema, per_trigger=1)
+    got = streams.run_updates(spark, streams.decaying_risk(stream), str(tmp_path / "out"), ["session_id"])
+    want = folds.decaying_risk(log, F.col("success"), F.col("risk"))
+    assert {(r["session_id"], r["steps"], round(r["risk"], 9)) for r in got.collect()} == {
+        (r["session_id"], r["steps"], round(r["risk"], 9)) for r in want.collect()}
+    rows = (spark.read.format("statestore").option("stateVarName", "rows")
+            .load(str(tmp_path / "out" / "checkpoint")))
+    newest = log.agg(F.max("timestamp")).first()[0]
+    kept = rows.select(F.explode("map_value").alias("k", "v")) if "map_value" in rows.columns else rows.select(
+        F.col("user_map_key").alias("k"))
+    slots = [r["k"][0] for r in kept.collect()]
+    assert slots and min(slots) >= (newest - timedelta(minutes=45)).timestamp() // 60
+
+
 def test_late_rows_are_counted(spark, tmp_path):
     log = request_log(spark)
     ahead = log.withColumn("timestamp", F.col("timestamp") + F.expr("interval 5 days"))
