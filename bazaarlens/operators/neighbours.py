@@ -5,10 +5,17 @@ at least ``b - t`` whole blocks. Every choice of ``b - t`` blocks gives one
 signature; equal signatures are the only candidates, so the similarity join is
 a grouping by signature. Exact copies are reduced to one row per distinct hash first.
 
-A task compares the hashes of one bucket in id order and sends on one row per hash at most: its
-smallest earlier neighbour. Once found, a hash leaves the comparison, so dense buckets are quick
-and no pairs are listed. A bucket of more than ``crowded`` hashes is dealt out again by signatures
-over another division of the bits.
+A task compares the hashes of its buckets in id order and sends on one row per hash at most: its
+smallest earlier neighbour. Short buckets are compared together, each row with the row a step before
+it, whole columns at a time; in long ones a hash leaves the comparison once it has a neighbour, so
+dense buckets are quick and no pairs are listed. A bucket of more than ``crowded`` hashes is dealt
+out again by signatures over another division of the bits, up to ``LEVELS`` times. Hashes that are
+still together then agree on the chosen blocks of every division; with the default blocks that
+leaves them about ten bits to differ in, so what the last level compares is small.
+
+``near_duplicates`` names the smallest earlier neighbour of every image. ``keep_first`` goes through
+the images as a loop would that keeps an image unless an image it has kept is near, by rounds over
+all undecided ones: who has no earlier undecided neighbour is kept, whoever is near it is dropped.
 """
 
 from __future__ import annotations
@@ -27,12 +34,18 @@ from bazaarlens.session import work_dir
 
 BITS = 64
 CROWDED = 50_000
+SHORT = 64  # buckets up to this size are compared together
+STRIDES = (1, 23, 11, 37)  # odd: each deals the bits out to the blocks in another order
+LEVELS = len(STRIDES)
 
 
-def _masks(threshold: int, keep: int, interleaved: bool) -> list[int]:
+def _masks(threshold: int, keep: int, level: int) -> list[int]:
     """One mask per choice of ``keep`` out of ``threshold + keep`` bit blocks."""
     blocks = threshold + keep
-    block_of = (lambda i: i % blocks) if interleaved else (lambda i: i * blocks // BITS)
+
+    def block_of(i: int) -> int:
+        return i * STRIDES[level] % BITS * blocks // BITS
+
     out = []
     for chosen in combinations(range(blocks), keep):
         mask = sum(1 << i for i in range(BITS) if block_of(i) in chosen)
@@ -44,98 +57,197 @@ def _signatures(code: Column, masks: list[int]) -> Column:
     return F.posexplode(F.array(*[code.bitwiseAND(F.lit(m).cast("long")) for m in masks]))
 
 
-def earlier_neighbours(hashes: np.ndarray, threshold: int) -> np.ndarray:
-    """For rows in id order, the position of the first earlier row within the threshold, or -1."""
+def earlier_neighbours(hashes: np.ndarray, anchor: np.ndarray, threshold: int) -> np.ndarray:
+    """For rows in id order, the position of the first earlier anchor within the threshold, or -1."""
     out = np.full(len(hashes), -1)
     left = np.arange(1, len(hashes))
-    for j in range(len(hashes) - 1):
+    for j in np.flatnonzero(anchor):
+        left = left[left > j]
         if not len(left):
             break
-        left = left[left > j]
         near = np.bitwise_count(hashes[left] ^ hashes[j]) <= threshold
         out[left[near]] = j
         left = left[~near]
     return out
 
 
+def stepwise_neighbours(
+    bucket: np.ndarray, hashes: np.ndarray, anchor: np.ndarray, threshold: int
+) -> np.ndarray:
+    """The same for many buckets at once, comparing every row with that a step before it."""
+    out = np.full(len(hashes), -1)
+    at, step = np.arange(len(hashes)), 1
+    while True:
+        at = at[at >= step]
+        at = at[bucket[at] == bucket[at - step]]
+        if not len(at):
+            return out
+        before = at - step
+        near = anchor[before] & (np.bitwise_count(hashes[at] ^ hashes[before]) <= threshold)
+        out[at[near]] = before[near]  # a longer step finds a smaller id
+        step += 1
+
+
+_FOUND = "bucket bigint, hash bigint, first_id bigint, anchor boolean, near_id bigint"
+
+
 def _search(threshold: int, crowded: int | None):
     """Task over rows sorted by bucket and id: (hash, near_id) found, or rows of a crowded bucket
     with a NULL ``near_id``."""
 
-    def rows(bucket, hashes, ids, near) -> pa.RecordBatch:
+    def rows(held, near) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays(
-            [pa.array(x) if isinstance(x, np.ndarray) else x for x in (bucket, hashes, ids, near)],
-            names=["bucket", "hash", "first_id", "near_id"],
+            [*map(pa.array, held), near], names=["bucket", "hash", "first_id", "anchor", "near_id"]
         )
 
-    def closed(bucket, hashes, ids) -> Iterator[pa.RecordBatch]:
+    def closed(held) -> Iterator[pa.RecordBatch]:
+        bucket, hashes, ids, anchor = held
         if not len(bucket):
             return
         starts = np.flatnonzero(np.diff(bucket, prepend=~bucket[:1]))
-        for a, b in zip(starts, [*starts[1:], len(bucket)], strict=True):
-            if b - a == 1:
-                continue
-            found = earlier_neighbours(hashes[a:b].view(np.uint64), threshold)
-            hit = np.flatnonzero(found >= 0) + a
-            if len(hit):
-                yield rows(bucket[hit], hashes[hit], ids[hit], ids[a + found[hit - a]])
+        sizes = np.diff(np.append(starts, len(bucket)))
+        codes = hashes.view(np.uint64)
+        short = np.flatnonzero(np.repeat((sizes > 1) & (sizes <= SHORT), sizes))
+        found = np.full(len(bucket), -1)
+        near = stepwise_neighbours(bucket[short], codes[short], anchor[short], threshold)
+        found[short[near >= 0]] = short[near[near >= 0]]
+        for k in np.flatnonzero(sizes > SHORT):
+            a, b = starts[k], starts[k] + sizes[k]
+            near = earlier_neighbours(codes[a:b], anchor[a:b], threshold)
+            found[a:b] = np.where(near >= 0, near + a, -1)
+        hit = np.flatnonzero(found >= 0)
+        if len(hit):
+            yield rows([c[hit] for c in held], pa.array(ids[found[hit]]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, np.int64)] * 3
-        over = None
+        held, over = None, None
         for batch in batches:
-            held = [np.concatenate([h, c.to_numpy()]) for h, c in zip(held, batch.columns, strict=True)]
+            new = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            held = new if held is None else [np.concatenate(c) for c in zip(held, new, strict=True)]
             if over is not None:
                 n = int(np.searchsorted(held[0], over, "right"))
                 if n:
-                    yield rows(*[h[:n] for h in held], pa.nulls(n, pa.int64()))
+                    yield rows([h[:n] for h in held], pa.nulls(n, pa.int64()))
                     held = [h[n:] for h in held]
                 if not len(held[0]):
                     continue
                 over = None
+            if not len(held[0]):
+                continue
             last = int(np.searchsorted(held[0], held[0][-1]))
-            yield from closed(*[h[:last] for h in held])
+            yield from closed([h[:last] for h in held])
             held = [h[last:] for h in held]
             if crowded is not None and len(held[0]) > crowded:
                 over = held[0][0]
-                yield rows(*held, pa.nulls(len(held[0]), pa.int64()))
+                yield rows(held, pa.nulls(len(held[0]), pa.int64()))
                 held = [h[:0] for h in held]
-        yield from closed(*held)
+        if held is not None:
+            yield from closed(held)
 
     return run
 
 
+def _written(df: DataFrame, name: str) -> DataFrame:
+    spark = df.sparkSession
+    path = work_dir(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def closest_earlier(
     distinct: DataFrame, threshold: int, keep: int, crowded: int = CROWDED
 ) -> DataFrame:
-    """For each distinct hash, the smallest earlier id within the threshold.
+    """``hash, near_id``: for each distinct hash, the smallest earlier anchor within the threshold.
 
-    ``distinct`` has one row per hash with its smallest image id ``first_id``.
+    ``distinct`` has one row per hash with its smallest image id ``first_id``, and ``anchor``: may
+    it be the neighbour of another (without that column, all may).
     """
-    rows, found = distinct.select("hash", F.col("first_id").cast("bigint").alias("first_id")), None
-    for level in (0, 1):
-        signatures = _signatures(F.col("hash"), _masks(threshold, keep, bool(level)))
+    anchor = F.col("anchor") if "anchor" in distinct.columns else F.lit(True)
+    rows = distinct.select(
+        "hash", F.col("first_id").cast("bigint").alias("first_id"), anchor.alias("anchor")
+    )
+    found = None
+    for level in range(LEVELS):
+        signatures = _signatures(F.col("hash"), _masks(threshold, keep, level))
         inside = [c for c in rows.columns if c == "bucket"]
-        buckets = rows.select(*inside, "hash", "first_id", signatures.alias("_s", "_v")).select(
-            F.xxhash64(*inside, "_s", "_v").alias("bucket"), "hash", "first_id"
+        buckets = rows.select(*inside, "hash", "first_id", "anchor", signatures.alias("_s", "_v")).select(
+            F.xxhash64(*inside, "_s", "_v").alias("bucket"), "hash", "first_id", "anchor"
         )
+        last = level == LEVELS - 1
         out = buckets.repartition("bucket").sortWithinPartitions("bucket", "first_id").mapInArrow(
-            _search(threshold, None if level else crowded),
-            "bucket bigint, hash bigint, first_id bigint, near_id bigint",
+            _search(threshold, None if last else crowded), _FOUND
         )
-        spark = distinct.sparkSession
-        path = work_dir(spark, "neighbours")
-        out.write.parquet(path)
-        out = spark.read.schema(out.schema).parquet(path)
+        out = _written(out, "neighbours")
         own = out.where("near_id IS NOT NULL").select("hash", "near_id")
         found = own if found is None else found.unionByName(own)
-        rows = out.where("near_id IS NULL").select("bucket", "hash", "first_id")
-        if level or rows.isEmpty():
+        rows = out.where("near_id IS NULL").select("bucket", "hash", "first_id", "anchor")
+        if last or rows.isEmpty():
             break
-    least = found.groupBy("hash").agg(F.min("near_id").alias("near_id"))
+    return found.groupBy("hash").agg(F.min("near_id").alias("near_id"))
+
+
+def _distances(distinct: DataFrame, nearest: DataFrame) -> DataFrame:
+    """``distinct`` with ``near_id`` and ``near_distance``, NULL where there is no neighbour."""
     other = distinct.select(F.col("hash").alias("_other"), F.col("first_id").alias("near_id"))
-    return least.join(other, "near_id").select(
-        "hash", "near_id", hamming(F.col("hash"), F.col("_other")).alias("near_distance")
+    far = hamming(F.col("hash"), F.col("_other")).alias("near_distance")
+    near = nearest.join(other, "near_id").select("hash", "near_id", far)
+    return distinct.join(near, "hash", "left")
+
+
+def _groups(images: DataFrame) -> DataFrame:
+    """Distinct hashes with their smallest image and number of images, written once."""
+    groups = images.where("hash IS NOT NULL").groupBy("hash").agg(
+        F.min("image_id").alias("first_id"), F.count("*").alias("_n")
+    )
+    return _written(groups, "hashes")
+
+
+def _spread(images: DataFrame, groups: DataFrame, known: DataFrame) -> DataFrame:
+    """Every image with what is known of its hash."""
+    total = groups.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("t")).scalar()
+    hot = groups.where(F.col("_n") * HOT_PARTS > total)
+    return salted_join(images, known, ["hash"], ["image_id"], "left", hot=hot)
+
+
+def kept_hashes(distinct: DataFrame, threshold: int, keep: int) -> DataFrame:
+    """``distinct`` with ``anchor``: is it kept by a loop in id order that drops what is near a
+    kept one. Each round decides at least every hash without an undecided earlier neighbour."""
+    left, kept = distinct.select("hash", "first_id"), None
+    while True:
+        waiting = closest_earlier(left, threshold, keep).select("hash")
+        marked = _written(
+            left.join(waiting.withColumn("_w", F.lit(True)), "hash", "left").select(
+                "hash", "first_id", F.col("_w").isNull().alias("anchor")
+            ), "round",
+        )
+        own = marked.where("anchor").select("hash")
+        kept = own if kept is None else kept.unionByName(own)
+        if marked.where("NOT anchor").isEmpty():
+            break
+        dropped = closest_earlier(marked, threshold, keep).select("hash")
+        left = _written(marked.where("NOT anchor").drop("anchor").join(dropped, "hash", "left_anti"), "left")
+    return distinct.join(kept.withColumn("_k", F.lit(True)), "hash", "left").select(
+        *distinct.columns, F.col("_k").isNotNull().alias("anchor")
+    )
+
+
+def keep_first(images: DataFrame, threshold: int = 5, keep: int = 3) -> DataFrame:
+    """``image_id, hash, duplicate_of, distance``: every image that is near one kept before it names
+    the smallest such; kept images, and images without a hash, have NULL.
+
+    Input columns ``image_id, hash``. Duplicates never become anchors, so a chain of near images
+    keeps every one that is far from all kept ones.
+    """
+    groups = _groups(images)
+    distinct = _written(kept_hashes(groups.select("hash", "first_id"), threshold, keep), "kept")
+    nearest = closest_earlier(distinct, threshold, keep)
+    known = _distances(distinct.drop("anchor"), nearest)
+    rows = _spread(images, groups, known)
+    # a kept hash has no earlier anchor near it; its later copies are duplicates of its first image
+    copy = F.col("near_id").isNull() & (F.col("first_id") < F.col("image_id"))
+    return rows.select(
+        "image_id", "hash", F.when(copy, F.col("first_id")).otherwise(F.col("near_id")).alias("duplicate_of"),
+        F.when(copy, F.lit(0)).otherwise(F.col("near_distance")).alias("distance"),
     )
 
 
@@ -145,15 +257,10 @@ def near_duplicates(images: DataFrame, threshold: int = 5, keep: int = 3) -> Dat
     Input columns ``image_id, hash``; ``duplicate_of`` and ``distance`` are NULL
     for originals. A larger ``keep`` makes buckets smaller and signatures more.
     """
-    groups = images.where("hash IS NOT NULL").groupBy("hash").agg(
-        F.min("image_id").alias("first_id"), F.count("*").alias("_n")
-    )
+    groups = _groups(images)
     distinct = groups.select("hash", "first_id")
-    nearest = closest_earlier(distinct, threshold, keep)
-    known = distinct.join(nearest, "hash", "left")
-    total = groups.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("t")).scalar()
-    hot = groups.where(F.col("_n") * HOT_PARTS > total)
-    rows = salted_join(images, known, ["hash"], ["image_id"], "left", hot=hot)
+    known = _distances(distinct, closest_earlier(distinct, threshold, keep))
+    rows = _spread(images, groups, known)
     copy = F.when(
         F.col("first_id") < F.col("image_id"),
         F.struct(F.col("first_id").alias("id"), F.lit(0).alias("d")),

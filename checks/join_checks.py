@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from bazaarlens.operators import joins
 from bazaarlens.operators.latest import duplicate_rows, fresh_only, latest_per_key, upsert
-from bazaarlens.operators.neighbours import near_duplicates
+from bazaarlens.operators.neighbours import keep_first, near_duplicates
 from bazaarlens.operators.quantiles import exact_quantiles
 from bazaarlens.operators.trailing import price_history
 from bazaarlens.plans.query import ListingQuery
@@ -123,6 +123,24 @@ check(
     AND bit_count(xor(a.code, b.code)) <= 5 GROUP BY a.image_id""",
     "codes",
 )
+check(
+    "keep_first_images",
+    lambda t: keep_first(t.hashes).select("image_id", "duplicate_of", "distance"),
+    """WITH RECURSIVE placed AS (
+  SELECT image_id, code, row_number() OVER (ORDER BY image_id) AS n FROM codes),
+walk AS (
+  SELECT 0::BIGINT AS n, []::STRUCT(i BIGINT, c UBIGINT)[] AS kept, NULL::BIGINT AS image_id,
+    NULL::STRUCT(i BIGINT, c UBIGINT) AS near, NULL::UBIGINT AS code
+  UNION ALL
+  SELECT n, CASE WHEN hit IS NULL THEN list_append(kept, {'i': image_id, 'c': code}) ELSE kept END,
+    image_id, hit, code
+  FROM (SELECT placed.*, kept,
+      list_filter(kept, lambda k: bit_count(xor(k.c, placed.code)) <= 5)[1] AS hit
+    FROM walk JOIN placed ON placed.n = walk.n + 1))
+SELECT image_id, near.i AS duplicate_of, bit_count(xor(near.c, code))::INT AS distance
+FROM walk WHERE n > 0""",
+    "codes",
+)
 check(
     "average_hashes",
     lambda t: t.hashes.select("image_id", F.bit_count("hash").alias("bits"),

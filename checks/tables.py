@@ -300,6 +300,8 @@ def sql(body: str, *tables: str) -> str:
         return body.strip()
     head = ",\n".join(f"{n} AS ({_CTES[n].strip()})" for n in order)
     text = body.strip()
+    if text.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {head},\n{text[15:]}"
     if text.upper().startswith("WITH "):
         return f"WITH {head},\n{text[5:]}"
     return f"WITH {head}\n{text}"

@@ -183,3 +183,47 @@ def test_near_duplicates_brute_force(spark, crowded, monkeypatch):
         for i in range(len(codes))
     }
     assert got == want
+
+
+def plain_kept(images, threshold):
+    """The loop: keep an image unless one that was kept is near it."""
+    kept, out = [], {}
+    for i, code in images:
+        near = next((j for j, other in kept if (code ^ other).bit_count() <= threshold), None)
+        out[i] = near
+        if near is None:
+            kept.append((i, code))
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_keep_first_equals_the_loop(spark, seed):
+    rng = random.Random(seed)
+    codes = [rng.getrandbits(64) for _ in range(12)]
+    while len(codes) < 260:  # walks from random places: chains whose middles are dropped
+        codes.append(rng.choice(codes[-40:]) ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 5))))
+    rng.shuffle(codes)
+    signed = [(i, c - (1 << 64) if c >> 63 else c) for i, c in enumerate(codes)] + [(999, None)]
+    df = spark.createDataFrame(signed, "image_id long, hash long")
+    want = plain_kept(list(enumerate(codes)), 5) | {999: None}
+    out = neighbours.keep_first(df, 5, 2).collect()
+    assert {r["image_id"]: r["duplicate_of"] for r in out} == want
+    for r in out:
+        if r["duplicate_of"] is not None:
+            assert r["distance"] == (codes[r["image_id"]] ^ codes[r["duplicate_of"]]).bit_count() <= 5
+
+
+def test_keep_first_rounds_are_few(spark, monkeypatch):
+    """A path of 24 hashes, each near the next only: every round keeps one and drops one at each
+    front; random orders have many fronts."""
+    path = [(1 << 5 * k) - 1 if 5 * k < 64 else 0 for k in range(12)]
+    codes = path + [(0xABC << 52) ^ p for p in path]
+    order = list(range(24))
+    random.Random(5).shuffle(order)
+    signed = [(n, codes[k] - (1 << 64) if codes[k] >> 63 else codes[k]) for n, k in enumerate(order)]
+    calls, search = [], neighbours.closest_earlier
+    monkeypatch.setattr(neighbours, "closest_earlier", lambda *a: calls.append(1) or search(*a))
+    out = neighbours.keep_first(spark.createDataFrame(signed, "image_id long, hash long"), 5, 2)
+    assert {r["image_id"]: r["duplicate_of"] for r in out.collect()} == plain_kept(
+        [(n, codes[k]) for n, k in enumerate(order)], 5)
+    assert len(calls) <= 11  # at most five rounds of two searches, and the last one
