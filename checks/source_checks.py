@@ -9,6 +9,7 @@ from bazaarlens.plans import reports as R
 from bazaarlens.plans.cache import ReportCache
 from bazaarlens.plans.ingest import ingest, merge, split_gate
 from bazaarlens.session import work_dir
+from bazaarlens.sources import copies as C
 from bazaarlens.sources import export as X
 from bazaarlens.sources import schemas
 from bazaarlens.sources import store as S
@@ -244,6 +245,49 @@ SELECT 'incremental', count(*), TIMESTAMP '2002-01-01', true FROM d WHERE s >= '
       "listings")
 
 
+def _landed(t):
+    """The rows of ``_copies`` by the step that they arrive in (``step``), times as they are."""
+    at, late = F.col("scraped_at"), F.col("watchers").isin(11, 12)
+    step = F.when(at < F.lit(DAYS[0]), F.when(late, 1).otherwise(0)).when(at < F.lit(DAYS[1]), 1)
+    return t.listings.where("bids IS NOT NULL").select(
+        "listing_id", "url", "watchers", F.when(F.col("watchers") != 12, at).alias("scraped_at"),
+        step.when(at < F.lit(DAYS[2]), 2).otherwise(3).alias("step"))
+
+
+def _streamed_copies(t):
+    """Full, incremental, differential and twice incremental of a folder that gets files."""
+    copies = C.StreamedCopies(t.spark, work_dir(t.spark, "streamed"))
+    folder, rows = work_dir(t.spark, "growing"), _landed(t)
+    schema = rows.drop("step").schema
+    for i, strategy in enumerate(["full", "incremental", "differential", "incremental", "incremental"]):
+        rows.where(F.col("step") == i).drop("step").write.mode("append").parquet(folder)
+        copies.copy("listings", folder, schema, strategy, DAYS[0] + timedelta(days=i), per_batch=2)
+    return copies, schema
+
+
+LANDED = """WITH d AS (SELECT listing_id, watchers, CASE WHEN watchers <> 12 THEN scraped_at END AS scraped_at,
+  CASE WHEN scraped_at < '1998-01-01' THEN (watchers IN (11, 12))::INT WHEN scraped_at < '2000-01-01' THEN 1
+    WHEN scraped_at < '2001-01-01' THEN 2 ELSE 3 END AS step FROM listings WHERE bids IS NOT NULL)"""
+check("streamed_copies",
+      lambda t: S.list_copies(_streamed_copies(t)[0].history(), status="completed").select(
+          "strategy", "row_count", "created_at", (F.col("size_bytes") > 0).alias("has_bytes")),
+      f"""{LANDED}
+SELECT 'full' AS strategy, count(*) AS row_count, TIMESTAMP '1998-01-01' AS created_at, true AS has_bytes
+  FROM d WHERE step = 0 UNION ALL
+SELECT 'incremental', count(*), TIMESTAMP '1998-01-02', true FROM d WHERE step = 1 UNION ALL
+SELECT 'differential', count(*), TIMESTAMP '1998-01-03', true FROM d WHERE step IN (1, 2) UNION ALL
+SELECT 'incremental', count(*), TIMESTAMP '1998-01-04', true FROM d WHERE step = 3 UNION ALL
+SELECT 'incremental', 0, TIMESTAMP '1998-01-05', true""", "listings")
+
+
+def _restored(t):
+    copies, schema = _streamed_copies(t)
+    return copies.restored("listings", schema).select("listing_id", "watchers", "scraped_at")
+
+
+check("restored_copies", _restored, f"{LANDED} SELECT listing_id, watchers, scraped_at FROM d", "listings")
+
+
 def _copy_stats(t):
     copies = S.TableCopies(t.spark, work_dir(t.spark, "copies"))
     copies.copy_all({"listings": t.base.select("listing_id", "scraped_at"),

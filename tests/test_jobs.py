@@ -11,7 +11,7 @@ from bazaarlens.plans import logs, pages, rules
 from bazaarlens.plans.cache import ReportCache
 from bazaarlens.plans.ingest import ingest, split_gate
 from bazaarlens.plans.reports import REPORTS, ReportRequest, base, generate
-from bazaarlens.sources import derived, export, schemas, store
+from bazaarlens.sources import copies, derived, export, schemas, store
 from bazaarlens.streaming import streams
 
 NOW = datetime(2024, 5, 1)
@@ -302,6 +302,45 @@ def test_copies_hold_late_and_timeless_rows_and_their_bytes(spark, tmp_path):
         assert r["size_bytes"] == sum(e.stat().st_size for e in files)
 
 
+def test_streamed_copies_take_every_row_once(spark, tmp_path, monkeypatch):
+    """Late, equal and null times are copied once each, also after a copy that failed."""
+    made, folder = copies.StreamedCopies(spark, str(tmp_path / "copies")), str(tmp_path / "in")
+    schema = spark.createDataFrame([], "id string, at timestamp").schema
+
+    def land(*rows):
+        spark.createDataFrame(list(rows), schema).coalesce(1).write.mode("append").parquet(folder)
+
+    def take(strategy, day):
+        copy_id = made.copy("t", folder, schema, strategy, NOW + timedelta(day), per_batch=1)
+        return sorted(r["id"] for r in made.read(copy_id, schema).collect())
+
+    land(("a", NOW), ("b", None))
+    assert take("incremental", 0) == ["a", "b"]  # the first one is full
+    land(("late", NOW - timedelta(9)), ("equal", NOW), ("none", None))
+    assert take("incremental", 1) == ["equal", "late", "none"]
+    assert take("incremental", 2) == []
+    land(("c", NOW + timedelta(1)))
+    land(("d", NOW - timedelta(1)))
+    put, calls = copies.StreamedCopies._put, []
+
+    def fail(self, *args):
+        calls.append(1)
+        if len(calls) > 1:
+            raise OSError("the disk is gone")
+        put(self, *args)
+
+    with monkeypatch.context() as patch:
+        patch.setattr(copies.StreamedCopies, "_put", fail)
+        with pytest.raises(Exception, match="the disk is gone"):
+            take("incremental", 3)
+    assert [r["status"] for r in made.history().sort("created_at").collect()] == ["completed"] * 3 + ["failed"]
+    assert take("incremental", 4) == ["c", "d"]
+    assert take("differential", 5) == ["c", "d", "equal", "late", "none"]
+    assert sorted(r["id"] for r in made.restored("t", schema).collect()) == ["a", "b", "c", "d", "equal", "late", "none"]
+    assert take("full", 6) == ["a", "b", "c", "d", "equal", "late", "none"]
+    assert take("differential", 7) == []
+
+
 def test_last_hour_ends_at_the_clock(spark):
     errors = spark.createDataFrame(
         [(NOW + timedelta(minutes=m), "network", "low") for m in (-61, -60, -30, 0, 1)],
