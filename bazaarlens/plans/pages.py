@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from bazaarlens.functions import html as H
 from bazaarlens.functions import text
 from bazaarlens.functions.html import Element, unescape
+from bazaarlens.functions.reader import read_fields
 
 # Page elements of each field, tried in order.
 TITLE = [
@@ -116,23 +117,10 @@ def extract_listings(
 
     The time ``seen_at`` of a page, where it has one, goes with its listing.
     """
-    own = F.col("own")
     seen = [c for c in pages.columns if c == "seen_at"]
-    read = computed_once(
-        parsed(pages, ["page_id", "url", *seen, "html"]),
-        ["page_id", "url", *seen],
-        [
-            H.first_text(own, TITLE).alias("title"),
-            first_price(own, PRICE).alias("price"),
-            H.first_text(own, CONDITION).alias("condition"),
-            F.coalesce(H.first_text(own, SELLER), F.lit("unknown")).alias("seller_name"),
-            F.filter(
-                image_list(own, F.col("html"), site, host),
-                lambda u: F.startswith(u, F.lit("http")),
-            ).alias("image_urls"),
-            F.length("html").alias("html_length"),
-        ],
-    )
+    read = read_fields(
+        pages, ["page_id", "url", *seen], TITLE, PRICE, CONDITION, SELLER, MAIN_IMAGE, THUMBNAIL, site, host
+    ).withColumn("seller_name", F.coalesce("seller_name", F.lit("unknown")))
     if not keep_incomplete:
         read = read.where("title IS NOT NULL AND price > 0")
     return read.select(
