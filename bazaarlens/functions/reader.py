@@ -19,7 +19,9 @@ from bazaarlens.functions.text import EMBEDDED_IMAGES
 
 _TOKEN = re.compile(TOKEN, re.ASCII)
 _VOID = frozenset(VOID)
-_BLANKS = re.compile(r"[\t-\r \x85\xa0  -     　]+")
+# ASCII white space, the next line and the separators of Unicode
+_SEPARATORS = map(chr, [0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
+_BLANKS = re.compile(f"[\\t-\\r {''.join(_SEPARATORS)}]+")
 _REFERENCE = re.compile(r"&(?:#([0-9]{1,7})|#[xX]([0-9a-fA-F]{1,6})|([A-Za-z][A-Za-z0-9]*));")
 _NUMBER = re.compile(r"\d+\.?\d*", re.ASCII)
 _SIZE, _LARGE = re.compile(r"s-l\d+", re.ASCII), re.compile(r"\$_\d+\.JPG", re.ASCII)
