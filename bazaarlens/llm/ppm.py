@@ -11,9 +11,10 @@ With frozen statistics a byte's cost depends only on the four bytes before it. T
 languages share one set of nodes, so a task walks them with one table lookup per order and byte
 for a whole run of documents, without a loop over bytes; contexts begin anew with each document.
 
-Bounds (parameters): about ``SAMPLE_ROWS`` rows per language, chosen by a hash of their id; the
-``MAX_NODES`` most frequent (language, string) nodes per depth; the ``MAX_LANGUAGES`` most
-frequent labels. Scoring reads every byte of every text.
+Every label is learned, from about ``SAMPLE_ROWS`` of its rows, chosen by a hash of their id. The
+trees have ``MAX_NODES`` nodes per depth, fewer where nodes times languages would exceed
+``MAX_CELLS``; every language has an equal share of them, its most frequent strings. Scoring reads
+every byte of every text.
 
 Null texts and texts without a letter give ``und`` with score 0, as does everything when nothing
 can be learned. Ties go to the language that sorts first. Repeated rows give repeated rows.
@@ -26,7 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bazaarlens.llm.common import map_texts, slices, spare, text_buffer
@@ -34,7 +35,7 @@ from bazaarlens.llm.common import map_texts, slices, spare, text_buffer
 ORDER = 4
 SAMPLE_ROWS = 1_000
 MAX_NODES = 32_768
-MAX_LANGUAGES = 100
+MAX_CELLS = 1 << 23
 UNKNOWN = "und"
 # A text is in a learned language if its code is no longer than LIMIT_FACTOR times what that language
 # needs for its own training texts, within these bits per byte (8: what no model at all needs; the
@@ -225,10 +226,7 @@ def train(
         F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"),
         F.xxhash64(F.col(id_col)).alias("_h"),
     ).where("lang IS NOT NULL AND text IS NOT NULL")
-    sizes = (
-        rows.groupBy("lang").agg(F.count("*").alias("n"))
-        .orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()
-    )
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n")).collect()
     share = F.lit(0)
     for lang, n in sizes:
         part = min(1_000_000, -(-sample_rows * 1_000_000 // n))
@@ -240,21 +238,24 @@ def train(
     ).persist()
     languages = sorted(lang for lang, _ in sizes)
     number = {lang: i for i, lang in enumerate(languages)}
+    width = max(len(languages), 1)
+    share = max(1, min(max_nodes, MAX_CELLS // width) // width)
+    own = Window.partitionBy("length", "lang").orderBy(F.desc("n"), "code")
+    top = (
+        grams.withColumn("_rank", F.row_number().over(own)).where(F.col("_rank") <= share)
+        .select("lang", "length", "code", "n").toPandas()
+    )
+    grams.unpersist()
     depths = []
     for length in range(1, ORDER + 2):
-        top = (
-            grams.where(F.col("length") == length)
-            .orderBy(F.desc("n"), "code", "lang").limit(max_nodes).select("lang", "code", "n")
-            .toPandas()
-        )
+        part = top[top["length"] == length]
         depths.append(
             (
-                top["code"].to_numpy(np.int64).astype(np.uint64),
-                top["lang"].map(number).to_numpy(np.int64),
-                top["n"].to_numpy(np.float64),
+                part["code"].to_numpy(np.int64).astype(np.uint64),
+                part["lang"].map(number).to_numpy(np.int64),
+                part["n"].to_numpy(np.float64),
             )
         )
-    grams.unpersist()
     return Model.build(languages, depths)
 
 

@@ -1,6 +1,8 @@
 """Language identification, quality and licence models: exactness, held-out accuracy, odd rows."""
 
 import math
+import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -115,6 +117,22 @@ def test_texts_in_no_learned_language_are_dropped(spark):
     assert ppm.in_known_language(docs, model).count() == docs.count()
 
 
+def test_every_label_is_learned(spark):
+    """150 labels of very different size, each with words of its own: all are predicted."""
+    pick = np.random.default_rng(11)
+    data, names = [], [f"l{i:03}" for i in range(150)]
+    for i, name in enumerate(names):
+        own = ["".join(pick.choice(list("abcdefghijklmnop"), 5)) for _ in range(12)]
+        for k in range(2 if i % 3 else 60):
+            data.append((len(data), " ".join(pick.choice(own, 40)), name))
+    docs = spark.createDataFrame(data, "doc_id bigint, text string, lang string")
+    model = ppm.train(docs)
+    assert model.languages == names
+    out = ppm.identify(docs, model).join(docs, "doc_id")
+    assert out.where("lang = lang_pred").select("lang_pred").distinct().count() == 150
+    assert out.where("lang <> lang_pred").count() == 0
+
+
 def test_the_limit_follows_the_language():
     grams = [(np.array([97, 98], np.uint64), np.zeros(2, int), np.array([50.0, 50.0]))]
     model = ppm.Model.build(["x"], grams + [(np.zeros(0, np.uint64), np.zeros(0, int), np.zeros(0))] * 4)
@@ -134,6 +152,40 @@ def test_quality_held_out(spark):
     assert out.where("score < 0 OR score > 1 OR predicted <> CAST(score >= 0.5 AS INT)").count() == 0
 
 
+def plain_quality(model, text):
+    """The score of one text by the definitions: token by token, then two layers."""
+    net, words = model.network, {w: i for i, w in enumerate(model.vectors.words)}
+    low, last = [], None
+    for token in re.findall(r"[^\W\d_]+|\d+|[^\w\s]+|_+", text or ""):
+        low.append(token.lower())
+        if len(token) > 1 and token.isupper():
+            low.append("<CAPS>")
+        if token.lower() == last:
+            low.append("<SAME>")
+        last = token.lower()
+    total = [0.0] * quality.WIDTH
+    for token in low:
+        at = words.get(token, len(words) + zlib.crc32(token.encode()) % quality.OTHER)
+        for k, v in enumerate(model.vectors.vectors[at]):
+            total[k] += float(v)
+    n = len(low)
+    x = [v / max(n, 1) for v in total] + [math.sqrt(min(n, 400)) / 20, 1.0]
+    z = [(v - m) / s for v, m, s in zip(x, net.mean, net.scale)]
+    hidden = [math.tanh(sum(v * net.w1[i][h] for i, v in enumerate(z)) + net.b1[h]) for h in range(len(net.b1))]
+    logit = sum(h * w for h, w in zip(hidden, net.w2)) + float(net.b2)
+    return 1 / (1 + math.exp(-logit / net.temperature))
+
+
+def test_quality_equals_a_plain_scorer(spark, odd):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    model = quality.train(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    both = docs.where("length(text) < 4000").unionByName(odd.select("doc_id", "text").where("doc_id <> 8"))
+    scored = quality.score(both.withColumn("doc_id", F.struct("doc_id", "text")), model).collect()
+    assert len(scored) > 100
+    for r in scored:
+        assert math.isclose(r.score, plain_quality(model, r.doc_id.text), rel_tol=1e-6, abs_tol=1e-9)
+
+
 def test_quality_of_odd_documents(odd, clashing, none, spark):
     labels = spark.createDataFrame(
         [(6, 1, 0), (7, 1, 0), (7, 0, 0), (4, 0, 0), (3, 0, None), (8, None, 0), (None, 1, 1)],
