@@ -56,31 +56,33 @@ def map_texts(
     columns: list[str],
     schema: str,
     work: Callable[[pa.RecordBatch], list[pa.Array]],
+    limit: int = 1 << 22,
 ) -> DataFrame:
     """Apply ``work`` to runs of rows of ``columns``; the last one is the text.
 
     ``work`` gets an Arrow batch and gives the columns of ``schema``. Only the named
-    columns reach Python, so other columns of ``docs`` never matter.
+    columns reach Python, so other columns of ``docs`` never matter. A run has ``limit`` bytes of text
+    or one row.
     """
     names = StructType.fromDDL(schema).names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in slices(batch, batch.num_columns - 1):
+            for piece in slices(batch, batch.num_columns - 1, limit):
                 yield pa.RecordBatch.from_arrays(work(piece), names=names)
 
     return docs.select(*columns).mapInArrow(run, schema)
 
 
 def keep_rows(
-    docs: DataFrame, text: str, keep: Callable[[pa.Array], np.ndarray]
+    docs: DataFrame, text: str, keep: Callable[[pa.Array], np.ndarray], limit: int = 1 << 22
 ) -> DataFrame:
     """Rows whose text passes ``keep`` (a mask per run of rows), all columns as they are."""
     position = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in slices(batch, position):
+            for piece in slices(batch, position, limit):
                 mask = keep(piece.column(position))
                 yield piece.filter(pa.array(np.asarray(mask, dtype=bool)))
 

@@ -11,9 +11,10 @@ All patterns of one length form a group with
 
 A task searches many stretches of text side by side with numpy, each jumping by its own shifts.
 
-Benchmark items are handled in shards of at most ``SHARD_WORDS`` pattern words, so what is sent to
-the tasks is bounded whatever the size of the benchmark; further shards are further passes over
-the documents whose marks are merged.
+Benchmark items are dealt by hash to shards of about ``SHARD_WORDS`` pattern words at most. Tasks
+build the tables of each shard and write them to the shared folder; the driver only sees their
+names. A search task has one table in memory at a time and goes through all of them for a run of
+documents before it takes the next, so documents are read once whatever the size of the benchmark.
 
 Null and empty texts have no words. Repeated items and windows count once per ``item_id``; a null
 ``item_id`` marks words and counts as the item ``null``. Repeated documents give repeated rows.
@@ -22,18 +23,24 @@ Null and empty texts have no words. Repeated items and windows count once per ``
 from __future__ import annotations
 
 import hashlib
+import pickle
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from bazaarlens.llm.common import keep_rows, map_texts, text_buffer
+from bazaarlens.session import work_dir
 
 WINDOW = 10
 SHARD_WORDS = 2_000_000
+RUN_BYTES, MANY_RUN_BYTES = 1 << 22, 1 << 25
 _CHUNK = 1 << 20
 _STRETCH = 512
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -161,21 +168,60 @@ def build_groups(items: list[tuple[object, str | None]], window: int = WINDOW) -
     return [Group.build(n, patterns) for n, patterns in sorted(by_length.items())]
 
 
-def shards(
-    benchmark: DataFrame, id_col: str, text_col: str, limit: int = SHARD_WORDS,
-    window: int = WINDOW,
-) -> Iterator[list[Group]]:
-    """Search tables of the benchmark, at most ``limit`` pattern words (or one item) each."""
-    held: list[tuple[object, str | None]] = []
-    size = 0
-    for item_id, text in benchmark.select(id_col, text_col).toLocalIterator():
-        words = len(item_words(text)) * window
-        if held and size + words > limit:
-            yield build_groups(held, window)
-            held, size = [], 0
-        held.append((item_id, text))
-        size += words
-    yield build_groups(held, window)
+def _table_sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        n = [len(item_words(text.as_py())) for text in batch.column(0)]
+        yield pa.RecordBatch.from_arrays([pa.array(n, pa.int64())], names=["n"])
+
+
+def tables(
+    benchmark: DataFrame, id_col: str, text_col: str, limit: int = SHARD_WORDS, window: int = WINDOW,
+) -> list[str]:
+    """Addresses of the written search tables of the benchmark, one per shard; none without words."""
+    items = benchmark.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    total = items.select("text").mapInArrow(_table_sizes, "n bigint").agg(F.sum("n")).first()[0]
+    if not total:
+        return []
+    # dealt by hash, a shard is unlikely to get twice its share
+    total *= window
+    shards = 1 if total <= limit else -(-2 * total // limit)
+
+    def build(table: pa.Table) -> pa.Table:
+        rows = zip(table["id"].to_pylist(), table["text"].to_pylist(), strict=True)
+        groups = pickle.dumps(build_groups(list(rows), window))
+        return pa.table({"shard": table["shard"][:1], "groups": pa.array([groups], pa.binary())})
+
+    deal = F.pmod(F.xxhash64("id", "text"), F.lit(shards)).cast("int").alias("shard")
+    built = items.select(deal, "id", "text").groupBy("shard").applyInArrow(build, "shard int, groups binary")
+    path = work_dir(benchmark.sparkSession, "search-tables")
+    built.repartition("shard").write.partitionBy("shard").parquet(path)
+    stored = benchmark.sparkSession.read.parquet(path)
+    return sorted(r[0] for r in stored.select("shard", F.input_file_name().alias("f")).select("f").distinct().collect())
+
+
+class Tables:
+    """The written tables, read one at a time; the last one read is kept, so a benchmark of one
+    shard is read once by a task."""
+
+    def __init__(self, addresses: list[str]):
+        self.addresses = addresses
+        self._held: tuple[str, list[list[Group]]] | None = None
+
+    def __getstate__(self):
+        return self.addresses
+
+    def __setstate__(self, addresses):
+        self.__init__(addresses)
+
+    def __iter__(self) -> Iterator[list[Group]]:
+        for address in self.addresses:
+            if self._held is None or self._held[0] != address:
+                self._held = None
+                system, path = pafs.FileSystem.from_uri(address)
+                with system.open_input_file(path) as file:
+                    groups = pq.read_table(file, columns=["groups"])["groups"]
+                self._held = address, [pickle.loads(g.as_py()) for g in groups]
+            yield from self._held[1]
 
 
 def _positions(group: Group, words: np.ndarray, firsts: np.ndarray) -> np.ndarray:
@@ -240,8 +286,8 @@ class Marks:
         return sums[self.firsts[1:]] - sums[self.firsts[:-1]]
 
 
-def mark(groups: list[Group], column: pa.Array) -> Marks:
-    """Search all rows of a text column."""
+def mark(tables: Iterable[list[Group]], column: pa.Array) -> Marks:
+    """Search all rows of a text column for the patterns of all tables."""
     data, ends = text_buffer(column)
     low = _LOWER[data]
     starts, stops = word_spans(low, ends)
@@ -249,29 +295,20 @@ def mark(groups: list[Group], column: pa.Array) -> Marks:
     firsts = np.searchsorted(starts, ends)
     edges = np.zeros(len(words) + 1, np.int64)
     items: dict[int, set[str]] = {}
-    for group in groups:
-        hits = find(group, low, starts, stops, words, firsts)
-        if not hits:
-            continue
-        last = np.array([end for end, _ in hits])
-        np.add.at(edges, last - group.length + 1, 1)
-        np.add.at(edges, last + 1, -1)
-        rows = np.searchsorted(firsts, last, "right") - 1
-        for row, (_, which) in zip(rows.tolist(), hits, strict=True):
-            items.setdefault(row, set()).update(group.owners[which])
+    for groups in tables:
+        for group in groups:
+            hits = find(group, low, starts, stops, words, firsts)
+            if not hits:
+                continue
+            last = np.array([end for end, _ in hits])
+            np.add.at(edges, last - group.length + 1, 1)
+            np.add.at(edges, last + 1, -1)
+            rows = np.searchsorted(firsts, last, "right") - 1
+            for row, (_, which) in zip(rows.tolist(), hits, strict=True):
+                items.setdefault(row, set()).update(group.owners[which])
     return Marks(firsts, np.cumsum(edges)[:-1] > 0, items)
 
 
-def _merged(marks: Marks, hits: pa.Array, items: pa.Array) -> Marks:
-    """Marks of this pass with those of earlier passes (packed bits and item lists)."""
-    for row, (bits, names) in enumerate(zip(hits.to_pylist(), items.to_pylist(), strict=True)):
-        a, b = marks.firsts[row], marks.firsts[row + 1]
-        marks.hit[a:b] |= np.unpackbits(np.frombuffer(bits, np.uint8), count=b - a).astype(bool)
-        if names:
-            marks.items.setdefault(row, set()).update(names)
-    return marks
-
-
 def decontaminate(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     item_col: str = "item_id", item_text_col: str = "text", shard_words: int = SHARD_WORDS,
@@ -279,33 +316,10 @@ def decontaminate(
 ) -> DataFrame:
     """Per document ``id_col, n_words, n_hit, n_items, items_sha256, contaminated``."""
     kind = dict(docs.dtypes)[id_col]
-    context = docs.sparkSession.sparkContext
-    tables = [
-        context.broadcast(t)
-        for t in shards(benchmark, item_col, item_text_col, shard_words, window)
-    ]
-
-    def searched(batch: pa.RecordBatch, table) -> Marks:
-        marks = mark(table.value, batch.column(batch.num_columns - 1))
-        return _merged(marks, batch.column(1), batch.column(2)) if batch.num_columns > 2 else marks
-
-    def passing(table):
-        def work(batch: pa.RecordBatch) -> list[pa.Array]:
-            marks = searched(batch, table)
-            bits = [
-                np.packbits(marks.hit[a:b]).tobytes()
-                for a, b in zip(marks.firsts[:-1], marks.firsts[1:], strict=True)
-            ]
-            items = [sorted(marks.items.get(row, ())) for row in range(batch.num_rows)]
-            return [
-                batch.column(0), pa.array(bits, pa.binary()),
-                pa.array(items, pa.list_(pa.string())), batch.column(batch.num_columns - 1),
-            ]
-
-        return work
-
-    def closing(batch: pa.RecordBatch) -> list[pa.Array]:
-        marks = searched(batch, tables[-1])
+    held = Tables(tables(benchmark, item_col, item_text_col, shard_words, window))
+
+    def work(batch: pa.RecordBatch) -> list[pa.Array]:
+        marks = mark(held, batch.column(1))
         items = [sorted(marks.items.get(row, ())) for row in range(batch.num_rows)]
         return [
             batch.column(0),
@@ -316,28 +330,23 @@ def decontaminate(
             pa.array(marks.n_hit > 0),
         ]
 
-    rows, columns = docs.select(id_col, text_col), [id_col, text_col]
-    for table in tables[:-1]:
-        columns = [id_col, "_hits", "_items", "_text"]
-        rows = map_texts(
-            rows, rows.columns,
-            f"{id_col} {kind}, _hits binary, _items array<string>, _text string", passing(table),
-        )
     return map_texts(
-        rows, columns,
+        docs, [id_col, text_col],
         f"{id_col} {kind}, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, "
         "contaminated boolean",
-        closing,
+        work, _run_bytes(held),
     )
 
 
+def _run_bytes(held: Tables) -> int:
+    """Text that a task searches before it goes on to the next table: more where it has to reload."""
+    return RUN_BYTES if len(held.addresses) < 2 else MANY_RUN_BYTES
+
+
 def clean_documents(
     docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id",
     item_text_col: str = "text", shard_words: int = SHARD_WORDS, window: int = WINDOW,
 ) -> DataFrame:
     """Documents without any window of a benchmark item, with all their columns."""
-    context = docs.sparkSession.sparkContext
-    for groups in shards(benchmark, item_col, item_text_col, shard_words, window):
-        table = context.broadcast(groups)
-        docs = keep_rows(docs, text_col, lambda c, t=table: mark(t.value, c).n_hit == 0)
-    return docs
+    held = Tables(tables(benchmark, item_col, item_text_col, shard_words, window))
+    return keep_rows(docs, text_col, lambda c: mark(held, c).n_hit == 0, _run_bytes(held))

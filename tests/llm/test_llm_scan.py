@@ -10,6 +10,7 @@ import tiktoken
 from cases import LONG, ODD_ROWS, SF, prose, rows
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from bazaarlens.llm import bpe, secrets, wumanber
@@ -87,7 +88,7 @@ def plain_marks(text, items):
 )
 def test_marks_of_small_alphabets(texts, items):
     items = list(enumerate(items))
-    marks = wumanber.mark(wumanber.build_groups(items), pa.array(texts))
+    marks = wumanber.mark([wumanber.build_groups(items)], pa.array(texts))
     for row, text in enumerate(texts):
         words, hits, n, _, _ = plain_marks(text, items)
         got = (marks.n_words[row], marks.n_hit[row], len(marks.items.get(row, ())))
@@ -115,6 +116,28 @@ def test_documents_with_one_and_many_shards(spark, odd, clashing, none):
     assert kept == sorted((r[0] for r in expected if not r[-1]), key=repr)
 
 
+def test_many_shards_are_built_in_tasks(spark, monkeypatch):
+    """600 items in over a hundred tables: the driver builds none, and all are found."""
+    items = [(i, prose(1_000 + i, 14)) for i in range(600)]
+    bench = spark.createDataFrame(items, "item_id bigint, text string").repartition(4)
+    docs = spark.createDataFrame(
+        [(i, f"before {text} after") for i, text in items[::7]] + [(-1, prose(5, 50))],
+        "doc_id bigint, text string",
+    )
+
+    def refuse(*_):
+        raise AssertionError("the driver must not split items or build tables")
+
+    before = wumanber.item_words
+    monkeypatch.setattr(wumanber, "item_words", lambda t: refuse() if TaskContext.get() is None else before(t))
+    addresses = wumanber.tables(bench, "item_id", "text", 1_500)
+    assert len(addresses) > 100
+    out = {r.doc_id: (r.n_items, r.n_hit) for r in wumanber.decontaminate(docs, bench, shard_words=1_500).collect()}
+    assert out == {i: (1, 14) for i, _ in items[::7]} | {-1: (0, 0)}
+    clean = wumanber.clean_documents(docs, bench, shard_words=1_500)
+    assert [r.doc_id for r in clean.collect()] == [-1]
+
+
 def test_query_equals_brute_force(spark, documents):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
     items = [tuple(r) for r in bench.select("item_id", "text").collect()]
@@ -126,7 +149,7 @@ def test_query_equals_brute_force(spark, documents):
 
 def test_a_word_longer_than_a_chunk():
     word = "a" * (wumanber._CHUNK + 5)
-    marks = wumanber.mark(wumanber.build_groups([(1, word)]), pa.array([f"x {word} y", word[:-1]]))
+    marks = wumanber.mark([wumanber.build_groups([(1, word)])], pa.array([f"x {word} y", word[:-1]]))
     assert marks.n_hit.tolist() == [1, 0]
 
 
