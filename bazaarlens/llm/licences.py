@@ -1,21 +1,27 @@
 """Licence scans: a trained paragraph classifier in DataFrame functions only.
 
 Paragraphs (lines) become sets of word bigrams and trigrams. A multinomial logistic regression,
-trained here on stretches of the notices below and on paragraphs of the corpus that use no licence
-wording, gives the odds of each licence family and of ``unknown``. Only n-grams of the training
-stretches have weights, so scoring is a join with a small weight table; a paragraph without any
-such n-gram is unknown and produces no row. A temperature fitted on stretches that the regression
-did not see calibrates the probabilities.
+trained here on stretches of the notices below, on texts that are no notice of these families
+(other licences, other versions, disclaimers, prose about licences) and on paragraphs of the corpus
+that use no licence wording, gives the odds of each licence family and of ``unknown``. Only n-grams
+of the notices have weights, so scoring is a join with a small weight table; a paragraph without any
+such n-gram is unknown and produces no row. The temperature that calibrates the probabilities is
+fitted with a first regression, on notices and texts that this one has not seen in any part: whole
+texts are held out, not stretches of them. A second regression on all of them is the model.
 
 A paragraph of up to two notice lengths is scored whole, a longer one by windows of that size that
 overlap by a notice length. Each run of words whose bigrams all have weights is scored by itself
 besides, so that two notices in one line are told apart. A prediction is confirmed when enough of
 the paragraph's or window's n-grams occur in one notice of the predicted family, or when it holds
 enough of the n-grams of such a notice, whatever else the line says; a run of ``RUN_WORDS`` words is
-confirmed like a paragraph, a shorter one only by what it holds of a notice.
+confirmed like a paragraph, a shorter one only by what it holds of a notice. Titles and identifiers
+confirm only a line that says nothing else. A line that names versions, none of them the family's,
+confirms nothing.
 
-Bounds (parameters): ``MAX_GRAMS`` n-grams in the weight table, ``BACKGROUND`` corpus paragraphs
-to learn the unknown class from. Scoring reads every paragraph of every text.
+Bounds (parameters): ``MAX_GRAMS`` n-grams in the weight table, about ``BACKGROUND`` windows of
+corpus lines to learn the unknown class from. Scoring reads every paragraph of every text. A run of
+licence words is one window however long its line is: a line of millions of such words costs one
+group of at most ``MAX_GRAMS`` distinct n-grams.
 
 Null and empty texts have no paragraphs. Repeated rows give repeated rows; other columns are
 ignored. Without background paragraphs the fixed sentences below stand for the unknown class.
@@ -31,12 +37,18 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from bazaarlens.llm.common import staged
+
 UNKNOWN = "unknown"
 MAX_GRAMS = 8_192
 BACKGROUND = 2_000
-MIN_PROBABILITY = 0.5
+MAX_ITERATIONS = 40
+MIN_PROBABILITY = 0.2
 MIN_SHARED = 0.6
 RUN_WORDS = 12
+TITLE_WORDS = 12
+BACKGROUND_WORDS = 40
+WHOLE = 5
 
 # Standard notices and passages of public licences, by family.
 NOTICES = [
@@ -92,7 +104,38 @@ NOTICES = [
     ("public-domain", "To the extent possible under law, the author has waived all copyright and"
                       " related rights to this work under CC0 1.0."),
 ]
-# Sentences with licence wording that grant nothing.
+# Titles and identifiers, by family; they count only where a line says nothing else.
+TITLES = [
+    ("mit", "MIT License"), ("mit", "The MIT License (MIT)"), ("mit", "SPDX-License-Identifier: MIT"),
+    ("apache-2.0", "Apache License Version 2.0"), ("apache-2.0", "Apache License 2.0"),
+    ("apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
+    ("gpl-3.0", "GNU General Public License v3.0 or later"), ("gpl-3.0", "GNU General Public License version 3"),
+    ("gpl-3.0", "SPDX-License-Identifier: GPL-3.0-or-later"), ("gpl-3.0", "SPDX-License-Identifier: GPL-3.0-only"),
+    ("gpl-2.0", "GNU General Public License v2.0 only"), ("gpl-2.0", "GNU General Public License version 2"),
+    ("gpl-2.0", "SPDX-License-Identifier: GPL-2.0-only"), ("gpl-2.0", "SPDX-License-Identifier: GPL-2.0-or-later"),
+    ("lgpl", "GNU Lesser General Public License v2.1"), ("lgpl", "GNU Lesser General Public License version 3"),
+    ("lgpl", "SPDX-License-Identifier: LGPL-2.1-or-later"), ("lgpl", "SPDX-License-Identifier: LGPL-3.0-only"),
+    ("agpl-3.0", "GNU Affero General Public License v3.0"),
+    ("agpl-3.0", "SPDX-License-Identifier: AGPL-3.0-or-later"), ("agpl-3.0", "SPDX-License-Identifier: AGPL-3.0-only"),
+    ("bsd", "BSD 3-Clause License"), ("bsd", "BSD 2-Clause License"), ("bsd", "The 3-Clause BSD License"),
+    ("bsd", "SPDX-License-Identifier: BSD-3-Clause"), ("bsd", "SPDX-License-Identifier: BSD-2-Clause"),
+    ("mpl-2.0", "Mozilla Public License Version 2.0"), ("mpl-2.0", "SPDX-License-Identifier: MPL-2.0"),
+    ("isc", "ISC License"), ("isc", "SPDX-License-Identifier: ISC"),
+    ("cc-by", "Creative Commons Attribution 4.0 International"), ("cc-by", "SPDX-License-Identifier: CC-BY-4.0"),
+    ("cc-by-sa", "Creative Commons Attribution-ShareAlike 4.0 International"),
+    ("cc-by-sa", "SPDX-License-Identifier: CC-BY-SA-4.0"),
+    ("cc-by-nc", "Creative Commons Attribution-NonCommercial 4.0 International"),
+    ("cc-by-nc", "SPDX-License-Identifier: CC-BY-NC-4.0"),
+    ("public-domain", "The Unlicense"), ("public-domain", "CC0 1.0 Universal"),
+    ("public-domain", "SPDX-License-Identifier: CC0-1.0"), ("public-domain", "SPDX-License-Identifier: Unlicense"),
+]
+# The versions a family's notices may name; other families name none.
+VERSIONS = {
+    "apache-2.0": ["2", "2.0"], "gpl-3.0": ["3", "3.0"], "gpl-2.0": ["2", "2.0"],
+    "lgpl": ["2", "2.0", "2.1", "3", "3.0"], "agpl-3.0": ["3", "3.0"], "mpl-2.0": ["2", "2.0"],
+}
+_VERSION = r"\b(?:version|v\.?)\s*(\d+(?:\.\d+)?)"
+# Texts with licence wording that are no notice of these families.
 OTHERS = [
     "The driver had to renew the licence before the end of the year.",
     "A permission to build on this land was granted by the city.",
@@ -104,6 +147,42 @@ OTHERS = [
     "The version 2.0 of the program was released in the spring.",
     "See the file for details and follow the instructions of the manual.",
     "The foundation published a list of conditions for the award.",
+    # other licences
+    "Licensed under the Eclipse Public License, version 2.0.",
+    "This program and the accompanying materials are made available under the terms of the Eclipse Public"
+    " License v2.0 which is available at the address below.",
+    "Licensed under the European Union Public Licence, version 1.2.",
+    "Licensed under the Common Development and Distribution License, version 1.0.",
+    "Distributed under the Boost Software License, Version 1.0.",
+    "This work is licensed under the Artistic License 2.0.",
+    "Released under the zlib License.",
+    "Released under the Microsoft Public License.",
+    "Released under the Server Side Public License, version 1.",
+    "Licensed under the Open Software License version 3.0.",
+    "SPDX-License-Identifier: EPL-2.0", "SPDX-License-Identifier: Zlib", "SPDX-License-Identifier: BSL-1.0",
+    "SPDX-License-Identifier: LicenseRef-Proprietary", "Licensed under CC BY-ND 4.0.",
+    "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+    # versions that the families do not have
+    "This work is licensed under the GNU General Public License, version 4.",
+    "This work is licensed under the GNU General Public License, version 1.",
+    "Licensed under the Apache License, Version 1.1.", "Licensed under the Mozilla Public License, version 1.1.",
+    # disclaimers, which many licences share
+    "The software is provided as is, without warranty of any kind, express or implied, including but not"
+    " limited to the warranties of merchantability, fitness for a particular purpose and noninfringement.",
+    "In no event shall the authors or copyright holders be liable for any claim, damages or other liability,"
+    " whether in an action of contract, tort or otherwise, arising from, out of or in connection with the"
+    " software or the use or other dealings in the software.",
+    "This program is distributed in the hope that it will be useful, but without any warranty; without even"
+    " the implied warranty of merchantability or fitness for a particular purpose.",
+    # prose about licences
+    "We compared the MIT License with the Apache License and found few differences in practice.",
+    "The company changed the license of its database last year and many users were unhappy.",
+    "Under the GNU General Public License, derived works must be distributed with their source code.",
+    "The lawyer explained what a Creative Commons license means for photographers.",
+    "BSD licenses are popular with vendors of network hardware.",
+    "Most packages in the archive have a license of the MIT or of the BSD family.",
+    "You may not use this file except for the purposes of the exercise.",
+    "Permission is hereby granted by the council to use the hall free of charge.",
 ]
 _CUES = r"(?i)licen[sc]|copyright|permission|warrant|redistribut|domain|creative|gnu |apache|\bcc\b"
 
@@ -125,25 +204,33 @@ def grams(own: Column) -> Column:
 # --------------------------------------------------------------------- training
 
 def _stretches(rows: DataFrame) -> DataFrame:
-    """``family, words``: each notice, and its stretches of 5, 8, 12 and 20 words."""
+    """``family, fold, words, weight``: each text, and its stretches of 5, 8, 12 and 20 words; the
+    fold is that of the whole text, which counts ``WHOLE`` times."""
     own = rows.withColumn("_w", words(F.col("text")))
     length = F.explode(F.array(*[F.lit(n) for n in (5, 8, 12, 20, 1_000)]))
     cut = own.withColumn("_n", length).withColumn(
         "_from", F.explode(F.sequence(F.lit(1), F.greatest(F.size("_w") - F.col("_n") + 1, F.lit(1))))
     )
-    return cut.select("family", F.slice("_w", F.col("_from"), F.col("_n")).alias("words")).distinct()
+    weight = F.when(F.size("_w") <= F.col("_n"), float(WHOLE)).otherwise(1.0)
+    return cut.select(
+        "family", "fold", F.slice("_w", F.col("_from"), F.col("_n")).alias("words"), weight.alias("weight")
+    ).distinct()
 
 
 def _background(docs: DataFrame, id_col: str, text_col: str, limit: int) -> DataFrame:
-    """Up to ``limit`` corpus lines without licence wording, from rows chosen by id hash."""
-    rows = docs.count()
-    share = min(1_000_000, -(-limit * 1_000_000 // max(rows, 1)))
-    chosen = docs.where(F.pmod(F.xxhash64(id_col), F.lit(1_000_000)) < share)
-    lines = chosen.select(F.explode(F.split(F.col(text_col), "\n")).alias("line"))
-    lines = lines.where(~F.col("line").rlike(_CUES)).select(words(F.col("line")).alias("words"))
-    return (
-        lines.where(F.size("words") > 2).orderBy(F.xxhash64("words")).limit(limit)
-        .select(F.lit(UNKNOWN).alias("family"), F.slice("words", 1, 200).alias("words"))
+    """About ``limit`` windows of corpus lines without licence wording. All lines are looked at; a
+    hash of the words chooses, in the same pass, so repeated lines count once."""
+    lines = docs.select(F.explode(F.split(F.col(text_col), "\n")).alias("line"))
+    own = lines.where(~F.col("line").rlike(_CUES)).select(words(F.col("line")).alias("_w"))
+    starts = F.sequence(F.lit(1), F.greatest(F.size("_w"), F.lit(1)), F.lit(BACKGROUND_WORDS))
+    windows = own.where(F.size("_w") > 2).select(
+        F.explode(F.transform(starts, lambda i: F.slice("_w", i, BACKGROUND_WORDS))).alias("words")
+    ).where(F.size("words") > 2).withColumn("_h", F.pmod(F.xxhash64("words"), F.lit(1 << 30)))
+    # each task keeps those with the smallest hashes, so at most ``limit`` rows a task meet in one
+    chosen = windows.groupBy("_h").agg(F.first("words").alias("words")).orderBy("_h").limit(limit)
+    return chosen.select(
+        F.lit(UNKNOWN).alias("family"), (F.col("_h") % 5).cast("int").alias("fold"), "words",
+        F.lit(1.0).alias("weight"),
     )
 
 
@@ -153,33 +240,32 @@ def train(
 ) -> tuple[list[str], DataFrame, list[float], float]:
     """(families, table ``gram, weights, notices``, intercepts, temperature)."""
     spark = docs.sparkSession
-    notices = _rows(spark, [*NOTICES, *((UNKNOWN, text) for text in OTHERS)])
     families = sorted({family for family, _ in NOTICES}) + [UNKNOWN]
     number = F.array_position(F.array(*map(F.lit, families)), F.col("family")) - 1
+    fixed = _rows(spark, _folds())
     examples = (
-        _stretches(notices).unionByName(_background(docs, id_col, text_col, background))
-        .select(
-            number.cast("double").alias("label"), grams(F.col("words")).alias("grams"),
-            F.pmod(F.xxhash64("words"), F.lit(5)).alias("fold"),
-        )
-    ).persist()
+        _stretches(fixed).unionByName(_background(docs, id_col, text_col, background))
+        .select(number.cast("double").alias("label"), grams(F.col("words")).alias("grams"), "fold", "weight")
+    )
+    examples = staged(examples.coalesce(4), "licence-examples")
     # the vocabulary is that of the notices; whatever else the corpus says has no weight
     known = examples.where(F.col("label") < len(families) - 1)
     counter = CountVectorizer(
         inputCol="grams", outputCol="features", vocabSize=max_grams, binary=True
     ).fit(known)
-    vectors = counter.transform(examples)
-    model = LogisticRegression(family="multinomial", regParam=0.001, maxIter=60).fit(
-        vectors.where("fold <> 0")
-    )
-    temperature = _temperature(model.transform(vectors.where("fold = 0")), len(families))
+    vectors = counter.transform(examples).coalesce(4).persist()
+    regression = LogisticRegression(family="multinomial", regParam=0.001, maxIter=MAX_ITERATIONS, weightCol="weight")
+    apart = regression.fit(vectors.where("fold <> 0"))
+    temperature = _temperature(apart.transform(vectors.where("fold = 0")), len(families))
+    model = regression.fit(vectors)
+    vectors.unpersist()
     matrix = model.coefficientMatrix.toArray()
     weights = spark.createDataFrame(
         [(gram, [float(v) for v in matrix[:, i]]) for i, gram in enumerate(counter.vocabulary)],
         "gram string, weights array<double>",
     )
     owners = (
-        _rows(spark, [(str(i), text) for i, (_, text) in enumerate(NOTICES)])
+        _rows(spark, [(str(i), text, 0) for i, (_, text) in enumerate([*NOTICES, *TITLES])])
         .select(F.col("family").cast("int").alias("notice"),
                 F.explode(grams(words(F.col("text")))).alias("gram"))
         .groupBy("gram").agg(F.collect_set("notice").alias("notices"))
@@ -188,19 +274,30 @@ def train(
     table = weights.join(owners, "gram", "left").withColumn(
         "notices", F.coalesce("notices", none)
     )
-    examples.unpersist()
+    # frozen: scoring reads the table, it never trains again
+    table = staged(table.coalesce(1), "licence-weights")
     return families, table, [float(v) for v in model.interceptVector], temperature
 
 
-def _rows(spark: SparkSession, rows: list[tuple[str, str]]) -> DataFrame:
-    return spark.createDataFrame(rows, "family string, text string")
+def _folds() -> list[tuple[str, str, int]]:
+    """(family, text, fold) of notices, titles and other texts. Of every family some whole texts
+    are in fold 0, and some are not; of the others every fifth."""
+    out, seen = [], {}
+    for family, text in [*NOTICES, *TITLES]:
+        seen[family] = nth = seen.get(family, -1) + 1
+        out.append((family, text, 0 if nth % 3 == 1 else 1))
+    return out + [(UNKNOWN, text, int(i % 5 > 0)) for i, text in enumerate(OTHERS)]
+
+
+def _rows(spark: SparkSession, rows: list[tuple[str, str, int]]) -> DataFrame:
+    return spark.createDataFrame(rows, "family string, text string, fold int")
 
 
 def _temperature(predicted: DataFrame, classes: int) -> float:
     """The temperature with the least log loss on ``predicted``, on a fixed grid."""
     raw = vector_to_array("rawPrediction")
     own = F.element_at(raw, (F.col("label") + 1).cast("int"))
-    tries = [0.5, 0.7, 0.85, 1.0, 1.2, 1.5, 2.0, 3.0]
+    tries = [0.5, 0.7, 0.85, 1.0, 1.2, 1.5, 2.0, 2.5, 3.0, 4.0]
     losses = [
         F.avg(F.log(_exp_sum(raw, F.array_max(raw), t)) - (own - F.array_max(raw)) / t)
         for t in tries
@@ -219,8 +316,8 @@ def _exp_sum(logits: Column, top: Column, temperature: float) -> Column:
 # ---------------------------------------------------------------------- scoring
 
 def _sizes() -> tuple[list[int], int]:
-    """Distinct n-grams of each notice, and the words of the longest."""
-    own = [re.findall(r"[^\W_]+", text.lower()) for _, text in NOTICES]
+    """Distinct n-grams of each notice and title, and the words of the longest."""
+    own = [re.findall(r"[^\W_]+", text.lower()) for _, text in [*NOTICES, *TITLES]]
     sizes = [len({tuple(w[i : i + n]) for n in (2, 3) for i in range(len(w) - n + 1)}) for w in own]
     return sizes, max(map(len, own))
 
@@ -265,7 +362,10 @@ def paragraphs(
     rows = docs.select(
         F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_text_hash"),
         F.posexplode(F.split(F.col(text_col), "\n")).alias("line", "_line"),
-    ).select("_id", "_text_hash", "line", words(F.col("_line")).alias("_w"))
+    ).select(
+        "_id", "_text_hash", "line", words(F.col("_line")).alias("_w"),
+        F.regexp_extract_all(F.lower("_line"), F.lit(_VERSION), F.lit(1)).alias("_versions"),
+    )
     after = F.greatest(F.size("_w"), F.lit(1))
     near = F.arrays_zip(
         F.col("_w").alias("a"), F.slice("_w", 2, after).alias("b"),
@@ -273,12 +373,12 @@ def paragraphs(
     )
     keys = ["_id", "_text_hash", "line"]
     places = rows.where(F.size("_w") > 1).select(
-        *keys, F.size("_w").alias("_words"), F.posexplode(near).alias("_at", "_p")
+        *keys, "_versions", F.size("_w").alias("_words"), F.posexplode(near).alias("_at", "_p")
     )
     two = F.concat("_p.a", F.lit(" "), "_p.b")
     three = F.concat("_p.a", F.lit(" "), "_p.b", F.lit(" "), "_p.c")
     found = (
-        places.select(*keys, "_words", "_at", F.explode(F.array(two, three)).alias("gram"))
+        places.select(*keys, "_versions", "_words", "_at", F.explode(F.array(two, three)).alias("gram"))
         .where("gram IS NOT NULL")
         # at most MAX_GRAMS rows of bounded width
         .join(F.broadcast(table.select("gram")), "gram")
@@ -286,30 +386,38 @@ def paragraphs(
     )
     sizes, longest = _sizes()
     # a gram counts once in a window or run
-    units = _in_units(found, keys, longest)
+    units = _in_units(found, [*keys, "_versions", "_words"], longest)
     parts = units.join(F.broadcast(table), "gram")
     sums = [F.sum(F.element_at("weights", i + 1)).alias(f"_k{i}") for i in range(len(families))]
     hits = [
         F.sum(F.array_contains("notices", i).cast("int")).alias(f"_n{i}")
-        for i in range(len(NOTICES))
+        for i in range(len(NOTICES) + len(TITLES))
     ]
-    scored = parts.groupBy(*keys, "_run", "_unit", "_total").agg(*sums, *hits)
+    scored = parts.groupBy(*keys, "_versions", "_words", "_run", "_unit", "_total").agg(*sums, *hits)
     logits = F.array(*[F.col(f"_k{i}") + F.lit(b) for i, b in enumerate(intercepts)])
     best = F.array_position("_logits", F.col("_top")).cast("int")
     family = F.element_at(F.array(*map(F.lit, families)), best)
 
-    def most(hit: list[Column]) -> Column:
+    def most(hit: list[Column], of: list[tuple[str, str]]) -> Column:
         """The greatest of ``hit`` (by notice) over the notices of the family."""
-        return F.greatest(F.lit(0.0), *[
-            F.when(F.col("family") == own, hit[i]).otherwise(0.0)
-            for i, (own, _) in enumerate(NOTICES)
+        return F.greatest(F.lit(0.0), F.lit(0.0), *[
+            F.when(F.col("family") == own, hit[i]).otherwise(0.0) for i, (own, _) in enumerate(of)
         ])
 
-    of_line = most([F.col(f"_n{i}") / F.col("_total") for i in range(len(NOTICES))])
-    of_notice = most([F.col(f"_n{i}") / F.lit(n) for i, n in enumerate(sizes)])
+    n = len(NOTICES)
+    of_line = most([F.col(f"_n{i}") / F.col("_total") for i in range(n)], NOTICES)
+    of_notice = most([F.col(f"_n{i}") / F.lit(sizes[i]) for i in range(n)], NOTICES)
     short = F.col("_run") & (F.col("_total") < 2 * RUN_WORDS - 3)
-    shared = F.when(short, of_notice).otherwise(F.greatest(of_line, of_notice))
-    sure = F.col("shared") >= MIN_SHARED
+    # a title counts by what the line and it share of all that either has
+    both = [F.col(f"_n{n + i}") / (F.col("_total") + F.lit(sizes[n + i]) - F.col(f"_n{n + i}"))
+            for i in range(len(TITLES))]
+    alone = ~F.col("_run") & (F.col("_words") <= TITLE_WORDS)
+    of_title = F.when(alone, most(both, TITLES)).otherwise(0.0)
+    shared = F.greatest(of_title, F.when(short, of_notice).otherwise(F.greatest(of_line, of_notice)))
+    allowed = F.create_map(*[F.lit(x) for f, v in VERSIONS.items() for x in (f, ",".join(v))])
+    held = F.split(F.try_element_at(allowed, F.col("family")), ",")
+    wrong = held.isNotNull() & (F.size("_versions") > 0) & ~F.arrays_overlap(F.col("_versions"), held)
+    sure = (F.col("shared") >= MIN_SHARED) & ~F.coalesce(wrong, F.lit(False))
     return (
         scored.withColumn("_logits", logits).withColumn("_top", F.array_max("_logits"))
         .withColumn("family", family)
