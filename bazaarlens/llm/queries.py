@@ -37,13 +37,18 @@ def _fold(parts: int) -> Column:
 DEBRIS = r"[#*%&$!|]+"
 
 
-def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Four batches over all documents: load, removal of exact copies, revised counts of cleaned
-    texts, and a second tokenizer version; two of them are committed twice."""
+def token_counts(docs: DataFrame, path: str) -> DataFrame:
+    """Totals after four batches over ``docs``, kept below ``path``: load, removal of exact copies,
+    revised counts of cleaned texts, and a second tokenizer version; two of them are committed twice.
+
+    Null texts are empty texts and copies of each other. Of rows with one text that with the smallest
+    id stays (all of them if its id is repeated); rows without an id stay only if no row of that text
+    has one. Null sources and languages are keys of their own. An empty table gives no totals.
+    """
     text = F.coalesce(F.col("text"), F.lit(""))
     clean = F.regexp_replace(text, DEBRIS, " ")
     counted = staged(
-        table(spark, sf_dir, "documents").select(
+        docs.select(
             "doc_id", "source", "lang", F.sha2(text, 256).alias("digest"),
             *[
                 rollup.word_count(own, version).alias(f"{name}_{version[-1]}")
@@ -56,8 +61,13 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
         "token-counts",
     )
     first = staged(counted.groupBy("digest").agg(F.min("doc_id").alias("first")), "first-copies")
-    marked = counted.join(first, "digest").withColumn(
-        "copy", ~F.col("doc_id").eqNullSafe(F.col("first"))
+    # joined once for all batches
+    marked = staged(
+        counted.join(first, "digest").select(
+            *[c for c in counted.columns if c not in ("doc_id", "digest")],
+            (~F.col("doc_id").eqNullSafe(F.col("first"))).alias("copy"),
+        ),
+        "marked-copies",
     )
 
     def rows(name: str, version: str, condition: str = "true") -> DataFrame:
@@ -74,7 +84,7 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
         "clean": rollup.revised(rows("raw", "words@1", edited), rows("clean", "words@1", edited)),
         "second-version": rollup.signed(rows("clean", "words@2", kept), 1),
     }
-    totals = rollup.TokenRollup(spark, work_dir(spark, "rollup"))
+    totals = rollup.TokenRollup(docs.sparkSession, path)
     for name in ("load", "copies", "copies"):
         totals.commit(name, batches[name])
     totals.compact()
@@ -83,6 +93,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return totals.totals()
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"), work_dir(spark, "rollup"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = ppm.train(docs.where(_fold(4) != 2))

@@ -10,7 +10,8 @@ was broken off is written anew: committing a batch twice changes nothing. Totals
 committed batches. ``compact`` folds them into a snapshot that names the batches it holds, so
 that readers add only younger ones and a late repeat is still recognised.
 
-One writer per batch id is assumed; different batches may be committed side by side. Sums combine
+One writer per batch id and one compactor are assumed; different batches may be committed side by
+side. Sums combine
 before the shuffle, so a source that holds most rows is no burden. Null keys are keys of their
 own, null counts are 0, and repeated change rows count each. Keys whose totals are all 0 are left
 out. Other columns of the changes are ignored.

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import io
+import re
 import zipfile
 
 import corpus_pipeline
@@ -206,3 +207,35 @@ def test_every_operator_is_registered():
     for n in range(1, 11):
         assert sum(name.startswith(f"op{n}_") for name in names) == 1
     assert "pipeline" in names and set(queries.ORACLES) <= set(queries.QUERIES)
+
+
+def plain_totals(data):
+    """Totals of kept, cleaned texts by key, with a plain loop."""
+    least, out = {}, {}
+    for own, text, *_ in data:
+        if own is not None:
+            least[text or ""] = min(own, least.get(text or "", own))
+    for own, text, lang, source, *_ in data:
+        if own != least.get(text or ""):
+            continue
+        clean = re.sub(queries.DEBRIS, " ", text or "")
+        counts = {
+            "words@1": len(re.findall(r"[^\x20\x09-\x0D]+", clean)),
+            "words@2": len(re.findall("[0-9A-Za-z\x80-\U0010ffff]+|[!-/:-@\\[-`{-~]", clean)),
+        }
+        for version, n in counts.items():
+            total = out.setdefault((source, lang, version), [0, 0, 0])
+            for k, v in enumerate((1, n, len(clean))):
+                total[k] += v
+    return sorted(((*k, *v) for k, v in out.items()), key=repr)
+
+
+def test_token_counts_of_odd_documents(spark, odd, clashing, none):
+    more = spark.createDataFrame(
+        [(20, "a ## b", "en", "a", 1), (21, "a ## b", "en", "z", 1), (None, "a ## b", "en", "z", 1),
+         (22, "c|d e", None, "a", 1)], odd.schema)
+    docs = odd.unionByName(more)
+    want = plain_totals([tuple(r) for r in docs.collect()])
+    assert rows(queries.token_counts(docs, work_dir(spark, "odd"))) == want
+    assert rows(queries.token_counts(clashing, work_dir(spark, "clashing"))) == plain_totals(ODD_ROWS)
+    assert rows(queries.token_counts(none, work_dir(spark, "none"))) == []
