@@ -11,6 +11,7 @@ from bazaarlens.plans import query as Q
 from bazaarlens.plans.query import ListingQuery, SortChoice
 from bazaarlens.sources.derived import AS_OF as NOW
 from bazaarlens.sources.derived import datetime
+from bazaarlens.session import work_dir
 from checks.catalog import check
 from checks.tables import AS_OF
 
@@ -195,9 +196,20 @@ check("quality_classes", lambda t: t.listings.groupBy(quality_class().alias("qua
 
 # Sort and paging: a total order makes every place and page exact.
 def placed(df):
-    """Every row with its place in the order the query gives."""
-    rows = df.withColumn("_at", F.monotonically_increasing_id())
-    return rows.withColumn("place", F.row_number().over(Window.orderBy("_at"))).drop("_at")
+    """Every row with its place in the order the query gives: numbered inside the partitions of the
+    sort, each of which begins where the ones before it end."""
+    path = work_dir(df.sparkSession, "placed")
+    df.select(
+        "*", F.spark_partition_id().alias("_part"),
+        F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("_nth"),
+    ).write.parquet(path)
+    rows = df.sparkSession.read.parquet(path)
+    # one row per partition of the sort
+    sizes = rows.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    place = (F.col("_before") + F.col("_nth") + 1).alias("place")
+    return rows.join(starts, "_part").select(*df.columns, place)
 
 
 for name, choice, order in [

@@ -436,13 +436,23 @@ check(
   FROM images GROUP BY 1""",
     "images",
 )
+ADDRESSES = """array(original_url, 'no address', 'https://x.example.com/file.txt', '/local/a.jpg',
+  concat('https://x.example.com/IMAGE/', image_id), 'https://x.example.com/pic.WEBP', 'ftp:a.png')"""
 check(
     "image_url_lists",
-    lambda t: t.images.groupBy("listing_id").agg(
-        F.sort_array(F.collect_list("original_url")).alias("urls")
-    ).select("listing_id", F.size(T.image_urls(F.col("urls"))).alias("usable"),
-             T.normal_image_url(F.element_at("urls", 1), SITE).alias("main")),
-    """SELECT listing_id, count(*)::INT AS usable, min(original_url) AS main
-  FROM images GROUP BY listing_id""",
+    lambda t: t.images.select(
+        "image_id", F.array_join(T.image_urls(F.expr(ADDRESSES)), " ").alias("usable"),
+        T.normal_image_url(F.col("original_url"), SITE).alias("main")),
+    """SELECT image_id, concat_ws(' ', original_url, 'https://x.example.com/IMAGE/' || image_id,
+    'https://x.example.com/pic.WEBP') AS usable, original_url AS main FROM images""",
     "images",
 )
+check(
+    "cleaned_texts",
+    lambda t: t.listings.select("listing_id", T.clean_text(F.concat(
+        F.lit(" \t See original listing "), "title", F.lit("\n\n see ORIGINAL  listing, ask.  "))).alias("text")),
+    r"""SELECT listing_id, trim(regexp_replace(trim(regexp_replace(
+    '  See original listing ' || title || ' see ORIGINAL listing, ask. ', '\s+', ' ', 'g')),
+    '(?i)\bSee original listing\b', '', 'g')) AS text FROM listings""",
+    "listings",
+)
