@@ -12,7 +12,7 @@ import hashlib
 import threading
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.query import StreamingQuery
@@ -25,6 +25,12 @@ from bazaarlens.plans.ingest import ingest
 from bazaarlens.streaming.ordered import ordered_fold
 
 WATERMARK = "10 minutes"
+LOW_SCORE = "Data quality score too low"
+REJECT_COLUMNS = [
+    "page_id", "listing_id", "url", "title", "price", "quality_score", "scraped_at", "reasons",
+]
+INGEST_COUNTS = "batch_id long, pages long, accepted long, rejected long"
+LATE_COUNTS = "run string, batch_id long, late_rows long"
 SLOT_MS = 60_000  # rows of a session that wait together for the watermark
 # Late rows by run and batch of the queries started here: Spark keeps only the newest progress.
 _LATE: dict[str, dict[int, int]] = {}
@@ -148,6 +154,62 @@ def ingest_stream(pages: DataFrame, min_score: float = MIN_INGEST_SCORE) -> Data
     return ingest(pages).where(F.col("accepted") & (F.col("quality_score") >= min_score))
 
 
+def start_ingest(
+    pages: DataFrame, table, rejects: str, now, checkpoint: str, min_score: float = MIN_INGEST_SCORE
+) -> StreamingQuery:
+    """Merge the accepted listings of a page stream into ``table`` and keep the others.
+
+    A page without title or price, one that fails the gate and one below ``min_score`` goes to
+    ``rejects`` with its ``reasons``; ``rejects_of`` and ``ingest_counts`` read them. Both sides of
+    a batch are written under its number, so repeating it changes nothing.
+    """
+    run = _run_name(checkpoint)
+
+    def split(batch: DataFrame, batch_id: int) -> None:
+        read = ingest(batch, keep_incomplete=True)
+        low = F.when(F.col("quality_score") < min_score, F.lit(LOW_SCORE))
+        reasons = F.array_union("gate_errors", F.array_compact(F.array(low)))
+        # an observation counts both sides while they are written
+        counts = Observation("ingest")
+        rows = _seen(read.withColumn("reasons", reasons), now).observe(
+            counts, F.count("*").alias("pages"), F.count_if(F.size("reasons") == 0).alias("accepted")
+        ).persist()
+        try:  # both sides read the batch; its pages are parsed once
+            rejected = rows.where(F.size("reasons") > 0).select(*REJECT_COLUMNS)
+            rejected.write.mode("overwrite").parquet(f"{rejects}/rows/batch={run}-{batch_id:08d}")
+            table.upsert(rows.where(F.size("reasons") == 0).drop("reasons"), f"{run}-{batch_id:08d}")
+        finally:
+            rows.unpersist()
+        found = counts.get
+        batch.sparkSession.createDataFrame(
+            [(batch_id, found["pages"], found["accepted"], found["pages"] - found["accepted"])], INGEST_COUNTS
+        ).coalesce(1).write.mode("overwrite").parquet(f"{rejects}/counts/batch={run}-{batch_id:08d}")
+
+    return _started(pages, split, "append", checkpoint)
+
+
+def rejects_of(spark: SparkSession, rejects: str) -> DataFrame:
+    """Every rejected page with its reasons, by batch."""
+    return spark.read.parquet(f"{rejects}/rows")
+
+
+def ingest_counts(spark: SparkSession, rejects: str) -> DataFrame:
+    """``batch_id, pages, accepted, rejected`` of every batch."""
+    return spark.read.schema(INGEST_COUNTS).parquet(f"{rejects}/counts")
+
+
+def _run_name(checkpoint: str) -> str:
+    return hashlib.md5(checkpoint.encode()).hexdigest()[:12]
+
+
+def _seen(rows: DataFrame, now) -> DataFrame:
+    """Rows with the time of their sighting: the page's ``seen_at`` where it has one, else now."""
+    seen = F.lit(now()).cast("timestamp")
+    if "seen_at" in rows.columns:
+        seen = F.coalesce(F.col("seen_at").cast("timestamp"), seen)
+    return rows.withColumn("scraped_at", seen).drop("seen_at")
+
+
 def start_upsert(stream: DataFrame, table, now, checkpoint: str) -> StreamingQuery:
     """Merge every micro-batch into a current-version table.
 
@@ -155,13 +217,10 @@ def start_upsert(stream: DataFrame, table, now, checkpoint: str) -> StreamingQue
     ``seen_at`` where it has one, else by ``now()``. A batch is named in the table's change log by
     the checkpoint and its number, so repeating it changes nothing.
     """
-    run = hashlib.md5(checkpoint.encode()).hexdigest()[:12]
+    run = _run_name(checkpoint)
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        seen = F.lit(now()).cast("timestamp")
-        if "seen_at" in batch.columns:
-            seen = F.coalesce(F.col("seen_at").cast("timestamp"), seen)
-        rows = batch.withColumn("scraped_at", seen).drop("seen_at").persist()
+        rows = _seen(batch, now).persist()
         try:  # the upsert reads the batch several times; its pages are parsed once
             table.upsert(rows, f"{run}-{batch_id:08d}")
         finally:
@@ -199,6 +258,25 @@ def late_rows(query: StreamingQuery) -> int:
     return sum(late.values())
 
 
+def store_late_rows(query: StreamingQuery, folder: str) -> None:
+    """Write the late rows of every trigger of a finished run that had some beside its update log,
+    where they outlive this process, and forget them here."""
+    late_rows(query)  # an error if triggers may be missing
+    late = _LATE.pop(str(query.runId), {})
+    for own in query.recentProgress:
+        _note(late, own)
+    rows = [(str(query.runId), number, n) for number, n in sorted(late.items())]
+    spark = SparkSession.active()
+    spark.createDataFrame(rows, LATE_COUNTS).coalesce(1).write.mode("overwrite").parquet(
+        f"{folder}/late/run={query.runId}"
+    )
+
+
+def stored_late_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """``run, batch_id, late_rows`` of all runs of a query's folder."""
+    return spark.read.schema(LATE_COUNTS).parquet(f"{folder}/late/*")
+
+
 def latest_updates(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
     """The newest row per key of an update log."""
     log = spark.read.parquet(path).drop("batch")
@@ -211,6 +289,7 @@ def run_updates(
     """Process everything available once and return the current result."""
     query = start_updates(stream, f"{folder}/updates", f"{folder}/checkpoint")
     query.awaitTermination()
+    store_late_rows(query, folder)
     return latest_updates(spark, f"{folder}/updates", keys)
 
 

@@ -1,5 +1,7 @@
 """Request and error log checks, batch and streaming."""
 
+from datetime import timedelta
+
 from pyspark.sql import functions as F
 
 from bazaarlens.functions import errors as err
@@ -311,3 +313,22 @@ check("stream_decaying_risk",
       lambda t: _run(t, streams.decaying_risk(streams.with_request_risk(_stream(t))), "decaying",
                      ["session_id"]).select("session_id", "steps", "risk"),
       DECAY, "risky")
+
+
+def _late(t):
+    """Events as three files: those of the last ten days, an empty step, then all others, which come
+    later than the watermark allows; their windows are counted in one partition."""
+    path, folder = work_dir(t.spark, "late"), work_dir(t.spark, "late-counts")
+    events = t.read("events")
+    border = events.agg(F.max("ts")).first()[0] - timedelta(days=10)
+    newest = events.where(F.col("ts") > F.lit(border))
+    for part in (newest, newest.limit(1), events.where(F.col("ts") <= F.lit(border))):
+        part.coalesce(1).write.mode("append").parquet(path)
+    stream = streams.read_stream(t.spark, path, events.schema, per_trigger=1).select(*request_columns())
+    streams.run_updates(t.spark, streams.request_counts(stream, "1 hour"), folder, ["window_start"])
+    return streams.stored_late_rows(t.spark, folder).select("batch_id", "late_rows")
+
+
+check("stream_late_rows", _late,
+      """SELECT 2 AS batch_id, count(DISTINCT date_trunc('hour', timestamp)) AS late_rows FROM requests
+  WHERE timestamp <= (SELECT max(timestamp) - INTERVAL 10 DAY FROM requests)""", "requests")

@@ -343,6 +343,33 @@ check("stream_ingest", _stream_ingest,
   9 AS whole_price FROM listings WHERE watchers NOT IN (7, 13)""", "listings")
 
 
+def _ingested(t):
+    """Landed pages of two sightings through the whole ingest job, rejects kept."""
+    landing = work_dir(t.spark, "landing")
+    pages = t.listing_pages.withColumn("seen_at", F.lit(NOW))
+    pages.repartition(4).write.parquet(landing)
+    stream = streams.read_stream(t.spark, landing, pages.schema, per_trigger=2)
+    table = S.CurrentTable(t.spark, work_dir(t.spark, "current"), buckets=8)
+    rejects = work_dir(t.spark, "rejects")
+    streams.start_ingest(stream, table, rejects, lambda: NOW,
+                         work_dir(t.spark, "checkpoint")).awaitTermination()
+    return rejects
+
+
+check("ingest_rejects",
+      lambda t: streams.rejects_of(t.spark, _ingested(t)).select(
+          "page_id", F.array_join("reasons", "; ").alias("reasons"), F.col("scraped_at").alias("seen_at")),
+      f"""SELECT listing_id AS page_id, CASE watchers WHEN 7 THEN 'Valid price is required'
+  ELSE 'Title is required' END AS reasons, {AS_OF} AS seen_at FROM listings WHERE watchers IN (7, 13)""",
+      "listings")
+check("ingest_counts",
+      lambda t: streams.ingest_counts(t.spark, _ingested(t)).agg(
+          F.count("*").alias("batches"), F.sum("pages").alias("pages"),
+          F.sum("accepted").alias("accepted"), F.sum("rejected").alias("rejected")),
+      """SELECT 2 AS batches, count(*) AS pages, count(*) FILTER (watchers NOT IN (7, 13)) AS accepted,
+  count(*) FILTER (watchers IN (7, 13)) AS rejected FROM listings""", "listings")
+
+
 def _merged(t):
     """Stored listings of an earlier sighting, part of which the incoming pages replace."""
     accepted = split_gate(ingest(t.listing_pages))[0]
