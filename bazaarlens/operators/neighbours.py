@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from bazaarlens.functions.images import hamming
 from bazaarlens.operators.joins import HOT_PARTS, salted_join
-from bazaarlens.session import work_dir
+from bazaarlens.session import written
 
 BITS = 64
 CROWDED = 50_000
@@ -147,13 +147,6 @@ def _search(threshold: int, crowded: int | None):
     return run
 
 
-def _written(df: DataFrame, name: str) -> DataFrame:
-    spark = df.sparkSession
-    path = work_dir(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def closest_earlier(
     distinct: DataFrame, threshold: int, keep: int, crowded: int = CROWDED
 ) -> DataFrame:
@@ -177,7 +170,7 @@ def closest_earlier(
         out = buckets.repartition("bucket").sortWithinPartitions("bucket", "first_id").mapInArrow(
             _search(threshold, None if last else crowded), _FOUND
         )
-        out = _written(out, "neighbours")
+        out = written(out, "neighbours")
         own = out.where("near_id IS NOT NULL").select("hash", "near_id")
         found = own if found is None else found.unionByName(own)
         rows = out.where("near_id IS NULL").select("bucket", "hash", "first_id", "anchor")
@@ -199,7 +192,7 @@ def _groups(images: DataFrame) -> DataFrame:
     groups = images.where("hash IS NOT NULL").groupBy("hash").agg(
         F.min("image_id").alias("first_id"), F.count("*").alias("_n")
     )
-    return _written(groups, "hashes")
+    return written(groups, "hashes")
 
 
 def _spread(images: DataFrame, groups: DataFrame, known: DataFrame) -> DataFrame:
@@ -215,7 +208,7 @@ def kept_hashes(distinct: DataFrame, threshold: int, keep: int) -> DataFrame:
     left, kept = distinct.select("hash", "first_id"), None
     while True:
         waiting = closest_earlier(left, threshold, keep).select("hash")
-        marked = _written(
+        marked = written(
             left.join(waiting.withColumn("_w", F.lit(True)), "hash", "left").select(
                 "hash", "first_id", F.col("_w").isNull().alias("anchor")
             ), "round",
@@ -225,7 +218,7 @@ def kept_hashes(distinct: DataFrame, threshold: int, keep: int) -> DataFrame:
         if marked.where("NOT anchor").isEmpty():
             break
         dropped = closest_earlier(marked, threshold, keep).select("hash")
-        left = _written(marked.where("NOT anchor").drop("anchor").join(dropped, "hash", "left_anti"), "left")
+        left = written(marked.where("NOT anchor").drop("anchor").join(dropped, "hash", "left_anti"), "left")
     return distinct.join(kept.withColumn("_k", F.lit(True)), "hash", "left").select(
         *distinct.columns, F.col("_k").isNotNull().alias("anchor")
     )
@@ -239,7 +232,7 @@ def keep_first(images: DataFrame, threshold: int = 5, keep: int = 3) -> DataFram
     keeps every one that is far from all kept ones.
     """
     groups = _groups(images)
-    distinct = _written(kept_hashes(groups.select("hash", "first_id"), threshold, keep), "kept")
+    distinct = written(kept_hashes(groups.select("hash", "first_id"), threshold, keep), "kept")
     nearest = closest_earlier(distinct, threshold, keep)
     known = _distances(distinct.drop("anchor"), nearest)
     rows = _spread(images, groups, known)

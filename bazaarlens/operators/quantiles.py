@@ -1,8 +1,10 @@
 """Exact grouped quantiles that never sort or buffer a whole group.
 
-A mergeable sketch cuts the values of each key into slices of about equal weight. Slices are
-counted, and only those that hold a wanted rank are ranked. The sketch decides how even the slices
-are, never the result, and the slices of a hot key lie in different tasks.
+Equal values of a key become one row with its count. A mergeable sketch cuts the values of each key
+into slices of about equally many such rows; slices are counted, and only those that hold a wanted
+rank are ranked. The sketch decides how even the slices are, never the result, and the slices of a
+hot key lie in different tasks. The input is read once: its counts, and the slices, are written to
+the shared folder, since both are used more than once.
 """
 
 from __future__ import annotations
@@ -11,8 +13,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from bazaarlens.session import written
+
 SLICES = 64
-SALTS = 16
 ACCURACY = 1_000
 
 
@@ -24,15 +27,16 @@ def exact_quantiles(
     rows = df.where(F.col(value).isNotNull()).select(
         F.struct(*keys).alias("_k"), F.col(value).alias("_v")
     )
+    counted = written(rows.groupBy("_k", "_v").agg(F.count("*").alias("_c")), "counts")
     marks = [i / slices for i in range(1, slices)]
-    sketch = rows.groupBy("_k").agg(F.percentile_approx("_v", marks, ACCURACY).alias("_marks"))
-    # Equal values of a key are one row; a key's rows meet its sketch in many tasks.
-    salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt")
-    counted = rows.groupBy("_k", "_v").agg(F.count("*").alias("_c")).withColumn(
-        "_salt", F.pmod(F.xxhash64("_v"), F.lit(SALTS)).cast("int")
+    sketch = written(
+        counted.groupBy("_k").agg(F.percentile_approx("_v", marks, ACCURACY).alias("_marks")), "sketch"
     )
-    placed = counted.join(sketch.select("_k", "_marks", salt), ["_k", "_salt"]).select(
-        "_k", "_v", "_c", F.size(F.filter("_marks", lambda m: m < F.col("_v"))).alias("_slice")
+    # a table of few numbers per key: Spark broadcasts it while it is small, else splits hot keys
+    placed = written(
+        counted.join(sketch, "_k").select(
+            "_k", "_v", "_c", F.size(F.filter("_marks", lambda m: m < F.col("_v"))).alias("_slice")
+        ), "slices",
     )
     # At most ``slices`` rows per key from here on.
     before = Window.partitionBy("_k").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
@@ -49,7 +53,9 @@ def exact_quantiles(
         )
     )
     near = (F.ceil("_at") >= F.col("_before")) & (F.floor("_at") < F.col("_before") + F.col("_c"))
-    held = sizes.select("*", ranks).where(near).select("_k", "_slice", "_before", "_name", "_at")
+    held = written(
+        sizes.select("*", ranks).where(near).select("_k", "_slice", "_before", "_name", "_at"), "ranks"
+    )
     needed = held.select("_k", "_slice", "_before").distinct()
     upto = Window.partitionBy("_k", "_slice").orderBy("_v")
     ranked = placed.join(needed, ["_k", "_slice"]).select(
