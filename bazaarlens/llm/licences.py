@@ -48,6 +48,7 @@ MIN_SHARED = 0.6
 RUN_WORDS = 12
 TITLE_WORDS = 12
 BACKGROUND_WORDS = 40
+LINE_CHARS = 120
 WHOLE = 5
 
 # Standard notices and passages of public licences, by family.
@@ -218,18 +219,21 @@ def _stretches(rows: DataFrame) -> DataFrame:
 
 
 def _background(docs: DataFrame, id_col: str, text_col: str, limit: int) -> DataFrame:
-    """About ``limit`` windows of corpus lines without licence wording. All lines are looked at; a
-    hash of the words chooses, in the same pass, so repeated lines count once."""
+    """About ``limit`` windows of corpus lines without licence wording. A hash of the line chooses
+    among all lines, so repeated lines count once and only chosen ones are cut into words."""
+    size = docs.agg(F.sum(F.char_length(text_col))).first()[0] or 0
+    # a share of lines that leaves about twice as many windows as wanted
+    share = min(1 << 30, -(-2 * limit * LINE_CHARS * (1 << 30) // max(size, 1)))
     lines = docs.select(F.explode(F.split(F.col(text_col), "\n")).alias("line"))
-    own = lines.where(~F.col("line").rlike(_CUES)).select(words(F.col("line")).alias("_w"))
+    chosen = lines.where(F.pmod(F.xxhash64("line"), F.lit(1 << 30)) < share)
+    own = chosen.where(~F.col("line").rlike(_CUES)).select(words(F.col("line")).alias("_w"))
     starts = F.sequence(F.lit(1), F.greatest(F.size("_w"), F.lit(1)), F.lit(BACKGROUND_WORDS))
     windows = own.where(F.size("_w") > 2).select(
         F.explode(F.transform(starts, lambda i: F.slice("_w", i, BACKGROUND_WORDS))).alias("words")
-    ).where(F.size("words") > 2).withColumn("_h", F.pmod(F.xxhash64("words"), F.lit(1 << 30)))
-    # each task keeps those with the smallest hashes, so at most ``limit`` rows a task meet in one
-    chosen = windows.groupBy("_h").agg(F.first("words").alias("words")).orderBy("_h").limit(limit)
-    return chosen.select(
-        F.lit(UNKNOWN).alias("family"), (F.col("_h") % 5).cast("int").alias("fold"), "words",
+    ).where(F.size("words") > 2)
+    kept = windows.groupBy(F.xxhash64("words").alias("_h")).agg(F.first("words").alias("words"))
+    return kept.orderBy("_h").limit(limit).select(
+        F.lit(UNKNOWN).alias("family"), F.pmod("_h", F.lit(5)).cast("int").alias("fold"), "words",
         F.lit(1.0).alias("weight"),
     )
 
