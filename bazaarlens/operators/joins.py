@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 # list can never exceed HOT_PARTS entries and is always safe to broadcast.
 HOT_PARTS = 200
 SALTS = 64
+# Ranges of time an interval join works in; bounds the rows a long interval is repeated in.
+TIME_SLICES = 256
 
 
 def hot_keys(rows: DataFrame, keys: list[str], parts: int = HOT_PARTS) -> DataFrame:
@@ -98,6 +100,29 @@ def present_in(rows: DataFrame, parents: DataFrame, key: str) -> DataFrame:
     return rows.join(parents.select(key).distinct(), key, "left_semi")
 
 
+def time_borders(rows: DataFrame, time: str, slices: int) -> DataFrame:
+    """One row: at most ``slices - 1`` ascending times (micros) that cut the rows into about equal parts.
+
+    Equal borders are named once; rows without a time do not count; without any the list is NULL.
+    """
+    marks = [i / slices for i in range(1, slices)]
+    cuts = F.percentile_approx(F.unix_micros(time), marks, max(10_000, 4 * slices))
+    return rows.agg(F.array_sort(F.array_distinct(cuts)).alias("borders"))
+
+
+def with_slice(rows: DataFrame, name: str, time: Column, borders: Column, slices: int) -> DataFrame:
+    """Add the number of borders that are not later than ``time``, by binary search."""
+    steps = [F.lit(1 << power) for power in reversed(range(slices.bit_length()))]
+
+    def further(place: Column, step: Column) -> Column:
+        reached = F.get("_borders", place + step - 1) <= F.col("_micros")
+        return F.when(reached, place + step).otherwise(place)
+
+    timed = rows.withColumns({"_borders": borders, "_micros": F.unix_micros(time)})
+    found = F.aggregate(F.array(*steps), F.lit(0), further)
+    return timed.withColumn(name, found).drop("_borders", "_micros")
+
+
 def session_join(
     listings: DataFrame,
     sessions: DataFrame,
@@ -105,26 +130,32 @@ def session_join(
     how: str = "inner",
     time: str = "scraped_at",
     session_columns: list[str] | None = None,
+    slices: int = TIME_SLICES,
 ) -> DataFrame:
     """Listings joined with the sessions running at their collection time.
 
-    Open sessions end at ``as_of``. Sessions are spread over the days they cover
-    so the range condition becomes an equality on the day plus a comparison inside the join, which
-    keeps unmatched listings itself. Rows of a busy day are split by Spark while it runs.
+    Open sessions end at ``as_of``. Time is cut into ``slices`` ranges of about equally many
+    listings. A listing lies in one range, a session in that of its start and in each at whose
+    border it is still open, so it costs at most ``slices`` rows however long it runs. Ranges meet
+    by equality, the times are compared inside the join, which keeps unmatched listings itself.
+    Rows of one busy moment are split by Spark while it runs.
     """
     if how not in ("inner", "left", "right", "full"):
         raise ValueError(f"unknown join type: {how}")
     end = F.coalesce("completed_at", F.lit(as_of).cast("timestamp"))
     columns = session_columns or sessions.columns
+    borders = time_borders(listings, time, slices).scalar()
     spans = sessions.withColumn("_end", end).where("_end >= started_at")
-    every_day = F.sequence(F.to_date("started_at"), F.to_date("_end"), F.expr("interval 1 day"))
-    days = spans.select(
-        *columns, F.col("started_at").alias("_from"), "_end", F.explode(every_day).alias("_day")
+    spans = with_slice(spans, "_first", F.col("started_at"), borders, slices)
+    spans = with_slice(spans, "_last", F.col("_end"), borders, slices)
+    open_in = spans.select(
+        *columns, F.col("started_at").alias("_from"), "_end",
+        F.explode(F.sequence("_first", "_last")).alias("_open"),
     )
-    rows = listings.withColumn("_on", F.to_date(time))
-    same = (F.col("_on") == F.col("_day")) & F.col(time).between(F.col("_from"), F.col("_end"))
+    rows = with_slice(listings, "_slice", F.col(time), borders, slices)
+    same = (F.col("_slice") == F.col("_open")) & F.col(time).between(F.col("_from"), F.col("_end"))
     left = "left" if how in ("left", "full") else "inner"
-    out = rows.join(days, same, left).drop("_on", "_day", "_from", "_end")
+    out = rows.join(open_in, same, left).drop("_slice", "_open", "_from", "_end")
     if how in ("right", "full"):
         met = out.where("session_id IS NOT NULL") if left == "left" else out
         alone = missing_from(sessions.select(*columns), met, "session_id")

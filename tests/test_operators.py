@@ -69,6 +69,44 @@ def test_session_interval_ends(spark):
     assert ("", "s3") in pairs("full")
 
 
+@pytest.mark.parametrize("slices", [1, 2, 7, 256])
+def test_session_join_of_any_length(spark, slices):
+    """A third of the rows at one moment, sessions of no length, of ten years and never closed."""
+    rng = random.Random(5)
+    times = [START + timedelta(minutes=5000 if i % 3 == 0 else rng.randrange(10_000)) for i in range(300)]
+    listings = spark.createDataFrame(
+        [*[(i, t) for i, t in enumerate(times)], (300, None)], "listing_id long, scraped_at timestamp")
+    spans = [(START + timedelta(minutes=m), START + timedelta(minutes=m + rng.choice([0, 3, 900])))
+             for m in (rng.randrange(10_000) for _ in range(40))]
+    spans += [(START - timedelta(days=5), START + timedelta(days=3650)), (START + timedelta(days=1), None),
+              (START + timedelta(days=90), START + timedelta(days=91)),
+              (START + timedelta(days=2), START + timedelta(days=1))]
+    sessions = spark.createDataFrame(
+        [(f"s{i}", a, b) for i, (a, b) in enumerate(spans)],
+        "session_id string, started_at timestamp, completed_at timestamp")
+    as_of = START + timedelta(days=4)
+    met = {(i, f"s{j}") for i, t in enumerate(times) for j, (a, b) in enumerate(spans)
+           if a <= t <= (b or as_of)}
+    lone = {(i, None) for i in range(301)} - {(i, None) for i, _ in met}
+    idle = {(None, f"s{j}") for j in range(len(spans))} - {(None, s) for _, s in met}
+    for how, want in [("inner", met), ("left", met | lone), ("right", met | idle),
+                      ("full", met | lone | idle)]:
+        got = joins.session_join(listings, sessions, as_of, how, session_columns=["session_id"],
+                                 slices=slices).select("listing_id", "session_id").collect()
+        assert len(got) == len(want) and {tuple(r) for r in got} == want
+
+
+def test_long_session_costs_rows_by_slices(spark):
+    """Borders lie at the rows' own times; a span of ten years is repeated once for each range."""
+    rows = spark.createDataFrame([(START + timedelta(days=i),) for i in range(1000)], "t timestamp")
+    borders = joins.time_borders(rows, "t", 8)
+    assert len(borders.first()[0]) == 7
+    sliced = joins.with_slice(rows, "_s", F.col("t"), borders.scalar(), 8).groupBy("_s").count().collect()
+    assert len(sliced) == 8 and max(r["count"] for r in sliced) <= 130
+    none = joins.time_borders(rows.where("false"), "t", 8).scalar()
+    assert {r["_s"] for r in joins.with_slice(rows, "_s", F.col("t"), none, 8).collect()} == {0}
+
+
 def test_duplicates_and_latest(spark, many):
     rows = many.select(F.col("k").alias("url"), F.format_string("%05d", "i").alias("listing_id"), "v")
     found = {r["listing_id"]: (r["duplicate_of"], r["group_size"]) for r in duplicate_rows(rows).collect()}
