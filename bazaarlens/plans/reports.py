@@ -330,22 +330,23 @@ COMPLETENESS_FIELDS = {
 }
 
 
-def field_completeness(b: DataFrame, names: dict[str, str] = COMPLETENESS_FIELDS) -> DataFrame:
-    """Percentage of rows with a usable value, one column per field."""
+def usable(b: DataFrame, column: str) -> Column:
+    """Whether a row has a value that counts: a set text, a positive count, else any value."""
     kinds = dict(b.dtypes)
+    if column not in kinds:
+        return F.lit(False)
+    if kinds[column] == "string":
+        return present(column)
+    if column.endswith("_count"):
+        return F.coalesce(F.col(column) > 0, F.lit(False))
+    return F.col(column).isNotNull()
 
-    def usable(column: str) -> Column:
-        if column not in kinds:
-            return F.lit(False)
-        if kinds[column] == "string":
-            return present(column)
-        if column.endswith("_count"):
-            return F.coalesce(F.col(column) > 0, F.lit(False))
-        return F.col(column).isNotNull()
 
+def field_completeness(b: DataFrame, names: dict[str, str] = COMPLETENESS_FIELDS) -> DataFrame:
+    """Percentage of rows with a usable value, one column per field."""
     return b.agg(
         *[
-            F.avg(F.when(usable(column), 100.0).otherwise(0.0)).alias(f"{label}_completeness")
+            F.avg(F.when(usable(b, column), 100.0).otherwise(0.0)).alias(f"{label}_completeness")
             for label, column in names.items()
         ]
     )

@@ -1,9 +1,15 @@
 """Reports, views and store statistics."""
 
+from datetime import timedelta
+
+from pyspark.sql import functions as F
+
+from bazaarlens.plans import partials as P
 from bazaarlens.plans import reports as R
 from bazaarlens.plans import stats as S
 from bazaarlens.plans import views as V
 from bazaarlens.plans.reports import base
+from bazaarlens.session import work_dir
 from bazaarlens.sources import derived
 from checks.catalog import CHECKS, check
 from checks.tables import AS_OF
@@ -382,6 +388,62 @@ for _name, _kinds in (("dashboard_parts", R.DASHBOARD), ("market_parts", R.MARKE
     )
 
 
+# Stored days and one pass ----------------------------------------------------------------
+
+def _stored_days(t):
+    """Measures of some hundred days, stored by two refreshes that overlap."""
+    end = t.listings.agg(F.max(F.to_date("scraped_at"))).first()[0]
+    store = P.DailyPartials(t.spark, work_dir(t.spark, "days"))
+    for first, last in ((150, 80), (90, 10)):
+        store.refresh(t.listings, end - timedelta(days=first), end - timedelta(days=last))
+    return store
+
+
+for _kind, _part in (
+    ("summary", "overview"), ("category_analysis", "category_summary"),
+    ("price_analysis", "price_by_category"), ("seller_analysis", "seller_rating_distribution"),
+):
+    check(
+        f"stored_days_{_part}",
+        lambda t, kind=_kind, part=_part: _stored_days(t).report(kind, t.listings, t.request())[part],
+        CHECKS[_part].sql,
+    )
+check(
+    "stored_days_daily_trends",
+    lambda t: _stored_days(t).report("trend_analysis", t.listings, t.request())["daily_trends"].select(
+        "date", "listings_count", "unique_sellers", "total_images",
+        *[F.round(F.col(c) * F.col("listings_count"), 2).alias(c.replace("avg", "sum"))
+          for c in ("avg_price", "avg_quality")],
+    ),
+    """SELECT scraped_at::DATE AS date, count(*) AS listings_count,
+  count(DISTINCT seller_name) AS unique_sellers, sum(image_count)::BIGINT AS total_images,
+  round(sum(price), 2) AS sum_price, round(sum(data_completeness_score), 2) AS sum_quality
+  FROM base GROUP BY 1 ORDER BY 1 DESC LIMIT 30""",
+    "base",
+)
+check(
+    "one_pass_top_sellers_by_count",
+    lambda t: P.one_pass_bundle(["seller_analysis"], t.listings, t.request())["seller_analysis"][
+        "top_sellers_by_count"].drop("avg_feedback_count"),
+    CHECKS["top_sellers_by_count"].sql,
+)
+check(
+    "stored_days_last_year",
+    lambda t: _stored_days(t).report("summary", t.listings, t.request(time_range="year"))["overview"],
+    CHECKS["overview_last_year"].sql,
+)
+for _kind, _part in (
+    ("summary", "price_distribution"), ("category_analysis", "category_materials"),
+    ("quality_analysis", "quality_by_category"), ("quality_analysis", "field_completeness"),
+    ("trend_analysis", "category_trends"),
+):
+    check(
+        f"one_pass_{_part}",
+        lambda t, kind=_kind, part=_part: P.one_pass_bundle([kind], t.listings, t.request())[kind][part],
+        CHECKS[_part].sql,
+    )
+
+
 # Views ---------------------------------------------------------------------------------
 
 check(
