@@ -11,7 +11,7 @@ from bazaarlens.plans.ingest import ingest, merge, split_gate
 from bazaarlens.session import work_dir
 from bazaarlens.sources import copies as C
 from bazaarlens.sources import export as X
-from bazaarlens.sources import schemas
+from bazaarlens.sources import layout, schemas
 from bazaarlens.sources import store as S
 from bazaarlens.sources.derived import AS_OF as NOW
 from bazaarlens.sources.derived import datetime, request_columns
@@ -398,3 +398,23 @@ check("filter_then_export_count",
       lambda t: apply_filter(t.listings, ListingFilter(category="rings")).agg(
           F.count("*").alias("records")),
       "SELECT count(*) AS records FROM listings WHERE category = 'rings'", "listings")
+
+
+def _clustered(t, *wanted):
+    """Listings written along the price and time curve, read back for a search."""
+    path = work_dir(t.spark, "clustered")
+    layout.write_clustered(t.listings, path)
+    columns = ["listing_id", "url", "category", "price", "scraped_at"]
+    stored = t.spark.read.schema(t.listings.schema).parquet(path)
+    return stored.where(*wanted).select(*columns)
+
+
+CLUSTERED = "SELECT listing_id, url, category, price, scraped_at FROM listings WHERE "
+check("clustered_range_search",
+      lambda t: _clustered(t, F.expr("""category = 'rings' AND price BETWEEN 500 AND 2000
+        AND scraped_at >= TIMESTAMP '1996-01-01 00:00:00'""")),
+      CLUSTERED + """category = 'rings' AND price BETWEEN 500 AND 2000
+  AND scraped_at >= TIMESTAMP '1996-01-01 00:00:00'""", "listings")
+check("clustered_url_lookup",
+      lambda t: _clustered(t, F.col("url") == t.listings.agg(F.max("url")).first()[0]),
+      CLUSTERED + "url = (SELECT max(url) FROM listings)", "listings")
