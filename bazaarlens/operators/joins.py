@@ -134,17 +134,17 @@ def session_join(
 ) -> DataFrame:
     """Listings joined with the sessions running at their collection time.
 
-    Open sessions end at ``as_of``. Time is cut into ``slices`` ranges of about equally many
-    listings. A listing lies in one range, a session in that of its start and in each at whose
+    Open sessions end at ``as_of``. Time is cut into ``slices`` ranges in which about equally many
+    sessions start, so only the small table is read for it. A listing lies in one range, a session in that of its start and in each at whose
     border it is still open, so it costs at most ``slices`` rows however long it runs. Ranges meet
     by equality, the times are compared inside the join, which keeps unmatched listings itself.
-    Rows of one busy moment are split by Spark while it runs.
+    Listings of a busy range are split by Spark while it runs.
     """
     if how not in ("inner", "left", "right", "full"):
         raise ValueError(f"unknown join type: {how}")
     end = F.coalesce("completed_at", F.lit(as_of).cast("timestamp"))
     columns = session_columns or sessions.columns
-    borders = time_borders(listings, time, slices).scalar()
+    borders = time_borders(sessions, "started_at", slices).scalar()
     spans = sessions.withColumn("_end", end).where("_end >= started_at")
     spans = with_slice(spans, "_first", F.col("started_at"), borders, slices)
     spans = with_slice(spans, "_last", F.col("_end"), borders, slices)
